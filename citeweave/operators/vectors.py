@@ -98,47 +98,57 @@ def semantic_axis(vectors: DataFrame, labels: DataFrame, key: str = "doi", vec:
 
 # ---- exact k nearest neighbours --------------------------------------------------
 
-def _block_search_fn(k: int, exclude_self: bool):
+def _block_search_fn(k: int, exclude_self: bool, by: Sequence[str]):
     def search(key, q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        cols = {c: pd.Series([], dtype=object) for c in by}
         if q.empty or t.empty:
-            return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "nid": pd.Series([], dtype="int64"),
+            return pd.DataFrame({**cols, "qid": pd.Series([], dtype="int64"), "nid": pd.Series([], dtype="int64"),
                                  "dist": pd.Series([], dtype="float64")})
         Q = np.vstack(q["vec"].to_numpy()).astype(np.float64)
         T = np.vstack(t["vec"].to_numpy()).astype(np.float64)
         qid = q["qid"].to_numpy(dtype=np.int64)
         tid = t["tid"].to_numpy(dtype=np.int64)
-        # exact squared L2, the same expression for every pair: |q|^2 + |t|^2 - 2 q.t
+        # exact squared L2 for every pair of the cell: |q|^2 + |t|^2 - 2 q.t
         d = (Q * Q).sum(1)[:, None] + (T * T).sum(1)[None, :] - 2.0 * (Q @ T.T)
         if exclude_self:
             d = np.where(qid[:, None] == tid[None, :], np.inf, d)
         kk = min(k, T.shape[0])
-        part = np.argpartition(d, kk - 1, axis=1)[:, :kk] if kk < T.shape[0] else np.tile(np.arange(T.shape[0]), (Q.shape[0], 1))
+        if kk < T.shape[0]:
+            part = np.argpartition(d, kk - 1, axis=1)[:, :kk]
+        else:
+            part = np.tile(np.arange(T.shape[0]), (Q.shape[0], 1))
         rows_q = np.repeat(np.arange(Q.shape[0]), part.shape[1])
-        cols = part.reshape(-1)
-        dist = d[rows_q, cols]
+        cols_t = part.reshape(-1)
+        dist = d[rows_q, cols_t]
         keep = np.isfinite(dist)
-        return pd.DataFrame({"qid": qid[rows_q][keep], "nid": tid[cols][keep], "dist": dist[keep]})
+        out = pd.DataFrame({"qid": qid[rows_q][keep], "nid": tid[cols_t][keep], "dist": dist[keep]})
+        for i, c in enumerate(by):
+            out.insert(i, c, key[i])
+        return out
 
     return search
 
 
 def knn_search(queries: DataFrame, train: DataFrame, k: int, *, qid: str = "qid", tid: str = "tid",
-               vec: str = "vec", exclude_self: bool = False, q_blocks: int | None = None,
-               t_blocks: int | None = None, rows_per_block: int = 20000) -> DataFrame:
-    """Exact k nearest neighbours by squared L2.
-
-    Queries and train rows are hashed into ``q_blocks`` x ``t_blocks`` cells:
-    every query row is copied once per train block and every train row once per
-    query block, and the two sides meet through an equi-join on the cell key
-    (``cogroup``).  Each cell holds at most one query block and one train
-    block, so memory per task is bounded by the block sizes, which follow the
-    data size; NumPy computes the distances of the cell and emits only its local
-    top-k.  The candidates of a query (``t_blocks * k`` of them) are then
-    reduced to the global top-k, ties broken by distance then neighbour id.
-    Returns ``qid, nid, dist, rank`` (rank 1 = nearest).
+               vec: str = "vec", by: Sequence[str] = (), exclude_self: bool = False,
+               q_blocks: int | None = None, t_blocks: int | None = None, rows_per_block: int = 20000) -> DataFrame:
+    """Exact k nearest neighbours by squared L2 (V10, W15), for one or many
+    independent runs at once (``by`` columns, e.g. trial and journal set).
+
+    Queries and train rows are hashed into ``q_blocks`` x ``t_blocks`` cells
+    per run: every query row is copied once per train block and every train row
+    once per query block, and the two sides meet through an equi-join on
+    ``(run, qb, tb)`` (``cogroup``).  A cell holds one query block and one
+    train block, so task memory is bounded by the block size, and the number
+    of blocks follows the data size.  NumPy computes the cell's distances and
+    emits only its local top-k; the ``t_blocks * k`` candidates of a query are
+    then cut to the global top-k, ties broken by distance then neighbour id.
+    Returns ``*by, qid, nid, dist, rank`` (rank 1 = nearest).
     """
-    q = queries.select(F.col(qid).cast("long").alias("qid"), F.col(vec).alias("vec"))
-    t = train.select(F.col(tid).cast("long").alias("tid"), F.col(vec).alias("vec"))
+    by = list(by)
+    # fresh attribute ids on both sides: queries and train often share a lineage
+    q = queries.select(*[F.col(c).alias(c) for c in by], F.col(qid).cast("long").alias("qid"), F.col(vec).alias("vec"))
+    t = train.select(*[F.col(c).alias(c) for c in by], F.col(tid).cast("long").alias("tid"), F.col(vec).alias("vec"))
     if q_blocks is None or t_blocks is None:
         nq, nt = q.count(), t.count()
         q_blocks = q_blocks or max(1, -(-nq // rows_per_block))
@@ -147,22 +157,26 @@ def knn_search(queries: DataFrame, train: DataFrame, k: int, *, qid: str = "qid"
         "tb", F.explode(F.sequence(F.lit(0), F.lit(t_blocks - 1))))
     tb = t.withColumn("tb", F.pmod(hash_int("tid"), F.lit(t_blocks))).withColumn(
         "qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    cand = qb.groupBy("qb", "tb").cogroup(tb.groupBy("qb", "tb")).applyInPandas(
-        _block_search_fn(k, exclude_self), "qid long, nid long, dist double")
-    best = cand.groupBy("qid").agg(
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in q.schema.fields if f.name in by]
+                       + ["qid long", "nid long", "dist double"])
+    cand = qb.groupBy(*by, "qb", "tb").cogroup(tb.groupBy(*by, "qb", "tb")).applyInPandas(
+        _block_search_fn(k, exclude_self, by), schema)
+    best = cand.groupBy(*by, "qid").agg(
         F.slice(F.sort_array(F.collect_list(F.struct("dist", "nid"))), 1, k).alias("_top"))
-    return best.select("qid", F.posexplode("_top").alias("_p", "_x")).select(
-        "qid", F.col("_x.nid").alias("nid"), F.col("_x.dist").alias("dist"), (F.col("_p") + 1).alias("rank"))
+    return best.select(*by, "qid", F.posexplode("_top").alias("_p", "_x")).select(
+        *by, "qid", F.col("_x.nid").alias("nid"), F.col("_x.dist").alias("dist"), (F.col("_p") + 1).alias("rank"))
 
 
-def knn_vote(neigh: DataFrame, labels: DataFrame, ks: Sequence[int], *, qid: str = "qid", nid: str = "nid",
-             label: str = "label") -> DataFrame:
+def knn_vote(neigh: DataFrame, labels: DataFrame, ks: Sequence[int], *, by: Sequence[str] = (),
+             nid: str = "nid", label: str = "label") -> DataFrame:
     """Majority vote of the k nearest labels for every k in ``ks`` from one
     search at ``max(ks)`` (A14, V11): a neighbour of rank r votes for every
-    k >= r.  Ties go to the **smallest** label.  Returns ``qid, k, pred``."""
+    k >= r.  Ties go to the **smallest** label.  Returns ``*by, qid, k, pred``."""
+    by = list(by)
     kk = F.array(*[F.lit(int(x)) for x in sorted(ks)])
     lab = labels.select(F.col(nid).alias("nid"), F.col(label).alias("_lab"))
-    votes = neigh.join(lab, "nid").select("qid", "_lab", F.explode(F.filter(kk, lambda x: x >= F.col("rank"))).alias("k"))
-    counts = votes.groupBy("qid", "k", "_lab").agg(F.count(F.lit(1)).alias("_n"))
-    best = counts.groupBy("qid", "k").agg(F.min(F.struct((-F.col("_n")).alias("_m"), F.col("_lab"))).alias("_w"))
-    return best.select("qid", "k", F.col("_w._lab").alias("pred"))
+    votes = neigh.join(lab, "nid").select(*by, "qid", "_lab",
+                                          F.explode(F.filter(kk, lambda x: x >= F.col("rank"))).alias("k"))
+    counts = votes.groupBy(*by, "qid", "k", "_lab").agg(F.count(F.lit(1)).alias("_n"))
+    best = counts.groupBy(*by, "qid", "k").agg(F.min(F.struct((-F.col("_n")).alias("_m"), F.col("_lab"))).alias("_w"))
+    return best.select(*by, "qid", "k", F.col("_w._lab").alias("pred"))
