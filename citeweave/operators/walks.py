@@ -35,13 +35,15 @@ def index_graph(g: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, e
 
 
-def bucketed_edges(g: DataFrame) -> DataFrame:
-    """``src, bucket, dst, lo, hi, dst_deg`` (see module doc)."""
+def bucketed_edges(g: DataFrame, with_dst_deg: bool = True) -> DataFrame:
+    """``src, bucket, dst, lo, hi[, dst_deg]`` (see module doc)."""
     ce = G.cum_edges(g)
     deg = ce.select(F.col("src").alias("dst"), F.col("deg").alias("dst_deg")).distinct()
     first = F.floor(F.col("lo") * F.col("deg")).cast("long")
     last = F.least(F.floor(F.col("hi") * F.col("deg")).cast("long"), (F.col("deg") - 1).cast("long"))
     b = ce.select("src", "dst", "lo", "hi", F.explode(F.sequence(first, last)).alias("bucket"))
+    if not with_dst_deg:
+        return b
     return b.join(deg, "dst", "left").fillna(0, ["dst_deg"])
 
 
@@ -79,8 +81,9 @@ def random_walks(g: DataFrame, num_walks: int, walk_length: int, *, seed: int =
     ``restart_prob`` a step restarts (jump to start) or ends the walk.
     Returns ``walk_id, start, t, node``.
     """
-    be = bucketed_edges(g).persist()
-    deg = G.cum_edges(g).select("src", "deg").distinct()
+    be = bucketed_edges(g).checkpoint(eager=True)
+    deg = be.select(F.col("src"), F.col("deg")).distinct() if "deg" in be.columns else \
+        G.cum_edges(g).select("src", "deg").distinct()
     if start_nodes is None:
         start_nodes = G.nodes_of(g)
     starts = start_nodes.select(F.col("node").cast("long").alias("start")).distinct()
@@ -103,7 +106,6 @@ def random_walks(g: DataFrame, num_walks: int, walk_length: int, *, seed: int =
     out = steps[0]
     for s in steps[1:]:
         out = out.unionByName(s)
-    be.unpersist(blocking=False)
     return out
 
 
@@ -161,3 +163,39 @@ def second_order_walks(g: DataFrame, num_walks: int, walk_length: int, p: float,
     k1, k2 = cantor_unpair("node")
     s1, s2 = cantor_unpair("start")
     return w.select(F.col("walk_id"), s2.alias("start"), "t", k2.alias("node"))
+
+
+def roulette(front: DataFrame, g: DataFrame, cur: str, u: str, out: str) -> DataFrame:
+    """One weighted draw per row of ``front``: from node ``cur`` to a neighbour in
+    the edge table ``g`` with probability proportional to the weight, using the
+    row's uniform number ``u`` (G10).  Rows whose node has no out-edge drop."""
+    be = bucketed_edges(g, with_dst_deg=False)
+    deg = G.cum_edges(g).select(F.col("src").alias("_cur"), F.col("deg").alias("_deg")).distinct()
+    f = front.join(deg, front[cur] == deg["_cur"]).withColumn(
+        "bucket", F.least(F.floor(F.col(u) * F.col("_deg")).cast("long"), (F.col("_deg") - 1).cast("long")))
+    j = f.join(be.select(F.col("src").alias("_cur"), "bucket", F.col("dst").alias(out), "lo", "hi"), ["_cur", "bucket"])
+    return j.where((F.col("lo") <= F.col(u)) & (F.col(u) < F.col("hi"))).drop("_cur", "_deg", "bucket", "lo", "hi")
+
+
+def config_context_pairs(g: DataFrame, groups: DataFrame, num_walks: int, seed: int = 0) -> DataFrame:
+    """Context draws from a degree-corrected group null model (G15, D12 fixed).
+
+    For every centre node and draw: pick the next group from the centre's group
+    row of the group-to-group edge-count matrix, then a node of that group with
+    probability proportional to its in-degree.  ``groups``: ``node, gid``.
+    Returns ``center, context, freq``.
+    """
+    gid = groups.select(F.col("node"), F.col("gid"))
+    gsrc = gid.select(F.col("node").alias("src"), F.col("gid").alias("gs"))
+    gdst = gid.select(F.col("node").alias("dst"), F.col("gid").alias("gd"))
+    gg = g.join(gsrc, "src").join(gdst, "dst").groupBy(F.col("gs").alias("src"), F.col("gd").alias("dst")).agg(F.sum("w").alias("w"))
+    din = g.groupBy(F.col("dst").alias("node")).agg(F.sum("w").alias("w"))
+    c2n = din.join(gid, "node").select(F.col("gid").alias("src"), F.col("node").alias("dst"), "w")
+    reps = g.sparkSession.range(num_walks).select(F.col("id").alias("rep"))
+    draws = gid.crossJoin(F.broadcast(reps)).select(
+        F.col("node").alias("center"), F.col("gid").alias("g0"), (F.col("node") * num_walks + F.col("rep")).alias("draw"))
+    draws = draws.withColumn("u1", hash_uniform(F.lit(seed), F.col("draw"), F.lit(0))) \
+                 .withColumn("u2", hash_uniform(F.lit(seed), F.col("draw"), F.lit(1)))
+    step1 = roulette(draws, gg, "g0", "u1", "g1")
+    step2 = roulette(step1, c2n, "g1", "u2", "context")
+    return step2.groupBy("center", "context").agg(F.count(F.lit(1)).cast("double").alias("freq"))
