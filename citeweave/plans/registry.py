@@ -34,5 +34,5 @@ def register(name: str, ops: str, sql: str | None = None):
 
 def load_all() -> dict[str, Query]:
     # Importing the modules registers their queries.
-    from citeweave.plans import q_core, q_graph, q_text_sets, q_vectors  # noqa: F401
+    from citeweave.plans import q_core, q_embed, q_graph, q_text_sets, q_vectors  # noqa: F401
     return REGISTRY
