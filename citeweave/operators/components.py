@@ -19,14 +19,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.session import ensure_checkpoint_dir
+from citeweave.session import ensure_checkpoint_dir, fits_broadcast
 
 JUMPS_PER_ROUND = 2
 
 
-def _jump(labels: DataFrame) -> DataFrame:
-    par = labels.select(F.col("node").alias("label"), F.col("label").alias("_pl"))
-    return labels.join(par, "label", "left").select("node", F.least("label", F.coalesce("_pl", "label")).alias("label"))
+def _jump(labels: DataFrame, bc=lambda x: x) -> DataFrame:
+    par = bc(labels.select(F.col("node").alias("label"), F.col("label").alias("_pl")))
+    return labels.join(par, "label", "left").select("node", "old", F.least("label", F.coalesce("_pl", "label")).alias("label"))
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 200) -> DataFrame:
@@ -38,18 +38,23 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     nodes = edges.select(F.col(src).alias("node")).union(edges.select(F.col(dst).alias("node"))).where(
         F.col("node").isNotNull()).distinct()
     labels = nodes.withColumn("label", F.col("node")).checkpoint(eager=True)
+    # the label table has one row per node: broadcast it when its counted size is small
+    small = fits_broadcast(labels.count(), 48)
+    bc = F.broadcast if small else (lambda x: x)
     for _ in range(max_rounds):
-        lu = labels.select(F.col("node").alias("u"), F.col("label").alias("lu"))
-        lv = labels.select(F.col("node").alias("v"), F.col("label").alias("lv"))
+        lu = bc(labels.select(F.col("node").alias("u"), F.col("label").alias("lu")))
+        lv = bc(labels.select(F.col("node").alias("v"), F.col("label").alias("lv")))
         pairs = e.join(lu, "u").join(lv, "v").where(F.col("lu") != F.col("lv"))
         # the larger parent adopts the smaller one (both edge directions)
         hooks = pairs.select(F.greatest("lu", "lv").alias("node"), F.least("lu", "lv").alias("cand")) \
             .groupBy("node").agg(F.min("cand").alias("cand"))
-        new = labels.join(hooks, "node", "left").select("node", F.least("label", F.coalesce("cand", "label")).alias("label"))
+        new = labels.join(hooks, "node", "left").select("node", F.col("label").alias("old"),
+                                                        F.least("label", F.coalesce("cand", "label")).alias("label"))
         for _j in range(JUMPS_PER_ROUND):
-            new = _jump(new)
+            new = _jump(new, bc)
         new = new.checkpoint(eager=True)
-        changed = new.join(labels.withColumnRenamed("label", "old"), "node").where(F.col("label") != F.col("old")).limit(1).count()
+        changed = new.where(F.col("label") != F.col("old")).limit(1).count()
+        new = new.drop("old")
         labels = new
         if changed == 0:
             # stable: no edge joins two different labels and every tree is flat

@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from citeweave.functions.columns import hash_uniform
 from citeweave.operators import graph as G
 from citeweave.operators.prefix import dense_index
+from citeweave.session import fits_broadcast
 
-CKPT_EVERY = 4
+# bytes per bucketed edge row (src, bucket, dst, lo, hi, dst_deg) used for the broadcast size check
+EDGE_ROW_BYTES = 64
 
 
 def index_graph(g: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -82,8 +84,11 @@ def random_walks(g: DataFrame, num_walks: int, walk_length: int, *, seed: int =
     Returns ``walk_id, start, t, node``.
     """
     be = bucketed_edges(g).checkpoint(eager=True)
-    deg = be.select(F.col("src"), F.col("deg")).distinct() if "deg" in be.columns else \
-        G.cum_edges(g).select("src", "deg").distinct()
+    # small edge tables ride along with every task (no shuffle of the frontier);
+    # large ones are joined by a shuffle on (node, bucket)
+    if fits_broadcast(be.count(), EDGE_ROW_BYTES):
+        be = F.broadcast(be)
+    deg = G.cum_edges(g).select("src", "deg").distinct()
     if start_nodes is None:
         start_nodes = G.nodes_of(g)
     starts = start_nodes.select(F.col("node").cast("long").alias("start")).distinct()
@@ -96,9 +101,9 @@ def random_walks(g: DataFrame, num_walks: int, walk_length: int, *, seed: int =
     steps = [front.select("walk_id", "start", "t", F.col("cur").alias("node"))]
     sink_start = front.where(F.col("deg") == 0)
     for t in range(1, walk_length):
-        front = _step(front, be, t, seed, restart_prob, restart_at_dangling)
-        if t % CKPT_EVERY == 0 or t == walk_length - 1:
-            front = front.checkpoint(eager=True)
+        # each frontier is written to the checkpoint dir: lineage stays one step
+        # deep, and the final union reads the stored steps instead of recomputing
+        front = _step(front, be, t, seed, restart_prob, restart_at_dangling).checkpoint(eager=True)
         steps.append(front.select("walk_id", "start", "t", F.col("cur").alias("node")))
     if not restart_at_dangling and walk_length > 1:
         # a walker that starts at a sink records itself once more (t = 1)

@@ -26,14 +26,7 @@ def _day(c):
 
 
 # ---------------------------------------------------------------- citation_classes
-_SQL_CITATION_CLASSES = with_views(
-    """
-    SELECT j.is_all_journals, j.citing_doi AS doi, j.citing_journal AS true_journal, j.class_journal,
-           p.citing_pacs_1 AS true_pacs_1, p.class_pacs_1
-    FROM jc j LEFT JOIN pc p ON j.is_all_journals = p.is_all_journals AND j.citing_doi = p.citing_doi
-    """,
-    "papers", "raw_citations", "dirty_codes_wide",
-    extra=network_views() + clean_codes_views() + [modal_view()] + [
+CITATION_CLASS_VIEWS = [
         ("edges", """
             SELECT n.citing_doi, n.cited_doi, n.citing_journal, n.cited_journal,
                    a.pacs_code_1 AS citing_pacs_1, b.pacs_code_1 AS cited_pacs_1
@@ -57,8 +50,14 @@ _SQL_CITATION_CLASSES = with_views(
               FROM tagged WHERE citing_pacs_1 IS NOT NULL AND cited_pacs_1 IS NOT NULL
               GROUP BY is_all_journals, citing_doi, citing_pacs_1, cited_pacs_1)
             WHERE rn = 1"""),
-    ],
-)
+        ("cc", """
+            SELECT j.is_all_journals, j.citing_doi AS doi, j.citing_journal AS true_journal, j.class_journal,
+                   p.citing_pacs_1 AS true_pacs_1, p.class_pacs_1
+            FROM jc j LEFT JOIN pc p ON j.is_all_journals = p.is_all_journals AND j.citing_doi = p.citing_doi"""),
+]
+
+_SQL_CITATION_CLASSES = with_views("SELECT * FROM cc", "papers", "raw_citations", "dirty_codes_wide",
+                                   extra=network_views() + clean_codes_views() + [modal_view()] + CITATION_CLASS_VIEWS)
 
 
 @register("citation_classes", "G19 J3 A1 W1 W2 U2 P3 P4 P6 J1", _SQL_CITATION_CLASSES)
@@ -121,7 +120,7 @@ def q_doi_journal(spark, d):
     return fx.papers(spark, d).groupBy(doi_journal("doi").alias("journal_token")).agg(F.count(F.lit(1)).alias("n_papers"))
 
 
-@register("paper_dates", "S4 P7", with_views(
+@register("paper_dates", "S4 P7 P20", with_views(
     """SELECT doi, strftime(try_strptime(strftime(date, '%Y-%m-%d'), '%Y-%m-%d'), '%Y-%m-%d') AS day,
               CAST(year(try_strptime(strftime(date, '%Y-%m-%d'), '%Y-%m-%d')) AS BIGINT) AS year
        FROM papers""", "papers"))

@@ -281,14 +281,27 @@ def q_knn_trials(spark, d):
         F.count(F.lit(1)).alias("n_test"), R6(F.avg((F.col("true_label") == F.col("pred_label")).cast("double"))).alias("accuracy"))
 
 
-def _citation_scores_sql():
-    from citeweave.plans.q_core import _SQL_CITATION_CLASSES
-
-    body = _SQL_CITATION_CLASSES
-    return body
-
-
-@register("score_summary", "E2 A3 A4 W6 D14 D19", None)
+def _score_summary_sql():
+    from citeweave.plans.q_core import CITATION_CLASS_VIEWS
+    from citeweave.plans.sqlparts import network_views
+
+    n_shared = len(clean_codes_views()) + 1
+    extra = (network_views() + clean_codes_views() + [modal_view()] + CITATION_CLASS_VIEWS + KNN_VIEWS[n_shared:]
+             + scores_sql("knn", ["trial", "is_all_journals", "k"], "s")
+             + [("ccl", """SELECT CAST(is_all_journals AS INTEGER) AS is_all_journals, true_pacs_1 AS true_label,
+                                  class_pacs_1 AS pred_label FROM cc""")]
+             + scores_sql("ccl", ["is_all_journals"], "c"))
+    body = """
+        SELECT 'given' AS embedding, is_all_journals, k, average, round(avg(precision), 6) AS precision,
+               round(avg(recall), 6) AS recall, round(avg(f1_score), 6) AS f1_score, round(stddev_samp(f1_score), 6) AS f1_std
+        FROM s_scores GROUP BY is_all_journals, k, average
+        UNION ALL
+        SELECT 'citation', is_all_journals, 0, average, round(precision, 6), round(recall, 6), round(f1_score, 6), NULL
+        FROM c_scores"""
+    return with_views(body, "papers", "raw_citations", "dirty_codes_wide", "vectors", "abstracts", extra=extra)
+
+
+@register("score_summary", "E2 A3 A4 W6 D14 D19 E1", _score_summary_sql())
 def q_score_summary(spark, d):
     from citeweave.plans.q_core import q_citation_classes
 

@@ -54,3 +54,22 @@ def scratch_table_path(spark: SparkSession, name: str) -> str:
     """A unique path under the checkpoint dir for a materialised intermediate table."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
+
+
+# Largest table (estimated bytes) that operators broadcast after counting it.
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def fits_broadcast(n_rows: int, row_bytes: int) -> bool:
+    """Size check used before an explicit broadcast: only tables whose counted
+    rows times an upper bound of the row width stay under ``BROADCAST_BYTES``."""
+    return n_rows * row_bytes <= BROADCAST_BYTES
+
+
+def materialize(df, name: str = "stage"):
+    """Write ``df`` as Parquet under the session's checkpoint folder and read it
+    back: one job, columnar, and the lineage is cut (a lost executor re-reads the
+    shared files instead of recomputing earlier iterations)."""
+    path = scratch_table_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
