@@ -1,0 +1,8 @@
+"""Intentionally empty.
+
+The reference pipeline has no streaming source, watermark, event-time window or
+stateful operator (it is a batch pipeline over files), so there is nothing to
+re-express with Structured Streaming.  Every operator in this package is a
+batch DataFrame function; any of them can run inside ``foreachBatch`` of a
+streaming query if a deployment needs incremental runs.
+"""
