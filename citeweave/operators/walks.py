@@ -83,9 +83,11 @@ def random_walks(g: DataFrame, num_walks: int, walk_length: int, *, seed: int =
     ``restart_prob`` a step restarts (jump to start) or ends the walk.
     Returns ``walk_id, start, t, node``.
     """
-    be = bucketed_edges(g).checkpoint(eager=True)
-    # small edge tables ride along with every task (no shuffle of the frontier);
-    # large ones are joined by a shuffle on (node, bucket)
+    # The edge table is laid out once by (node, bucket) and stored; the stored
+    # layout keeps its partitioning, so every step shuffles only the frontier.
+    # Small edge tables are broadcast instead (after counting them).
+    n_parts = int(g.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    be = bucketed_edges(g).repartition(n_parts, "src", "bucket").checkpoint(eager=True)
     if fits_broadcast(be.count(), EDGE_ROW_BYTES):
         be = F.broadcast(be)
     deg = G.cum_edges(g).select("src", "deg").distinct()
