@@ -90,23 +90,6 @@ def cum_edges(g: DataFrame) -> DataFrame:
                     F.count(F.lit(1)).over(w_all).alias("deg"))
 
 
-def neighbor_arrays(g: DataFrame) -> DataFrame:
-    """Per-node sorted neighbour and cumulative-probability arrays
-    ``src, dsts, cum, deg`` (for array-style roulette draws on bounded-degree
-    graphs; walks use the bucketed join in :mod:`citeweave.operators.walks`)."""
-    ce = cum_edges(g)
-    s = ce.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("dst", "hi"))).alias("_nb"))
-    return s.select("src", F.transform("_nb", lambda x: x["dst"]).alias("dsts"),
-                    F.transform("_nb", lambda x: x["hi"]).alias("cum"), F.size("_nb").alias("deg"))
-
-
-def draw_from_cum(dsts: str, cum: str, u) -> F.Column:
-    """Roulette draw: the first neighbour whose cumulative probability exceeds
-    ``u`` (G10).  Higher-order functions, no UDF."""
-    idx = F.array_position(F.transform(F.col(cum), lambda x: x > u), True)
-    return F.when(idx > 0, F.element_at(F.col(dsts), idx.cast("int")))
-
-
 def normalized_adjacency(g: DataFrame, floor: float = 1e-12) -> DataFrame:
     """D^-1/2 A D^-1/2 with degree floor (G18); degree = weighted row sum."""
     deg = g.groupBy("src").agg(F.sum("w").alias("_d"))

@@ -42,19 +42,29 @@ def spmm(X: DataFrame, Z: DataFrame, transpose: bool = False) -> DataFrame:
     return s.select("id", vector_to_array("_s").alias("vec"))
 
 
+GRAM_BUCKETS = 64
+
+
 def gram(Z: DataFrame, k: int) -> np.ndarray:
-    """``Z^T Z`` (k x k): per-partition NumPy partial sums, summed on the driver."""
+    """``Z^T Z`` (k x k).  Each partition sums its rows' outer products with
+    NumPy; the per-partition partial sums are then added by a two-level
+    aggregate (``GRAM_BUCKETS`` groups, then the driver), so neither one task nor
+    the driver ever receives one partial per partition of a huge table."""
     def part(it):
         acc = np.zeros((k, k))
+        b = 0
         for pdf in it:
             if len(pdf):
+                b = int(pdf["_b"].iloc[0])
                 M = np.vstack(pdf["vec"].to_numpy()).astype(np.float64)
                 acc += M.T @ M
-        yield pd.DataFrame({"g": [acc.reshape(-1).tolist()]})
+        yield pd.DataFrame({"_b": [b], "g": [acc.reshape(-1).tolist()]})
 
-    rows = Z.select("vec").mapInPandas(part, "g array<double>").collect()  # one row per partition
+    partial = Z.select(F.pmod(F.spark_partition_id(), F.lit(GRAM_BUCKETS)).alias("_b"), "vec").mapInPandas(
+        part, "_b int, g array<double>")
+    summed = partial.groupBy("_b").agg(Summarizer.sum(array_to_vector("g")).alias("_s"))
     out = np.zeros((k, k))
-    for r in rows:
+    for r in summed.select(vector_to_array("_s").alias("g")).collect():  # at most GRAM_BUCKETS rows
         out += np.asarray(r["g"]).reshape(k, k)
     return out
 

@@ -48,11 +48,16 @@ def modal_code(codes: DataFrame, key: str = "doi", code: str = "pacs_code_1") ->
     return top_label(codes, [key], code, tie="largest")
 
 
-def keep_first(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Deduplicate on ``key`` keeping the first row by a declared order.
-    ``dropDuplicates`` would keep an arbitrary row; this is deterministic."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+def keep_first(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Deduplicate on ``key`` keeping the first row in ascending ``order``.
+    ``dropDuplicates`` keeps an arbitrary row; this is deterministic.  Written as
+    ``min(struct(order..., rest...))``: a hash aggregate with map-side combine,
+    so a key with millions of duplicates is reduced before the shuffle and never
+    sorted in one task."""
+    order = list(order)
+    rest = [c for c in df.columns if c not in key and c not in order]
+    packed = F.min(F.struct(*[F.col(c) for c in order + rest])).alias("_r")
+    return df.groupBy(*key).agg(packed).select(*key, *[F.col(f"_r.{c}").alias(c) for c in order + rest])
 
 
 def keep_first_agg(df: DataFrame, key: Sequence[str], order_col: str) -> DataFrame:

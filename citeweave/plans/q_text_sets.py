@@ -151,7 +151,7 @@ def q_citation_counts(spark, d):
     WHERE rn = 1""")
 def q_dedup_keep_first(spark, d):
     c = fx.table(spark, d, "conversations")
-    return relate.keep_first(c, ["conv_id"], [F.col("turn"), F.col("role"), F.col("text")]).select("conv_id", "turn", "role", "text")
+    return relate.keep_first(c, ["conv_id"], ["turn", "role", "text"]).select("conv_id", "turn", "role", "text")
 
 
 @register("dup_profile", "A9 A10 A11 A21 W5", """

@@ -208,7 +208,8 @@ LEVEL_NAMES = [("1", "Level 1 (discipline)"), ("2", "Level 2 (sub-discipline)"),
          ON r.level = n.level GROUP BY n.name, median""", "vectors", "dirty_codes_wide", extra=ROG_VIEWS))
 def q_label_names(spark, d):
     r = rog_table(spark, d).select("level", F.round("rog", 9).alias("v"))
-    med = r.groupBy("level").agg(F.median("v").alias("median"), F.count(F.lit(1)).alias("n_codes"))
+    med = stats.exact_quantiles(r, "level", "v", [0.5]).select("level", F.col("q_0").alias("median"),
+                                                                F.col("n").alias("n_codes"))
     names = spark.createDataFrame(LEVEL_NAMES, "level string, level_name string")
     return med.join(F.broadcast(names), "level").select("level_name", F.format_number("median", 4).alias("median_text"),
                                                           F.col("n_codes").cast("bigint"))
@@ -529,7 +530,7 @@ def q_kruskal(spark, d):
     "vectors", "dirty_codes_wide", extra=ROG_VIEWS + [("rv", "SELECT level, round(rog, 9) AS v FROM rogt")]))
 def q_wilcoxon(spark, d):
     r = rog_table(spark, d).select("level", F.round("rog", 9).alias("v")).persist()
-    meds = {row["level"]: row["m"] for row in r.groupBy("level").agg(F.median("v").alias("m")).collect()}  # 4 scalars
+    meds = {row["level"]: row["q_0"] for row in stats.exact_quantiles(r, "level", "v", [0.5]).collect()}  # 4 scalars
     out = []
     for cur, prev in [("2", "1"), ("3", "2"), ("5", "3")]:
         if cur not in meds or prev not in meds:
