@@ -212,17 +212,16 @@ def exact_quantiles(df: DataFrame, group: str, value: str, qs: Sequence[float])
     idx = dense_index(v, [group, value], out="_i")
     meta = idx.groupBy(group).agg(F.min("_i").alias("_s"), F.count(F.lit(1)).alias("n"))
     pos = idx.join(F.broadcast(meta), group).select(group, "n", (F.col("_i") - F.col("_s")).alias("_p"), value)
-    out = meta.select(group, "n")
-    for i, q in enumerate(qs):
-        h = F.lit(float(q)) * (F.col("n") - 1)
-        want = meta.select(group, F.floor(h).cast("long").alias("_lo"), F.ceil(h).cast("long").alias("_hi"),
-                           (h - F.floor(h)).alias("_f"))
-        lo = pos.select(group, F.col("_p").alias("_lo"), F.col(value).alias("_vlo"))
-        hi = pos.select(group, F.col("_p").alias("_hi"), F.col(value).alias("_vhi"))
-        qv = want.join(lo, [group, "_lo"]).join(hi, [group, "_hi"]).select(
-            group, (F.col("_vlo") + F.col("_f") * (F.col("_vhi") - F.col("_vlo"))).alias(f"q_{i}"))
-        out = out.join(qv, group)
-    return out
+    want = meta.select(group, "n", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("qi"), (F.lit(float(q)) * (F.col("n") - 1)).alias("h")) for i, q in enumerate(qs)])).alias("w")) \
+        .select(group, "n", "w.qi", F.floor("w.h").cast("long").alias("_lo"), F.ceil("w.h").cast("long").alias("_hi"),
+                (F.col("w.h") - F.floor("w.h")).alias("_f"))
+    lo = pos.select(group, F.col("_p").alias("_lo"), F.col(value).alias("_vlo"))
+    hi = pos.select(group, F.col("_p").alias("_hi"), F.col(value).alias("_vhi"))
+    qv = want.join(lo, [group, "_lo"]).join(hi, [group, "_hi"]).select(
+        group, "n", "qi", (F.col("_vlo") + F.col("_f") * (F.col("_vhi") - F.col("_vlo"))).alias("qv"))
+    wide = qv.groupBy(group, "n").pivot("qi", list(range(len(qs)))).agg(F.first("qv"))
+    return wide.select(group, "n", *[F.col(str(i)).alias(f"q_{i}") for i in range(len(qs))])
 
 
 def five_number(df: DataFrame, group: str, value: str) -> DataFrame:

@@ -159,6 +159,12 @@ def rog_table(spark, d):
                                 ["pacs_code_1", "pacs_code_2", "pacs_code_3", "pacs_code_5"])
 
 
+def rog_values(spark, d):
+    """ROG per (level, code) rounded to 1e-9 (so engine round-off cannot split
+    ties), stored once because the statistics below read it several times."""
+    return rog_table(spark, d).select("level", F.round("rog", 9).alias("v")).checkpoint(eager=True)
+
+
 @register("class_centroid", "A6 A20 J16", with_views(
     "SELECT level, code, CAST(pos AS BIGINT) AS pos, round(c, 6) AS c FROM cent WHERE level IN ('1', '2')",
     "vectors", "dirty_codes_wide", extra=ROG_VIEWS))
@@ -191,7 +197,7 @@ _FIVE_SQL = """
 @register("rog_by_level", "A5 A17", with_views(_FIVE_SQL, "vectors", "dirty_codes_wide",
                                                extra=ROG_VIEWS + [("rv", "SELECT level, round(rog, 9) AS v FROM rogt")]))
 def q_rog_by_level(spark, d):
-    r = rog_table(spark, d).select("level", F.round("rog", 9).alias("v"))
+    r = rog_values(spark, d)
     f = stats.five_number(r, "level", "v")
     return f.select("level", F.col("n").cast("bigint"), *[R6(F.col(c)).alias(c) for c in
                                                           ["q1", "median", "q3", "whisker_lo", "whisker_hi"]])
@@ -207,7 +213,7 @@ LEVEL_NAMES = [("1", "Level 1 (discipline)"), ("2", "Level 2 (sub-discipline)"),
        JOIN (VALUES ('1', 'Level 1 (discipline)'), ('2', 'Level 2 (sub-discipline)'), ('3', 'Level 3 (topic)'), ('5', 'Level 5 (code)')) n(level, name)
          ON r.level = n.level GROUP BY n.name, median""", "vectors", "dirty_codes_wide", extra=ROG_VIEWS))
 def q_label_names(spark, d):
-    r = rog_table(spark, d).select("level", F.round("rog", 9).alias("v"))
+    r = rog_values(spark, d)
     med = stats.exact_quantiles(r, "level", "v", [0.5]).select("level", F.col("q_0").alias("median"),
                                                                 F.col("n").alias("n_codes"))
     names = spark.createDataFrame(LEVEL_NAMES, "level string, level_name string")
@@ -513,7 +519,7 @@ def q_kde_density(spark, d):
         ("rv", "SELECT level, round(rog, 9) AS v FROM rogt"),
         ("rk", """SELECT level, v, (rank() OVER (ORDER BY v)) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS rank FROM rv""")]))
 def q_kruskal(spark, d):
-    r = rog_table(spark, d).select("level", F.round("rog", 9).alias("v"))
+    r = rog_values(spark, d)
     res = stats.kruskal(r, "level", "v")
     return spark.createDataFrame([(round(res["H"], 6), int(res["N"]), int(res["df"]))], "h double, n bigint, df bigint")
 
@@ -529,7 +535,7 @@ def q_kruskal(spark, d):
        GROUP BY level""",
     "vectors", "dirty_codes_wide", extra=ROG_VIEWS + [("rv", "SELECT level, round(rog, 9) AS v FROM rogt")]))
 def q_wilcoxon(spark, d):
-    r = rog_table(spark, d).select("level", F.round("rog", 9).alias("v")).persist()
+    r = rog_values(spark, d)
     meds = {row["level"]: row["q_0"] for row in stats.exact_quantiles(r, "level", "v", [0.5]).collect()}  # 4 scalars
     out = []
     for cur, prev in [("2", "1"), ("3", "2"), ("5", "3")]:

@@ -213,3 +213,19 @@ def test_normaltest_closed_form(spark):
     m = x.mean()
     g1 = ((x - m) ** 3).mean() / ((x - m) ** 2).mean() ** 1.5
     assert math.isclose(r["skew"], g1, rel_tol=1e-9)
+
+
+def test_exact_quantiles_match_numpy(spark):
+    rng = np.random.default_rng(5)
+    vals = [(g, float(v)) for g in ("a", "b") for v in np.round(rng.normal(size=37 if g == "a" else 50), 3)]
+    df = spark.createDataFrame(vals, "g string, v double")
+    got = {r["g"]: (r["n"], r["q_0"], r["q_1"], r["q_2"]) for r in stats.exact_quantiles(df, "g", "v", [0.25, 0.5, 0.9]).collect()}
+    for g in ("a", "b"):
+        x = np.array([v for k, v in vals if k == g])
+        assert got[g][0] == len(x)
+        assert np.allclose(got[g][1:], np.quantile(x, [0.25, 0.5, 0.9]), atol=1e-12)
+
+
+def test_keep_first_is_deterministic(spark):
+    df = spark.createDataFrame([(1, 2, "b"), (1, 1, "z"), (1, 1, "a"), (2, 5, "q")], "k int, t int, s string")
+    assert rows(relate.keep_first(df, ["k"], ["t", "s"]), "k", "t", "s") == [(1, 1, "a"), (2, 5, "q")]
