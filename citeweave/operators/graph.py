@@ -51,8 +51,8 @@ def quantile_flag(nodes: DataFrame, value: str, q: float, out: str = "is_hub",
     (``percentile`` with a frequency column), so the aggregation buffer grows
     with the number of distinct values, not with the rows."""
     hist = nodes.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_f"))
-    thr = hist.agg(F.percentile(F.col("_v"), F.lit(q), F.col("_f")).alias("_thr"))  # one row
-    return nodes.crossJoin(F.broadcast(thr)).withColumn(out, F.when(F.col(value) >= F.col("_thr"), hi).otherwise(lo)).drop("_thr")
+    thr = hist.agg(F.percentile(F.col("_v"), F.lit(q), F.col("_f")).alias("_thr")).first()["_thr"]  # a scalar
+    return nodes.withColumn(out, F.when(F.col(value) >= F.lit(thr), hi).otherwise(lo))
 
 
 def sum_duplicates(triples: DataFrame, r: str = "src", c: str = "dst", v: str = "w",
@@ -140,8 +140,8 @@ def stationary_distribution(P: DataFrame, nodes: DataFrame, iterations: int = 30
         if it % 5 == 4:
             x = x.checkpoint(eager=True)
             acc = acc.checkpoint(eager=True)
-    total = acc.agg(F.sum("x").alias("t"))
-    return acc.crossJoin(F.broadcast(total)).select("node", (F.col("x") / F.col("t")).alias("pi"))
+    total = acc.agg(F.sum("x").alias("t")).first()["t"]  # a scalar
+    return acc.select("node", (F.col("x") / F.lit(total)).alias("pi"))
 
 
 def elementwise_log(g: DataFrame, minval: float = 1e-12) -> DataFrame:

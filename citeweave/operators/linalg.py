@@ -156,10 +156,10 @@ def residual_matrix(pairs: DataFrame, g: DataFrame, eps: float = 1e-12) -> DataF
     P = pairs.join(tot, "center").select(F.col("center").alias("src"), F.col("context").alias("dst"),
                                          (F.col("freq") / F.col("_t")).alias("p"))
     deg = g.groupBy(F.col("src").alias("dst")).agg(F.sum("w").alias("_d"))
-    two_m = g.agg(F.sum("w").alias("_m"))
-    R = P.join(deg, "dst").crossJoin(F.broadcast(two_m))
+    two_m = g.agg(F.sum("w").alias("_m")).first()["_m"]  # a scalar
+    R = P.join(deg, "dst")
     return R.select("src", "dst", (F.log(F.greatest(F.col("p"), F.lit(eps)))
-                                   - F.log(F.greatest(F.col("_d") / F.col("_m"), F.lit(eps)))).alias("w"))
+                                   - F.log(F.greatest(F.col("_d") / F.lit(two_m), F.lit(eps)))).alias("w"))
 
 
 def factor_embedding(U: DataFrame, s: np.ndarray) -> DataFrame:

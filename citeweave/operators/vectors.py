@@ -91,9 +91,10 @@ def semantic_axis(vectors: DataFrame, labels: DataFrame, key: str = "doi", vec:
     axis = means.groupBy("pos").agg(
         (F.sum(F.when(F.col(side) == "pos", F.col("m")).otherwise(0.0))
          - F.sum(F.when(F.col(side) == "neg", F.col("m")).otherwise(0.0))).alias("a"))
-    axis_arr = axis.agg(F.sort_array(F.collect_list(F.struct("pos", "a"))).alias("_s")).select(
-        F.transform("_s", lambda x: x["a"]).alias("axis"))  # one row, dimension-sized
-    return vectors.crossJoin(F.broadcast(axis_arr)).select(key, cosine_similarity(vec, "axis").alias("axis_cos"))
+    # the axis is one vector of the embedding's dimension: a driver-side constant
+    ax = [r["a"] for r in axis.orderBy("pos").collect()]
+    lit_axis = F.array(*[F.lit(float(x)) for x in ax])
+    return vectors.select(key, cosine_similarity(vec, lit_axis).alias("axis_cos"))
 
 
 # ---- exact k nearest neighbours --------------------------------------------------

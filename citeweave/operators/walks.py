@@ -95,8 +95,7 @@ def random_walks(g: DataFrame, num_walks: int, walk_length: int, *, seed: int =
         start_nodes = G.nodes_of(g)
     starts = start_nodes.select(F.col("node").cast("long").alias("start")).distinct()
     starts = starts.join(deg.withColumnRenamed("src", "start"), "start", "left").fillna(0, ["deg"])
-    reps = g.sparkSession.range(num_walks).select(F.col("id").alias("rep"))
-    front = starts.crossJoin(F.broadcast(reps)).select(
+    front = starts.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(num_walks - 1).cast("long")))).select(
         (F.col("start") * num_walks + F.col("rep")).alias("walk_id"), "start", F.col("start").alias("cur"),
         F.col("deg").cast("long").alias("deg"), F.col("deg").cast("long").alias("start_deg"), F.lit(0).alias("t"))
     front = front.checkpoint(eager=True)
@@ -198,8 +197,7 @@ def config_context_pairs(g: DataFrame, groups: DataFrame, num_walks: int, seed:
     gg = g.join(gsrc, "src").join(gdst, "dst").groupBy(F.col("gs").alias("src"), F.col("gd").alias("dst")).agg(F.sum("w").alias("w"))
     din = g.groupBy(F.col("dst").alias("node")).agg(F.sum("w").alias("w"))
     c2n = din.join(gid, "node").select(F.col("gid").alias("src"), F.col("node").alias("dst"), "w")
-    reps = g.sparkSession.range(num_walks).select(F.col("id").alias("rep"))
-    draws = gid.crossJoin(F.broadcast(reps)).select(
+    draws = gid.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(num_walks - 1).cast("long")))).select(
         F.col("node").alias("center"), F.col("gid").alias("g0"), (F.col("node") * num_walks + F.col("rep")).alias("draw"))
     draws = draws.withColumn("u1", hash_uniform(F.lit(seed), F.col("draw"), F.lit(0))) \
                  .withColumn("u2", hash_uniform(F.lit(seed), F.col("draw"), F.lit(1)))

@@ -147,11 +147,11 @@ def q_embedding_enrich(spark, d):
 def q_multi_embedding_wide(spark, d):
     v = fx.vectors(spark, d).withColumn("id", F.element_at(F.split("doi", r"\."), -1).cast("long"))
     ids = sample_n(v.select("doi", "id"), ["id"], 25000, seed=17).select("doi")  # one id sample shared by all methods
-    mean0 = v.agg(F.avg(F.col("vec")[0].cast("double")).alias("m0"))
+    mean0 = v.agg(F.avg(F.col("vec")[0].cast("double")).alias("m0")).first()["m0"]  # a scalar
     methods = (v.select("doi", F.lit("given").alias("method"), F.col("vec")[0].cast("double").alias("x"))
                .unionByName(v.select("doi", F.lit("normed").alias("method"), l2_normalize("vec")[0].alias("x")))
-               .unionByName(v.crossJoin(F.broadcast(mean0)).select(
-                   "doi", F.lit("centred").alias("method"), (F.col("vec")[0].cast("double") - F.col("m0")).alias("x"))))
+               .unionByName(v.select(
+                   "doi", F.lit("centred").alias("method"), (F.col("vec")[0].cast("double") - F.lit(mean0)).alias("x"))))
     wide = methods.join(ids, "doi", "left_semi").groupBy("doi").pivot("method", ["given", "normed", "centred"]).agg(F.first("x"))
     return wide.select("doi", R6(F.col("given")).alias("given_x"), R6(F.col("normed")).alias("normed_x"),
                        R6(F.col("centred")).alias("centred_x"))

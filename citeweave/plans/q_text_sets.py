@@ -129,8 +129,9 @@ def q_param_grid(spark, d):
 
     split = trial_split(fx.raw_vectors(spark, d).select("id"), "id", [1, 2, 3])
     counts = split.groupBy("trial", "is_test").agg(F.count(F.lit(1)).alias("n_rows"))
-    grid = sio.param_grid(spark, k=[2, 4, 8, 16, 32, 64, 128])
-    return counts.crossJoin(F.broadcast(grid)).select(F.col("k").cast("int"), "trial", "is_test", "n_rows")
+    # the k axis of the grid travels as a column: every run row is expanded in place
+    return counts.withColumn("k", F.explode(F.array(*[F.lit(k) for k in [2, 4, 8, 16, 32, 64, 128]]))).select(
+        F.col("k").cast("int"), "trial", "is_test", "n_rows")
 
 
 # ---------------------------------------------------------------- counts and profiles
@@ -172,7 +173,9 @@ def q_dup_profile(spark, d):
                  F.sum((F.col("text") == "").cast("long")).alias("n_empty_text"))
     b = vc.agg(F.count(F.lit(1)).alias("n_distinct_text"), F.sum((F.col("c") > 1).cast("long")).alias("n_repeated_text"),
                F.max("c").alias("max_copies"))
-    return a.crossJoin(b).select("n_rows", "n_ids", "n_distinct_text", "n_repeated_text", "max_copies", "n_null_text",
+    bs = b.first()  # three scalars
+    a = a.select("*", *[F.lit(bs[c]).alias(c) for c in ["n_distinct_text", "n_repeated_text", "max_copies"]])
+    return a.select("n_rows", "n_ids", "n_distinct_text", "n_repeated_text", "max_copies", "n_null_text",
                                  "n_empty_text", R6(F.col("n_distinct_text") / F.col("n_rows")).alias("share_kept"))
 
 
@@ -183,9 +186,9 @@ def q_dup_profile(spark, d):
                (SELECT CAST(count(DISTINCT citing_doi) AS BIGINT) FROM net) AS n_citing_papers""",
     "papers", "raw_citations", extra=network_views()))
 def q_filter_profile(spark, d):
-    raw = fx.raw_citations(spark, d).agg(F.count(F.lit(1)).alias("n_raw"))
+    n_raw = fx.raw_citations(spark, d).count()  # a scalar
     kept = network(spark, d).agg(F.count(F.lit(1)).alias("n_kept"), F.countDistinct("citing_doi").alias("n_citing_papers"))
-    return raw.crossJoin(kept).select("n_raw", "n_kept", R6(F.col("n_kept") / F.col("n_raw")).alias("share_kept"), "n_citing_papers")
+    return kept.select(F.lit(n_raw).cast("bigint").alias("n_raw"), "n_kept", R6(F.col("n_kept") / F.lit(n_raw)).alias("share_kept"), "n_citing_papers")
 
 
 @register("cantor_pair", "P24", with_views(

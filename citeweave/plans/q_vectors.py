@@ -468,8 +468,8 @@ def q_normality_test(spark, d):
 def q_ttest(spark, d):
     p = pair_distances(spark, d)
     mom = stats.group_moments(p, "stratum", "dist")
-    mu = p.where(F.col("stratum") == "diff").agg(F.avg("dist").alias("mu"))
-    j = mom.where(F.col("stratum") != "diff").crossJoin(mu)
+    mu = p.where(F.col("stratum") == "diff").agg(F.avg("dist").alias("mu")).first()["mu"]  # a scalar
+    j = mom.where(F.col("stratum") != "diff").withColumn("mu", F.lit(mu))
     return j.select("stratum", F.col("n").cast("bigint"), R6(F.col("mean")).alias("mean"), R6(F.col("sd")).alias("sd"),
                     R6(F.col("mu")).alias("mu"),
                     R6((F.col("mean") - F.col("mu")) / (F.col("sd") / F.sqrt("n"))).alias("t_stat"))

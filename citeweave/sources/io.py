@@ -142,9 +142,8 @@ def params_from_name(name_col: str, pair_sep: str = "_", kv_sep: str = "-") -> F
 def param_grid(spark: SparkSession, **axes: Iterable) -> DataFrame:
     """Cartesian product of small parameter axes as one DataFrame (a handful of
     rows), to be joined to data so that all runs execute in one job."""
-    grid = None
-    for name, values in axes.items():
-        vals = list(values)
-        t = spark.createDataFrame([(v,) for v in vals], [name])
-        grid = t if grid is None else grid.crossJoin(t)
-    return grid
+    import itertools
+
+    names = list(axes)
+    rows = list(itertools.product(*[list(v) for v in axes.values()]))  # parameters, not data
+    return spark.createDataFrame(rows, names)
