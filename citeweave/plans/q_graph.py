@@ -115,12 +115,13 @@ def q_roc_auc(spark, d):
 
 @register("roc_curve", "E3 W13", with_views(
     """SELECT method, threshold, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr FROM (
-         SELECT *, lag(fps) OVER w AS pf, lead(fps) OVER w AS nf, lag(tps) OVER w AS pt, lead(tps) OVER w AS nt FROM (
+         SELECT p.method, p.threshold, p.fps / t.N AS fpr, p.tps / t.P AS tpr FROM (
            SELECT method, score AS threshold, cum_pos AS tps, cum_neg AS fps,
-                  cum_neg / max(cum_neg) OVER (PARTITION BY method) AS fpr, cum_pos / max(cum_pos) OVER (PARTITION BY method) AS tpr FROM sg
-           UNION ALL SELECT DISTINCT method, NULL, 0.0, 0.0, 0.0, 0.0 FROM sg)
-         WINDOW w AS (PARTITION BY method ORDER BY fps, tps))
-       WHERE pf IS NULL OR nf IS NULL OR (nf - 2 * fps + pf) <> 0 OR (nt - 2 * tps + pt) <> 0""",
+                  lag(cum_neg) OVER w AS pf, lead(cum_neg) OVER w AS nf, lag(cum_pos) OVER w AS pt, lead(cum_pos) OVER w AS nt
+           FROM sg WINDOW w AS (PARTITION BY method ORDER BY score DESC)) p
+         JOIN (SELECT method, max(cum_pos) AS P, max(cum_neg) AS N FROM sg GROUP BY method) t ON p.method = t.method
+         WHERE pf IS NULL OR nf IS NULL OR (nf - 2 * fps + pf) <> 0 OR (nt - 2 * tps + pt) <> 0
+         UNION ALL SELECT DISTINCT method, NULL, 0.0, 0.0 FROM sg)""",
     *LINK_NAMES, extra=LINK_VIEWS))
 def q_roc_curve(spark, d):
     r = evaluate.roc_curve(scored_links(spark, d), "method")
