@@ -1,17 +1,13 @@
 """Weakly connected components (G4) and the largest-component subgraph.
 
-Every node keeps a parent pointer ``label`` (initially itself, always <= the
-node).  One round is
-
-1. *hooking*: for every edge (u, v) with ``label(u) < label(v)`` the node
-   ``label(v)`` adopts the smaller parent - roots of different trees merge,
-   not just the endpoints, so trees grow geometrically;
-2. *pointer jumping*: ``label <- label(label)`` a few times, flattening trees.
-
-Rounds grow with log(n), not with the graph diameter.  Each round is a few
-joins and aggregates over the edge and label tables; the label table (one row
-per node) is checkpointed every round so lineage stays one round deep and a
-lost executor recomputes at most one round.  Stops when no label changes.
+Contraction rounds.  In each round every node takes as parent the neighbour (or
+itself) whose id hashes lowest, one pointer jump shortens the chains, and the edges
+are renamed to parents; loops and repeats go.  Under a hash order the graph shrinks
+by a constant factor a round whatever its diameter.  The loop ends when no edge is
+left, so there is no cap on rounds.  Parents come from a map-side combined ``min``,
+so a hub costs one row per task; the renaming joins look up one row per node, which
+adaptive execution splits where a name is hot.  Every round's tables are written
+to the shared checkpoint folder, so lineage stays one round deep.
 """
 
 from __future__ import annotations
@@ -19,47 +15,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.session import ensure_checkpoint_dir, fits_broadcast
-
-JUMPS_PER_ROUND = 2
+from citeweave.session import materialize
 
 
-def _jump(labels: DataFrame, bc=lambda x: x) -> DataFrame:
-    par = bc(labels.select(F.col("node").alias("label"), F.col("label").alias("_pl")))
-    return labels.join(par, "label", "left").select("node", "old", F.least("label", F.coalesce("_pl", "label")).alias("label"))
+def _order(c: str):
+    return F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("node"))
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 200) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``node, component`` where component = smallest node id in the weakly
-    connected component.  Node ids must be orderable (ints or strings)."""
-    ensure_checkpoint_dir(edges.sparkSession)
-    e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where(
-        F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v"))).distinct().checkpoint(eager=True)
-    nodes = edges.select(F.col(src).alias("node")).union(edges.select(F.col(dst).alias("node"))).where(
-        F.col("node").isNotNull()).distinct()
-    labels = nodes.withColumn("label", F.col("node")).checkpoint(eager=True)
-    # the label table has one row per node: broadcast it when its counted size is small
-    small = fits_broadcast(labels.count(), 48)
-    bc = F.broadcast if small else (lambda x: x)
-    for _ in range(max_rounds):
-        lu = bc(labels.select(F.col("node").alias("u"), F.col("label").alias("lu")))
-        lv = bc(labels.select(F.col("node").alias("v"), F.col("label").alias("lv")))
-        pairs = e.join(lu, "u").join(lv, "v").where(F.col("lu") != F.col("lv"))
-        # the larger parent adopts the smaller one (both edge directions)
-        hooks = pairs.select(F.greatest("lu", "lv").alias("node"), F.least("lu", "lv").alias("cand")) \
-            .groupBy("node").agg(F.min("cand").alias("cand"))
-        new = labels.join(hooks, "node", "left").select("node", F.col("label").alias("old"),
-                                                        F.least("label", F.coalesce("cand", "label")).alias("label"))
-        for _j in range(JUMPS_PER_ROUND):
-            new = _jump(new, bc)
-        new = new.checkpoint(eager=True)
-        changed = new.where(F.col("label") != F.col("old")).limit(1).count()
-        new = new.drop("old")
-        labels = new
-        if changed == 0:
-            # stable: no edge joins two different labels and every tree is flat
-            break
-    return labels.withColumnRenamed("label", "component")
+    connected component.  Node ids must be orderable (ints or strings); edges with
+    a null end are ignored; a loop makes its node a component."""
+    e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where(F.col("u").isNotNull() & F.col("v").isNotNull())
+    pairs = materialize(e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "cc-edges")
+    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    live = pairs.where(F.col("u") != F.col("v"))
+    rounds: list[DataFrame] = []
+    while not live.isEmpty():
+        sides = live.select(F.col("u").alias("node"), F.col("v").alias("nb")).union(
+            live.select(F.col("v").alias("node"), F.col("u").alias("nb")))
+        low = sides.groupBy("node").agg(F.min(_order("nb")).alias("low"))
+        parent = materialize(low.select("node", F.least(F.col("low"), _order("node"))["node"].alias("parent")), "cc-parent")
+        up = parent.select(F.col("node").alias("parent"), F.col("parent").alias("top"))
+        parent = materialize(parent.join(up, "parent").select("node", F.col("top").alias("parent")), "cc-jump")
+        rounds.append(parent)
+        pu = parent.select(F.col("node").alias("u"), F.col("parent").alias("pu"))
+        pv = parent.select(F.col("node").alias("v"), F.col("parent").alias("pv"))
+        live = materialize(
+            live.join(pu, "u").join(pv, "v").where(F.col("pu") != F.col("pv"))
+            .select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(), "cc-edges")
+    if not rounds:
+        return nodes.select("node", F.col("node").alias("component"))
+    # names of later rounds are few: resolve them from the last round back to the first
+    root = rounds[-1].select("node", F.col("parent").alias("root"))
+    for parent in reversed(rounds[:-1]):
+        nxt = root.select(F.col("node").alias("parent"), "root")
+        root = parent.join(nxt, "parent", "left").select("node", F.coalesce("root", "parent").alias("root"))
+    root = materialize(nodes.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "cc-root")
+    least = root.groupBy("root").agg(F.min("node").alias("component"))
+    return root.join(least, "root").select("node", "component")
 
 
 def component_sizes(comp: DataFrame) -> DataFrame:

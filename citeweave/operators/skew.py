@@ -1,0 +1,24 @@
+"""Joins of many rows with one row per key, safe when a few keys hold most rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A key is hot when it holds more than 1/HOT_SHARE of the rows: fewer than HOT_SHARE
+# keys can be, whatever the data, which bounds the broadcast below.
+HOT_SHARE = 1000
+
+
+def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """Left join ``rows`` with ``groups`` (one row per ``keys``, never null; ``size``
+    holds the number of rows of the key, ``total`` of all rows).
+
+    Rows of hot keys meet their group by a broadcast of fewer than ``HOT_SHARE``
+    rows and never shuffle; all others meet by a shuffled join in which no key
+    holds more than ``total / HOT_SHARE`` rows."""
+    hot = groups.where(F.col(size) * HOT_SHARE > total)
+    cold = groups.where(F.col(size) * HOT_SHARE <= total)
+    near = rows.join(F.broadcast(hot), keys, "inner")
+    far = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, "left")
+    return near.unionByName(far)

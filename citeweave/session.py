@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -34,8 +37,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint directory.
 
     On a cluster the operator of the cluster names a shared folder in
-    ``spark.checkpoint.dir``; we read it and never override it.  Only when it is
-    unset (tests, local runs) do we point it at a fresh scratch folder.
+    ``spark.checkpoint.dir``; we read it and never override it.  Only a ``local``
+    master (tests, bench) may leave it unset: it then gets a fresh scratch folder
+    that goes with the process.  On any other master an unset folder is an error.
     """
     sc = spark.sparkContext
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -45,7 +49,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="citeweave-ckpt-")
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
 
@@ -72,4 +79,25 @@ def materialize(df, name: str = "stage"):
     shared files instead of recomputing earlier iterations)."""
     path = scratch_table_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Workspace:
+    """Named intermediate tables of one job under the shared checkpoint folder.
+
+    ``keep`` writes a table and reads it back; ``drop`` removes tables that nothing
+    reads any more, so a long job holds only its live intermediates on disk."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.base = spark, scratch_table_path(spark, name)
+
+    def keep(self, df, name: str):
+        path = f"{self.base}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
