@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citeweave.llm import exact_dedup, simhash
+from citeweave.llm import exact_dedup, language_id, packing, quality, simhash
 from citeweave.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -28,3 +28,21 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 @query
 def op5_simhash_dedup(spark, sf_dir):
     return simhash.simhash_dedup(table(spark, sf_dir, "documents"), shingle=4, max_distance=4)
+
+
+@query
+def op8_best_fit_packing(spark, sf_dir):
+    import public_tokenizers
+
+    placed = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op6_quality_rules(spark, sf_dir):
+    return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op3_language_id(spark, sf_dir):
+    return language_id.language_id(table(spark, sf_dir, "documents"))
