@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeweave.session import fits_broadcast
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -33,3 +35,42 @@ def sub_batches(values: list, most: int):
 def as_column(ids: DataFrame, name: str, like: DataFrame, source: str) -> DataFrame:
     """``ids`` with column ``name`` cast to the type ``source`` has in ``like``."""
     return ids.withColumn(name, F.col(name).cast(like.schema[source].dataType))
+
+
+def shingle_hashes(words: list[bytes], size: int):
+    """XXH64 (seed 42) of each run of ``size`` words joined by a space, as an uint64 array."""
+    import numpy as np
+    import xxhash
+
+    flat = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = len(words) - size + 1
+    return np.fromiter((xxhash.xxh64_intdigest(flat[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[size - 1 :].tolist())), np.uint64, n)
+
+
+def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """``df`` marked for broadcast if its counted ``rows`` fit, else unchanged."""
+    return F.broadcast(df) if fits_broadcast(rows, row_bytes) else df
+
+
+def text_key(text_col: str):
+    """64-bit hash that, with the id, names a document; null text counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def without_lines(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with the lines named in ``marks`` (``id, key, line``: line numbers from 0,
+    ``key`` the ``text_key``) taken out of the text, and the column ``_gone`` (how many).
+
+    A text's lines are gathered and filtered inside its own row; a text without marks
+    is unchanged.  The line numbers of a document are as many as its lines at most."""
+    gone = marks.groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_set("line").alias("_lines"))
+    # split before the join, so that the lines are a column when they are picked below
+    rows = docs.withColumn("_k", text_key(text_col)).withColumn("_split", F.split(F.col(text_col).cast("string"), "\n", -1))
+    rows = rows.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left")
+    keep = F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), F.col("_lines"))
+    text = F.when(F.col("_lines").isNull(), F.col(text_col)).otherwise(
+        F.array_join(F.transform(keep, lambda i: F.col("_split")[i]), "\n"))
+    return rows.withColumn(text_col, text).withColumn("_gone", F.coalesce(F.size("_lines"), F.lit(0)).cast("long")) \
+        .withColumn("_gone", F.when(F.col("_gone") < 0, F.lit(0)).otherwise(F.col("_gone"))).select(*docs.columns, "_gone")

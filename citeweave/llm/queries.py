@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from citeweave.llm import chat, exact_dedup, language_id, packing, quality, simhash, warc
+from citeweave.llm import chat, exact_dedup, language_id, line_dedup, packing, quality, simhash, substring_dedup, warc
 from citeweave.llm.common import table
+from pyspark.sql import functions as F
 
 QUERIES, SQL = {}, {}
 
@@ -59,3 +60,37 @@ def op10_chat_formatting(spark, sf_dir):
 @query
 def op9_warc(spark, sf_dir):
     return warc.read(warc.warc_derivatives(table(spark, sf_dir, "pages")))
+
+
+@query
+def op4_substring_dedup(spark, sf_dir):
+    found = substring_dedup.repeated_paragraphs(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "line", "start", "length", "n_words", F.col("keep_id").alias("keep_doc_id"),
+                        "keep_line", "group_size", "kept")
+
+
+@query
+def op7_line_dedup(spark, sf_dir):
+    docs = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.col("_gone").alias("lines_removed"), F.length("text").cast("long").alias("chars_left"),
+                       F.sha2("text", 256).alias("text_sha256"))
+
+
+SQL["op7_line_dedup"] = """
+WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+flat AS (SELECT doc_id, unnest(lines) AS x, unnest(range(len(lines))) AS line FROM split),
+full_ AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS pos FROM flat
+          WHERE length(trim(x, chr(32) || chr(9) || chr(11) || chr(12) || chr(13))) > 0),
+pairs AS (SELECT a.doc_id, a.pos, row_number() OVER (PARTITION BY a.x, b.x ORDER BY a.doc_id, a.pos) AS nth
+          FROM full_ a JOIN full_ b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1),
+gone AS (SELECT DISTINCT doc_id, pos + d AS pos FROM pairs, (VALUES (0), (1)) v(d) WHERE nth > 1),
+marked AS (SELECT f.doc_id, f.line, (g.pos IS NOT NULL) AS gone
+           FROM (SELECT flat.doc_id, flat.line, full_.pos FROM flat LEFT JOIN full_ ON full_.doc_id = flat.doc_id AND full_.line = flat.line) f
+           LEFT JOIN gone g ON g.doc_id = f.doc_id AND g.pos = f.pos),
+built AS (SELECT m.doc_id, count(*) FILTER (WHERE gone) AS lines_removed,
+                 coalesce(string_agg(x, chr(10) ORDER BY m.line) FILTER (WHERE NOT gone), '') AS t
+          FROM marked m JOIN flat ON flat.doc_id = m.doc_id AND flat.line = m.line GROUP BY m.doc_id)
+SELECT d.doc_id, coalesce(lines_removed, 0) AS lines_removed, length(CASE WHEN d.text IS NULL THEN NULL ELSE t END) AS chars_left,
+       sha256(CASE WHEN d.text IS NULL THEN NULL ELSE t END) AS text_sha256
+FROM documents d LEFT JOIN built USING (doc_id)
+"""

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import text_bytes
+from citeweave.llm.common import shingle_hashes, text_bytes
 from citeweave.operators.components import connected_components
 from citeweave.operators.skew import attach
 from citeweave.session import Workspace
@@ -47,21 +47,13 @@ CELLS = 4_000_000  # distances computed at a time
 def fingerprint(text: bytes | None, shingle: int) -> int:
     """SimHash of UTF-8 ``text``: ASCII lower case, words between ASCII white space,
     shingles of ``shingle`` words, XXH64 with seed 42, strict majority of each bit."""
-    import xxhash
-
     words = text.lower().split() if text else []
     if not words:
         return 0
     size = min(shingle, len(words))
     total, counts = len(words) - size + 1, np.zeros(64, np.int64)
     for at in range(0, total, CHUNK):
-        part = words[at : at + CHUNK + size - 1]
-        flat = b" ".join(part)
-        ends = np.cumsum([len(w) + 1 for w in part]) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        n = len(part) - size + 1
-        hashes = np.fromiter((xxhash.xxh64_intdigest(flat[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[size - 1 :].tolist())),
-                             np.uint64, n)
+        hashes = shingle_hashes(words[at : at + CHUNK + size - 1], size)
         bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(0, dtype=np.int64)
     return sum(1 << i for i in np.flatnonzero(counts * 2 > total).tolist())
