@@ -26,6 +26,7 @@ WIDTH = 96  # bytes in a window when scoring
 TRAIN_WIDTH, TRAIN_BATCH, STEPS = 48, 192, 320
 ROWS = 4096  # windows scored at a time
 PAD = 256
+MIN_SCORE = 0.35  # of a document that counts as being in a language
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -234,30 +235,50 @@ def has_letter(text: bytes | None) -> bool:
     return bool(text) and any(m[0].isalpha() for m in LETTER.finditer(text.decode()))
 
 
+def answers(net: Network | None, texts: list) -> tuple[list[str], list[float]]:
+    """Language and score of each text."""
+    lang, score = ["und"] * len(texts), [0.0] * len(texts)
+    for i, j in sub_batches(texts, 8 << 20):
+        known = [k for k in range(i, j) if net and has_letter(texts[k])]
+        if known:
+            p = net.documents([texts[k] for k in known])
+            for k, best, top in zip(known, p.argmax(1).tolist(), p.max(1).tolist()):
+                lang[k], score[k] = net.langs[best], min(1.0, top)
+    return lang, score
+
+
 def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, held_out, lang_pred, score`` of every row; see ``language_id``."""
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            texts = text_bytes(batch, "t")
-            for i, j in sub_batches(texts, 8 << 20):
-                lang, score = ["und"] * (j - i), [0.0] * (j - i)
-                known = [k for k in range(i, j) if net and has_letter(texts[k])]
-                if known:
-                    p = net.documents([texts[k] for k in known])
-                    for k, best, top in zip(known, p.argmax(1).tolist(), p.max(1).tolist()):
-                        lang[k - i], score[k - i] = net.langs[best], min(1.0, top)
-                part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                    names=["id", "held_out", "lang_pred", "score"])
+            lang, score = answers(net, text_bytes(batch, "t"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
+                names=["id", "held_out", "lang_pred", "score"])
 
     source = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("t"))
     kind = source.schema["id"].dataType.simpleString()
     return source.mapInArrow(run, f"id {kind}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
+def in_a_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+                  min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of ``docs``, all columns unchanged, that are in some language: not ``und`` and with a
+    score of ``min_score`` or more.  Rows pass through their task; nothing shuffles."""
+    net = fit(training_sample(docs, id_col, text_col, lang_col))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            lang, score = answers(net, text_bytes(batch, text_col))
+            yield batch.filter(pa.array([x != "und" and s >= min_score for x, s in zip(lang, score)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per input row: ``id_col, held_out, lang_pred, score``.
 

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import shingle_hashes, text_bytes
+from citeweave.llm.common import shingle_hashes, small, text_bytes, text_key
 from citeweave.operators.components import connected_components
 from citeweave.operators.skew import attach
 from citeweave.session import Workspace
@@ -60,17 +60,17 @@ def fingerprint(text: bytes | None, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``id, fp`` (signed 64-bit) of every row; null text has fingerprint zero."""
+    """``id, key, fp`` of every row: ``key`` is the ``text_key``, ``fp`` signed 64-bit; null text has fingerprint zero."""
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             fps = np.array([fingerprint(t, shingle) for t in text_bytes(batch, "t")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps)], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(fps)], names=["id", "key", "fp"])
 
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
+    source = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"), F.col(text_col).cast("string").alias("t"))
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, fp long")
+    return source.mapInArrow(run, f"id {kind}, key long, fp long")
 
 
 def _distance(x: np.ndarray, y, mask) -> np.ndarray:
@@ -184,6 +184,22 @@ def links(distinct: DataFrame, count: int, max_distance: int) -> DataFrame:
     return routed.groupBy("shard").applyInPandas(search, "a long, b long").distinct()
 
 
+def groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_distance: int, ws: Workspace) -> DataFrame:
+    """``id, key, fp, component_id, stays`` of every row; of a component the row with the smallest
+    id stays (null last, ties by key)."""
+    prints = ws.keep(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    distinct = ws.keep(prints.groupBy("fp").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("size")), "distinct")
+    seen = distinct.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("rows")).first()
+    found = ws.keep(links(distinct, seen["n"], max_distance), "links")
+    comp = connected_components(found, "a", "b").select(F.col("node").alias("fp"), "component")
+    named = distinct.join(comp, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    best = named.groupBy("component").agg(F.min("first").alias("best"))
+    answer = ws.keep(named.join(best, "component").select("fp", "size", "best"), "answer")
+    return attach(prints, answer, ["fp"], "size", seen["rows"] or 0).select(
+        "id", "key", "fp", F.col("best.id").alias("component_id"), (place == F.col("best")).alias("stays"))
+
+
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
                   max_distance: int = 4) -> DataFrame:
     """One row per input row: ``id_col, fingerprint, component_id``.
@@ -195,13 +211,20 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows stay, each with the same answer.  Other columns are not read.  An empty table
     gives an empty result."""
     ws = Workspace(docs.sparkSession, "simhash")
-    prints = ws.keep(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = ws.keep(prints.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")), "distinct")
-    seen = distinct.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("rows")).first()
-    found = ws.keep(links(distinct, seen["n"], max_distance), "links")
-    comp = connected_components(found, "a", "b").select(F.col("node").alias("fp"), "component")
-    named = distinct.join(comp, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    first = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    answer = ws.keep(named.join(first, "component").select("fp", "size", "component_id"), "answer")
-    return attach(prints, answer, ["fp"], "size", seen["rows"] or 0).select(
+    return groups(docs, id_col, text_col, shingle, max_distance, ws).select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
+                      max_distance: int = 4) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: of every group of linked documents the
+    one with the smallest id (a null id only if there is no other; ties by text hash), once if
+    it is repeated."""
+    ws = Workspace(docs.sparkSession, "simhash-kept")
+    found = ws.keep(groups(docs, id_col, text_col, shingle, max_distance, ws).select("id", "key", "stays"), "found")
+    gone = ws.keep(found.where("not stays").select(F.col("id").alias("_id"), F.col("key").alias("_key")).distinct(), "gone")
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key"))
+    kept = docs.withColumn("_k", text_key(text_col)).join(small(gone, gone.count(), 32), same, "left_anti")
+    if not found.where("stays").groupBy("id", "key").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col, "_k"])
+    return kept.select(*docs.columns)
