@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from citeweave.llm.common import text_bytes
 
-SAMPLE = 1500  # labelled rows of each label that the model may see
+SAMPLE = 800  # labelled rows of each label that the model may see
 BITS = 15  # of the hashed feature space
 CHARS = (2, 3, 4)
 BLOCK = 1 << 18  # bytes whose n-grams are hashed at a time; n-grams do not cross blocks
@@ -117,8 +117,9 @@ def _frequencies(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """``y, held, at, freq`` of at most ``SAMPLE`` labelled rows of each label.  Ids with
-    a null label or with both labels are not used."""
+    """``y, held, at, freq`` of at most ``SAMPLE`` labelled rows of each label (``at`` and ``freq``
+    are the bytes of what ``_frequencies`` gives).  Ids with a null label or with both
+    labels are not used."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("top")).where("y = top").drop("top")
     picked = None
@@ -133,14 +134,14 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
         for batch in batches:
             made = [_frequencies(t) for t in text_bytes(batch, "t")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("y"), batch.column("held"), pa.array([m[0] for m in made], pa.list_(pa.int32())),
-                 pa.array([m[1] for m in made], pa.list_(pa.float32()))], names=["y", "held", "at", "freq"])
+                [batch.column("y"), batch.column("held"), *(pa.array([m[k].tobytes() for m in made], pa.binary()) for k in (0, 1))],
+                names=["y", "held", "at", "freq"])
 
     held = (F.pmod(F.xxhash64(F.lit("held"), "id"), F.lit(4)) == 0).alias("held")
-    return rows.select("t", "y", held).mapInArrow(run, "y int, held boolean, at array<int>, freq array<float>")
+    return rows.select("t", "y", held).mapInArrow(run, "y int, held boolean, at binary, freq binary")
 
 
-def fit(sample: list, steps: int = 150, decay: float = 1e-5) -> Model:
+def fit(sample: list, steps: int = 100, decay: float = 1e-5) -> Model:
     """Logistic regression by Adam on the rows not held back, then Platt scaling on the rest.
     With a label missing the model has no say: it passes everything."""
     size = 2 << BITS
@@ -148,12 +149,12 @@ def fit(sample: list, steps: int = 150, decay: float = 1e-5) -> Model:
     held = np.array([r["held"] for r in sample], bool)
     if len(set(y[~held])) < 2:
         return Model(np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0, 0.0, 10.0)
-    at = np.concatenate([np.asarray(r["at"], np.int64) for r in sample])
-    row = np.repeat(np.arange(len(sample)), [len(r["at"]) for r in sample])
+    at = np.frombuffer(b"".join(r["at"] for r in sample), np.int32).astype(np.intp)
+    row = np.repeat(np.arange(len(sample)), [len(r["at"]) // 4 for r in sample])
     # frequencies are small: the square root of the mean frequency evens out their scales
-    freq = np.concatenate([np.asarray(r["freq"], float) for r in sample])
-    scale = 1 / np.sqrt(np.bincount(at, freq, size) / len(sample) + 1e-6)
-    value = freq * scale[at]
+    freq = np.frombuffer(b"".join(r["freq"] for r in sample), np.float32)
+    scale = (1 / np.sqrt(np.bincount(at, freq, size) / len(sample) + 1e-6)).astype(np.float32)
+    value = (freq * scale[at]).astype(float)
     weight = np.where(held, 0, np.where(y == 1, 0.5 / max(1, (y[~held] == 1).sum()), 0.5 / max(1, (y[~held] == 0).sum())))
     w, b = np.zeros(size), 0.0
     m, v = np.zeros(size + 1), np.zeros(size + 1)
