@@ -15,6 +15,7 @@
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -27,6 +28,8 @@ PARTNERS = 24  # lengths tried as second of three for each first length
 STEPS = 400  # of the least-squares iteration
 SALT_ROWS = 20_000  # pieces of one length that one window ranks, about
 CACHE_WORDS = 600_000  # words whose ids a worker remembers
+MARKS = ".,;:!?#*$%&|()"  # none of them joins with a letter before it
+LAST_LATIN = "\u017f"
 BATCH = 4 << 20  # bytes of text handled at a time
 
 
@@ -34,29 +37,51 @@ class WordIds:
     """Token ids of texts, as little-endian 32-bit bytes.
 
     The tokenizer splits at white space before it merges, so a text's ids are those
-    of its words in turn, and each word needs encoding once.  Texts with ``<|`` go to the
-    tokenizer whole, as special tokens may hold white space."""
+    of its words in turn, and each word needs encoding once.  It also splits letters from marks and
+    lower-cases, so a word of Latin letters with marks behind is looked up by its lower-case
+    letters and by its marks.  Texts with ``<|`` go to the tokenizer whole, as special
+    tokens may hold white space."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        self.tokenizer, self.words, self.parts = Tokenizer.from_file(path), {}, {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _part(self, text: str) -> bytes:
+        if text not in self.parts:
+            if len(self.parts) > CACHE_WORDS:
+                self.parts.clear()
+            self.parts[text] = self._ids(text)
+        return self.parts[text]
+
+    def _word(self, word: str) -> bytes:
+        letters = word.rstrip(MARKS)
+        if not letters.isalpha() or max(letters) > LAST_LATIN or "\u0130" in letters:
+            return self._ids(word)
+        marks = word[len(letters) :]
+        return self._part(letters.lower()) + (self._part(marks) if marks else b"")
+
     def __call__(self, text: bytes | None) -> bytes:
         if not text:
             return b""
         if b"<|" in text:
             return self._ids(text.decode())
         words = text.split()
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        cache = self.cache
-        for w in set(words).difference(cache):
-            cache[w] = self._ids(w.decode())
-        return b"".join([cache[w] for w in words])
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        known = self.words
+        for w in set(words).difference(known):
+            known[w] = self._word(w.decode())
+        return b"".join([known[w] for w in words])
+
+
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """One encoder for all tasks of a worker process."""
+    return WordIds(path)
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -71,7 +96,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id"
         import pyarrow as pa
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = WordIds(tokenizer_path)
+        encode = word_ids(tokenizer_path)
         for batch in batches:
             texts = text_bytes(batch, "t")
             for i, j in sub_batches(texts, BATCH):
