@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from citeweave.llm import chat, exact_dedup, language_id, line_dedup, packing, quality, simhash, substring_dedup, warc
+from citeweave.llm import chat, exact_dedup, language_id, line_dedup, packing, pieces, quality, simhash, substring_dedup, warc
 from citeweave.llm.common import table
+from citeweave.session import Workspace
 from pyspark.sql import functions as F
 
 QUERIES, SQL = {}, {}
@@ -94,3 +95,11 @@ SELECT d.doc_id, coalesce(lines_removed, 0) AS lines_removed, length(CASE WHEN d
        sha256(CASE WHEN d.text IS NULL THEN NULL ELSE t END) AS text_sha256
 FROM documents d LEFT JOIN built USING (doc_id)
 """
+
+
+@query
+def op2_sentencepiece(spark, sf_dir):
+    import public_tokenizers
+
+    vocabulary = pieces.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.digest(pieces.encode(table(spark, sf_dir, "documents"), vocabulary, Workspace(spark, "pieces")))
