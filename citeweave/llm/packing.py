@@ -27,8 +27,8 @@ from citeweave.session import Workspace
 PARTNERS = 24  # lengths tried as second of three for each first length
 STEPS = 400  # of the least-squares iteration
 SALT_ROWS = 20_000  # pieces of one length that one window ranks, about
-CACHE_WORDS = 600_000  # words whose ids a worker remembers
-MARKS = ".,;:!?#*$%&|()"  # none of them joins with a letter before it
+CACHE_WORDS = 800_000  # words whose ids a worker remembers
+MARKS = b".,;:!?#*$%&|()"  # none of them joins with a letter before it
 LAST_LATIN = "\u017f"
 BATCH = 4 << 20  # bytes of text handled at a time
 
@@ -39,43 +39,71 @@ class WordIds:
     The tokenizer splits at white space before it merges, so a text's ids are those
     of its words in turn, and each word needs encoding once.  It also splits letters from marks and
     lower-cases, so a word of Latin letters with marks behind is looked up by its lower-case
-    letters and by its marks.  Texts with ``<|`` go to the tokenizer whole, as special
-    tokens may hold white space."""
+    letters and by its marks.  New letter runs are encoded many at a time: each is one token run
+    that ends with the only token of a word's end.  Texts with ``<|`` go to the tokenizer whole,
+    as special tokens may hold white space."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words, self.parts = Tokenizer.from_file(path), {}, {}
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.zeros(size, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _part(self, text: str) -> bytes:
-        if text not in self.parts:
-            if len(self.parts) > CACHE_WORDS:
-                self.parts.clear()
-            self.parts[text] = self._ids(text)
-        return self.parts[text]
-
-    def _word(self, word: str) -> bytes:
-        letters = word.rstrip(MARKS)
-        if not letters.isalpha() or max(letters) > LAST_LATIN or "\u0130" in letters:
-            return self._ids(word)
-        marks = word[len(letters) :]
-        return self._part(letters.lower()) + (self._part(marks) if marks else b"")
-
-    def __call__(self, text: bytes | None) -> bytes:
-        if not text:
-            return b""
-        if b"<|" in text:
-            return self._ids(text.decode())
-        words = text.split()
+    def _runs(self, runs: list[str]) -> list[bytes]:
+        """Ids of each run of lower-case letters."""
+        out = []
+        for at in range(0, len(runs), 2000):
+            some = runs[at : at + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stops) != len(some) or stops[-1] != 4 * len(ids):
+                out += map(self._ids, some)
+                continue
+            flat, stops = ids.tobytes(), stops.tolist()
+            out += [flat[a:b] for a, b in zip([0, *stops], stops)]
+        return out
+
+    def _learn(self, words: set[bytes]) -> None:
+        known, parts = self.words, self.parts
+        split, marked, new = [], set(), set()
+        for w in words:
+            letters = w.rstrip(MARKS)
+            text = letters.decode()
+            if text.isalpha() and (len(text) == len(letters) or max(text) <= LAST_LATIN and "\u0130" not in text):
+                low, marks = text.lower(), w[len(letters) :]
+                split.append((w, low, marks))
+                if low not in parts:
+                    new.add(low)
+                if marks not in parts:
+                    marked.add(marks)
+            else:
+                known[w] = self._ids(w.decode())
+        runs = list(new)
+        parts.update(zip(runs, self._runs(runs)))
+        for m in marked:
+            parts[m] = self._ids(m.decode()) if m else b""
+        for w, low, marks in split:
+            known[w] = parts[low] + parts[marks]
+
+    def __call__(self, texts: list) -> list[bytes]:
+        """Ids of each text; None counts as empty."""
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
+        if len(self.parts) > CACHE_WORDS:
+            self.parts.clear()
+        whole = [bool(t) and b"<|" in t for t in texts]
+        split = [[] if w or not t else t.split() for t, w in zip(texts, whole)]
         known = self.words
-        for w in set(words).difference(known):
-            known[w] = self._word(w.decode())
-        return b"".join([known[w] for w in words])
+        new = set().union(*split).difference(known)
+        if new:
+            self._learn(new)
+        return [self._ids(t.decode()) if w else b"".join([known[x] for x in own]) for t, w, own in zip(texts, whole, split)]
 
 
 @lru_cache(maxsize=2)
@@ -101,8 +129,8 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id"
             texts = text_bytes(batch, "t")
             for i, j in sub_batches(texts, BATCH):
                 row, piece, ids = [], [], []
-                for k in range(i, j):
-                    full = encode(texts[k]) + end
+                for k, own in zip(range(i, j), encode(texts[i:j])):
+                    full = own + end
                     cut = [full[a : a + 4 * capacity] for a in range(0, len(full), 4 * capacity)]
                     row += [k] * len(cut)
                     piece += range(len(cut))

@@ -74,5 +74,8 @@ def test_plan_covers_the_histogram_and_is_near_the_bound(seed):
 
 def test_word_cache_equals_the_tokenizer():
     ids, tokenizer = packing.WordIds(PATH), Tokenizer.from_file(PATH)
-    for text in ["", "It's the  cat’s\tend\n", "a<|endoftext|>b <|start", "é é ﬁ Ǆ x\x1cy\x85z", "日本 語 don't!! 12 3.5", " x 　y"]:
-        assert np.frombuffer(ids(text.encode()), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+    texts = ["", "It's the  cat’s\tend\n", "a<|endoftext|>b <|start", "é é ﬁ Ǆ x\x1cy\x85z", "日本 語 don't!! 12 3.5", " x 　y"]
+    texts += ["WORD!! Éa.., ÉA İx ſa ﬁ. word's, a!b a.b x", "e\u0301\u0301. a\u0301 ß. ẞ. Σίσυφος, don't."]
+    for text, own in zip(texts, ids([t.encode() for t in texts])):
+        assert np.frombuffer(own, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert ids([None, b""]) == [b"", b""]
