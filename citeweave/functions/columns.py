@@ -6,12 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Modulus and multipliers of the portable integer hash (Park-Miller minimal
-# standard generator constants); the same arithmetic runs in DuckDB for the oracle.
-HASH_MOD = 2147483647
-HASH_A = 48271
-HASH_B = 16807
-HASH_C = 69621
+# Bits of the portable hash (15 hexadecimal digits of MD5) and of a double's fraction.
+HASH_BITS = 60
+UNIT_BITS = 53
 
 
 def col_(c: Column | str) -> Column:
@@ -71,30 +68,25 @@ def safe_log(c: Column | str, minval: float = 1e-12) -> Column:
 
 
 def hash_int(*parts: Column | str | int) -> Column:
-    """Portable integer hash in [0, 2^31-1): a chain of Park-Miller steps over the
-    parts.  Only +, *, pmod on bigint, so DuckDB reproduces it bit for bit."""
-    h = F.lit(0).cast("bigint")
-    for p in parts:
-        pc = F.lit(p) if isinstance(p, int) else col_(p)
-        h = F.pmod(h * HASH_A + F.pmod(pc.cast("bigint"), F.lit(HASH_MOD)) * HASH_B + HASH_C, F.lit(HASH_MOD))
-    return F.pmod(h * HASH_A, F.lit(HASH_MOD))
+    """Portable mixing hash in [0, 2^60): the first 15 hexadecimal digits of the MD5 of
+    the parts as whole numbers, joined by ``|``.  DuckDB computes the same."""
+    texts = [F.lit(str(p)) if isinstance(p, int) else col_(p).cast("bigint").cast("string") for p in parts]
+    return F.conv(F.substr(F.md5(F.concat_ws("|", *texts)), F.lit(1), F.lit(HASH_BITS // 4)), 16, 10).cast("bigint")
 
 
 def hash_uniform(*parts: Column | str | int) -> Column:
-    """Uniform double in [0, 1) from :func:`hash_int`."""
-    return hash_int(*parts).cast("double") / float(HASH_MOD)
+    """Uniform double in [0, 1) from the top 53 bits of :func:`hash_int`."""
+    return F.shiftright(hash_int(*parts), HASH_BITS - UNIT_BITS).cast("double") / float(1 << UNIT_BITS)
 
 
 def hash_sql(*parts: str) -> str:
     """The DuckDB spelling of :func:`hash_int` for the oracle."""
-    h = "CAST(0 AS BIGINT)"
-    for p in parts:
-        h = f"(({h}) * {HASH_A} + (CAST({p} AS BIGINT) % {HASH_MOD}) * {HASH_B} + {HASH_C}) % {HASH_MOD}"
-    return f"((({h}) * {HASH_A}) % {HASH_MOD})"
+    joined = " || '|' || ".join(f"CAST(CAST({p} AS BIGINT) AS VARCHAR)" for p in parts)
+    return f"CAST('0x' || substr(md5({joined}), 1, {HASH_BITS // 4}) AS BIGINT)"
 
 
 def uniform_sql(*parts: str) -> str:
-    return f"(CAST({hash_sql(*parts)} AS DOUBLE) / {float(HASH_MOD)})"
+    return f"(CAST({hash_sql(*parts)} >> {HASH_BITS - UNIT_BITS} AS DOUBLE) / {float(1 << UNIT_BITS)!r})"
 
 
 # ---- arrays as vectors -------------------------------------------------------

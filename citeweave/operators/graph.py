@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from citeweave.functions.columns import safe_log
+from citeweave.session import materialize
 
 
 def build_graph(edges: DataFrame, src: str = "src", dst: str = "dst", mode: str = "undirected") -> DataFrame:
@@ -69,25 +70,34 @@ def transition_matrix(g: DataFrame) -> DataFrame:
     return g.join(tot, "src").withColumn("p", F.col("w") / F.col("_tot")).drop("_tot")
 
 
+def _running(g: DataFrame) -> DataFrame:
+    """Edges with ``_run`` (weight up to and with the edge, neighbours in ``dst`` order), ``_tot``
+    and ``deg`` of the source.
+
+    Edges are range-partitioned by (src, dst), so a hub's edges lie in many partitions.
+    Sums run inside each (src, partition) part; a source's parts, at most as many as there are
+    partitions, give each part's offset.  No task holds a whole hub."""
+    parts = max(1, int(g.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    laid = materialize(g.repartitionByRange(parts, "src", "dst").withColumn("_part", F.spark_partition_id()), "edge-ranges")
+    sums = laid.groupBy("src", "_part").agg(F.sum("w").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    of_src = Window.partitionBy("src")
+    before = F.sum("_s").over(of_src.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_s")
+    offsets = sums.select("src", "_part", before.alias("_before"), F.sum("_s").over(of_src).alias("_tot"), F.sum("_n").over(of_src).alias("deg"))
+    inside = Window.partitionBy("src", "_part").orderBy("dst").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return laid.withColumn("_in", F.sum("w").over(inside)).join(offsets, ["src", "_part"]) \
+        .withColumn("_run", F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
+
+
 def transition_cumprob(g: DataFrame) -> DataFrame:
-    """Cumulative transition probability per row, neighbours in ``dst`` order
-    (W9, G7).  The window is partitioned by ``src``, so it runs after one
-    shuffle on ``src`` with no global ordering."""
-    w_all = Window.partitionBy("src")
-    w_run = Window.partitionBy("src").orderBy("dst").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return g.withColumn("cum", F.sum("w").over(w_run) / F.sum("w").over(w_all))
+    """Cumulative transition probability per row, neighbours in ``dst`` order."""
+    return _running(g).withColumn("cum", F.col("_run") / F.col("_tot")).drop("_run", "_tot", "deg")
 
 
 def cum_edges(g: DataFrame) -> DataFrame:
     """Edges with their roulette interval ``[lo, hi)`` inside the source row
-    (neighbours in ``dst`` order) and the source degree (number of neighbours).
-    One shuffle on ``src``; no per-node arrays, so hubs stay spread out."""
-    w_all = Window.partitionBy("src")
-    w_run = Window.partitionBy("src").orderBy("dst").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tot = F.sum("w").over(w_all)
-    run = F.sum("w").over(w_run)
-    return g.select("src", "dst", "w", ((run - F.col("w")) / tot).alias("lo"), (run / tot).alias("hi"),
-                    F.count(F.lit(1)).over(w_all).alias("deg"))
+    (neighbours in ``dst`` order) and the source degree (number of neighbours)."""
+    return _running(g).select("src", "dst", "w", ((F.col("_run") - F.col("w")) / F.col("_tot")).alias("lo"),
+                              (F.col("_run") / F.col("_tot")).alias("hi"), "deg")
 
 
 def normalized_adjacency(g: DataFrame, floor: float = 1e-12) -> DataFrame:
@@ -115,10 +125,10 @@ def rwr_matrix(P: DataFrame, restart: float, max_step: int, offset: int = 0, min
     kept = list(range(offset, max_step))
     tot = sum(weights)
     acc = None
-    power = P.select("src", "dst", "w")
+    power = P = materialize(P.select("src", "dst", "w"), "walk-matrix")
     for i in range(max_step):
-        if i > 0:
-            power = matmul_sparse(power, P, min_value)
+        if i > 0:  # stored, so that each power is computed once
+            power = materialize(matmul_sparse(power, P, min_value), f"power{i + 1}")
         if i in kept:
             term = power.select("src", "dst", (F.col("w") * (weights[i] / tot)).alias("w"))
             acc = term if acc is None else acc.unionByName(term)
@@ -129,17 +139,18 @@ def stationary_distribution(P: DataFrame, nodes: DataFrame, iterations: int = 30
     """Normalised ``x0 + x0 P + ... + x0 P^iterations`` from the uniform vector
     ``x0`` (G17).  The vector is one row per node; lineage is cut by a
     checkpoint every few steps."""
-    n = nodes.count()
-    x = nodes.select(F.col("node"), F.lit(1.0 / n).alias("x"))
+    P = materialize(P.select("src", "dst", "p"), "transitions")
+    nodes = materialize(nodes, "nodes")
+    x = nodes.select(F.col("node"), F.lit(1.0 / nodes.count()).alias("x"))
     acc = x
     for it in range(iterations):
         nx = (x.join(P.select(F.col("src").alias("node"), "dst", "p"), "node")
                .groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("x") * F.col("p")).alias("x")))
-        acc = acc.unionByName(nx).groupBy("node").agg(F.sum("x").alias("x"))
-        x = nx
-        if it % 5 == 4:
-            x = x.checkpoint(eager=True)
-            acc = acc.checkpoint(eager=True)
+        x = materialize(nx, "vector")
+        acc = acc.unionByName(x)
+        if it % 10 == 9:
+            acc = materialize(acc.groupBy("node").agg(F.sum("x").alias("x")), "sum")
+    acc = materialize(acc.groupBy("node").agg(F.sum("x").alias("x")), "sum")
     total = acc.agg(F.sum("x").alias("t")).first()["t"]  # a scalar
     return acc.select("node", (F.col("x") / F.lit(total)).alias("pi"))
 

@@ -13,8 +13,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.functions.columns import hash_int, hash_uniform
+from citeweave.functions.columns import HASH_BITS, hash_int, hash_uniform
 from citeweave.operators.prefix import dense_index
+from citeweave.session import materialize
+
+SAMPLE_BITS = 14
 
 
 def sample_fraction(df: DataFrame, key: str, frac: float, seed: int = 0) -> DataFrame:
@@ -39,8 +42,23 @@ def with_hash_rank(df: DataFrame, key: Sequence[str], seed: int, group: str | No
 
 
 def sample_n(df: DataFrame, key: Sequence[str], n: int, seed: int = 0) -> DataFrame:
-    """Exactly ``min(n, rows)`` rows without replacement (M3)."""
-    return with_hash_rank(df, key, seed).where(F.col("_rank") < n).drop("_rank")
+    """Exactly ``min(n, rows)`` rows without replacement (M3): those that come first in
+    ``(hash(seed, key...), key...)`` order.
+
+    A histogram of hash prefixes (at most ``2^SAMPLE_BITS`` counts) tells the prefix at which
+    the sample ends.  Rows below it are kept where they are; only those of that one
+    prefix, about ``rows / 2^SAMPLE_BITS``, are sorted."""
+    d = df.withColumn("_h", hash_int(F.lit(seed), *[F.col(k) for k in key])).withColumn("_b", F.shiftright("_h", HASH_BITS - SAMPLE_BITS))
+    left, cut = n, None
+    for r in sorted(d.groupBy("_b").count().collect()):
+        if r["count"] > left:
+            cut = r["_b"]
+            break
+        left -= r["count"]
+    if cut is None:
+        return df
+    last = d.where(F.col("_b") == cut).orderBy("_h", *key).limit(left)
+    return d.where(F.col("_b") < cut).unionByName(last).drop("_h", "_b")
 
 
 def balanced_strata(df: DataFrame, key: Sequence[str], stratum: str, sizes: DataFrame, seed: int = 0) -> DataFrame:
@@ -58,7 +76,7 @@ def sample_with_replacement_pairs(rows: DataFrame, order: Sequence[str], factor:
     index (no cross join).  Returns ``draw, x_<col>..., y_<col>...``.
     """
     spark = rows.sparkSession
-    idx = dense_index(rows, order, out="_ix").persist()
+    idx = materialize(dense_index(rows, order, out="_ix"), "indexed")
     n = idx.count()
     if n == 0:
         return spark.createDataFrame([], "draw long")

@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.functions.columns import cosine_similarity, hash_int, l2_normalize, norm2
+from citeweave.functions.columns import cosine_similarity, hash_int, l2_normalize
+from citeweave.session import materialize
 
 # Broadcast limit for small per-class tables (centroids, axes), in bytes.
 SMALL_TABLE_BYTES = 64 * 1024 * 1024
@@ -47,8 +48,7 @@ def class_centroids(members: DataFrame, group: Sequence[str], key: str = "doi",
     Returns ``*group, pos, c`` (one row per class and dimension)."""
     g = list(group)
     ex = members.select(*g, F.posexplode(vec).alias("pos", "val"))
-    return ex.groupBy(*g, "pos").agg(F.avg_distinct(F.col("val").cast("double")).alias("c")) if hasattr(F, "avg_distinct") \
-        else ex.groupBy(*g, "pos").agg(F.expr("avg(DISTINCT CAST(val AS DOUBLE))").alias("c"))
+    return ex.groupBy(*g, "pos").agg(F.expr("avg(DISTINCT CAST(val AS DOUBLE))").alias("c"))
 
 
 def centroid_arrays(cent: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -72,13 +72,12 @@ def radius_of_gyration(vectors: DataFrame, codes: DataFrame, levels: Sequence[st
         F.struct(F.lit(lv.rsplit("_", 1)[-1]).alias("level"), F.col(lv).alias("code")) for lv in levels])).alias("_x")) \
         .select(key, "_x.level", "_x.code").where(F.col("code").isNotNull()).distinct()
     members = stacked.join(vectors.select(key, vec), key)
-    cent = centroid_arrays(class_centroids(members, ["level", "code"], key, vec), ["level", "code"])
-    n_classes = stacked.select("level", "code").distinct().count()
-    dim = 768
+    cent = materialize(centroid_arrays(class_centroids(members, ["level", "code"], key, vec), ["level", "code"]), "centroids")
+    n_classes, dim = cent.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("centroid")), F.lit(0))).first()
     cent = _maybe_broadcast(cent, n_classes, dim * 8 + 64)
     scored = members.join(cent, ["level", "code"]).withColumn(
         "sq_dist", F.pow(F.lit(1.0) - cosine_similarity(vec, "centroid"), 2))
-    return scored.groupBy("level", "code").agg(F.countDistinct(key).alias("paper_ct"), F.avg("sq_dist").alias("rog"))
+    return scored.groupBy("level", "code").agg(F.count(key).alias("paper_ct"), F.avg("sq_dist").alias("rog"))
 
 
 def semantic_axis(vectors: DataFrame, labels: DataFrame, key: str = "doi", vec: str = "vec",
@@ -99,30 +98,66 @@ def semantic_axis(vectors: DataFrame, labels: DataFrame, key: str = "doi", vec:
 
 # ---- exact k nearest neighbours --------------------------------------------------
 
-def _block_search_fn(k: int, exclude_self: bool, by: Sequence[str]):
-    def search(key, q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        cols = {c: pd.Series([], dtype=object) for c in by}
-        if q.empty or t.empty:
-            return pd.DataFrame({**cols, "qid": pd.Series([], dtype="int64"), "nid": pd.Series([], dtype="int64"),
-                                 "dist": pd.Series([], dtype="float64")})
-        Q = np.vstack(q["vec"].to_numpy()).astype(np.float64)
-        T = np.vstack(t["vec"].to_numpy()).astype(np.float64)
-        qid = q["qid"].to_numpy(dtype=np.int64)
-        tid = t["tid"].to_numpy(dtype=np.int64)
-        # exact squared L2 for every pair of the cell: |q|^2 + |t|^2 - 2 q.t
-        d = (Q * Q).sum(1)[:, None] + (T * T).sum(1)[None, :] - 2.0 * (Q @ T.T)
+# Rows of the two tiles whose distances one task holds at a time, pairs whose exact distances
+# it recomputes at a time, and bytes of vectors in one block.
+Q_TILE, T_TILE = 512, 2048
+PAIR_CHUNK = 200_000
+BLOCK_BYTES = 16 << 20
+MERGE_LISTS = 32  # local top-k lists that one merge reads
+
+
+def _top(qi: np.ndarray, nid: np.ndarray, dist: np.ndarray, k: int):
+    """The first k of each query in (distance, id) order."""
+    order = np.lexsort((nid, dist, qi))
+    qi, nid, dist = qi[order], nid[order], dist[order]
+    first = np.searchsorted(qi, qi, "left")
+    keep = np.arange(len(qi)) - first < k
+    return qi[keep], nid[keep], dist[keep]
+
+
+def _tile_search(Q: np.ndarray, qid: np.ndarray, T: np.ndarray, tid: np.ndarray, k: int, exclude_self: bool):
+    """Exact k nearest rows of ``T`` for a tile of queries: query row, neighbour id, squared distance.
+
+    The product form of the distance picks, tile by tile, all rows within rounding error of the
+    k-th; their distances are then summed over differences, so copies get exactly 0 and ties are
+    cut by id."""
+    best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    qq = (Q * Q).sum(1)
+    for at in range(0, len(T), T_TILE):
+        part, ids = T[at : at + T_TILE], tid[at : at + T_TILE]
+        tt = (part * part).sum(1)
+        d = qq[:, None] + tt[None, :] - 2.0 * (Q @ part.T)
         if exclude_self:
-            d = np.where(qid[:, None] == tid[None, :], np.inf, d)
-        kk = min(k, T.shape[0])
-        if kk < T.shape[0]:
-            part = np.argpartition(d, kk - 1, axis=1)[:, :kk]
+            d[qid[:, None] == ids[None, :]] = np.inf
+        if k < d.shape[1]:
+            kth = np.partition(d, k - 1, axis=1)[:, k - 1]
+            slack = 1e-9 * (qq + tt.max())
+            i, j = np.nonzero(d <= (kth + slack)[:, None])
         else:
-            part = np.tile(np.arange(T.shape[0]), (Q.shape[0], 1))
-        rows_q = np.repeat(np.arange(Q.shape[0]), part.shape[1])
-        cols_t = part.reshape(-1)
-        dist = d[rows_q, cols_t]
-        keep = np.isfinite(dist)
-        out = pd.DataFrame({"qid": qid[rows_q][keep], "nid": tid[cols_t][keep], "dist": dist[keep]})
+            i, j = np.nonzero(np.isfinite(d))
+        ok = np.isfinite(d[i, j])
+        i, j = i[ok], j[ok]
+        exact = np.empty(len(i))
+        for c in range(0, len(i), PAIR_CHUNK):
+            diff = Q[i[c : c + PAIR_CHUNK]] - part[j[c : c + PAIR_CHUNK]]
+            exact[c : c + PAIR_CHUNK] = np.einsum("ij,ij->i", diff, diff)
+        best = _top(np.concatenate((best[0], i)), np.concatenate((best[1], ids[j])), np.concatenate((best[2], exact)), k)
+    return best
+
+
+def _block_search_fn(k: int, exclude_self: bool, by: Sequence[str]):
+    def search(key, q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(q) and len(t):
+            T, tid = np.vstack(t["vec"].to_numpy()).astype(np.float64), t["tid"].to_numpy(dtype=np.int64)
+            ids = q["qid"].to_numpy(dtype=np.int64)
+            for at in range(0, len(q), Q_TILE):
+                Q = np.vstack(q["vec"].iloc[at : at + Q_TILE].to_numpy()).astype(np.float64)
+                qid = ids[at : at + Q_TILE]
+                i, nid, dist = _tile_search(Q, qid, T, tid, k, exclude_self)
+                found.append((qid[i], nid, dist))
+        out = pd.DataFrame({"tb": np.int64(key[-1]), "qid": np.concatenate([f[0] for f in found]),
+                            "nid": np.concatenate([f[1] for f in found]), "dist": np.concatenate([f[2] for f in found])})
         for i, c in enumerate(by):
             out.insert(i, c, key[i])
         return out
@@ -130,20 +165,26 @@ def _block_search_fn(k: int, exclude_self: bool, by: Sequence[str]):
     return search
 
 
+def _blocks(rows: int, dim: int, cells: int) -> int:
+    """Blocks of at most ``BLOCK_BYTES`` of vectors, and about ``cells`` of them where that
+    leaves a few hundred rows in each."""
+    fit = max(1, BLOCK_BYTES // (8 * max(1, dim)))
+    return max(1, -(-rows // fit), min(cells, rows // 250))
+
+
 def knn_search(queries: DataFrame, train: DataFrame, k: int, *, qid: str = "qid", tid: str = "tid",
                vec: str = "vec", by: Sequence[str] = (), exclude_self: bool = False,
-               q_blocks: int | None = None, t_blocks: int | None = None, rows_per_block: int = 20000) -> DataFrame:
+               q_blocks: int | None = None, t_blocks: int | None = None) -> DataFrame:
     """Exact k nearest neighbours by squared L2 (V10, W15), for one or many
     independent runs at once (``by`` columns, e.g. trial and journal set).
 
     Queries and train rows are hashed into ``q_blocks`` x ``t_blocks`` cells
     per run: every query row is copied once per train block and every train row
     once per query block, and the two sides meet through an equi-join on
-    ``(run, qb, tb)`` (``cogroup``).  A cell holds one query block and one
-    train block, so task memory is bounded by the block size, and the number
-    of blocks follows the data size.  NumPy computes the cell's distances and
-    emits only its local top-k; the ``t_blocks * k`` candidates of a query are
-    then cut to the global top-k, ties broken by distance then neighbour id.
+    ``(run, qb, tb)`` (``cogroup``).  Blocks are bounded in bytes, and a task works through its
+    cell in tiles with a running top-k, so its memory depends on neither side's size.
+    The local top-k lists of a query are merged ``MERGE_LISTS`` at a time, in as many
+    levels as needed; ties are broken by distance, then by neighbour id.
     Returns ``*by, qid, nid, dist, rank`` (rank 1 = nearest).
     """
     by = list(by)
@@ -151,19 +192,26 @@ def knn_search(queries: DataFrame, train: DataFrame, k: int, *, qid: str = "qid"
     q = queries.select(*[F.col(c).alias(c) for c in by], F.col(qid).cast("long").alias("qid"), F.col(vec).alias("vec"))
     t = train.select(*[F.col(c).alias(c) for c in by], F.col(tid).cast("long").alias("tid"), F.col(vec).alias("vec"))
     if q_blocks is None or t_blocks is None:
-        nq, nt = q.count(), t.count()
-        q_blocks = q_blocks or max(1, -(-nq // rows_per_block))
-        t_blocks = t_blocks or max(1, -(-nt // rows_per_block))
+        nq, (nt, dim) = q.count(), t.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vec")), F.lit(1))).first()
+        side = max(1, round(q.sparkSession.sparkContext.defaultParallelism ** 0.5))
+        q_blocks = q_blocks or _blocks(nq, dim, side)
+        t_blocks = t_blocks or _blocks(nt, dim, side)
     qb = q.withColumn("qb", F.pmod(hash_int("qid"), F.lit(q_blocks))).withColumn(
         "tb", F.explode(F.sequence(F.lit(0), F.lit(t_blocks - 1))))
     tb = t.withColumn("tb", F.pmod(hash_int("tid"), F.lit(t_blocks))).withColumn(
         "qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    qb, tb = (x.withColumn("qb", F.col("qb").cast("long")).withColumn("tb", F.col("tb").cast("long")) for x in (qb, tb))
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in q.schema.fields if f.name in by]
-                       + ["qid long", "nid long", "dist double"])
+                       + ["tb long", "qid long", "nid long", "dist double"])
     cand = qb.groupBy(*by, "qb", "tb").cogroup(tb.groupBy(*by, "qb", "tb")).applyInPandas(
         _block_search_fn(k, exclude_self, by), schema)
-    best = cand.groupBy(*by, "qid").agg(
-        F.slice(F.sort_array(F.collect_list(F.struct("dist", "nid"))), 1, k).alias("_top"))
+    top = F.slice(F.sort_array(F.collect_list(F.struct("dist", "nid"))), 1, k).alias("_top")
+    lists = t_blocks
+    while lists > MERGE_LISTS:
+        lists = -(-lists // MERGE_LISTS)
+        cand = cand.withColumn("tb", F.floor(F.col("tb") / MERGE_LISTS).cast("long")).groupBy(*by, "qid", "tb").agg(top) \
+            .select(*by, "qid", "tb", F.explode("_top").alias("_x")).select(*by, "tb", "qid", F.col("_x.nid").alias("nid"), F.col("_x.dist").alias("dist"))
+    best = cand.groupBy(*by, "qid").agg(top)
     return best.select(*by, "qid", F.posexplode("_top").alias("_p", "_x")).select(
         *by, "qid", F.col("_x.nid").alias("nid"), F.col("_x.dist").alias("dist"), (F.col("_p") + 1).alias("rank"))
 

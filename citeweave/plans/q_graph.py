@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from citeweave.functions.columns import cantor_pair, hash_sql, hash_uniform, uniform_sql
@@ -13,9 +14,10 @@ from citeweave.operators import vectors as V
 from citeweave.operators.sample import sample_n, with_hash_rank
 from citeweave.plans.fixture_sql import with_views
 from citeweave.plans.registry import register
+from citeweave.session import materialize
 from citeweave.sources import fixtures as fx
 
-NEG_BUFFER = 100000
+MAX_TURNS = 20  # passes of the negative-edge draw before it gives up with an error
 
 
 def R6(c):
@@ -32,15 +34,24 @@ def link_sets(spark, d):
     n = int(cand.count() * 0.5)  # scalar
     pos = sample_n(cand, ["citing", "cited"], n, seed=21).select("citing", "cited")
     net = e.select("citing", "cited").join(pos, ["citing", "cited"], "left_anti")
-    m = min(n + NEG_BUFFER, net.count())
-    ci = with_hash_rank(net, ["citing", "cited"], 22).where(F.col("_rank") < m).select(F.col("_rank").alias("r"), "citing")
-    cd = with_hash_rank(net, ["citing", "cited"], 23).where(F.col("_rank") < m).select(F.col("_rank").alias("r"), "cited")
-    neg = (ci.join(cd, "r")
-           .join(e.select("citing", "citing_year").distinct(), "citing")
-           .join(e.select("cited", "cited_year").distinct(), "cited")
-           .where(F.col("citing_year") >= F.col("cited_year"))
-           .join(net, ["citing", "cited"], "left_anti"))
-    neg = sample_n(neg, ["r"], n, seed=24).select("citing", "cited")
+    # both ends are permuted on their own and zipped; one pass over all edges usually gives
+    # enough pairs, else further passes with new permutations add more
+    size, found = net.count(), None
+    for turn in range(MAX_TURNS):
+        ci = with_hash_rank(net, ["citing", "cited"], 22 + 10 * turn).select(F.col("_rank").alias("r"), "citing")
+        cd = with_hash_rank(net, ["citing", "cited"], 23 + 10 * turn).select(F.col("_rank").alias("r"), "cited")
+        more = (ci.join(cd, "r")
+                .join(e.select("citing", "citing_year").distinct(), "citing")
+                .join(e.select("cited", "cited_year").distinct(), "cited")
+                .where(F.col("citing_year") >= F.col("cited_year"))
+                .join(net, ["citing", "cited"], "left_anti")
+                .select((F.col("r") + turn * size).alias("r"), "citing", "cited"))
+        found = materialize(more if found is None else found.unionByName(more), "negative-edges")
+        if found.count() >= n:
+            break
+    else:
+        raise ValueError(f"no {n} negative edges in {MAX_TURNS} passes: the graph is too dense")
+    neg = sample_n(found, ["r"], n, seed=24).select("citing", "cited")
     return pos, neg
 
 
@@ -62,11 +73,10 @@ LINK_VIEWS = [
     ("pos", f"""SELECT citing, cited FROM (SELECT *, row_number() OVER (ORDER BY {hash_sql('21', 'citing', 'cited')}, citing, cited) - 1 AS rk
                 FROM cand) WHERE rk < (SELECT CAST(floor(count(*) * 0.5) AS BIGINT) FROM cand)"""),
     ("lnet", "SELECT citing, cited FROM le EXCEPT SELECT citing, cited FROM pos"),
-    ("mm", f"SELECT least((SELECT count(*) FROM pos) + {NEG_BUFFER}, (SELECT count(*) FROM lnet)) AS m"),
     ("ci", f"""SELECT rk AS r, citing FROM (SELECT *, row_number() OVER (ORDER BY {hash_sql('22', 'citing', 'cited')}, citing, cited) - 1 AS rk
-               FROM lnet) WHERE rk < (SELECT m FROM mm)"""),
+               FROM lnet)"""),
     ("cd", f"""SELECT rk AS r, cited FROM (SELECT *, row_number() OVER (ORDER BY {hash_sql('23', 'citing', 'cited')}, citing, cited) - 1 AS rk
-               FROM lnet) WHERE rk < (SELECT m FROM mm)"""),
+               FROM lnet)"""),
     ("neg0", """SELECT ci.r, ci.citing, cd.cited FROM ci JOIN cd ON ci.r = cd.r
                 JOIN (SELECT DISTINCT citing, citing_year FROM le) y1 ON ci.citing = y1.citing
                 JOIN (SELECT DISTINCT cited, cited_year FROM le) y2 ON cd.cited = y2.cited
@@ -107,10 +117,9 @@ def q_link_prediction(spark, d):
     "SELECT method, round(auc, 6) AS auc, CAST(row_number() OVER (ORDER BY auc DESC, method) AS INTEGER) AS auc_rank FROM auc",
     *LINK_NAMES, extra=LINK_VIEWS))
 def q_roc_auc(spark, d):
-    a = evaluate.roc_auc(scored_links(spark, d), "method").collect()  # one row per method
-    ranked = sorted(a, key=lambda r: (-(r["auc"] if r["auc"] is not None else float("-inf")), r["method"]))
-    return spark.createDataFrame([(r["method"], None if r["auc"] is None else round(r["auc"], 6), i + 1) for i, r in enumerate(ranked)],
-                                 "method string, auc double, auc_rank int")
+    a = evaluate.roc_auc(scored_links(spark, d), "method")
+    rank = F.row_number().over(Window.orderBy(F.desc_nulls_last("auc"), "method"))  # one row per method
+    return a.select("method", R6(F.col("auc")).alias("auc"), rank.cast("int").alias("auc_rank"))
 
 
 @register("roc_curve", "E3 W13", with_views(
@@ -298,7 +307,19 @@ def q_rwr_matrix(spark, d):
     return r.select("src", "dst", R6(F.col("w")).alias("w"))
 
 
-@register("stationary_dist", "G17", None)
+def _stationary_views(steps: int):
+    views = [CIT_UND, ("P1", "SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM gi"),
+             ("nodes", "SELECT src AS node FROM gi UNION SELECT dst FROM gi"),
+             ("x0", "SELECT node, 1.0 / (SELECT count(*) FROM nodes) AS x FROM nodes")]
+    for i in range(1, steps + 1):
+        views.append((f"x{i}", f"SELECT P1.dst AS node, sum(v.x * P1.p) AS x FROM x{i - 1} v JOIN P1 ON v.node = P1.src GROUP BY P1.dst"))
+    every = " UNION ALL ".join(f"SELECT node, x FROM x{i}" for i in range(steps + 1))
+    views.append(("total", f"SELECT node, sum(x) AS x FROM ({every}) GROUP BY node"))
+    return views
+
+
+@register("stationary_dist", "G17", with_views(
+    "SELECT node, round(x / (SELECT sum(x) FROM total) * 1e3, 6) AS pi_milli FROM total", "citations", extra=_stationary_views(30)))
 def q_stationary_dist(spark, d):
     P = G.transition_matrix(cit_graph(spark, d))
     nodes = G.nodes_of(P)

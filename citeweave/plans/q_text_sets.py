@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from citeweave.functions.columns import cantor_pair, cantor_unpair, hash_sql, non_blank, safe_log
+from citeweave.functions.columns import cantor_pair, cantor_unpair, hash_sql, non_blank, safe_log, uniform_sql
 from citeweave.operators import clean, graph as G, relate
 from citeweave.operators.sample import sample_fraction, sample_n, with_hash_rank
 from citeweave.plans.fixture_sql import with_views
@@ -119,7 +119,7 @@ def q_run_params(spark, d):
 
 
 @register("param_grid", "S12 M6 M8", with_views(
-    f"""SELECT g.k, t0.trial, (CAST({hash_sql('t0.trial', 'v.id')} AS DOUBLE) / 2147483647.0) < 0.2 AS is_test,
+    f"""SELECT g.k, t0.trial, {uniform_sql('t0.trial', 'v.id')} < 0.2 AS is_test,
                CAST(count(*) AS BIGINT) AS n_rows
         FROM raw_vectors v CROSS JOIN (VALUES (1),(2),(3)) t0(trial)
         CROSS JOIN (VALUES (2),(4),(8),(16),(32),(64),(128)) g(k)
@@ -355,7 +355,7 @@ def q_node_index(spark, d):
 
 
 @register("sample_fraction", "M1", with_views(
-    f"SELECT doi FROM papers WHERE (CAST({hash_sql('7', 'id')} AS DOUBLE) / 2147483647.0) < 0.2", "papers"))
+    f"SELECT doi FROM papers WHERE {uniform_sql('7', 'id')} < 0.2", "papers"))
 def q_sample_fraction(spark, d):
     return sample_fraction(fx.papers(spark, d), "id", 0.2, seed=7).select("doi")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from citeweave.functions.columns import cosine_similarity, doi_journal, hash_sql, norm2
+from citeweave.functions.columns import cosine_similarity, doi_journal, hash_sql, norm2, uniform_sql
 from citeweave.operators import clean, evaluate, relate, stats
 from citeweave.operators import vectors as V
 from citeweave.operators.sample import sample_with_replacement_pairs, trial_split, with_hash_rank
@@ -47,11 +47,11 @@ def cos_sql(a: str, b: str) -> str:
 
 
 def dist_sql(q: str, t: str) -> str:
-    return f"(list_inner_product({q}, {q}) + list_inner_product({t}, {t}) - 2.0 * list_inner_product({q}, {t}))"
+    return f"list_distance({q}, {t})"
 
 
 def uni(*parts: str) -> str:
-    return f"(CAST({hash_sql(*parts)} AS DOUBLE) / 2147483647.0)"
+    return uniform_sql(*parts)
 
 
 def values_sql(vals, name):
