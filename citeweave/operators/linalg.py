@@ -3,10 +3,10 @@
 Dense factors are row tables ``id, vec array<double>`` (one row per node, a
 short vector of ``r + p`` numbers).  Sparse x dense products are a join of the
 edge table with the factor rows plus a vector sum per output row
-(``Summarizer.sum``, a JVM aggregate with map-side combine).  Gram matrices
-``Z^T Z`` are summed per partition with NumPy inside ``mapInPandas`` and only
-the ``(r+p)^2`` partial sums reach the driver, where the small eigen problems
-are solved.  Nothing of size n is ever collected.
+(``Summarizer.sum``, a JVM aggregate with map-side combine).  Tall factors are
+orthonormalised by tree QR: k x k triangles per partition, stacked and reduced again, and
+only a bounded number of them reaches the driver, where the small problems are solved.  Nothing of
+size n is ever collected.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeweave.functions.columns import hash_uniform
+from citeweave.session import materialize
 
 
 def gaussian_rows(ids: DataFrame, k: int, seed: int = 0, id_col: str = "id") -> DataFrame:
@@ -42,31 +43,32 @@ def spmm(X: DataFrame, Z: DataFrame, transpose: bool = False) -> DataFrame:
     return s.select("id", vector_to_array("_s").alias("vec"))
 
 
-GRAM_BUCKETS = 64
+R_BUCKETS = 64
 
 
-def gram(Z: DataFrame, k: int) -> np.ndarray:
-    """``Z^T Z`` (k x k).  Each partition sums its rows' outer products with
-    NumPy; the per-partition partial sums are then added by a two-level
-    aggregate (``GRAM_BUCKETS`` groups, then the driver), so neither one task nor
-    the driver ever receives one partial per partition of a huge table."""
-    def part(it):
-        acc = np.zeros((k, k))
-        b = 0
-        for pdf in it:
-            if len(pdf):
-                b = int(pdf["_b"].iloc[0])
-                M = np.vstack(pdf["vec"].to_numpy()).astype(np.float64)
-                acc += M.T @ M
-        yield pd.DataFrame({"_b": [b], "g": [acc.reshape(-1).tolist()]})
+def r_factor(Z: DataFrame, k: int) -> np.ndarray:
+    """The triangular factor R (k x k) of ``Z = Q R``, up to signs, by tree QR: every
+    partition reduces its rows to a k x k triangle, ``R_BUCKETS`` tasks reduce stacks of
+    triangles, and the driver the last ones.  Unlike a Gram matrix this squares no singular
+    value, so small ones keep their digits."""
+    def reduced(parts) -> np.ndarray:
+        acc = np.zeros((0, k))
+        for rows in parts:
+            if len(rows):
+                acc = np.linalg.qr(np.vstack((acc, rows)), mode="r")
+        return acc
+
+    def leaf(it):
+        R = reduced(np.vstack(pdf["vec"].to_numpy()).astype(np.float64) for pdf in it if len(pdf))
+        yield pd.DataFrame({"vec": list(R)})
 
-    partial = Z.select(F.pmod(F.spark_partition_id(), F.lit(GRAM_BUCKETS)).alias("_b"), "vec").mapInPandas(
-        part, "_b int, g array<double>")
-    summed = partial.groupBy("_b").agg(Summarizer.sum(array_to_vector("g")).alias("_s"))
-    out = np.zeros((k, k))
-    for r in summed.select(vector_to_array("_s").alias("g")).collect():  # at most GRAM_BUCKETS rows
-        out += np.asarray(r["g"]).reshape(k, k)
-    return out
+    def node(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"vec": list(reduced([np.vstack(pdf["vec"].to_numpy())]))})
+
+    leaves = Z.select("vec").mapInPandas(leaf, "vec array<double>")
+    nodes = leaves.withColumn("_b", F.pmod(F.spark_partition_id(), F.lit(R_BUCKETS))).groupBy("_b").applyInPandas(node, "vec array<double>")
+    R = reduced([np.array([r["vec"] for r in nodes.collect()])]) if k else np.zeros((0, 0))  # R_BUCKETS * k rows at most
+    return np.vstack((R, np.zeros((k - len(R), k))))
 
 
 def right_multiply(Z: DataFrame, M: np.ndarray) -> DataFrame:
@@ -85,42 +87,63 @@ def right_multiply(Z: DataFrame, M: np.ndarray) -> DataFrame:
     return Z.mapInPandas(part, f"id {id_type}, vec array<double>")
 
 
-def orthonormalize(Z: DataFrame, k: int) -> DataFrame:
-    """Tall-skinny QR by CholeskyQR2: ``Q = Z R^-1`` with R from the Gram matrix,
-    done twice for orthogonality.  Rank-deficient directions are dropped."""
+def orthonormalize(Z: DataFrame, k: int, seed: int = 97) -> DataFrame:
+    """Orthonormal columns that span those of ``Z`` (rows ``id, vec[k]``, k at most the
+    number of rows).  A direction that ``Z`` lacks to rounding error is replaced by a random one, so
+    all k columns come back.  Each pass is a tree QR and a product; two passes reach rounding error."""
     Q = Z
-    for _ in range(2):
-        Gm = gram(Q, k)
-        w, V = np.linalg.eigh(Gm)
-        keep = w > w.max() * 1e-12
-        # Q <- Q V diag(1/sqrt(w)) V^T restricted to the kept directions (symmetric orthonormaliser)
-        T = V[:, keep] @ np.diag(1 / np.sqrt(w[keep])) @ V[:, keep].T
-        Q = right_multiply(Q, T).checkpoint(eager=True)
+    for turn in range(3):
+        _, s, Vt = np.linalg.svd(r_factor(Q, k))
+        weak = s <= s[0] * 1e-13 if s[0] > 0 else np.ones(k, bool)
+        T = Vt.T / np.where(weak, 1.0, s)
+        T[:, weak] = 0.0
+        Q = right_multiply(Q, T)
+        if weak.any():
+            fill = gaussian_rows(Q.select("id"), k, seed + turn).withColumnRenamed("vec", "_g")
+            use = F.array(*[F.lit(1.0 if w else 0.0) for w in weak])
+            Q = Q.join(fill, "id").select("id", F.zip_with("vec", F.zip_with("_g", use, lambda g, u: g * u), lambda x, y: x + y).alias("vec"))
+        Q = materialize(Q, "basis")
+        if turn and not weak.any():
+            break
     return Q
 
 
-def randomized_svd(X: DataFrame, nodes: DataFrame, r: int, p: int = 10, q: int = 1, seed: int = 0,
-                   row_ids: DataFrame | None = None):
-    """Rank-r randomised SVD of a sparse matrix ``X(src, dst, w)`` (V1).
-
-    Z = X Omega; q power steps Z <- X (X^T Z); Q = qr(Z); Y = Q^T X; the small
-    SVD of Y comes from the eigen-decomposition of ``Y Y^T``.  Returns
-    ``(U rows: id, vec[r], singular values[r])`` ordered by |s| descending.
-    ``nodes``: ``id`` of the columns (for the sketch); ``row_ids`` unused rows.
-    """
-    k = r + p
-    omega = gaussian_rows(nodes, k, seed)
-    Z = spmm(X, omega).checkpoint(eager=True)
+def randomized_svd(X, nodes: DataFrame, r: int, p: int = 10, q: int = 1, seed: int = 0, rows: DataFrame | None = None):
+    """Rank-r randomised SVD of a sparse matrix ``X(src, dst, w)`` (V1), or of a sum of
+    products of such matrices (V2): ``X`` is then a list of products, each a list of matrices,
+    which are applied in turn and never multiplied out.
+
+    Z = X Omega; q power steps Z <- X (X^T Z), orthonormalised each time; Q = qr(Z);
+    Y = X^T Q; the small SVD comes from the triangular factor of Y.  ``nodes`` (``id``) are the
+    columns, ``rows`` the rows (the same if not given).  Returns ``(U rows: id, vec[r], singular
+    values[r])``, largest first; fewer than r only if the matrix is smaller."""
+    products = [[X]] if isinstance(X, DataFrame) else X
+    products = [[materialize(f.select("src", "dst", "w"), "factor") for f in own] for own in products]
+    nodes = materialize(nodes.select("id"), "columns")
+    rows = nodes if rows is None else materialize(rows.select("id"), "rows")
+    k = min(r + p, nodes.count(), rows.count())
+
+    def times(Z: DataFrame, transpose: bool) -> DataFrame:
+        """X Z or X^T Z with a row for every id (zero where the matrix has none)."""
+        total = None
+        for own in products:
+            Y = Z
+            for f in (own if transpose else own[::-1]):
+                Y = spmm(f, Y, transpose)
+            total = Y if total is None else total.unionByName(Y)
+        if len(products) > 1:
+            total = total.select("id", array_to_vector("vec").alias("_v")).groupBy("id").agg(Summarizer.sum(F.col("_v")).alias("_s")) \
+                .select("id", vector_to_array("_s").alias("vec"))
+        every = (nodes if transpose else rows).join(total, "id", "left")
+        return materialize(every.select("id", F.coalesce("vec", F.array_repeat(F.lit(0.0), k)).alias("vec")), "product")
+
+    Z = times(gaussian_rows(nodes, k, seed), False)
     for _ in range(q):
-        Z = spmm(X, spmm(X, Z, transpose=True)).checkpoint(eager=True)
+        Z = times(orthonormalize(times(orthonormalize(Z, k), True), k), False)
     Q = orthonormalize(Z, k)
-    Yt = spmm(X, Q, transpose=True)  # rows of Y^T = X^T Q (m x k)
-    Gy = gram(Yt, k)  # Y Y^T
-    w, UY = np.linalg.eigh(Gy)
-    s = np.sqrt(np.clip(w, 0, None))
-    order = np.argsort(np.abs(s))[::-1][:r]
-    U = right_multiply(Q, UY[:, order])
-    return U, s[order]
+    Yt = times(Q, True)  # rows of Y^T = X^T Q
+    UY, s, _ = np.linalg.svd(r_factor(Yt, k).T)
+    return right_multiply(Q, UY[:, :r]), s[:r]
 
 
 def laplacian_eigenmap(g: DataFrame, nodes: DataFrame, dim: int, seed: int = 0):
@@ -129,13 +152,8 @@ def laplacian_eigenmap(g: DataFrame, nodes: DataFrame, dim: int, seed: int = 0):
     singular vectors are the embedding (D11).  Returns ``id, vec``."""
     from citeweave.operators.graph import normalized_adjacency
 
-    L = normalized_adjacency(g)
-    U, s = randomized_svd(L, nodes, dim + 1, seed=seed)
-    order = np.argsort(s)[::-1][1:]
-    sel = np.zeros((len(s), len(order)))
-    for j, i in enumerate(order):
-        sel[i, j] = 1.0
-    return right_multiply(U, sel), s
+    U, s = randomized_svd(normalized_adjacency(g), nodes, dim + 1, seed=seed)
+    return U.select("id", F.slice("vec", 2, dim).alias("vec")), s
 
 
 def pca_2d(vectors: DataFrame, vec: str = "vec", key: str = "id", k: int = 2) -> DataFrame:

@@ -229,3 +229,125 @@ def test_exact_quantiles_match_numpy(spark):
 def test_keep_first_is_deterministic(spark):
     df = spark.createDataFrame([(1, 2, "b"), (1, 1, "z"), (1, 1, "a"), (2, 5, "q")], "k int, t int, s string")
     assert rows(relate.keep_first(df, ["k"], ["t", "s"]), "k", "t", "s") == [(1, 1, "a"), (2, 5, "q")]
+
+
+# ---- draws -------------------------------------------------------------------------
+
+def test_draws_are_independent(spark):
+    from citeweave.functions.columns import hash_int, hash_uniform
+
+    n = 20_000
+    ids = spark.range(n).select("id")
+    s = sample.trial_split(ids, "id", [1, 2, 3], 0.2).where("is_test").groupBy("id").agg(F.collect_set("trial").alias("t")).collect()
+    for a, b in ((1, 2), (2, 3), (1, 3)):
+        both = sum(a in r["t"] and b in r["t"] for r in s)
+        assert abs(both - 0.04 * n) < 5 * (0.04 * n) ** 0.5
+    u = np.array([[r[0], r[1], r[2]] for r in ids.select(
+        hash_uniform(F.lit(5), "id", F.lit(0)), hash_uniform(F.lit(5), "id", F.lit(1)), hash_uniform(F.lit(6), "id", F.lit(0))).collect()])
+    c = np.corrcoef(u, rowvar=False) - np.eye(3)
+    assert np.abs(c).max() < 0.03 and 0 <= u.min() and u.max() < 1 and np.abs(u.mean(0) - 0.5).max() < 0.01
+    far = spark.range(0, 4).select(hash_int(F.col("id") * ((1 << 31) - 1)).alias("h")).collect()
+    assert len({r["h"] for r in far}) == 4
+
+
+def test_pair_offsets_vary(spark):
+    df = spark.range(1000).select(F.col("id"))
+    pairs = sample.sample_with_replacement_pairs(df, ["id"], 3, seed=4).collect()
+    assert len(pairs) == 3000 and len({r["y_id"] - r["x_id"] for r in pairs}) > 1000
+
+
+def test_sample_n_takes_the_lowest_hashes(spark):
+    from citeweave.functions.columns import hash_int
+
+    df = spark.range(5000).select(F.col("id"))
+    order = [r["id"] for r in df.orderBy(hash_int(F.lit(3), F.col("id")), "id").collect()]
+    for n in (0, 1, 777, 4999, 5000, 9000):
+        assert sorted(r["id"] for r in sample.sample_n(df, ["id"], n, seed=3).collect()) == sorted(order[:n])
+
+
+# ---- neighbours --------------------------------------------------------------------
+
+@pytest.mark.parametrize("blocks", [1, 3, 40])
+def test_knn_ties_go_to_the_smallest_ids(spark, blocks):
+    df = spark.createDataFrame([(i, [1.0, 2.0, 3.0]) for i in range(200)] + [(500, [0.0, 0.0, 0.0])], "id long, vec array<double>")
+    nb = V.knn_search(df.where("id in (7, 500)"), df, 5, qid="id", tid="id", exclude_self=True, q_blocks=2, t_blocks=blocks)
+    got = {}
+    for r in nb.orderBy("qid", "rank").collect():
+        got.setdefault(r["qid"], []).append((r["nid"], r["dist"]))
+    assert got == {7: [(i, 0.0) for i in range(5)], 500: [(i, 14.0) for i in range(5)]}
+
+
+def test_knn_near_copies_keep_their_order(spark):
+    rows_ = [(i, [1e4 + i * 1e-5, 1.0]) for i in range(50)]
+    df = spark.createDataFrame(rows_, "id long, vec array<double>")
+    nb = V.knn_search(df.where("id = 0"), df, 6, qid="id", tid="id", exclude_self=True)
+    assert [r["nid"] for r in nb.orderBy("rank").collect()] == [1, 2, 3, 4, 5, 6]
+
+
+# ---- hubs --------------------------------------------------------------------------
+
+def test_edge_intervals_of_a_hub(spark):
+    """A star with one hub: intervals are those of a running sum over the whole row."""
+    e = spark.createDataFrame([(0, i) for i in range(1, 2001)] + [(i, 0) for i in range(1, 2001)], "src long, dst long")
+    g = e.withColumn("w", (F.col("dst") % 5 + 1).cast("double"))
+    got = [(r["dst"], r["lo"], r["hi"], r["deg"]) for r in G.cum_edges(g).where("src = 0").orderBy("dst").collect()]
+    w = np.array([d % 5 + 1 for d in range(1, 2001)], float)
+    hi = np.cumsum(w) / w.sum()
+    assert [x[0] for x in got] == list(range(1, 2001)) and {x[3] for x in got} == {2000}
+    assert np.allclose([x[2] for x in got], hi) and np.allclose([x[1] for x in got], np.concatenate(([0], hi[:-1])))
+    assert {(r["dst"], r["lo"], r["hi"]) for r in G.cum_edges(g).where("src = 9").collect()} == {(0, 0.0, 1.0)}
+
+
+def test_components_of_a_long_path_and_a_star(spark):
+    n = 600
+    path = [(i, i + 1) for i in range(n)]
+    star = [(10_000, 10_000 + i) for i in range(1, 300)]
+    df = spark.createDataFrame([*path, *star, (None, 3), (20_000, 20_000)], "a long, b long")
+    comp = {r["node"]: r["component"] for r in components.connected_components(df, "a", "b").collect()}
+    assert {comp[i] for i in range(n + 1)} == {0} and {comp[10_000 + i] for i in range(300)} == {10_000} and comp[20_000] == 20_000
+    assert components.connected_components(df.limit(0), "a", "b").collect() == []
+
+
+# ---- factorisation -----------------------------------------------------------------
+
+def test_svd_keeps_small_values(spark):
+    from citeweave.operators import linalg
+
+    d = [1, 0.5, 0.1, 0.05, 0.02, 0.008, 0.004, 0.002] + [1e-4] * 12
+    X = spark.createDataFrame([(i, i, float(v)) for i, v in enumerate(d)], "src long, dst long, w double")
+    nodes = spark.range(len(d)).select("id")
+    U, s = linalg.randomized_svd(X, nodes, 8, p=12, q=2, seed=1)
+    assert np.allclose(s, d[:8], atol=1e-6)
+    M = np.array([r["vec"] for r in U.orderBy("id").collect()])
+    assert np.allclose(M.T @ M, np.eye(8), atol=1e-9)
+
+
+def test_svd_of_a_sum_of_products_and_of_a_deficient_matrix(spark):
+    from citeweave.operators import linalg
+
+    rng = np.random.default_rng(2)
+    A, B, C = (np.where(rng.random((25, 25)) < 0.2, rng.normal(size=(25, 25)), 0) for _ in range(3))
+
+    def table(M):
+        return spark.createDataFrame([(int(i), int(j), float(M[i, j])) for i, j in zip(*np.nonzero(M))], "src long, dst long, w double")
+
+    nodes = spark.range(25).select("id")
+    U, s = linalg.randomized_svd([[table(A), table(B)], [table(C)]], nodes, 6, p=19, q=2, seed=5)
+    assert np.allclose(s, np.linalg.svd(A @ B + C)[1][:6], atol=1e-8)
+    low = np.outer(rng.normal(size=25), rng.normal(size=25))
+    U, s = linalg.randomized_svd(table(low), nodes, 5, p=5, q=1, seed=5)
+    M = np.array([r["vec"] for r in U.orderBy("id").collect()])
+    assert M.shape == (25, 5) and np.allclose(M.T @ M, np.eye(5), atol=1e-9)
+    assert np.isclose(s[0], np.linalg.svd(low)[1][0]) and np.all(s[1:] < 1e-9)
+
+
+def test_eigenmap_of_a_path(spark):
+    from citeweave.operators import linalg
+
+    n = 12
+    g = spark.createDataFrame([(i, i + 1) for i in range(n - 1)] + [(i + 1, i) for i in range(n - 1)], "src long, dst long").withColumn("w", F.lit(1.0))
+    emb, s = linalg.laplacian_eigenmap(g, spark.range(n).select("id"), 3, seed=3)
+    A = np.diag(np.ones(n - 1), 1) + np.diag(np.ones(n - 1), -1)
+    deg = A.sum(1)
+    assert np.allclose(s, np.sort(np.abs(np.linalg.eigvalsh(A / np.sqrt(np.outer(deg, deg)))))[::-1][:4], atol=1e-8)
+    assert {len(r["vec"]) for r in emb.collect()} == {3}
