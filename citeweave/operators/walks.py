@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from citeweave.functions.columns import hash_uniform
 from citeweave.operators import graph as G
 from citeweave.operators.prefix import dense_index
-from citeweave.session import fits_broadcast
+from citeweave.session import fits_broadcast, materialize
 
 # bytes per bucketed edge row (src, bucket, dst, lo, hi, dst_deg) used for the broadcast size check
 EDGE_ROW_BYTES = 64
@@ -40,7 +40,7 @@ def index_graph(g: DataFrame) -> tuple[DataFrame, DataFrame]:
 def bucketed_edges(g: DataFrame, with_dst_deg: bool = True) -> DataFrame:
     """``src, bucket, dst, lo, hi[, dst_deg]`` (see module doc)."""
     ce = G.cum_edges(g)
-    deg = ce.select(F.col("src").alias("dst"), F.col("deg").alias("dst_deg")).distinct()
+    deg = g.groupBy(F.col("src").alias("dst")).agg(F.count(F.lit(1)).alias("dst_deg"))
     first = F.floor(F.col("lo") * F.col("deg")).cast("long")
     last = F.least(F.floor(F.col("hi") * F.col("deg")).cast("long"), (F.col("deg") - 1).cast("long"))
     b = ce.select("src", "dst", "lo", "hi", F.explode(F.sequence(first, last)).alias("bucket"))
@@ -49,27 +49,31 @@ def bucketed_edges(g: DataFrame, with_dst_deg: bool = True) -> DataFrame:
     return b.join(deg, "dst", "left").fillna(0, ["dst_deg"])
 
 
+STEPS_PER_STORE = 10
+
+
 def _step(front: DataFrame, be: DataFrame, t: int, seed: int, restart_prob: float,
           restart_at_dangling: bool) -> DataFrame:
-    """Advance every live walker by one step (the frontier keeps ``walk_id,
-    start, cur, deg, start_deg, t``)."""
-    r = hash_uniform(F.lit(seed), F.col("walk_id"), F.lit(t), F.lit(0))
-    u = hash_uniform(F.lit(seed), F.col("walk_id"), F.lit(t), F.lit(1))
-    f = front.withColumn("_r", r).withColumn("_u", u)
-    dangling = F.col("deg") == 0
-    restart = (~dangling) & (F.col("_r") <= F.lit(restart_prob)) if restart_prob > 0 else F.lit(False)
-    jump = dangling | restart
-    out = []
+    """Advance every walker by one step (``walk_id, start, start_deg, cur, deg, path``;
+    ``cur`` is null once a walk has ended).  The path grows by the node reached."""
+    live = F.col("cur").isNotNull()
+    f = front.withColumn("_u", hash_uniform(F.lit(seed), F.col("walk_id"), F.lit(t), F.lit(1)))
+    jump = live & (F.col("deg") == 0)
+    if restart_prob > 0:
+        jump = live & ((F.col("deg") == 0) | (hash_uniform(F.lit(seed), F.col("walk_id"), F.lit(t), F.lit(0)) <= F.lit(restart_prob)))
+    f = f.withColumn("_jump", jump)
+    bucket = F.least(F.floor(F.col("_u") * F.col("deg")).cast("long"), (F.col("deg") - 1).cast("long"))
+    move = live & ~F.col("_jump")
+    # walkers that do not move get keys of their own, which match nothing and spread evenly
+    f = f.withColumn("_key", F.when(move, F.col("cur")).otherwise(-1 - F.col("walk_id"))).withColumn("_bucket", F.when(move, bucket).otherwise(F.lit(-1)))
+    e = be.select(F.col("src").alias("_key"), F.col("bucket").alias("_bucket"), "dst", "lo", "hi", "dst_deg")
+    j = f.join(e, (f["_key"] == e["_key"]) & (f["_bucket"] == e["_bucket"]) & (e["lo"] <= f["_u"]) & (f["_u"] < e["hi"]), "left")
+    cur, deg = F.col("dst"), F.col("dst_deg")
     if restart_at_dangling:
-        out.append(f.where(jump).select("walk_id", "start", F.col("start").alias("cur"),
-                                        F.col("start_deg").alias("deg"), "start_deg"))
-    move = f.where(~jump).withColumn("bucket", F.least(F.floor(F.col("_u") * F.col("deg")).cast("long"),
-                                                       (F.col("deg") - 1).cast("long")))
-    moved = move.join(be.withColumnRenamed("src", "cur"), ["cur", "bucket"]).where(
-        (F.col("lo") <= F.col("_u")) & (F.col("_u") < F.col("hi")))
-    out.append(moved.select("walk_id", "start", F.col("dst").alias("cur"), F.col("dst_deg").alias("deg"), "start_deg"))
-    res = out[0] if len(out) == 1 else out[0].unionByName(out[1])
-    return res.withColumn("t", F.lit(t))
+        cur = F.when(F.col("_jump"), F.col("start")).otherwise(cur)
+        deg = F.when(F.col("_jump"), F.col("start_deg")).otherwise(deg)
+    return j.select("walk_id", "start", "start_deg", cur.alias("cur"), deg.alias("deg"),
+                    F.when(cur.isNull(), F.col("path")).otherwise(F.concat("path", F.array(cur))).alias("path"))
 
 
 def random_walks(g: DataFrame, num_walks: int, walk_length: int, *, seed: int = 0, restart_prob: float = 0.0,
@@ -82,37 +86,38 @@ def random_walks(g: DataFrame, num_walks: int, walk_length: int, *, seed: int =
     jumps back to its start with ``restart_at_dangling``; with probability
     ``restart_prob`` a step restarts (jump to start) or ends the walk.
     Returns ``walk_id, start, t, node``.
+
+    The bucketed edge table is stored once; it is broadcast if its counted size is
+    small, else each step shuffles the walkers to it.  The walkers carry the nodes of
+    ``STEPS_PER_STORE`` steps before they are written, so lineage stays that deep.
     """
-    # The edge table is laid out once by (node, bucket) and stored; the stored
-    # layout keeps its partitioning, so every step shuffles only the frontier.
-    # Small edge tables are broadcast instead (after counting them).
-    n_parts = int(g.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    be = bucketed_edges(g).repartition(n_parts, "src", "bucket").checkpoint(eager=True)
+    g = materialize(g.select("src", "dst", "w"), "walk-graph")
+    be = materialize(bucketed_edges(g), "walk-edges")
     if fits_broadcast(be.count(), EDGE_ROW_BYTES):
         be = F.broadcast(be)
-    deg = G.cum_edges(g).select("src", "deg").distinct()
+    deg = g.groupBy(F.col("src").alias("start")).agg(F.count(F.lit(1)).alias("deg"))
     if start_nodes is None:
         start_nodes = G.nodes_of(g)
-    starts = start_nodes.select(F.col("node").cast("long").alias("start")).distinct()
-    starts = starts.join(deg.withColumnRenamed("src", "start"), "start", "left").fillna(0, ["deg"])
+    starts = start_nodes.select(F.col("node").cast("long").alias("start")).distinct().join(deg, "start", "left").fillna(0, ["deg"])
     front = starts.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(num_walks - 1).cast("long")))).select(
-        (F.col("start") * num_walks + F.col("rep")).alias("walk_id"), "start", F.col("start").alias("cur"),
-        F.col("deg").cast("long").alias("deg"), F.col("deg").cast("long").alias("start_deg"), F.lit(0).alias("t"))
-    front = front.checkpoint(eager=True)
-    steps = [front.select("walk_id", "start", "t", F.col("cur").alias("node"))]
-    sink_start = front.where(F.col("deg") == 0)
-    for t in range(1, walk_length):
-        # each frontier is written to the checkpoint dir: lineage stays one step
-        # deep, and the final union reads the stored steps instead of recomputing
-        front = _step(front, be, t, seed, restart_prob, restart_at_dangling).checkpoint(eager=True)
-        steps.append(front.select("walk_id", "start", "t", F.col("cur").alias("node")))
+        (F.col("start") * num_walks + F.col("rep")).alias("walk_id"), "start", F.col("deg").alias("start_deg"),
+        F.col("start").alias("cur"), "deg", F.array("start").alias("path"))
     if not restart_at_dangling and walk_length > 1:
         # a walker that starts at a sink records itself once more (t = 1)
-        steps.append(sink_start.select("walk_id", "start", F.lit(1).alias("t"), F.col("cur").alias("node")))
-    out = steps[0]
-    for s in steps[1:]:
-        out = out.unionByName(s)
-    return out
+        front = front.withColumn("path", F.when(F.col("deg") == 0, F.array("start", "start")).otherwise(F.col("path")))
+    front = materialize(front, "walkers0")
+    parts = [front.select("walk_id", "start", F.lit(0).alias("_t"), "path")]
+    for first in range(1, walk_length, STEPS_PER_STORE):
+        front = front.where(F.col("cur").isNotNull()).withColumn("path", F.array().cast("array<bigint>"))
+        for t in range(first, min(first + STEPS_PER_STORE, walk_length)):
+            front = _step(front, be, t, seed, restart_prob, restart_at_dangling)
+        front = materialize(front, f"walkers{first}")
+        parts.append(front.select("walk_id", "start", F.lit(first).alias("_t"), "path"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select("walk_id", "start", "_t", F.posexplode("path").alias("_p", "node")).select(
+        "walk_id", "start", (F.col("_t") + F.col("_p")).alias("t"), "node")
 
 
 def walk_arrays(walks: DataFrame) -> DataFrame:
@@ -176,7 +181,7 @@ def roulette(front: DataFrame, g: DataFrame, cur: str, u: str, out: str) -> Data
     the edge table ``g`` with probability proportional to the weight, using the
     row's uniform number ``u`` (G10).  Rows whose node has no out-edge drop."""
     be = bucketed_edges(g, with_dst_deg=False)
-    deg = G.cum_edges(g).select(F.col("src").alias("_cur"), F.col("deg").alias("_deg")).distinct()
+    deg = g.groupBy(F.col("src").alias("_cur")).agg(F.count(F.lit(1)).alias("_deg"))
     f = front.join(deg, front[cur] == deg["_cur"]).withColumn(
         "bucket", F.least(F.floor(F.col(u) * F.col("_deg")).cast("long"), (F.col("_deg") - 1).cast("long")))
     j = f.join(be.select(F.col("src").alias("_cur"), "bucket", F.col("dst").alias(out), "lo", "hi"), ["_cur", "bucket"])

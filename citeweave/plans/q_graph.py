@@ -17,6 +17,8 @@ from citeweave.plans.registry import register
 from citeweave.session import materialize
 from citeweave.sources import fixtures as fx
 
+# the walk corpus of the reference: walks a node, steps a walk, window, dimensions
+NUM_WALKS, WALK_LENGTH, WINDOW, DIM = 10, 80, 10, 128
 MAX_TURNS = 20  # passes of the negative-edge draw before it gives up with an error
 
 
@@ -181,18 +183,18 @@ def cit_graph(spark, d, mode="undirected"):
 # ================================================================== walks
 @register("random_walks", "G8 G2 G10", with_views(
     "SELECT w.walk_id, CAST(w.t AS INTEGER) AS t, n.node FROM walks w JOIN nidx n ON w.cur = n.idx",
-    "bipartite_edges", extra=BIP_VIEWS + [cum_view(), ("walks", walk_sql(2, 10, 1))]))
+    "bipartite_edges", extra=BIP_VIEWS + [cum_view(), ("walks", walk_sql(NUM_WALKS, WALK_LENGTH, 1))]))
 def q_random_walks(spark, d):
     nodes, gi = bip_graph(spark, d)
-    w = W.random_walks(gi, 2, 10, seed=1).withColumnRenamed("node", "node_i")
+    w = W.random_walks(gi, NUM_WALKS, WALK_LENGTH, seed=1).withColumnRenamed("node", "node_i")
     return w.join(nodes.select(F.col("idx").alias("node_i"), "node"), "node_i").select("walk_id", F.col("t").cast("int"), "node")
 
 
 @register("random_walks_restart", "G9", with_views(
     "SELECT walk_id, CAST(t AS INTEGER) AS t, cur AS node FROM walks", "citations",
-    extra=[CIT_DIR, cum_view(), ("walks", walk_sql(2, 8, 2, restart=0.1))]))
+    extra=[CIT_DIR, cum_view(), ("walks", walk_sql(NUM_WALKS, WALK_LENGTH, 2, restart=0.01))]))
 def q_random_walks_restart(spark, d):
-    w = W.random_walks(cit_graph(spark, d, "to_cited"), 2, 8, seed=2, restart_prob=0.1)
+    w = W.random_walks(cit_graph(spark, d, "to_cited"), NUM_WALKS, WALK_LENGTH, seed=2, restart_prob=0.01)
     return w.select("walk_id", F.col("t").cast("int"), "node")
 
 
@@ -221,25 +223,25 @@ def q_node2vec_edges(spark, d):
 @register("random_walks_biased", "G12 G11", with_views(
     f"""SELECT walk_id, CAST(t AS INTEGER) AS t, node FROM (
           WITH RECURSIVE walk(walk_id, t, cur, node) AS (
-            SELECT s.n * 2 + r.r, 0, s.n, s.node FROM starts s CROSS JOIN range(2) r(r)
+            SELECT s.n * {NUM_WALKS} + r.r, 0, s.n, s.node FROM starts s CROSS JOIN range({NUM_WALKS}) r(r)
             UNION ALL
             SELECT w.walk_id, w.t + 1, e.dst, e.nxt FROM walk w JOIN ce e ON e.src = w.cur
-            WHERE w.t + 1 < 6 AND e.lo <= {uniform_sql('3', 'w.walk_id', 'w.t + 1', '1')}
+            WHERE w.t + 1 < {WALK_LENGTH} AND e.lo <= {uniform_sql('3', 'w.walk_id', 'w.t + 1', '1')}
               AND {uniform_sql('3', 'w.walk_id', 'w.t + 1', '1')} < e.hi)
           SELECT * FROM walk)""", "citations", extra=_so_views(0.5, 2.0)))
 def q_random_walks_biased(spark, d):
-    w = W.second_order_walks(cit_graph(spark, d), 2, 6, 0.5, 2.0, seed=3)
+    w = W.second_order_walks(cit_graph(spark, d), NUM_WALKS, WALK_LENGTH, 0.5, 2.0, seed=3)
     return w.select("walk_id", F.col("t").cast("int"), "node")
 
 
 @register("context_pairs", "W11 G13 G14 A16 P24", with_views(
     """SELECT a.cur AS center, b.cur AS context, CAST(count(*) AS DOUBLE) AS freq
-       FROM walks a JOIN walks b ON a.walk_id = b.walk_id AND b.t BETWEEN a.t + 1 AND a.t + 3
-       WHERE a.t < 10 - 3 GROUP BY a.cur, b.cur""",
-    "bipartite_edges", extra=BIP_VIEWS + [cum_view(), ("walks", walk_sql(2, 10, 1))]))
+       FROM walks a JOIN walks b ON a.walk_id = b.walk_id AND b.t BETWEEN a.t + 1 AND a.t + """ + f"""{WINDOW}
+       WHERE a.t < {WALK_LENGTH} - {WINDOW} GROUP BY a.cur, b.cur""",
+    "bipartite_edges", extra=BIP_VIEWS + [cum_view(), ("walks", walk_sql(NUM_WALKS, WALK_LENGTH, 1))]))
 def q_context_pairs(spark, d):
     _, gi = bip_graph(spark, d)
-    return W.context_pairs(W.random_walks(gi, 2, 10, seed=1), 3, 10)
+    return W.context_pairs(W.random_walks(gi, NUM_WALKS, WALK_LENGTH, seed=1), WINDOW, WALK_LENGTH)
 
 
 @register("rolling_windows", "W10 G13", with_views(
@@ -248,10 +250,10 @@ def q_context_pairs(spark, d):
                 ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS win,
                 count(*) OVER (PARTITION BY walk_id ORDER BY t ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS c
          FROM walks) WHERE c = 3""",
-    "bipartite_edges", extra=BIP_VIEWS + [cum_view(), ("walks", walk_sql(2, 10, 1))]))
+    "bipartite_edges", extra=BIP_VIEWS + [cum_view(), ("walks", walk_sql(NUM_WALKS, WALK_LENGTH, 1))]))
 def q_rolling_windows(spark, d):
     _, gi = bip_graph(spark, d)
-    arr = W.walk_arrays(W.random_walks(gi, 2, 10, seed=1))
+    arr = W.walk_arrays(W.random_walks(gi, NUM_WALKS, WALK_LENGTH, seed=1))
     ex = arr.select("walk_id", F.posexplode(W.rolling_windows("nodes", 3)).alias("pos", "win"))
     return ex.select("walk_id", F.col("pos").cast("int"), F.concat_ws(",", F.transform("win", lambda x: x.cast("string"))).alias("win"))
 
