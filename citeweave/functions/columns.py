@@ -74,6 +74,11 @@ def hash_int(*parts: Column | str | int) -> Column:
     return F.conv(F.substr(F.md5(F.concat_ws("|", *texts)), F.lit(1), F.lit(HASH_BITS // 4)), 16, 10).cast("bigint")
 
 
+def text_hash_int(c: Column | str) -> Column:
+    """:func:`hash_int` of a text."""
+    return F.conv(F.substr(F.md5(col_(c)), F.lit(1), F.lit(HASH_BITS // 4)), 16, 10).cast("bigint")
+
+
 def hash_uniform(*parts: Column | str | int) -> Column:
     """Uniform double in [0, 1) from the top 53 bits of :func:`hash_int`."""
     return F.shiftright(hash_int(*parts), HASH_BITS - UNIT_BITS).cast("double") / float(1 << UNIT_BITS)

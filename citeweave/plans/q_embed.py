@@ -11,10 +11,12 @@ from citeweave.operators import walks as W
 from citeweave.operators.sample import sample_fraction, sample_n
 from citeweave.plans.fixture_sql import with_views
 from citeweave.plans.q_core import network, pacs
-from citeweave.plans.q_graph import BIP_VIEWS, CIT_UND, bip_graph, cit_graph, cum_view, walk_sql
+from citeweave.plans.q_graph import (
+    BIP_VIEWS, CIT_UND, DIM, NUM_WALKS, WALK_LENGTH, WINDOW, bip_graph, cit_graph, cum_view, walk_sql)
 from citeweave.plans.q_text_sets import _html_sql
 from citeweave.plans.registry import register
 from citeweave.plans.sqlparts import clean_codes_views, modal_view, network_views
+from citeweave.session import materialize, scratch_table_path
 from citeweave.sources import fixtures as fx
 
 
@@ -22,6 +24,11 @@ def R6(c):
     return F.round(c, 6)
 
 
+def _walk_pairs(gi):
+    """Centre/context counts of the walk corpus, stored: several aggregates read them."""
+    return materialize(W.context_pairs(W.random_walks(gi, NUM_WALKS, WALK_LENGTH, seed=1), WINDOW, WALK_LENGTH), "walk-pairs")
+
+
 def _ids(g):
     return G.nodes_of(g).select(F.col("node").alias("id"))
 
@@ -30,7 +37,30 @@ def _ids(g):
 def q_truncated_svd(spark, d):
     g = cit_graph(spark, d)
     L = G.normalized_adjacency(g)
-    _, s = linalg.randomized_svd(L, _ids(g), 8, seed=1)
+    _, s = linalg.randomized_svd(L, _ids(g), DIM, seed=1)
+    return spark.createDataFrame([(i, float(round(v, 6))) for i, v in enumerate(s)], "component int, singular_value double")
+
+
+@register("svd_invariants", "V1 V3 W8", with_views(
+    f"""SELECT 'largest value' AS what, 0 AS i, 1.0 AS value
+        UNION ALL SELECT 'column length', c.i, 1.0 FROM range({DIM}) c(i)
+        UNION ALL SELECT 'values out of order', 0, 0.0""", "citations"))
+def q_svd_invariants(spark, d):
+    """A symmetric normalised adjacency has the largest singular value 1, and singular vectors have length 1."""
+    g = cit_graph(spark, d)
+    U, s = linalg.randomized_svd(G.normalized_adjacency(g), _ids(g), DIM, q=2, seed=1)
+    of_col = U.select(F.posexplode("vec").alias("i", "x")).groupBy("i").agg(R6(F.sqrt(F.sum(F.col("x") * F.col("x")))).alias("value"))
+    scalars = [("largest value", 0, float(round(s[0], 2))), ("values out of order", 0, float((s[1:] > s[:-1] + 1e-12).sum()))]
+    return of_col.select(F.lit("column length").alias("what"), F.col("i").cast("int").alias("i"), "value").unionByName(
+        spark.createDataFrame(scalars, "what string, i int, value double"))
+
+
+@register("svd_of_sum", "V2 V1")
+def q_svd_of_sum(spark, d):
+    """Singular values of P + P^2, the products applied in turn and never formed."""
+    g = cit_graph(spark, d)
+    P = G.transition_matrix(g).select("src", "dst", F.col("p").alias("w"))
+    _, s = linalg.randomized_svd([[P], [P, P]], _ids(g), DIM, seed=4)
     return spark.createDataFrame([(i, float(round(v, 6))) for i, v in enumerate(s)], "component int, singular_value double")
 
 
@@ -59,7 +89,7 @@ def q_matrix_chain(spark, d):
 @register("laplacian_eigenmap", "V3 G18 V1 W8 D11")
 def q_laplacian_eigenmap(spark, d):
     g = cit_graph(spark, d)
-    emb, _ = linalg.laplacian_eigenmap(g, _ids(g), 8, seed=1)
+    emb, _ = linalg.laplacian_eigenmap(g, _ids(g), DIM, seed=1)
     return emb.select(F.col("id").alias("node"), "vec")
 
 
@@ -69,13 +99,13 @@ def q_laplacian_eigenmap(spark, d):
        FROM cp c JOIN (SELECT center, sum(freq) AS tot FROM cp GROUP BY center) t ON c.center = t.center
        JOIN (SELECT src, sum(w) AS deg FROM gi GROUP BY src) d ON c.context = d.src
        CROSS JOIN (SELECT sum(w) AS two_m FROM gi) m""",
-    "bipartite_edges", extra=BIP_VIEWS + [cum_view(), ("walks", walk_sql(2, 10, 1)),
+    "bipartite_edges", extra=BIP_VIEWS + [cum_view(), ("walks", walk_sql(NUM_WALKS, WALK_LENGTH, 1)),
                                           ("cp", """SELECT a.cur AS center, b.cur AS context, CAST(count(*) AS DOUBLE) AS freq
-                                                    FROM walks a JOIN walks b ON a.walk_id = b.walk_id AND b.t BETWEEN a.t + 1 AND a.t + 3
-                                                    WHERE a.t < 10 - 3 GROUP BY a.cur, b.cur""")]))
+                                                    FROM walks a JOIN walks b ON a.walk_id = b.walk_id AND b.t BETWEEN a.t + 1 AND a.t + """ + f"""{WINDOW}
+                                                    WHERE a.t < {WALK_LENGTH} - {WINDOW} GROUP BY a.cur, b.cur""")]))
 def q_residual2vec(spark, d):
     _, gi = bip_graph(spark, d)
-    pairs = W.context_pairs(W.random_walks(gi, 2, 10, seed=1), 3, 10)
+    pairs = _walk_pairs(gi)
     R = linalg.residual_matrix(pairs, gi)
     return R.select("src", "dst", R6(F.col("w")).alias("w"))
 
@@ -83,9 +113,8 @@ def q_residual2vec(spark, d):
 @register("residual2vec_embedding", "V5 V1")
 def q_residual2vec_embedding(spark, d):
     _, gi = bip_graph(spark, d)
-    pairs = W.context_pairs(W.random_walks(gi, 2, 10, seed=1), 3, 10)
-    R = linalg.residual_matrix(pairs, gi).checkpoint(eager=True)
-    U, s = linalg.randomized_svd(R, _ids(gi), 16, seed=2)
+    pairs = _walk_pairs(gi)
+    U, s = linalg.randomized_svd(linalg.residual_matrix(pairs, gi), _ids(gi), DIM, seed=2)
     return linalg.factor_embedding(U, s).select(F.col("id").alias("node"), "vec")
 
 
@@ -94,25 +123,52 @@ def q_pca_2d(spark, d):
     return linalg.pca_2d(fx.raw_vectors(spark, d), "vec", "id")
 
 
+def _node2vec(spark, d):
+    nodes, gi = bip_graph(spark, d)
+    nodes = materialize(nodes.select(F.col("idx").alias("id"), F.col("node").alias("name")), "node-names")
+    emb = embed.node2vec_embedding(_walk_pairs(materialize(gi, "node2vec-graph")), nodes.select("id"), DIM, seed=1)
+    return embed.load_vectors(spark, embed.save_vectors(emb, nodes, scratch_table_path(spark, "node2vec")))
+
+
 @register("node2vec", "V4 S11 G8 G13")
 def q_node2vec(spark, d):
-    nodes, gi = bip_graph(spark, d)
-    walks = W.random_walks(gi, 2, 10, seed=1)
-    emb = embed.node2vec_embedding(walks, dim=32, window=5, seed=1)
-    return emb.join(nodes.select(F.col("idx").cast("string").alias("node"), F.col("node").alias("name")), "node") \
-        .select("name", "vec")
+    return _node2vec(spark, d).select("name", "vec")
+
+
+def _shape(vectors, key):
+    """What SQL can tell of vectors: every key once, the dimension, and whether all numbers are finite."""
+    bad = F.exists("vec", lambda x: F.isnan(x) | x.isNull() | (F.abs(x) == float("inf")))
+    return vectors.select(key, F.size("vec").alias("dim"), (~bad).alias("finite"))
+
+
+@register("node2vec_rows", "V4 S11", with_views(
+    f"SELECT node AS name, CAST({DIM} AS INTEGER) AS dim, true AS finite FROM nidx", "bipartite_edges", extra=BIP_VIEWS[:2]))
+def q_node2vec_rows(spark, d):
+    return _shape(_node2vec(spark, d), "name")
+
+
+def _doc_vectors(spark, d):
+    return embed.document_vectors(fx.table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", DIM, seed=1)
 
 
 @register("doc_vectors", "V6 D4")
 def q_doc_vectors(spark, d):
-    docs = fx.table(spark, d, "documents").select("doc_id", "text")
-    return embed.document_vectors(docs, "doc_id", "text", dim=32, seed=1)
+    return _doc_vectors(spark, d)
+
+
+@register("doc_vector_rows", "V6", f"SELECT doc_id, CAST(least({DIM}, (SELECT count(*) FROM documents)) AS INTEGER) AS dim, true AS finite FROM documents")
+def q_doc_vector_rows(spark, d):
+    return _shape(_doc_vectors(spark, d), "doc_id")
 
 
-@register("text_embed", "V7")
+@register("text_embed", "V7", f"""
+    WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS w FROM documents WHERE text <> ''),
+    c AS (SELECT doc_id, CAST(CAST('0x' || substr(md5(w), 1, 15) AS BIGINT) % {DIM} AS INTEGER) AS bucket, count(*) AS n FROM t GROUP BY ALL)
+    SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS weight FROM c""")
 def q_text_embed(spark, d):
     docs = fx.table(spark, d, "documents").select("doc_id", "text")
-    return embed.embed_texts(docs, "doc_id", "text", embed.hashing_encoder(128))
+    v = embed.embed_texts(docs, "doc_id", "text", embed.hashing_encoder(DIM))
+    return v.select("doc_id", F.posexplode("vec").alias("bucket", "weight")).where("weight > 0").select("doc_id", "bucket", R6(F.col("weight")).alias("weight"))
 
 
 @register("embedding_enrich", "V17 M1 J7 J17 J12 W1", with_views(
