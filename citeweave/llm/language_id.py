@@ -24,7 +24,7 @@ PIECES, PIECE_CHARS = 4, 160  # pieces of each of them
 HIDDEN = 10  # units in each direction
 WIDTH = 96  # bytes in a window when scoring
 TRAIN_WIDTH, TRAIN_BATCH, STEPS = 48, 192, 320
-ROWS = 4096  # windows scored at a time
+ROWS = 2048  # windows scored at a time
 PAD = 256
 MIN_SCORE = 0.35  # of a document that counts as being in a language
 LETTER = re.compile(r"[^\W\d_]")
@@ -238,7 +238,7 @@ def has_letter(text: bytes | None) -> bool:
 def answers(net: Network | None, texts: list) -> tuple[list[str], list[float]]:
     """Language and score of each text."""
     lang, score = ["und"] * len(texts), [0.0] * len(texts)
-    for i, j in sub_batches(texts, 8 << 20):
+    for i, j in sub_batches(texts, 2 << 20):
         known = [k for k in range(i, j) if net and has_letter(texts[k])]
         if known:
             p = net.documents([texts[k] for k in known])
