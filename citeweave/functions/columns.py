@@ -111,21 +111,8 @@ def cosine_similarity(a: Column | str, b: Column | str) -> Column:
     return F.when(den > 0, dot(a, b) / den)
 
 
-def cosine_distance(a: Column | str, b: Column | str) -> Column:
-    return F.lit(1.0) - cosine_similarity(a, b)
-
-
 def l2_normalize(a: Column | str) -> Column:
     """Divide by the L2 norm; a zero vector stays unchanged."""
     n = norm2(a)
     return F.when(n > 0, F.transform(col_(a), lambda x: x.cast("double") / n)).otherwise(
         F.transform(col_(a), lambda x: x.cast("double")))
-
-
-def vec_sub(a: Column | str, b: Column | str) -> Column:
-    return F.zip_with(col_(a), col_(b), lambda x, y: x.cast("double") - y.cast("double"))
-
-
-def sq_dist(a: Column | str, b: Column | str) -> Column:
-    return F.aggregate(F.zip_with(col_(a), col_(b), lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))),
-                       F.lit(0.0), lambda acc, x: acc + x)

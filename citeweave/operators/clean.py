@@ -7,8 +7,10 @@ reach the Parquet scan and the expressions run inside whole-stage codegen.
 from __future__ import annotations
 
 import datetime as _dt
+import html
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,11 +121,6 @@ def pacs_table(raw_wide: DataFrame, key: str = "doi") -> DataFrame:
 
 # ---- text ----------------------------------------------------------------------
 
-# Named character references decoded by the SQL-mode HTML cleaner
-# (the full HTML5 table is handled by the parser mode).
-HTML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-                 ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
-
 # Markup removal in one pass: keep the raw text of script/style elements (as
 # html.parser does), drop every other tag.  Comments and declarations go first.
 _RE_COMMENT = r"(?s)<!--.*?-->"
@@ -131,24 +128,28 @@ _RE_DECL = r"<![^>]*>"
 _RE_TAGS = r"(?s)<script[^>]*>(.*?)</script\s*>|<style[^>]*>(.*?)</style\s*>|<[^>]*>"
 
 
+def _references():
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: html.unescape(t) if t is not None and "&" in t else t)
+
+    return run
+
+
 def html_to_text_expr(c: Column | str) -> Column:
-    """HTML -> text as JVM regex expressions: strip comments, declarations and
-    tags (script/style text kept), decode the fixed entity set, delete stray
-    ``/emph>``, strip whitespace (P9, SQL mode)."""
+    """HTML -> text: strip comments, declarations and tags (script/style text kept) by JVM
+    regular expressions, resolve every named and numeric character reference of HTML 5 in Arrow
+    batches, delete stray ``/emph>``, strip whitespace (P9, SQL mode)."""
     s = F.regexp_replace(col_(c), _RE_COMMENT, "")
     s = F.regexp_replace(s, _RE_DECL, "")
     s = F.regexp_replace(s, _RE_TAGS, "$1$2")
-    for ent, ch in HTML_ENTITIES:
-        s = F.replace(s, F.lit(ent), F.lit(ch))
-    s = F.replace(s, F.lit("/emph>"), F.lit(""))
+    s = F.replace(_references()(s), F.lit("/emph>"), F.lit(""))
     return strip_ws(s)
 
 
 def _html_parser_text(series):
     import html.parser
 
-    import pandas as pd
-
     class _Text(html.parser.HTMLParser):
         def __init__(self):
             super().__init__(convert_charrefs=True)

@@ -61,13 +61,6 @@ def sample_n(df: DataFrame, key: Sequence[str], n: int, seed: int = 0) -> DataFr
     return d.where(F.col("_b") < cut).unionByName(last).drop("_h", "_b")
 
 
-def balanced_strata(df: DataFrame, key: Sequence[str], stratum: str, sizes: DataFrame, seed: int = 0) -> DataFrame:
-    """Per stratum keep ``size`` rows (M5); ``sizes``: ``stratum, size`` (one row
-    per stratum)."""
-    r = with_hash_rank(df, key, seed, group=stratum)
-    return r.join(F.broadcast(sizes), stratum).where(F.col("_rank") < F.col("size")).drop("_rank", "size")
-
-
 def sample_with_replacement_pairs(rows: DataFrame, order: Sequence[str], factor: int, seed: int = 0) -> DataFrame:
     """``factor * n`` draws with replacement, twice, zipped by position.
 

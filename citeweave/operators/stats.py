@@ -10,10 +10,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.operators.prefix import average_ranks, dense_index
+from citeweave.operators.prefix import average_ranks, dense_index, prefix_sums
 
 # ---- scalar distribution functions (driver, stdlib only) -------------------------
 
@@ -85,20 +86,26 @@ def t_ppf(p: float, df: float) -> float:
 # ---- rank tests -------------------------------------------------------------------
 
 
-def kruskal(df: DataFrame, group: str, value: str) -> dict:
-    """Kruskal-Wallis H over the groups, tie-corrected, chi-square p.
-    Ranks are computed on the distinct-value histogram (distributed)."""
+def _tail(fn, *cols):
+    """A distribution function of Python applied to columns in Arrow batches (a few rows a group)."""
+    @F.pandas_udf("double")
+    def run(*values: pd.Series) -> pd.Series:
+        return pd.Series([None if any(pd.isna(x) for x in row) else float(fn(*row)) for row in zip(*values)], dtype="float64")
+
+    return run(*cols)
+
+
+def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Kruskal-Wallis test over the groups, tie-corrected: one row ``h, df, n, p``.
+    Ranks are computed on the distinct-value histogram (distributed); p is the chi-square tail."""
     v = df.where(F.col(value).isNotNull()).select(group, value)
     ranks = average_ranks(v, value)
-    per = v.join(ranks.select(value, "rank"), value).groupBy(group).agg(
-        F.sum("rank").alias("R"), F.count(F.lit(1)).alias("n")).collect()
-    ties = ranks.agg(F.sum(F.pow("n", 3) - F.col("n")).alias("t")).collect()[0]["t"] or 0.0
-    N = sum(r["n"] for r in per)
-    H = 12.0 / (N * (N + 1)) * sum(r["R"] ** 2 / r["n"] for r in per) - 3 * (N + 1)
-    H /= 1 - ties / (N ** 3 - N)
-    dfree = len(per) - 1
-    p = chi2_sf_df3(H) if dfree == 3 else _chi2_sf(H, dfree)
-    return {"H": H, "df": dfree, "p": p, "N": N}
+    per = v.join(ranks.select(value, "rank"), value).groupBy(group).agg(F.sum("rank").alias("R"), F.count(F.lit(1)).cast("double").alias("m"))
+    sums = per.agg(F.sum(F.col("R") * F.col("R") / F.col("m")).alias("sr"), F.sum("m").alias("N"), (F.count(F.lit(1)) - 1).alias("df"))
+    ties = ranks.agg(F.coalesce(F.sum(F.pow("n", 3) - F.col("n")), F.lit(0.0)).alias("t")).first()["t"]  # a scalar
+    N = F.col("N")
+    h = (12.0 / (N * (N + 1)) * F.col("sr") - 3 * (N + 1)) / (1 - F.lit(float(ties)) / (F.pow(N, 3) - N))
+    return sums.select(h.alias("h"), "df", N.cast("long").alias("n")).withColumn("p", _tail(_chi2_sf, F.col("h"), F.col("df")))
 
 
 def _chi2_sf(x: float, k: int) -> float:
@@ -128,20 +135,22 @@ def _chi2_sf(x: float, k: int) -> float:
     return math.exp(-xx + a * math.log(xx) - math.lgamma(a)) * h
 
 
-def wilcoxon_less(df: DataFrame, value: str, mu: float) -> dict:
-    """One-sided (``less``) Wilcoxon signed-rank test of ``value - mu``, zero
-    differences dropped, tie-corrected normal approximation without continuity
-    correction (E7).  T = sum of ranks of the positive differences."""
-    d = df.select((F.col(value) - F.lit(mu)).alias("d")).where(F.col("d").isNotNull() & (F.col("d") != 0))
-    a = d.select(F.abs("d").alias("a"), (F.col("d") > 0).alias("pos"))
-    ranks = average_ranks(a, "a")
-    T = a.where("pos").join(ranks.select("a", "rank"), "a").agg(F.sum("rank").alias("T")).collect()[0]["T"] or 0.0
-    agg = ranks.agg(F.sum("n").alias("n"), F.sum(F.pow("n", 3) - F.col("n")).alias("t")).collect()[0]
-    n, ties = agg["n"] or 0.0, agg["t"] or 0.0
-    mn = n * (n + 1) / 4
-    se = math.sqrt((n * (n + 1) * (2 * n + 1) - 0.5 * ties) / 24) if n else float("nan")
-    z = (T - mn) / se if n else float("nan")
-    return {"n": int(n), "T": T, "z": z, "p": norm_cdf(z) if n else float("nan")}
+def wilcoxon_less(df: DataFrame, group: str, value: str, mu: str) -> DataFrame:
+    """One-sided (``less``) Wilcoxon signed-rank tests of ``value - mu`` (two columns) for all
+    groups in one job: zero differences take no rank, tie-corrected normal approximation without
+    continuity correction (E7).  ``group, n`` (all values), ``n_used, T`` (rank sum of the positive
+    differences), ``z, p``."""
+    d = df.select(group, (F.col(value) - F.col(mu)).alias("_d")).where(F.col("_d").isNotNull())
+    hist = d.where(F.col("_d") != 0).groupBy(group, F.abs("_d").alias("_a")).agg(
+        F.count(F.lit(1)).cast("double").alias("_c"), F.sum((F.col("_d") > 0).cast("double")).alias("_pos"))
+    cum = prefix_sums(hist, [group, "_a"], ["_c"], inclusive=False)
+    base = cum.groupBy(group).agg(F.min("cum__c").alias("_b"))
+    ranked = cum.join(F.broadcast(base), group).withColumn("_rank", F.col("cum__c") - F.col("_b") + (F.col("_c") + 1) / 2)
+    m = F.col("n_used")
+    out = d.groupBy(group).agg(F.count(F.lit(1)).alias("n")).join(ranked.groupBy(group).agg(
+        F.sum("_c").alias("n_used"), F.sum(F.col("_rank") * F.col("_pos")).alias("T"), F.sum(F.pow("_c", 3) - F.col("_c")).alias("_ties")), group, "left")
+    z = (F.col("T") - m * (m + 1) / 4) / F.sqrt((m * (m + 1) * (2 * m + 1) - 0.5 * F.col("_ties")) / 24)
+    return out.select(group, "n", F.coalesce(m, F.lit(0.0)).cast("long").alias("n_used"), "T", z.alias("z")).withColumn("p", _tail(norm_cdf, F.col("z")))
 
 
 # ---- moment tests (fully in Spark expressions) ----------------------------------------
@@ -181,23 +190,20 @@ def group_moments(df: DataFrame, group: str, value: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
 
 
-def ttest_1samp(df: DataFrame, value: str, mu: float) -> dict:
-    """One-sample t-test (E9): T, two-sided and ``less`` p-values."""
-    r = df.where(F.col(value).isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("m"),
-                                               F.stddev_samp(value).alias("s")).collect()[0]
-    n, m, s = r["n"], r["m"], r["s"]
-    T = (m - mu) / (s / math.sqrt(n))
-    cdf = t_cdf(T, n - 1)
-    return {"n": n, "mean": m, "T": T, "p_two_sided": 2 * min(cdf, 1 - cdf), "p_less": cdf}
+def ttest_1samp(df: DataFrame, group: str, value: str, mu: float) -> DataFrame:
+    """One-sample t-tests of every group's mean against ``mu`` (E9): ``group, n, mean, sd, T,
+    p_two_sided, p_less``."""
+    m = group_moments(df, group, value).withColumn("T", (F.col("mean") - F.lit(float(mu))) / (F.col("sd") / F.sqrt("n")))
+    m = m.withColumn("p_less", _tail(t_cdf, F.col("T"), F.col("n") - 1))
+    return m.withColumn("p_two_sided", 2 * F.least(F.col("p_less"), 1 - F.col("p_less")))
 
 
-def mean_ci(df: DataFrame, group: str, value: str, confidence: float = 0.95) -> list[dict]:
-    """Mean with a t-based confidence interval per group (E10, D16: mean, lo, hi)."""
-    out = []
-    for r in group_moments(df, group, value).collect():  # one row per group
-        h = t_ppf((1 + confidence) / 2, r["n"] - 1) * r["sd"] / math.sqrt(r["n"])
-        out.append({group: r[group], "mean": r["mean"], "lo": r["mean"] - h, "hi": r["mean"] + h})
-    return out
+def mean_ci(df: DataFrame, group: str, value: str, confidence: float = 0.95) -> DataFrame:
+    """Mean with a t-based confidence interval per group (E10, D16): ``group, n, mean, sd, lo, hi``."""
+    m = group_moments(df, group, value)
+    q = _tail(lambda n: t_ppf((1 + confidence) / 2, n - 1), F.col("n").cast("double"))
+    half = F.col("_q") * F.col("sd") / F.sqrt("n")
+    return m.withColumn("_q", q).select(group, "n", "mean", "sd", (F.col("mean") - half).alias("lo"), (F.col("mean") + half).alias("hi"))
 
 
 # ---- summaries ----------------------------------------------------------------------
@@ -244,7 +250,7 @@ def kde_grid(df: DataFrame, group: str, value: str, start: float = 0.0, stop: fl
     npts = int(round((stop - start) / step))
     grid = [start + i * step for i in range(npts)]
     mom = group_moments(df, group, value).select(group, "n", (F.pow(F.col("n"), -0.2) * F.col("sd")).alias("h"))
-    j = df.where(F.col(value).isNotNull()).join(F.broadcast(mom) if False else mom, group)
+    j = df.where(F.col(value).isNotNull()).join(mom, group)
     g = F.array(*[F.lit(float(x)) for x in grid])
     contrib = F.transform(g, lambda x: F.exp(-F.pow(x - F.col(value), 2) / (2 * F.col("h") * F.col("h"))))
     ex = j.select(group, "n", "h", F.posexplode(contrib).alias("i", "k"))

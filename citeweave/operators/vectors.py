@@ -58,26 +58,32 @@ def centroid_arrays(cent: DataFrame, group: Sequence[str]) -> DataFrame:
         *g, F.transform("_s", lambda x: x["c"]).alias("centroid"))
 
 
-def radius_of_gyration(vectors: DataFrame, codes: DataFrame, levels: Sequence[str],
-                       key: str = "doi", vec: str = "vec") -> DataFrame:
-    """Radius of gyration per class for several code levels in one pass
-    (V15, J7, A6, J16, A7, A8).
-
-    ``codes``: ``key`` plus one column per level (e.g. ``pacs_code_1``...); the
-    level name in the output is the suffix after the last ``_``.  Each distinct
-    (paper, level, code) is one member; ROG = mean squared cosine distance of
-    members to the class centroid; ``paper_ct`` = distinct members.
-    """
+def class_members(vectors: DataFrame, codes: DataFrame, levels: Sequence[str], key: str = "doi", vec: str = "vec") -> DataFrame:
+    """``key, level, code, vec``: each distinct (paper, level, code) with the paper's vector, all
+    levels in one pass (A8, J7).  ``codes``: ``key`` plus one column per level (e.g. ``pacs_code_1``);
+    the level's name is the suffix after the last ``_``."""
     stacked = codes.select(key, F.explode(F.array(*[
         F.struct(F.lit(lv.rsplit("_", 1)[-1]).alias("level"), F.col(lv).alias("code")) for lv in levels])).alias("_x")) \
         .select(key, "_x.level", "_x.code").where(F.col("code").isNotNull()).distinct()
-    members = stacked.join(vectors.select(key, vec), key)
+    return stacked.join(vectors.select(key, vec), key)
+
+
+def centroid_distances(vectors: DataFrame, codes: DataFrame, levels: Sequence[str], key: str = "doi", vec: str = "vec") -> DataFrame:
+    """``key, level, code, dist``: cosine distance of every member to its class's centroid."""
+    members = class_members(vectors, codes, levels, key, vec)
     cent = materialize(centroid_arrays(class_centroids(members, ["level", "code"], key, vec), ["level", "code"]), "centroids")
     n_classes, dim = cent.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("centroid")), F.lit(0))).first()
     cent = _maybe_broadcast(cent, n_classes, dim * 8 + 64)
-    scored = members.join(cent, ["level", "code"]).withColumn(
-        "sq_dist", F.pow(F.lit(1.0) - cosine_similarity(vec, "centroid"), 2))
-    return scored.groupBy("level", "code").agg(F.count(key).alias("paper_ct"), F.avg("sq_dist").alias("rog"))
+    return members.join(cent, ["level", "code"]).select(key, "level", "code", (F.lit(1.0) - cosine_similarity(vec, "centroid")).alias("dist"))
+
+
+def radius_of_gyration(vectors: DataFrame, codes: DataFrame, levels: Sequence[str],
+                       key: str = "doi", vec: str = "vec") -> DataFrame:
+    """Radius of gyration per class for several code levels in one pass
+    (V15, J7, A6, J16, A7, A8): the mean squared cosine distance of members to
+    the class centroid; ``paper_ct`` = distinct members."""
+    d = centroid_distances(vectors, codes, levels, key, vec)
+    return d.groupBy("level", "code").agg(F.count(key).alias("paper_ct"), F.avg(F.col("dist") * F.col("dist")).alias("rog"))
 
 
 def semantic_axis(vectors: DataFrame, labels: DataFrame, key: str = "doi", vec: str = "vec",

@@ -211,3 +211,40 @@ def q_multi_embedding_wide(spark, d):
     wide = methods.join(ids, "doi", "left_semi").groupBy("doi").pivot("method", ["given", "normed", "centred"]).agg(F.first("x"))
     return wide.select("doi", R6(F.col("given")).alias("given_x"), R6(F.col("normed")).alias("normed_x"),
                        R6(F.col("centred")).alias("centred_x"))
+
+
+def _projections(spark, d):
+    """``doi, method, x, y``: principal components of three forms of the vectors, for one id sample shared by all (M9)."""
+    v = fx.vectors(spark, d).withColumn("id", F.element_at(F.split("doi", r"\."), -1).cast("long"))
+    v = materialize(sample_n(v, ["id"], 25000, seed=17).select("doi", F.transform("vec", lambda x: x.cast("double")).alias("vec")), "projected-sample")
+    forms = {"given": v, "normed": v.select("doi", l2_normalize("vec").alias("vec")),
+             "sign": v.select("doi", F.transform("vec", lambda x: F.signum(x)).alias("vec"))}
+    out = None
+    for name, vectors in forms.items():
+        p = linalg.pca_2d(vectors, "vec", "doi").select("doi", F.lit(name).alias("method"), F.col("proj")[0].alias("x"), F.col("proj")[1].alias("y"))
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+@register("projections_wide", "V18 J10 M9 V13")
+def q_projections_wide(spark, d):
+    wide = _projections(spark, d).groupBy("doi").pivot("method", ["given", "normed", "sign"]).agg(F.first("x").alias("x"), F.first("y").alias("y"))
+    return wide
+
+
+@register("projection_enrich", "V17 V13 J7 J17 J12")
+def q_projection_enrich(spark, d):
+    p = _projections(spark, d).where("method = 'normed'").select("doi", "x", "y")
+    modal = relate.modal_code(pacs(spark, d))
+    cit = network(spark, d).groupBy(F.col("cited_doi").alias("doi")).agg(F.countDistinct("citing_doi").alias("n"))
+    return p.join(modal, "doi").join(cit, "doi", "left").select("doi", "x", "y", "pacs_code_1", F.coalesce("n", F.lit(0)).cast("bigint").alias("cit_ct"))
+
+
+@register("projection_checks", "V13 V17 V18", with_views(
+    """SELECT m.method, CAST((SELECT least(count(*), 25000) FROM vectors) AS BIGINT) AS n, 0.0 AS mean_x, 0.0 AS mean_y, 0.0 AS corr, true AS first_is_wider
+       FROM (VALUES ('given'), ('normed'), ('sign')) m(method)""", "vectors"))
+def q_projection_checks(spark, d):
+    """Principal components have mean 0, no correlation, and the first the larger variance."""
+    p = _projections(spark, d)
+    return p.groupBy("method").agg(F.count(F.lit(1)).alias("n"), (F.round(F.avg("x"), 4) + 0.0).alias("mean_x"), (F.round(F.avg("y"), 4) + 0.0).alias("mean_y"),
+                                   (F.round(F.corr("x", "y"), 4) + 0.0).alias("corr"), (F.variance("x") >= F.variance("y")).alias("first_is_wider"))

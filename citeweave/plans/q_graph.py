@@ -115,6 +115,31 @@ def q_link_prediction(spark, d):
     return a.select("method", R6(F.col("auc")).alias("auc"), "n_pos", "n_neg")
 
 
+@register("link_prediction_embeddings", "E5 V1 V3 V5 J9 V9 E4")
+def q_link_prediction_embeddings(spark, d):
+    """AUC of every embedding built here on the graph without the held-out edges, beside the given vectors."""
+    from citeweave.operators import linalg
+
+    pos, neg = link_sets(spark, d)
+    test = materialize(pos.withColumn("label", F.lit(1)).unionByName(neg.withColumn("label", F.lit(0))), "link-test")
+    held = test.where("label = 1").select("citing", "cited")
+    net = fx.link_edges(spark, d).select("citing", "cited").distinct().join(held, ["citing", "cited"], "left_anti")
+    g = materialize(G.build_graph(net, "citing", "cited"), "link-graph")
+    ids = G.nodes_of(g).select(F.col("node").alias("id"))
+    U, s = linalg.randomized_svd(G.normalized_adjacency(g), ids, DIM, seed=1)
+    eigenmap, _ = linalg.laplacian_eigenmap(g, ids, DIM, seed=2)
+    pairs = materialize(W.context_pairs(W.random_walks(g, NUM_WALKS, WALK_LENGTH, seed=3), WINDOW, WALK_LENGTH), "link-pairs")
+    R, r = linalg.randomized_svd(linalg.residual_matrix(pairs, g), ids, DIM, seed=3)
+    methods = {"given": fx.raw_vectors(spark, d).select("id", "vec"), "svd": linalg.factor_embedding(U, s), "eigenmap": eigenmap,
+               "residual2vec": linalg.factor_embedding(R, r)}
+    scored = None
+    for name, vectors in methods.items():
+        one = V.pair_cosine(test, vectors, "citing", "cited", key="id", how="left").select(F.lit(name).alias("method"), "label", F.col("cos_sim").alias("score"))
+        scored = one if scored is None else scored.unionByName(one)
+    a = evaluate.roc_auc(materialize(scored, "link-scores"), "method")
+    return a.select("method", R6(F.col("auc")).alias("auc"), "n_pos", "n_neg")
+
+
 @register("roc_auc", "E4 W7", with_views(
     "SELECT method, round(auc, 6) AS auc, CAST(row_number() OVER (ORDER BY auc DESC, method) AS INTEGER) AS auc_rank FROM auc",
     *LINK_NAMES, extra=LINK_VIEWS))
@@ -198,6 +223,26 @@ def q_random_walks_restart(spark, d):
     return w.select("walk_id", F.col("t").cast("int"), "node")
 
 
+def dangling_sql(W_: int, L: int, seed: int, nodes: str = "(SELECT src AS n FROM gi UNION SELECT dst FROM gi)") -> str:
+    """Walks that jump back to their start from a node without out-edges."""
+    u = uniform_sql(str(seed), "w.walk_id", "w.t + 1", "1")
+    return f"""
+        WITH RECURSIVE walk(walk_id, start, t, cur) AS (
+          SELECT s.n * {W_} + r.r, s.n, 0, s.n FROM {nodes} s CROSS JOIN range({W_}) r(r)
+          UNION ALL
+          SELECT w.walk_id, w.start, w.t + 1, CASE WHEN e.dst IS NULL THEN w.start ELSE e.dst END
+          FROM walk w LEFT JOIN ce e ON e.src = w.cur AND e.lo <= {u} AND {u} < e.hi WHERE w.t + 1 < {L})
+        SELECT walk_id, t, cur FROM walk"""
+
+
+@register("random_walks_dangling", "G9", with_views(
+    "SELECT walk_id, CAST(t AS INTEGER) AS t, cur AS node FROM walks", "citations",
+    extra=[CIT_DIR, cum_view(), ("walks", dangling_sql(2, WALK_LENGTH, 6))]))
+def q_random_walks_dangling(spark, d):
+    w = W.random_walks(cit_graph(spark, d, "to_cited"), 2, WALK_LENGTH, seed=6, restart_at_dangling=True)
+    return w.select("walk_id", F.col("t").cast("int"), "node")
+
+
 def _so_views(p: float, q: float) -> list[tuple[str, str]]:
     cz = lambda a, b: f"(({a} + {b}) * ({a} + {b} + 1) // 2 + {b})"
     return [CIT_UND, ("so", f"""

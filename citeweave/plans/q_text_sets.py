@@ -29,13 +29,18 @@ def q_text_nonblank(spark, d):
     return clean.choose_text(fx.papers(spark, d).select("doi"), texts, "ABSTRACT")
 
 
+# The references that the driver's pages hold, for SQL; the operator knows all of HTML 5.
+FIXTURE_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", chr(160)), ("&copy;", chr(169)),
+                    ("&middot;", chr(183)), ("&amp;", "&")]
+
+
 def _html_sql(c: str) -> str:
     s = f"regexp_replace({c}, '(?s)<!--.*?-->', '', 'g')"
     s = f"regexp_replace({s}, '<![^>]*>', '', 'g')"
     s = (f"regexp_replace({s}, '(?s)<script[^>]*>(.*?)</script\\s*>|<style[^>]*>(.*?)</style\\s*>|<[^>]*>', "
          f"'\\1\\2', 'g')")
-    for ent, ch in clean.HTML_ENTITIES:
-        s = f"replace({s}, '{ent}', '{ch.replace(chr(39), chr(39) * 2)}')"
+    for ent, ch in FIXTURE_ENTITIES:
+        s = f"replace({s}, '{ent}', '{ch}')"
     s = f"replace({s}, '/emph>', '')"
     return strip_ws(s)
 
@@ -46,6 +51,13 @@ def q_html_clean(spark, d):
     return clean.clean_text(pg, "html", "text", mode="sql").select("page_id", "text")
 
 
+@register("html_parse", "P9", f"SELECT page_id, {_html_sql('html')} AS text FROM pages WHERE html IS NOT NULL AND html <> ''")
+def q_html_parse(spark, d):
+    """The same by a real HTML tokenizer, for markup that regular expressions cannot follow."""
+    pg = fx.table(spark, d, "pages").select("page_id", "html")
+    return clean.clean_text(pg, "html", "text", mode="parser").select("page_id", "text")
+
+
 @register("title_clean", "P9 P10 J17", with_views(
     f"SELECT doi, {_html_sql('title')} AS title FROM raw_titles WHERE title IS NOT NULL AND title <> ''", "raw_titles"))
 def q_title_clean(spark, d):
@@ -53,18 +65,24 @@ def q_title_clean(spark, d):
 
 
 # ---------------------------------------------------------------- sources
-@register("json_metadata", "S5", """
-    SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
-           json_extract_string(props, '$.title.value') AS title,
-           json_extract_string(props, '$.journal.id') AS journal_id,
-           json_extract_string(props, '$.date') AS date_text
-    FROM events""")
+@register("json_metadata", "S5", with_views("""
+    SELECT id, journal AS folder, strftime(date, '%Y-%m-%d') AS date_text, article_type,
+           CASE WHEN id % 5 = 0 OR id % 11 = 0 THEN NULL ELSE 'Paper ' || id END AS title,
+           CASE WHEN id % 7 = 0 THEN NULL ELSE journal END AS journal_id,
+           CASE WHEN id % 7 = 0 OR id % 3 = 0 THEN NULL ELSE 'Journal ' || journal END AS journal_name
+    FROM papers""", "papers"))
 def q_json_metadata(spark, d):
-    from pyspark.sql import types as T
-
-    schema = T.StructType(sio.METADATA_SCHEMA.fields + [T.StructField("k", T.LongType())])
-    ev = sio.extract_metadata(fx.table(spark, d, "events").select("event_id", "props"), "props", schema)
-    return sio.flatten_metadata(ev.withColumn("k", F.col("_m.k"))).select("event_id", "k", "title", "journal_id", "date_text")
+    """Nested metadata documents, some with missing fields and objects, in one folder per journal, read back by one scan."""
+    i = F.col("id")
+    title = F.when(i % 5 == 0, F.lit(None)).otherwise(F.struct(F.when(i % 11 != 0, F.concat(F.lit("Paper "), i.cast("string"))).alias("value")))
+    journal = F.when(i % 7 != 0, F.struct(F.col("journal").alias("id"), F.when(i % 3 != 0, F.concat(F.lit("Journal "), "journal")).alias("name")))
+    docs = fx.papers(spark, d).select(F.col("journal").alias("folder"), F.to_json(F.struct(
+        i.cast("string").alias("id"), F.date_format("date", "yyyy-MM-dd").alias("date"), F.col("article_type").alias("articleType"),
+        title.alias("title"), journal.alias("journal"))).alias("value"))
+    path = scratch_table_path(spark, "metadata")
+    docs.write.partitionBy("folder").text(path)
+    back = sio.read_metadata_dir(spark, path, key_from_path=r"folder=([^/]+)/", fields="id string")
+    return back.select(F.col("id").cast("bigint").alias("id"), F.col("paper").alias("folder"), "date_text", "article_type", "title", "journal_id", "journal_name")
 
 
 # Fixture binding: folders of the driver's journal tokens (NOTSPECIFIED has none -> null key).
@@ -82,16 +100,20 @@ def q_doi_file_key(spark, d):
 
 
 @register("src_csv_roundtrip", "S1 S2 S3 S7", with_views("SELECT citing_doi, cited_doi, 'gz' AS fmt FROM raw_citations "
-                                                         "UNION ALL SELECT citing_doi, cited_doi, 'tsv' FROM raw_citations",
+                                                         "UNION ALL SELECT citing_doi, cited_doi, 'tsv' FROM raw_citations "
+                                                         "UNION ALL SELECT citing_doi, cited_doi, 'bz2' FROM raw_citations",
                                                          "raw_citations"))
 def q_src_csv_roundtrip(spark, d):
     raw = fx.raw_citations(spark, d)
     p1 = sio.write_csv_table(raw, scratch_table_path(spark, "cit_gz"), compression="gzip")
     p2 = sio.write_csv_table(raw, scratch_table_path(spark, "cit_tsv"), header=False, sep="\t")
     schema = "citing_doi string, cited_doi string"
-    a = sio.read_compressed_csv(spark, p1, schema, columns=["citing_doi", "cited_doi"])
+    p3 = sio.write_csv_table(raw, scratch_table_path(spark, "cit_bz2"), compression="bzip2")
+    spread = spark.sparkContext.defaultParallelism
+    a = sio.read_compressed_csv(spark, p1, schema, columns=["citing_doi", "cited_doi"], partitions=spread)
     b = sio.read_csv_table(spark, p2, schema, header=False, sep="\t")
-    return a.withColumn("fmt", F.lit("gz")).unionByName(b.withColumn("fmt", F.lit("tsv")))
+    c = sio.read_compressed_csv(spark, p3, schema, columns=["citing_doi", "cited_doi"])
+    return a.withColumn("fmt", F.lit("gz")).unionByName(b.withColumn("fmt", F.lit("tsv"))).unionByName(c.withColumn("fmt", F.lit("bz2")))
 
 
 @register("embedding_table", "S8", with_views(
@@ -118,20 +140,40 @@ def q_run_params(spark, d):
                         F.col("params")["year"].cast("bigint").alias("year")).agg(F.count(F.lit(1)).alias("n_papers"))
 
 
+GRID = {"method": ["given", "citation"], "k": [2, 4, 8, 16, 32, 64, 128], "trial": [1, 2, 3], "property": ["micro", "macro"]}
+
+
+@register("run_names", "S10 P26", with_views(
+    """SELECT 'given' AS embedding, CAST(k AS INTEGER) AS k, t.trial, CAST(count(*) AS BIGINT) AS n_rows
+       FROM raw_vectors v CROSS JOIN (VALUES (1), (2), (3)) t(trial) CROSS JOIN (VALUES (4), (8)) g(k) GROUP BY ALL""", "raw_vectors"))
+def q_run_names(spark, d):
+    """Result folders named ``Embedding-given_K-8_trial-2``: parameters from names, case folded, filtered by name."""
+    grid = F.broadcast(sio.param_grid(spark, k=[2, 4, 8], trial=[1, 2, 3]))  # nine rows
+    name = F.concat(F.lit("Embedding-given_K-"), F.col("k").cast("string"), F.lit("_trial-"), F.col("trial").cast("string"))
+    rows = fx.raw_vectors(spark, d).select("id", F.explode(F.array(*[F.lit(k) for k in (2, 4, 8)])).alias("k")).join(grid, "k")
+    path = sio.write_table(rows.select("id", name.alias("run")), scratch_table_path(spark, "named-runs"), partition_by=["run"])
+    back = spark.read.parquet(path).select(F.regexp_extract("_metadata.file_path", r"/run=([^/]+)/", 1).alias("name"))
+    p = back.withColumn("p", sio.params_from_name("name")).where(F.col("p")["k"].isin("4", "8"))
+    return p.groupBy(F.col("p")["embedding"].alias("embedding"), F.col("p")["k"].cast("int").alias("k"),
+                     F.col("p")["trial"].cast("int").alias("trial")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def _axis_sql(name: str) -> str:
+    return "(VALUES " + ", ".join(f"({v!r})" for v in GRID[name]) + f") {name}_({name})"
+
+
 @register("param_grid", "S12 M6 M8", with_views(
-    f"""SELECT g.k, t0.trial, {uniform_sql('t0.trial', 'v.id')} < 0.2 AS is_test,
-               CAST(count(*) AS BIGINT) AS n_rows
-        FROM raw_vectors v CROSS JOIN (VALUES (1),(2),(3)) t0(trial)
-        CROSS JOIN (VALUES (2),(4),(8),(16),(32),(64),(128)) g(k)
-        GROUP BY 1, 2, 3""", "raw_vectors"))
+    f"""SELECT method, k, trial, property, {uniform_sql('trial', 'v.id')} < 0.2 AS is_test, CAST(count(*) AS BIGINT) AS n_rows
+        FROM raw_vectors v CROSS JOIN {_axis_sql('trial')} CROSS JOIN {_axis_sql('k')} CROSS JOIN {_axis_sql('method')} CROSS JOIN {_axis_sql('property')}
+        GROUP BY ALL""", "raw_vectors"))
 def q_param_grid(spark, d):
     from citeweave.operators.sample import trial_split
 
-    split = trial_split(fx.raw_vectors(spark, d).select("id"), "id", [1, 2, 3])
+    split = trial_split(fx.raw_vectors(spark, d).select("id"), "id", GRID["trial"])
     counts = split.groupBy("trial", "is_test").agg(F.count(F.lit(1)).alias("n_rows"))
-    # the k axis of the grid travels as a column: every run row is expanded in place
-    return counts.withColumn("k", F.explode(F.array(*[F.lit(k) for k in [2, 4, 8, 16, 32, 64, 128]]))).select(
-        F.col("k").cast("int"), "trial", "is_test", "n_rows")
+    grid = sio.param_grid(spark, **GRID)  # every setting of the sweep: parameters, not data
+    return counts.join(F.broadcast(grid), "trial").select("method", F.col("k").cast("int").alias("k"), F.col("trial").cast("int").alias("trial"),
+                                                          "property", "is_test", "n_rows")
 
 
 # ---------------------------------------------------------------- counts and profiles
@@ -208,7 +250,7 @@ def q_cantor_pair(spark, d):
 
 
 # ---------------------------------------------------------------- joins and sets
-@register("edges_with_text", "J4 J11 W3", with_views(
+@register("edges_with_text", "J4 W3", with_views(
     """SELECT n.citing_doi, n.cited_doi, CAST(length(a.abstract) AS BIGINT) AS citing_len, CAST(length(b.abstract) AS BIGINT) AS cited_len
        FROM net n JOIN ab a ON n.citing_doi = a.doi JOIN ab b ON n.cited_doi = b.doi""",
     "papers", "raw_citations", "abstracts", extra=network_views() + [
@@ -252,6 +294,18 @@ def q_holdout_edges(spark, d):
     return holdout(spark, d)[1]
 
 
+@register("edge_attributes", "J11", with_views(
+    """SELECT h.citing_doi, h.cited_doi, min(n.citing_year) AS citing_year, min(n.cited_year) AS cited_year, CAST(count(*) AS BIGINT) AS n
+       FROM held h JOIN net n ON h.citing_doi = n.citing_doi AND h.cited_doi = n.cited_doi GROUP BY ALL""",
+    "papers", "raw_citations", extra=network_views() + _holdout_sql()))
+def q_edge_attributes(spark, d):
+    """Edges joined to edge attributes on both ends."""
+    held = holdout(spark, d)[1]
+    attributes = network(spark, d).groupBy("citing_doi", "cited_doi").agg(
+        F.min("citing_year").alias("citing_year"), F.min("cited_year").alias("cited_year"), F.count(F.lit(1)).alias("n"))
+    return held.join(attributes, ["citing_doi", "cited_doi"])
+
+
 @register("edge_set_ops", "U1 U4 U5 U6 J15", with_views(
     """SELECT 'kept' AS tag, citing_doi, cited_doi FROM (SELECT citing_doi, cited_doi FROM e EXCEPT SELECT citing_doi, cited_doi FROM held)
        UNION ALL SELECT 'held_out', citing_doi, cited_doi FROM held

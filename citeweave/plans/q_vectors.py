@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from citeweave.functions.columns import cosine_similarity, doi_journal, hash_sql, norm2, uniform_sql
@@ -12,6 +13,7 @@ from citeweave.plans.fixture_sql import with_views
 from citeweave.plans.q_core import pacs
 from citeweave.plans.registry import register
 from citeweave.plans.sqlparts import FOCUS, clean_codes_views, lst, modal_view
+from citeweave.session import materialize
 from citeweave.sources import fixtures as fx
 
 KS = [2, 4, 8, 16, 32, 64, 128]
@@ -107,6 +109,38 @@ KNN_VIEWS = clean_codes_views() + [modal_view()] + VEC_VIEWS + [
 ]
 
 
+# ------------------------------------------------------------------ tails of distributions, by Simpson's rule
+def _integral(density, upto: str, steps: int = 2000) -> str:
+    """SQL of the integral from 0 to ``upto`` of ``density`` (SQL of a point -> SQL of the value there)."""
+    factor = f"(CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
+    return (f"(list_sum(list_transform(range({steps + 1}), lambda i: {factor} * {density(f'(({upto}) * i / {steps}.0)')}))"
+            f" * ({upto}) / {3 * steps}.0)")
+
+
+def norm_cdf_sql(z: str) -> str:
+    upto = f"least(abs({z}), 30.0)"
+    return f"greatest(0.0, 0.5 + sign({z}) * {_integral(lambda x: f'exp(-pow({x}, 2) / 2)', upto)} / sqrt(2 * pi()))"
+
+
+def t_cdf_sql(t: str, df: str) -> str:
+    scale = f"exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt({df} * pi())"
+    body = _integral(lambda x: f"pow(1 + pow({x}, 2) / {df}, -({df} + 1) / 2.0)", f"least(abs({t}), 60.0)")
+    return f"greatest(0.0, 0.5 + sign({t}) * {scale} * {body})"
+
+
+def chi2_sf3_sql(x: str) -> str:
+    """Chi-square tail with three degrees of freedom (four groups)."""
+    return f"(2 * (1 - {norm_cdf_sql(f'sqrt({x})')}) + sqrt(2 * {x} / pi()) * exp(-{x} / 2))"
+
+
+def t_quantile_sql(df: str) -> str:
+    """0.975 quantile of Student's t, by the expansion of Cornish and Fisher in 1 / df."""
+    z = 1.959963984540054
+    c = [(z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
+         (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160]
+    return f"({z!r} + " + " + ".join(f"{v!r} / pow({df}, {k + 1})" for k, v in enumerate(c)) + ")"
+
+
 # ------------------------------------------------------------------ row measures
 @register("l2_normalize", "V8", with_views(
     f"""SELECT doi, round(list_sum(nv), 6) AS sum_normed, round(sqrt(list_inner_product(nv, nv)), 6) AS norm_normed
@@ -155,8 +189,7 @@ ROG_VIEWS = clean_codes_views() + [
 
 
 def rog_table(spark, d):
-    return V.radius_of_gyration(fx.vectors(spark, d), pacs(spark, d),
-                                ["pacs_code_1", "pacs_code_2", "pacs_code_3", "pacs_code_5"])
+    return V.radius_of_gyration(fx.vectors(spark, d), pacs(spark, d), LEVELS)
 
 
 def rog_values(spark, d):
@@ -165,19 +198,25 @@ def rog_values(spark, d):
     return rog_table(spark, d).select("level", F.round("rog", 9).alias("v")).checkpoint(eager=True)
 
 
-@register("class_centroid", "A6 A20 J16", with_views(
-    "SELECT level, code, CAST(pos AS BIGINT) AS pos, round(c, 6) AS c FROM cent WHERE level IN ('1', '2')",
-    "vectors", "dirty_codes_wide", extra=ROG_VIEWS))
+LEVELS = ["pacs_code_1", "pacs_code_2", "pacs_code_3", "pacs_code_5"]
+
+
+@register("class_centroid", "A6 J16", with_views(
+    "SELECT level, code, CAST(pos AS BIGINT) AS pos, round(c, 6) AS c FROM cent", "vectors", "dirty_codes_wide", extra=ROG_VIEWS))
 def q_class_centroid(spark, d):
-    p = pacs(spark, d)
-    stk = p.select("doi", F.explode(F.array(F.struct(F.lit("1").alias("level"), F.col("pacs_code_1").alias("code")),
-                                             F.struct(F.lit("2").alias("level"), F.col("pacs_code_2").alias("code")))).alias("x")) \
-        .select("doi", "x.level", "x.code").distinct()
-    mem = stk.join(fx.vectors(spark, d).select("doi", "vec"), "doi")
+    mem = V.class_members(fx.vectors(spark, d), pacs(spark, d), LEVELS)
     c = V.class_centroids(mem, ["level", "code"])
     return c.select("level", "code", F.col("pos").cast("bigint").alias("pos"), R6(F.col("c")).alias("c"))
 
 
+@register("centroid_distance", "A20 J16 V9", with_views(
+    f"""SELECT m.doi, m.level, m.code, round(1 - {cos_sql('m.vec', 'c.centroid')}, 6) + 0.0 AS dist
+        FROM mem m JOIN centa c ON m.level = c.level AND m.code = c.code""", "vectors", "dirty_codes_wide", extra=ROG_VIEWS))
+def q_centroid_distance(spark, d):
+    r = V.centroid_distances(fx.vectors(spark, d), pacs(spark, d), LEVELS)
+    return r.select("doi", "level", "code", (R6(F.col("dist")) + 0.0).alias("dist"))  # no negative zero
+
+
 @register("rog", "V15 J7 A6 J16 A7 A8 V9", with_views(
     "SELECT level, code, paper_ct, round(rog, 6) AS rog FROM rogt", "vectors", "dirty_codes_wide", extra=ROG_VIEWS))
 def q_rog(spark, d):
@@ -299,12 +338,13 @@ def _score_summary_sql():
                                   class_pacs_1 AS pred_label FROM cc""")]
              + scores_sql("ccl", ["is_all_journals"], "c"))
     body = """
+        SELECT *, CAST(row_number() OVER (ORDER BY f1_score DESC, embedding, is_all_journals, k, average) AS INTEGER) AS place FROM (
         SELECT 'given' AS embedding, is_all_journals, k, average, round(avg(precision), 6) AS precision,
                round(avg(recall), 6) AS recall, round(avg(f1_score), 6) AS f1_score, round(stddev_samp(f1_score), 6) AS f1_std
         FROM s_scores GROUP BY is_all_journals, k, average
         UNION ALL
         SELECT 'citation', is_all_journals, 0, average, round(precision, 6), round(recall, 6), round(f1_score, 6), NULL
-        FROM c_scores"""
+        FROM c_scores)"""
     return with_views(body, "papers", "raw_citations", "dirty_codes_wide", "vectors", "abstracts", extra=extra)
 
 
@@ -322,8 +362,10 @@ def q_score_summary(spark, d):
         "is_all_journals", F.lit(0).alias("k"), "average", "precision", "recall", "f1_score",
         F.lit(None).cast("double").alias("f1_std"), F.lit("citation").alias("embedding"))
     out = knn.unionByName(cit)
+    # a total order (W6) that SQL can check: the place of each row, best F1 first; one row per setting
+    place = F.row_number().over(Window.orderBy(F.desc(R6(F.col("f1_score"))), "embedding", "is_all_journals", "k", "average"))
     return out.select("embedding", "is_all_journals", "k", "average", *[R6(F.col(c)).alias(c) for c in
-                                                                       ["precision", "recall", "f1_score", "f1_std"]])
+                                                                       ["precision", "recall", "f1_score", "f1_std"]], place.alias("place")).orderBy("place")
 
 
 @register("knn_quality", "V12 E1", with_views(
@@ -452,7 +494,22 @@ def q_normality(spark, d):
     return t.select("stratum", "n", R6(F.col("skew")).alias("skew"), R6(F.col("kurt")).alias("kurt"))
 
 
-@register("normality_test", "E8", None)
+_K2_SQL = """
+    SELECT stratum, CAST(n AS BIGINT) AS n, round(g1, 6) AS skew, round(g2, 6) AS kurt, round(z1, 6) AS z_skew, round(z2, 6) AS z_kurt,
+           round(z1 * z1 + z2 * z2, 6) AS k2, round(exp(-(z1 * z1 + z2 * z2) / 2), 6) AS p
+    FROM (SELECT *, delta * ln(yy + sqrt(yy * yy + 1)) AS z1,
+                 (1 - 2 / (9.0 * a) - sign(den) * pow((1 - 2.0 / a) / abs(den), 1 / 3.0)) / sqrt(2 / (9.0 * a)) AS z2
+          FROM (SELECT *, y / sqrt(2.0 / (w2 - 1)) AS yy, 1 / sqrt(0.5 * ln(w2)) AS delta, 1 + x * sqrt(2 / (a - 4.0)) AS den
+                FROM (SELECT *, sqrt(2 * (beta2 - 1)) - 1 AS w2, 6.0 + 8.0 / sb * (2.0 / sb + sqrt(1 + 4.0 / (sb * sb))) AS a
+                      FROM (SELECT *, g1 * sqrt((n + 1) * (n + 3) / (6.0 * (n - 2))) AS y,
+                                   3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS beta2,
+                                   (g2 + 3 - 3.0 * (n - 1) / (n + 1)) / sqrt(24.0 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) AS x,
+                                   6.0 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6.0 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS sb
+                            FROM (SELECT stratum, CAST(count(*) AS DOUBLE) AS n, avg(pow(dist - m, 3)) / pow(var_pop(dist), 1.5) AS g1, kurtosis_pop(dist) AS g2
+                                  FROM (SELECT *, avg(dist) OVER (PARTITION BY stratum) AS m FROM pdist) GROUP BY stratum)))))"""
+
+
+@register("normality_test", "E8", with_views(_K2_SQL, *PAIR_NAMES, extra=PAIR_VIEWS))
 def q_normality_test(spark, d):
     """Full K^2 statistic and p-value (closed form in Spark expressions)."""
     t = stats.normaltest(pair_distances(spark, d), "stratum", "dist")
@@ -460,28 +517,30 @@ def q_normality_test(spark, d):
 
 
 @register("ttest", "E9 D15", with_views(
-    """SELECT s.stratum, CAST(s.n AS BIGINT) AS n, round(s.m, 6) AS mean, round(s.sd, 6) AS sd, round(dm.mu, 6) AS mu,
-              round((s.m - dm.mu) / (s.sd / sqrt(s.n)), 6) AS t_stat
-       FROM (SELECT stratum, count(*) AS n, avg(dist) AS m, stddev_samp(dist) AS sd FROM pdist GROUP BY stratum) s
-       CROSS JOIN (SELECT avg(dist) AS mu FROM pdist WHERE stratum = 'diff') dm WHERE s.stratum <> 'diff'""",
+    f"""SELECT stratum, n, mean, sd, mu, round(t, 6) AS t_stat, round(p, 6) AS p_less, round(2 * least(p, 1 - p), 6) AS p_two_sided
+       FROM (SELECT *, {t_cdf_sql('t', '(n - 1)')} AS p FROM (
+         SELECT s.stratum, CAST(s.n AS BIGINT) AS n, round(s.m, 6) AS mean, round(s.sd, 6) AS sd, round(dm.mu, 6) AS mu,
+                (s.m - dm.mu) / (s.sd / sqrt(s.n)) AS t
+         FROM (SELECT stratum, count(*) AS n, avg(dist) AS m, stddev_samp(dist) AS sd FROM pdist GROUP BY stratum) s
+         CROSS JOIN (SELECT avg(dist) AS mu FROM pdist WHERE stratum = 'diff') dm WHERE s.stratum <> 'diff'))""",
     *PAIR_NAMES, extra=PAIR_VIEWS))
 def q_ttest(spark, d):
-    p = pair_distances(spark, d)
-    mom = stats.group_moments(p, "stratum", "dist")
+    p = materialize(pair_distances(spark, d), "distances")
     mu = p.where(F.col("stratum") == "diff").agg(F.avg("dist").alias("mu")).first()["mu"]  # a scalar
-    j = mom.where(F.col("stratum") != "diff").withColumn("mu", F.lit(mu))
-    return j.select("stratum", F.col("n").cast("bigint"), R6(F.col("mean")).alias("mean"), R6(F.col("sd")).alias("sd"),
-                    R6(F.col("mu")).alias("mu"),
-                    R6((F.col("mean") - F.col("mu")) / (F.col("sd") / F.sqrt("n"))).alias("t_stat"))
+    t = stats.ttest_1samp(p.where(F.col("stratum") != "diff"), "stratum", "dist", mu)
+    return t.select("stratum", F.col("n").cast("bigint"), R6(F.col("mean")).alias("mean"), R6(F.col("sd")).alias("sd"),
+                    R6(F.lit(mu)).alias("mu"), R6(F.col("T")).alias("t_stat"), R6(F.col("p_less")).alias("p_less"),
+                    R6(F.col("p_two_sided")).alias("p_two_sided"))
 
 
 @register("mean_ci", "E10 D16", with_views(
-    """SELECT stratum, CAST(count(*) AS BIGINT) AS n, round(avg(dist), 6) AS mean, round(stddev_samp(dist), 6) AS sd,
-              round(stddev_samp(dist) / sqrt(count(*)), 6) AS se FROM pdist GROUP BY stratum""", *PAIR_NAMES, extra=PAIR_VIEWS))
+    f"""SELECT stratum, CAST(n AS BIGINT) AS n, round(m, 6) AS mean, round(sd, 6) AS sd, round(m - {t_quantile_sql('(n - 1)')} * sd / sqrt(n), 5) AS lo,
+              round(m + {t_quantile_sql('(n - 1)')} * sd / sqrt(n), 5) AS hi
+       FROM (SELECT stratum, count(*) AS n, avg(dist) AS m, stddev_samp(dist) AS sd FROM pdist GROUP BY stratum)""", *PAIR_NAMES, extra=PAIR_VIEWS))
 def q_mean_ci(spark, d):
-    m = stats.group_moments(pair_distances(spark, d), "stratum", "dist")
+    m = stats.mean_ci(pair_distances(spark, d), "stratum", "dist")
     return m.select("stratum", F.col("n").cast("bigint"), R6(F.col("mean")).alias("mean"), R6(F.col("sd")).alias("sd"),
-                    R6(F.col("sd") / F.sqrt("n")).alias("se"))
+                    F.round("lo", 5).alias("lo"), F.round("hi", 5).alias("hi"))
 
 
 @register("kl_js_matrix", "E11 E12 E13", with_views(
@@ -510,37 +569,44 @@ def q_kde_density(spark, d):
 
 # ------------------------------------------------------------------ rank tests on ROG
 @register("kruskal", "E6 W12", with_views(
-    """SELECT round((12.0 / (N * (N + 1)) * sr - 3 * (N + 1)) / (1 - tt / (pow(N, 3) - N)), 6) AS h, CAST(N AS BIGINT) AS n,
-              CAST(g - 1 AS BIGINT) AS df FROM (
-         SELECT (SELECT count(*) FROM rk) AS N, (SELECT count(DISTINCT level) FROM rk) AS g,
-                (SELECT sum(R * R / n) FROM (SELECT level, sum(rank) AS R, count(*) AS n FROM rk GROUP BY level)) AS sr,
-                (SELECT sum(pow(c, 3) - c) FROM (SELECT v, count(*) AS c FROM rk GROUP BY v)) AS tt)""",
+    f"""SELECT round(h, 6) AS h, n, df, round({chi2_sf3_sql('h')}, 6) AS p FROM (
+         SELECT (12.0 / (N * (N + 1)) * sr - 3 * (N + 1)) / (1 - tt / (pow(N, 3) - N)) AS h, CAST(N AS BIGINT) AS n,
+                CAST(g - 1 AS BIGINT) AS df FROM (
+           SELECT (SELECT count(*) FROM rk) AS N, (SELECT count(DISTINCT level) FROM rk) AS g,
+                  (SELECT sum(R * R / n) FROM (SELECT level, sum(rank) AS R, count(*) AS n FROM rk GROUP BY level)) AS sr,
+                  (SELECT sum(pow(c, 3) - c) FROM (SELECT v, count(*) AS c FROM rk GROUP BY v)) AS tt))""",
     "vectors", "dirty_codes_wide", extra=ROG_VIEWS + [
         ("rv", "SELECT level, round(rog, 9) AS v FROM rogt"),
         ("rk", """SELECT level, v, (rank() OVER (ORDER BY v)) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS rank FROM rv""")]))
 def q_kruskal(spark, d):
-    r = rog_values(spark, d)
-    res = stats.kruskal(r, "level", "v")
-    return spark.createDataFrame([(round(res["H"], 6), int(res["N"]), int(res["df"]))], "h double, n bigint, df bigint")
+    return stats.kruskal(rog_values(spark, d), "level", "v").select(R6(F.col("h")).alias("h"), "n", F.col("df").cast("bigint"), R6(F.col("p")).alias("p"))
+
+
+# each level is compared with the median of the one above it
+LEVEL_ABOVE = {"2": "1", "3": "2", "5": "3"}
 
 
 @register("wilcoxon", "E7 W12 A5", with_views(
-    """SELECT level, CAST(count(*) AS BIGINT) AS n, round(sum(CASE WHEN d > 0 THEN rank ELSE 0 END), 6) AS t_stat,
-              round(max(med_cur), 6) AS median_cur, round(max(mu), 6) AS median_prev
-       FROM (SELECT w.*, (rank() OVER (PARTITION BY level ORDER BY abs(d))) + (count(*) OVER (PARTITION BY level, abs(d)) - 1) / 2.0 AS rank
-             FROM (SELECT c.level, c.v - p.mu AS d, p.mu, c.med_cur FROM
-                    (SELECT level, v, median(v) OVER (PARTITION BY level) AS med_cur FROM rv) c
-                    JOIN (SELECT CASE level WHEN '1' THEN '2' WHEN '2' THEN '3' WHEN '3' THEN '5' END AS level, median(v) AS mu
-                          FROM rv GROUP BY level) p ON c.level = p.level) w WHERE d <> 0)
-       GROUP BY level""",
+    f"""SELECT level, n, n_used, t_stat, round(z, 6) AS z, round({norm_cdf_sql('z')}, 6) AS p, median_cur, median_prev FROM (
+         SELECT level, CAST(max(n_all) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS n_used, round(sum(CASE WHEN d > 0 THEN rank ELSE 0 END), 6) AS t_stat,
+                (sum(CASE WHEN d > 0 THEN rank ELSE 0 END) - count(*) * (count(*) + 1) / 4.0)
+                  / sqrt((count(*) * (count(*) + 1) * (2 * count(*) + 1) - 0.5 * sum(pow(c, 2) - 1)) / 24.0) AS z,
+                round(max(med_cur), 6) AS median_cur, round(max(mu), 6) AS median_prev
+         FROM (SELECT w.*, count(*) OVER (PARTITION BY level, abs(d)) AS c,
+                      (rank() OVER (PARTITION BY level ORDER BY abs(d))) + (count(*) OVER (PARTITION BY level, abs(d)) - 1) / 2.0 AS rank
+               FROM (SELECT c.level, c.v - p.mu AS d, p.mu, c.med_cur, c.n_all FROM
+                      (SELECT level, v, median(v) OVER (PARTITION BY level) AS med_cur, count(*) OVER (PARTITION BY level) AS n_all FROM rv) c
+                      JOIN (SELECT CASE level WHEN '1' THEN '2' WHEN '2' THEN '3' WHEN '3' THEN '5' END AS level, median(v) AS mu
+                            FROM rv GROUP BY level) p ON c.level = p.level) w WHERE d <> 0)
+         GROUP BY level)""",
     "vectors", "dirty_codes_wide", extra=ROG_VIEWS + [("rv", "SELECT level, round(rog, 9) AS v FROM rogt")]))
 def q_wilcoxon(spark, d):
     r = rog_values(spark, d)
-    meds = {row["level"]: row["q_0"] for row in stats.exact_quantiles(r, "level", "v", [0.5]).collect()}  # 4 scalars
-    out = []
-    for cur, prev in [("2", "1"), ("3", "2"), ("5", "3")]:
-        if cur not in meds or prev not in meds:
-            continue
-        res = stats.wilcoxon_less(r.where(F.col("level") == cur), "v", meds[prev])
-        out.append((cur, res["n"], round(res["T"], 6), round(meds[cur], 6), round(meds[prev], 6)))
-    return spark.createDataFrame(out, "level string, n bigint, t_stat double, median_cur double, median_prev double")
+    meds = materialize(stats.exact_quantiles(r, "level", "v", [0.5]).select("level", F.col("q_0").alias("median")), "medians")
+    above = F.create_map(*[F.lit(x) for pair in LEVEL_ABOVE.items() for x in pair])
+    prev = meds.select(F.col("level").alias("_above"), F.col("median").alias("median_prev"))
+    pairs = meds.withColumn("_above", above[F.col("level")]).join(prev, "_above").select("level", F.col("median").alias("median_cur"), "median_prev")
+    t = stats.wilcoxon_less(r.join(F.broadcast(pairs), "level"), "level", "v", "median_prev")  # one row per level
+    return t.join(F.broadcast(pairs), "level").select(
+        "level", "n", "n_used", R6(F.col("T")).alias("t_stat"), R6(F.col("z")).alias("z"), R6(F.col("p")).alias("p"),
+        R6(F.col("median_cur")).alias("median_cur"), R6(F.col("median_prev")).alias("median_prev"))

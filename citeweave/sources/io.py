@@ -73,13 +73,15 @@ def flatten_metadata(df: DataFrame, struct_col: str = "_m") -> DataFrame:
     )
 
 
-def read_metadata_dir(spark: SparkSession, path: str, key_from_path: str = r"([^/]+)\.json$") -> DataFrame:
-    """Bulk scan of a directory tree of per-paper JSON files (one scan instead of
-    one ``open()`` per paper); the file name becomes the key."""
-    df = spark.read.schema(METADATA_SCHEMA).option("recursiveFileLookup", "true").json(path)
+def read_metadata_dir(spark: SparkSession, path: str, key_from_path: str = r"([^/]+)\.json$", fields: str = "") -> DataFrame:
+    """Bulk scan of a directory tree of JSON documents (one scan instead of one ``open()`` per
+    paper): ``paper`` (what ``key_from_path`` finds in the file's path), ``fields`` (further top-level
+    fields, as a DDL string) and the flattened metadata."""
+    extra = T.StructType.fromDDL(fields) if fields else T.StructType([])
+    df = spark.read.schema(T.StructType(METADATA_SCHEMA.fields + extra.fields)).option("recursiveFileLookup", "true").json(path)
     df = df.withColumn("paper", F.regexp_extract(F.col("_metadata.file_path"), key_from_path, 1))
     return flatten_metadata(df.withColumn("_m", F.struct(*[F.col(c) for c in METADATA_SCHEMA.fieldNames()]))
-                            .select("paper", "_m"))
+                            .select("paper", *extra.fieldNames(), "_m"))
 
 
 # ---- file key from DOI (S6) -------------------------------------------------------

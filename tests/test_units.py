@@ -131,7 +131,7 @@ def test_kruskal_matches_formula(spark):
     rng = np.random.default_rng(2)
     vals = [(g, float(np.round(rng.normal(g * 0.3), 1))) for g in range(4) for _ in range(25)]
     df = spark.createDataFrame(vals, "g int, v double")
-    res = stats.kruskal(df, "g", "v")
+    res = stats.kruskal(df, "g", "v").first()
     x = np.array([v for _, v in vals])
     order = np.argsort(x, kind="stable")
     ranks = np.empty(len(x))
@@ -141,7 +141,7 @@ def test_kruskal_matches_formula(spark):
     N = len(x)
     H = 12 / (N * (N + 1)) * sum(ranks[[i for i, (g, _) in enumerate(vals) if g == k]].sum() ** 2 / 25 for k in range(4)) - 3 * (N + 1)
     H /= 1 - (cnt ** 3 - cnt).sum() / (N ** 3 - N)
-    assert abs(res["H"] - H) < 1e-9 and 0 <= res["p"] <= 1
+    assert abs(res["h"] - H) < 1e-9 and 0 <= res["p"] <= 1 and (res["df"], res["n"]) == (3, 100)
     assert order is not None
 
 
@@ -351,3 +351,55 @@ def test_eigenmap_of_a_path(spark):
     deg = A.sum(1)
     assert np.allclose(s, np.sort(np.abs(np.linalg.eigvalsh(A / np.sqrt(np.outer(deg, deg)))))[::-1][:4], atol=1e-8)
     assert {len(r["vec"]) for r in emb.collect()} == {3}
+
+
+# ---- tests and intervals against published table values ------------------------------
+
+def test_one_sample_t_and_interval(spark):
+    x = [5.1, 4.9, 6.2, 5.7, 5.5, 5.0, 6.0, 5.8, 5.4, 5.6]
+    df = spark.createDataFrame([("g", v) for v in x], "g string, v double")
+    t = stats.ttest_1samp(df, "g", "v", 5.0).first()
+    m, s = np.mean(x), np.std(x, ddof=1)
+    assert math.isclose(t["T"], (m - 5) / (s / 10**0.5)) and t["n"] == 10
+    # 9 degrees of freedom: P(T <= 2.262157) = 0.975
+    assert abs(stats.t_cdf(2.262157, 9) - 0.975) < 1e-6 and math.isclose(t["p_two_sided"], 2 * (1 - stats.t_cdf(t["T"], 9)))
+    c = stats.mean_ci(df, "g", "v").first()
+    assert abs(c["hi"] - (m + 2.262157 * s / 10**0.5)) < 1e-6 and abs(c["lo"] + c["hi"] - 2 * m) < 1e-9
+
+
+def test_wilcoxon_by_hand(spark):
+    rows_ = [("a", 1.0), ("a", -2.0), ("a", 3.0), ("a", -4.0), ("a", 0.0), ("a", -3.0), ("b", 1.0), ("b", 1.0), ("b", -1.0)]
+    df = spark.createDataFrame(rows_, "g string, v double").withColumn("mu", F.lit(0.0))
+    r = {x["g"]: x for x in stats.wilcoxon_less(df, "g", "v", "mu").collect()}
+    # |d| 1 2 3 3 4 -> ranks 1 2 3.5 3.5 5; the positive differences are 1 and 3
+    assert (r["a"]["n"], r["a"]["n_used"], r["a"]["T"]) == (6, 5, 4.5)
+    z = (4.5 - 7.5) / math.sqrt((5 * 6 * 11 - 0.5 * 6) / 24)
+    assert math.isclose(r["a"]["z"], z) and math.isclose(r["a"]["p"], 0.5 * math.erfc(-z / 2**0.5), rel_tol=1e-9)
+    assert (r["b"]["n"], r["b"]["T"]) == (3, 4.0)
+
+
+def test_html_references_by_hand(spark):
+    pages = [("<p>caf&eacute; &#233; &#xE9; &hellip;</p>", "café é é …"), ("a &lt;b&gt; &amp;amp; c", "a <b> &amp; c"), ("x &unknown; &notit; y", "x &unknown; ¬it; y"),
+             ("<b>1 &le; 2</b><!-- &copy; -->", "1 ≤ 2")]
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(pages)], "id int, h string")
+    for mode in ("sql", "parser"):
+        assert {r["id"]: r["h"] for r in clean.clean_text(df, "h", mode=mode).collect()} == {i: t for i, (_, t) in enumerate(pages)}
+
+
+def test_batch_encoder_sees_bounded_batches(spark):
+    from citeweave.operators import embed
+
+    def model(texts):
+        assert len(texts) <= 7
+        return np.array([[len(t), len(texts)] for t in texts])
+
+    df = spark.createDataFrame([(i, "x" * i) for i in range(40)], "id long, t string")
+    rows_ = {r["id"]: r["vec"] for r in embed.embed_texts(df, "id", "t", embed.batch_encoder(model, 7)).collect()}
+    assert len(rows_) == 39 and all(v[0] == i for i, v in rows_.items())
+
+
+def test_walks_restart_at_dangling_nodes(spark):
+    e = spark.createDataFrame([(0, 1), (1, 2), (5, 5)], "src long, dst long")
+    w = walks.walk_arrays(walks.random_walks(G.build_graph(e, mode="to_cited"), 2, 8, seed=4, restart_at_dangling=True)).collect()
+    paths = {r["walk_id"] // 2: r["nodes"] for r in w}
+    assert paths == {0: [0, 1, 2, 0, 1, 2, 0, 1], 1: [1, 2, 1, 2, 1, 2, 1, 2], 2: [2] * 8, 5: [5] * 8}
