@@ -27,26 +27,26 @@ from citeweave.session import Workspace
 PARTNERS = 24  # lengths tried as second of three for each first length
 STEPS = 400  # of the least-squares iteration
 SALT_ROWS = 20_000  # pieces of one length that one window ranks, about
-CACHE_WORDS = 800_000  # words whose ids a worker remembers
+CACHE_WORDS = 1_000_000  # letter runs whose ids a worker remembers
 MARKS = b".,;:!?#*$%&|()"  # none of them joins with a letter before it
 LAST_LATIN = "\u017f"
-BATCH = 4 << 20  # bytes of text handled at a time
+BATCH = 12 << 20  # bytes of text handled at a time
 
 
 class WordIds:
     """Token ids of texts, as little-endian 32-bit bytes.
 
     The tokenizer splits at white space before it merges, so a text's ids are those
-    of its words in turn, and each word needs encoding once.  It also splits letters from marks and
-    lower-cases, so a word of Latin letters with marks behind is looked up by its lower-case
-    letters and by its marks.  New letter runs are encoded many at a time: each is one token run
-    that ends with the only token of a word's end.  Texts with ``<|`` go to the tokenizer whole,
+    of its words in turn.  It also splits letters from marks and lower-cases, so a word of
+    Latin letters with marks behind is looked up by its lower-case letters and by its marks.  New
+    letter runs are encoded many at a time: each is one token run that ends with the only token
+    of a word's end.  Texts with ``<|`` go to the tokenizer whole,
     as special tokens may hold white space."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.parts = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.parts, self.marks = Tokenizer.from_file(path), {}, {}
         size = self.tokenizer.get_vocab_size()
         self.ends = np.zeros(size, bool)
         for token, i in self.tokenizer.get_vocab().items():
@@ -55,55 +55,61 @@ class WordIds:
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _runs(self, runs: list[str]) -> list[bytes]:
+    def _runs(self, runs: list[bytes]) -> list[bytes]:
         """Ids of each run of lower-case letters."""
         out = []
         for at in range(0, len(runs), 2000):
             some = runs[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, "<u4")
             stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(stops) != len(some) or stops[-1] != 4 * len(ids):
-                out += map(self._ids, some)
+                out += [self._ids(x.decode()) for x in some]
                 continue
             flat, stops = ids.tobytes(), stops.tolist()
             out += [flat[a:b] for a, b in zip([0, *stops], stops)]
         return out
 
-    def _learn(self, words: set[bytes]) -> None:
-        known, parts = self.words, self.parts
-        split, marked, new = [], set(), set()
+    def _table(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of each of the words of a batch."""
+        parts, marks_ids, table = self.parts, self.marks, {}
+        late: list[bytes] = []  # words whose letters are new, with these in lower case and the marks
         for w in words:
             letters = w.rstrip(MARKS)
-            text = letters.decode()
-            if text.isalpha() and (len(text) == len(letters) or max(text) <= LAST_LATIN and "\u0130" not in text):
-                low, marks = text.lower(), w[len(letters) :]
-                split.append((w, low, marks))
-                if low not in parts:
-                    new.add(low)
-                if marks not in parts:
-                    marked.add(marks)
+            if letters.isalpha():  # ASCII only, as these are bytes
+                low = letters.lower()
             else:
-                known[w] = self._ids(w.decode())
-        runs = list(new)
-        parts.update(zip(runs, self._runs(runs)))
-        for m in marked:
-            parts[m] = self._ids(m.decode()) if m else b""
-        for w, low, marks in split:
-            known[w] = parts[low] + parts[marks]
+                text = letters.decode()
+                if not text.isalpha() or max(text) > LAST_LATIN or "\u0130" in text:
+                    ids = parts.get(w)
+                    if ids is None:
+                        ids = parts[w] = self._ids(w.decode())
+                    table[w] = ids
+                    continue
+                low = text.lower().encode()
+            marks = w[len(letters) :]
+            if marks not in marks_ids:
+                marks_ids[marks] = self._ids(marks.decode())
+            ids = parts.get(low)
+            if ids is None:
+                late += (w, low, marks)
+            else:
+                table[w] = ids + marks_ids[marks] if marks else ids
+        new = list(set(late[1::3]))
+        parts.update(zip(new, self._runs(new)))
+        for w, low, marks in zip(late[::3], late[1::3], late[2::3]):
+            table[w] = parts[low] + marks_ids[marks]
+        return table
 
     def __call__(self, texts: list) -> list[bytes]:
         """Ids of each text; None counts as empty."""
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        if len(self.parts) > CACHE_WORDS:
-            self.parts.clear()
+        for cache in (self.parts, self.marks):
+            if len(cache) > CACHE_WORDS:
+                cache.clear()
         whole = [bool(t) and b"<|" in t for t in texts]
         split = [[] if w or not t else t.split() for t, w in zip(texts, whole)]
-        known = self.words
-        new = set().union(*split).difference(known)
-        if new:
-            self._learn(new)
-        return [self._ids(t.decode()) if w else b"".join([known[x] for x in own]) for t, w, own in zip(texts, whole, split)]
+        # the table of a batch is small enough to stay in the processor's cache
+        table = self._table(set().union(*split))
+        return [self._ids(t.decode()) if w else b"".join([table[x] for x in own]) for t, w, own in zip(texts, whole, split)]
 
 
 @lru_cache(maxsize=2)
