@@ -32,8 +32,9 @@ from citeweave.session import Workspace
 FREQUENT = 1 << 18  # units that are broadcast
 UNIT_CHARS, SPACES = 200, 16  # a longer unit is cut
 TOP_COST, BYTE_COST = 400_000, 500_000  # of a piece at most; of a character written as bytes
-WHOLE_WORDS = rf"\n| {{0,{SPACES}}}[^ \n]{{1,{UNIT_CHARS}}}| {{1,{SPACES}}}"
-LETTERS_APART = rf"\n| {{0,{SPACES}}}\p{{L}}{{1,{UNIT_CHARS}}}| {{0,{SPACES}}}[^\p{{L}} \n]{{1,{UNIT_CHARS}}}| {{1,{SPACES}}}"
+WHOLE_WORDS = rf" {{0,{SPACES}}}[^ \n]{{1,{UNIT_CHARS}}}|\n| {{1,{SPACES}}}"
+LETTERS_APART = rf" {{0,{SPACES}}}[a-zA-Z\p{{L}}]{{1,{UNIT_CHARS}}}| {{0,{SPACES}}}[^a-zA-Z\p{{L}} \n]{{1,{UNIT_CHARS}}}|\n| {{1,{SPACES}}}"
+LATTICES = 100_000  # that one task may hold while it groups edges; Spark sorts beyond that
 
 
 class Vocabulary:
@@ -103,17 +104,36 @@ def encode_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return spelled.select("unit", "n", ids.alias("ids"))
 
 
+def _rows(docs: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"), units_of(F.col(text_col), vocabulary).alias("units"))
+
+
+def encoded_units(rows: DataFrame, vocabulary: Vocabulary, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Two stored tables ``unit, ids, n_ids, ids_hash`` over all distinct units of ``rows``: the ``FREQUENT`` most
+    frequent (to broadcast) and the others."""
+    spark = rows.sparkSession
+    counted = rows.select(F.explode("units").alias("unit")).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
+    setting = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, LATTICES)
+    try:
+        known = ws.keep(encode_units(counted, vocabulary).withColumn("n_ids", F.size("ids")).withColumn("ids_hash", F.xxhash64("ids")), "units")
+    finally:
+        spark.conf.set(setting, before)
+    columns = ["unit", "ids", "n_ids", "ids_hash"]
+    common = ws.keep(known.orderBy(F.desc("n"), "unit").limit(FREQUENT).select(*columns), "common")
+    rare = ws.keep(known.select(*columns).join(F.broadcast(common.select("unit")), "unit", "left_anti"), "rare")
+    return common, rare
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, ws: Workspace, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, key, pos, ids``: the piece ids of each unit of each document, ``pos`` counting from 0.  A
     document without text has one row with nulls.  (id, key) names the document; rows that repeat
     id and text repeat its rows."""
-    rows = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"), units_of(F.col(text_col), vocabulary).alias("units"))
-    counted = rows.select(F.explode("units").alias("unit")).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
-    known = ws.keep(encode_units(counted, vocabulary), "units")
-    common = ws.keep(known.orderBy(F.desc("n"), "unit").limit(FREQUENT).select("unit", "ids"), "common")
+    rows = _rows(docs, vocabulary, id_col, text_col)
+    common, rare = encoded_units(rows, vocabulary, ws)
     each = rows.select("id", "key", F.posexplode("units").alias("pos", "unit"))
     near = each.join(F.broadcast(common), "unit")
-    rare = known.select("unit", "ids").join(F.broadcast(common.select("unit")), "unit", "left_anti")
     far = each.join(F.broadcast(common.select("unit")), "unit", "left_anti").join(rare, "unit")
     none = rows.where(F.size("units") == 0).select("id", "key", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("array<int>").alias("ids"))
     return near.select("id", "key", "pos", "ids").unionByName(far.select("id", "key", "pos", "ids")).unionByName(none)
@@ -140,15 +160,36 @@ def decode(ids: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") -> Data
     return rows.join(texts, "_row", "left").withColumn("decoded", F.coalesce(text, F.lit(""))).select(*ids.columns, "decoded")
 
 
-def digest(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row per document: ``id_col, n_units, n_pieces, ids_digest`` (a sum over units of hashes of
-    position and ids, so it tells any change of an id or of the order).
-
-    Null and empty texts have no pieces.  Rows that repeat id and text make one row.  Null ids are ids
-    like any other."""
-    sums = encoded.groupBy("id", "key").agg(
-        F.count_if(F.coalesce(F.col("pos"), F.lit(0)) == 0).alias("copies"), F.count("pos").alias("units"),
-        F.sum(F.coalesce(F.size("ids"), F.lit(0))).alias("pieces"),
-        F.sum(F.when(F.col("pos").isNotNull(), F.pmod(F.xxhash64("pos", "ids"), F.lit(1 << 31))).otherwise(0)).alias("hashes"))
-    return sums.select(F.col("id").alias(id_col), F.expr("units DIV copies").alias("n_units"),
-                       F.expr("if(units = 0, 0L, pieces DIV copies)").alias("n_pieces"), F.expr("hashes DIV copies").alias("ids_digest"))
+# A document's digest sums weight(position) * value(ids) over its units; both are below 2^20, so
+# that the sum of two billion products fits a long.
+def _weight(pos: Column) -> Column:
+    return F.pmod(F.xxhash64(pos), F.lit(1 << 12)) + 1
+
+
+def _value(ids_hash: Column) -> Column:
+    return F.pmod(ids_hash, F.lit(1 << 20))
+
+
+def encoding_digest(docs: DataFrame, vocabulary: Vocabulary, ws: Workspace, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: ``id_col, n_units, n_pieces, ids_digest`` of its encoding.  The digest weighs each
+    unit's ids by its position, so it tells changed ids and a changed order.
+
+    One pass over the texts after the units are encoded: frequent units are summed where they are met, and
+    what is left of a document are its other units with the sum of their weights, which alone shuffle to
+    their encodings.  Null and empty texts have no pieces.  Rows that repeat id and text make one row.
+    Null ids are ids like any other.  Other columns are not read; an empty table gives an empty result."""
+    rows = _rows(docs, vocabulary, id_col, text_col)
+    common, rare = encoded_units(rows, vocabulary, ws)
+    each = rows.select("id", "key", F.posexplode_outer("units").alias("pos", "unit"))
+    met = each.join(F.broadcast(common.select("unit", "n_ids", "ids_hash")), "unit", "left")
+    weight = F.when(F.col("pos").isNotNull(), _weight(F.col("pos")))
+    own = met.groupBy("id", "key", F.when(F.col("n_ids").isNull(), F.col("unit")).alias("unit")).agg(
+        F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("copies"), F.count("pos").alias("units"), F.sum("n_ids").alias("pieces"),
+        F.sum(weight * _value(F.col("ids_hash"))).alias("total"), F.sum(F.when(F.col("n_ids").isNull(), weight)).alias("weights"))
+    own = ws.keep(own, "sums")
+    late = own.where("unit IS NOT NULL").join(rare.select("unit", "n_ids", "ids_hash"), "unit").select(
+        "id", "key", "copies", "units", (F.col("units") * F.col("n_ids")).alias("pieces"), (F.col("weights") * _value(F.col("ids_hash"))).alias("total"))
+    sums = own.where("unit IS NULL").select("id", "key", "copies", "units", "pieces", "total").unionByName(late).groupBy("id", "key").agg(
+        *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("copies", "units", "pieces", "total")])
+    return sums.select(F.col("id").alias(id_col), F.expr("units DIV copies").alias("n_units"), F.expr("pieces DIV copies").alias("n_pieces"),
+                       F.expr("total DIV copies").alias("ids_digest"))

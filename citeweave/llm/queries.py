@@ -102,4 +102,4 @@ def op2_sentencepiece(spark, sf_dir):
     import public_tokenizers
 
     vocabulary = pieces.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
-    return pieces.digest(pieces.encode(table(spark, sf_dir, "documents"), vocabulary, Workspace(spark, "pieces")))
+    return pieces.encoding_digest(table(spark, sf_dir, "documents"), vocabulary, Workspace(spark, "pieces"))

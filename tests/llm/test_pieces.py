@@ -54,16 +54,18 @@ def test_query_matches_the_encoded_documents(spark, vocabulary, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     full = {r.id: r for r in pieces.documents(pieces.encode(docs, vocabulary, Workspace(spark, "test-pieces"))).collect()}
     assert set(rows) == set(full) and all(rows[i].n_pieces == len(full[i].ids) for i in rows)
+    monkeypatch.setattr(pieces, "FREQUENT", 1 << 18)  # all units are broadcast: the same answer
+    assert {r.doc_id: r for r in queries.QUERIES["op2_sentencepiece"](spark, SF).collect()} == rows
 
 
 def test_digest_tells_order_and_counts_repeats_once(spark, vocabulary):
     docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "a c b"), (None, "a b c"), (3, None), (3, None), (4, "")], "doc_id long, text string")
-    rows = {r.doc_id: r for r in pieces.digest(pieces.encode(docs, vocabulary, Workspace(spark, "test-pieces"))).collect()}
+    rows = {r.doc_id: r for r in pieces.encoding_digest(docs, vocabulary, Workspace(spark, "test-pieces")).collect()}
     assert len(rows) == 5 and rows[1].ids_digest == rows[None].ids_digest != rows[2].ids_digest
     assert (rows[1].n_units, rows[1].n_pieces, rows[3].n_pieces, rows[4].n_units) == (3, 3, 0, 0)
 
 
 def test_odd_rows(odd_docs, no_docs, spark, vocabulary):
     ws = Workspace(spark, "test-pieces")
-    assert pieces.digest(pieces.encode(odd_docs, vocabulary, ws)).count() == odd_docs.select("doc_id", "text").distinct().count()
-    assert pieces.digest(pieces.encode(no_docs, vocabulary, Workspace(spark, "test-pieces"))).collect() == []
+    assert pieces.encoding_digest(odd_docs, vocabulary, ws).count() == odd_docs.select("doc_id", "text").distinct().count()
+    assert pieces.encoding_digest(no_docs, vocabulary, Workspace(spark, "test-pieces")).collect() == []
