@@ -26,7 +26,7 @@ CHARS = (2, 3, 4)
 BLOCK = 1 << 18  # bytes whose n-grams are hashed at a time; n-grams do not cross blocks
 MIX = np.uint64(0x9E3779B97F4A7C15)
 POWERS = np.cumprod(np.full(256, 0x100000001B3, np.uint64))  # wraps around 2^64
-THRESHOLD = 0.5
+THRESHOLD = 0.3  # a document goes when poor quality is over twice as likely as good
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 SYMBOLS = b"#*$%&|<>"
 
