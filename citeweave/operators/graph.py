@@ -7,11 +7,14 @@ aggregates over the edge table; nothing is collected.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from citeweave.functions.columns import safe_log
+from citeweave.operators.prefix import prefix_sums
 from citeweave.session import materialize
 
 
@@ -47,12 +50,17 @@ def degrees(g: DataFrame, w: str = "w") -> DataFrame:
 
 def quantile_flag(nodes: DataFrame, value: str, q: float, out: str = "is_hub",
                   hi: str = "Core", lo: str = "Periphery") -> DataFrame:
-    """Flag ``value >= quantile(value, q)`` (A13).  The exact, linearly
-    interpolated quantile is computed over the histogram of distinct values
-    (``percentile`` with a frequency column), so the aggregation buffer grows
-    with the number of distinct values, not with the rows."""
-    hist = nodes.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_f"))
-    thr = hist.agg(F.percentile(F.col("_v"), F.lit(q), F.col("_f")).alias("_thr")).first()["_thr"]  # a scalar
+    """Flag ``value >= quantile(value, q)`` (A13): the exact, linearly interpolated
+    quantile, read off the running counts of the histogram of distinct values, which stay
+    distributed; only the two values around the position reach the driver."""
+    hist = nodes.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).cast("double").alias("_f"))
+    cum = prefix_sums(hist, ["_v"], ["_f"])
+    total = cum.agg(F.max("cum__f").alias("n")).first()["n"]
+    if not total:
+        return nodes.withColumn(out, F.lit(lo))
+    at = q * (total - 1)
+    two = cum.agg(F.min(F.when(F.col("cum__f") > math.floor(at), F.col("_v"))).alias("a"), F.min(F.when(F.col("cum__f") > math.ceil(at), F.col("_v"))).alias("b")).first()
+    thr = two["a"] + (at - math.floor(at)) * (two["b"] - two["a"])
     return nodes.withColumn(out, F.when(F.col(value) >= F.lit(thr), hi).otherwise(lo))
 
 

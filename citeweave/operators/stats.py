@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeweave.operators.prefix import average_ranks, dense_index, prefix_sums
+from citeweave.session import materialize
 
 # ---- scalar distribution functions (driver, stdlib only) -------------------------
 
@@ -222,6 +223,10 @@ def exact_quantiles(df: DataFrame, group: str, value: str, qs: Sequence[float])
         F.struct(F.lit(i).alias("qi"), (F.lit(float(q)) * (F.col("n") - 1)).alias("h")) for i, q in enumerate(qs)])).alias("w")) \
         .select(group, "n", "w.qi", F.floor("w.h").cast("long").alias("_lo"), F.ceil("w.h").cast("long").alias("_hi"),
                 (F.col("w.h") - F.floor("w.h")).alias("_f"))
+    # the few rows at the wanted positions, before anything is joined to them
+    want = materialize(want, "quantile-positions")
+    needed = want.select(group, F.col("_lo").alias("_p")).union(want.select(group, F.col("_hi").alias("_p"))).distinct()
+    pos = materialize(pos.join(F.broadcast(needed), [group, "_p"], "left_semi"), "quantile-values")
     lo = pos.select(group, F.col("_p").alias("_lo"), F.col(value).alias("_vlo"))
     hi = pos.select(group, F.col("_p").alias("_hi"), F.col(value).alias("_vhi"))
     qv = want.join(lo, [group, "_lo"]).join(hi, [group, "_hi"]).select(

@@ -8,11 +8,7 @@ from citeweave.plans.oracle_check import check
 from citeweave.plans.registry import load_all
 
 SF = os.environ.get("CITEWEAVE_ORACLE_SF", "/root/testdata/sf0.001")
-QUICK = ["citation_classes", "citation_network", "code_clean", "modal_code", "html_clean", "citation_counts",
-         "edge_set_ops", "transition_cumprob", "core_periphery", "rog", "knn_classify", "paper_pairs",
-         "link_prediction", "random_walks", "matrix_chain", "kruskal"]
-ALL = sorted(n for n, q in load_all().items() if q.sql)
-NAMES = ALL if os.environ.get("CITEWEAVE_FULL_ORACLE") else QUICK
+NAMES = sorted(n for n, q in load_all().items() if q.sql)
 
 
 @pytest.mark.parametrize("name", NAMES)
