@@ -123,6 +123,7 @@ def encoded_units(rows: DataFrame, vocabulary: Vocabulary, ws: Workspace) -> tup
     columns = ["unit", "ids", "n_ids", "ids_hash"]
     common = ws.keep(known.orderBy(F.desc("n"), "unit").limit(FREQUENT).select(*columns), "common")
     rare = ws.keep(known.select(*columns).join(F.broadcast(common.select("unit")), "unit", "left_anti"), "rare")
+    ws.drop("units")
     return common, rare
 
 
