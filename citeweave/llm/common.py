@@ -12,6 +12,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+# Rows of whole texts that go to a Python worker at a time: a worker keeps the memory of its largest batch.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Lowers the session's Arrow batches to ``BATCH_ROWS`` rows if they are larger; returns ``df``."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+    return df
+
+
 def text_bytes(batch, column: str) -> list:
     """The UTF-8 bytes of a string column of an Arrow batch (None for null)."""
     import pyarrow as pa

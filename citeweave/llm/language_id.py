@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import sub_batches, text_bytes
+from citeweave.llm.common import small_batches, sub_batches, text_bytes
 
 PER_LANG = 400  # documents of a language that the fit may see
 PIECES, PIECE_CHARS = 4, 160  # pieces of each of them
@@ -260,7 +260,7 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
 
     source = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("t"))
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return small_batches(source).mapInArrow(run, f"id {kind}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def in_a_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -276,7 +276,7 @@ def in_a_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             lang, score = answers(net, text_bytes(batch, text_col))
             yield batch.filter(pa.array([x != "und" and s >= min_score for x, s in zip(lang, score)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

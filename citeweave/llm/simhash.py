@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import shingle_hashes, small, text_bytes, text_key
+from citeweave.llm.common import shingle_hashes, small, small_batches, text_bytes, text_key
 from citeweave.operators.components import connected_components
 from citeweave.operators.skew import attach
 from citeweave.session import Workspace
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
 
     source = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"), F.col(text_col).cast("string").alias("t"))
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, key long, fp long")
+    return small_batches(source).mapInArrow(run, f"id {kind}, key long, fp long")
 
 
 def _distance(x: np.ndarray, y, mask) -> np.ndarray:
