@@ -97,6 +97,26 @@ FROM documents d LEFT JOIN built USING (doc_id)
 """
 
 
+@query
+def op7_line_dedup_all(spark, sf_dir):
+    docs = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_run=1)
+    return docs.select("doc_id", F.col("_gone").alias("lines_removed"), F.length("text").cast("long").alias("chars_left"),
+                       F.sha2("text", 256).alias("text_sha256"))
+
+
+SQL["op7_line_dedup_all"] = """
+WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+flat AS (SELECT doc_id, unnest(lines) AS x, unnest(range(len(lines))) AS line FROM split),
+marked AS (SELECT *, length(trim(x, chr(32) || chr(9) || chr(11) || chr(12) || chr(13))) > 0
+                     AND row_number() OVER (PARTITION BY x ORDER BY doc_id, line) > 1 AS gone FROM flat),
+built AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS lines_removed,
+                 coalesce(string_agg(x, chr(10) ORDER BY line) FILTER (WHERE NOT gone), '') AS t FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(lines_removed, 0) AS lines_removed, length(CASE WHEN d.text IS NULL THEN NULL ELSE t END) AS chars_left,
+       sha256(CASE WHEN d.text IS NULL THEN NULL ELSE t END) AS text_sha256
+FROM documents d LEFT JOIN built USING (doc_id)
+"""
+
+
 @query
 def op2_sentencepiece(spark, sf_dir):
     import public_tokenizers
