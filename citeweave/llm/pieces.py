@@ -109,7 +109,7 @@ def _rows(docs: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: str) -
 
 
 def encoded_units(rows: DataFrame, vocabulary: Vocabulary, ws: Workspace) -> tuple[DataFrame, DataFrame]:
-    """Two stored tables ``unit, ids, n_ids, ids_hash`` over all distinct units of ``rows``: the ``FREQUENT`` most
+    """Two stored tables ``unit, ids`` over all distinct units of ``rows``: the ``FREQUENT`` most
     frequent (to broadcast) and the others."""
     spark = rows.sparkSession
     counted = rows.select(F.explode("units").alias("unit")).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
@@ -117,10 +117,10 @@ def encoded_units(rows: DataFrame, vocabulary: Vocabulary, ws: Workspace) -> tup
     before = spark.conf.get(setting)
     spark.conf.set(setting, LATTICES)
     try:
-        known = ws.keep(encode_units(counted, vocabulary).withColumn("n_ids", F.size("ids")).withColumn("ids_hash", F.xxhash64("ids")), "units")
+        known = ws.keep(encode_units(counted, vocabulary), "units")
     finally:
         spark.conf.set(setting, before)
-    columns = ["unit", "ids", "n_ids", "ids_hash"]
+    columns = ["unit", "ids"]
     common = ws.keep(known.orderBy(F.desc("n"), "unit").limit(FREQUENT).select(*columns), "common")
     rare = ws.keep(known.select(*columns).join(F.broadcast(common.select("unit")), "unit", "left_anti"), "rare")
     ws.drop("units")
@@ -161,36 +161,35 @@ def decode(ids: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") -> Data
     return rows.join(texts, "_row", "left").withColumn("decoded", F.coalesce(text, F.lit(""))).select(*ids.columns, "decoded")
 
 
-# A document's digest sums weight(position) * value(ids) over its units; both are below 2^20, so
-# that the sum of two billion products fits a long.
-def _weight(pos: Column) -> Column:
-    return F.pmod(F.xxhash64(pos), F.lit(1 << 12)) + 1
-
-
-def _value(ids_hash: Column) -> Column:
-    return F.pmod(ids_hash, F.lit(1 << 20))
-
-
 def encoding_digest(docs: DataFrame, vocabulary: Vocabulary, ws: Workspace, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``id_col, n_units, n_pieces, ids_digest`` of its encoding.  The digest weighs each
-    unit's ids by its position, so it tells changed ids and a changed order.
+    """One row per document, encoded and decoded: ``id_col, n_units, n_pieces, ids_digest`` (SHA-256 of all its ids
+    in order, joined by commas), ``decoded_sha256`` (of the text that the ids spell) and ``round_trip`` (whether that is
+    the SHA-256 of the text).
 
-    One pass over the texts after the units are encoded: frequent units are summed where they are met, and
-    what is left of a document are its other units with the sum of their weights, which alone shuffle to
-    their encodings.  Null and empty texts have no pieces.  Rows that repeat id and text make one row.
+    One pass over the texts after the units are encoded: frequent units get their ids where they are met, and the
+    other units of a document alone shuffle to their encodings.  The ids of each document are stored, and decoded
+    from there.  Null and empty texts have no pieces.  Rows that repeat id and text make one row.
     Null ids are ids like any other.  Other columns are not read; an empty table gives an empty result."""
     rows = _rows(docs, vocabulary, id_col, text_col)
     common, rare = encoded_units(rows, vocabulary, ws)
     each = rows.select("id", "key", F.posexplode_outer("units").alias("pos", "unit"))
-    met = each.join(F.broadcast(common.select("unit", "n_ids", "ids_hash")), "unit", "left")
-    weight = F.when(F.col("pos").isNotNull(), _weight(F.col("pos")))
-    own = met.groupBy("id", "key", F.when(F.col("n_ids").isNull(), F.col("unit")).alias("unit")).agg(
-        F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("copies"), F.count("pos").alias("units"), F.sum("n_ids").alias("pieces"),
-        F.sum(weight * _value(F.col("ids_hash"))).alias("total"), F.sum(F.when(F.col("n_ids").isNull(), weight)).alias("weights"))
-    own = ws.keep(own, "sums")
-    late = own.where("unit IS NOT NULL").join(rare.select("unit", "n_ids", "ids_hash"), "unit").select(
-        "id", "key", "copies", "units", (F.col("units") * F.col("n_ids")).alias("pieces"), (F.col("weights") * _value(F.col("ids_hash"))).alias("total"))
-    sums = own.where("unit IS NULL").select("id", "key", "copies", "units", "pieces", "total").unionByName(late).groupBy("id", "key").agg(
-        *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("copies", "units", "pieces", "total")])
-    return sums.select(F.col("id").alias(id_col), F.expr("units DIV copies").alias("n_units"), F.expr("pieces DIV copies").alias("n_pieces"),
-                       F.expr("total DIV copies").alias("ids_digest"))
+    met = each.join(F.broadcast(common.select("unit", "ids")), "unit", "left")
+    own = ws.keep(met.groupBy("id", "key").agg(
+        F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("copies"), F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids"))).alias("near"),
+        F.collect_list(F.when(F.col("ids").isNull() & F.col("pos").isNotNull(), F.struct("pos", "unit"))).alias("far")), "parts")
+    late = own.select("id", "key", F.explode("far").alias("f")).select("id", "key", F.col("f.pos").alias("pos"), F.col("f.unit").alias("unit")) \
+        .join(rare, "unit").groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_list(F.struct("pos", "ids")).alias("late"))
+    parts = own.drop("far").join(late, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
+    found = F.sort_array(F.concat("near", F.coalesce("late", F.array().cast(late.schema["late"].dataType))))
+    # of a repeated row's units one of each place
+    once = parts.withColumn("p", found).withColumn("p", F.when(F.col("copies") == 1, F.col("p")).otherwise(
+        F.expr("filter(p, (x, i) -> i % copies = 0)")))
+    ids = ws.keep(once.select("id", "key", F.size("p").cast("long").alias("n_units"), F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids")), "ids")
+    ws.drop("common", "rare", "parts")
+    spelled = decode(ids, vocabulary).select(
+        "id", "key", "n_units", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.array_join("ids", ","), 256).alias("ids_digest"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+    texts = docs.select(F.col(id_col).alias("_id"), text_key(text_col).alias("_key"), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+                        .alias("_sha256")).distinct()
+    return spelled.join(texts, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select(
+        F.col("id").alias(id_col), "n_units", "n_pieces", "ids_digest", "decoded_sha256", (F.col("decoded_sha256") == F.col("_sha256")).alias("round_trip"))

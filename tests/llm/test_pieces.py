@@ -58,6 +58,30 @@ def test_query_matches_the_encoded_documents(spark, vocabulary, monkeypatch):
     assert {r.doc_id: r for r in queries.QUERIES["op2_sentencepiece"](spark, SF).collect()} == rows
 
 
+def test_query_encodes_and_decodes_whole_documents(spark, vocabulary):
+    import hashlib
+
+    rows = queries.QUERIES["op2_sentencepiece"](spark, SF).collect()
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    full = {r.id: r.ids for r in pieces.documents(pieces.encode(spark.read.parquet(f"{SF}/documents.parquet"), vocabulary, Workspace(spark, "test-pieces"))).collect()}
+    sha = lambda text: hashlib.sha256((text or "").encode()).hexdigest()
+    assert len(rows) == len(docs) and all(r.round_trip for r in rows)
+    for r in rows:
+        assert r.decoded_sha256 == sha(docs[r.doc_id]) and r.ids_digest == sha(",".join(map(str, full[r.doc_id])))
+
+
+def test_digest_tells_every_swap_and_odd_texts_come_back(spark, vocabulary, odd_docs):
+    """Two units swapped at places 4,096 apart or any other way give another digest; traps round-trip."""
+    words = [f"w{k}" for k in range(300)]
+    swapped = [" ".join(words[:a] + [words[b]] + words[a + 1 : b] + [words[a]] + words[b + 1 :]) for a in range(0, 290, 7) for b in (a + 1, 299)]
+    docs = spark.createDataFrame(list(enumerate([" ".join(words)] + sorted(set(swapped)))), "doc_id long, text string")
+    rows = pieces.encoding_digest(docs, vocabulary, Workspace(spark, "test-pieces")).collect()
+    assert len({r.ids_digest for r in rows}) == len(rows) == docs.count() and all(r.round_trip for r in rows)
+    traps = spark.createDataFrame(list(enumerate(TRAPS)), "doc_id long, text string").unionByName(odd_docs.select("doc_id", "text"))
+    rows = pieces.encoding_digest(traps, vocabulary, Workspace(spark, "test-pieces")).collect()
+    assert len(rows) == traps.distinct().count() and all(r.round_trip for r in rows)
+
+
 def test_digest_tells_order_and_counts_repeats_once(spark, vocabulary):
     docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "a c b"), (None, "a b c"), (3, None), (3, None), (4, "")], "doc_id long, text string")
     rows = {r.doc_id: r for r in pieces.encoding_digest(docs, vocabulary, Workspace(spark, "test-pieces")).collect()}
