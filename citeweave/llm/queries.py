@@ -70,6 +70,12 @@ def op4_substring_dedup(spark, sf_dir):
                         "keep_line", "group_size", "kept")
 
 
+@query
+def op4_substring_passages(spark, sf_dir):
+    docs = substring_dedup.passage_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.length("text").cast("long").alias("chars_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
 @query
 def op7_line_dedup(spark, sf_dir):
     docs = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
