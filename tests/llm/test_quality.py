@@ -56,6 +56,19 @@ def test_held_out_accuracy(spark):
     assert np.mean(good) > 0.95 and np.mean(bad) < 0.3
 
 
+def test_poor_rows_go(spark):
+    """At the fixed threshold, of held-back rows and of the query's own."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(quality.labelled(docs, labels.where("doc_id % 2 = 1"), "doc_id", "text", "quality").collect())
+    held = labels.where("doc_id % 2 = 0")
+    rows = quality.quality_filter(docs.join(held.select("doc_id"), "doc_id", "left_semi"), model).join(held, "doc_id").collect()
+    assert np.mean([r.kept for r in rows if r.quality == 0]) < 0.02
+    assert np.mean([r.kept for r in rows if r.quality == 1 and not r.base_failed]) > 0.99
+    rows = queries.QUERIES["op6_quality_rules"](spark, sf).join(labels, "doc_id").collect()
+    assert np.mean([r.kept for r in rows if r.quality == 0]) < 0.02
+
+
 def test_odd_rows(odd_docs, no_docs, spark):
     labels = spark.createDataFrame([(4, 1, 0), (10, 0, 0), (10, 0, 1), (8, None, 0), (None, 1, 0), (5, 1, 0), (5, 0, 0)],
                                    "doc_id long, quality int, kept int")
