@@ -3,12 +3,13 @@
 Every text is read once, into a narrow table (id, SHA-256, row number).
 
 Pass 1 sets four bits of one 64-bit word of a register-blocked Bloom filter per
-hash.  Signatures (word, bits) met at least twice - counted with map-side
-combine - make the *repeat filter*, at most ``MAX_WORDS`` words by construction,
-so broadcasting it is safe at any input size.
+hash.  Signatures (word, bits) met at least twice - counted exactly, which shuffles
+a row of three numbers for each distinct signature of a task, so about one for each
+document unless most are copies - make the *repeat filter*, at most ``MAX_WORDS`` words
+by construction, so broadcasting it is safe at any input size.
 
 Pass 2 probes the filter.  A row whose bits are not all set cannot have a copy: it
-passes straight through and never shuffles.  The others, true repeats and a few
+passes straight through and its SHA-256 never shuffles.  The others, true repeats and a few
 false positives, shuffle on their full SHA-256 (never the text) and are resolved
 exactly.  A digest that holds a large part of all rows is combined map-side and
 meets its group by a bounded broadcast (``operators.skew.attach``).
