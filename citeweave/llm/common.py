@@ -86,3 +86,38 @@ def without_lines(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str)
         F.array_join(F.transform(keep, lambda i: F.col("_split")[i]), "\n"))
     return rows.withColumn(text_col, text).withColumn("_gone", F.coalesce(F.size("_lines"), F.lit(0)).cast("long")) \
         .withColumn("_gone", F.when(F.col("_gone") < 0, F.lit(0)).otherwise(F.col("_gone"))).select(*docs.columns, "_gone")
+
+
+# A key is hot when it holds more than 1/HOT_SHARE of the rows: fewer than HOT_SHARE
+# keys can be, whatever the data, which bounds the broadcast below.
+HOT_SHARE = 1000
+
+
+def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """Left join ``rows`` with ``groups`` (one row per ``keys``, never null; ``size``
+    holds the number of rows of the key, ``total`` of all rows).
+
+    Rows of hot keys meet their group by a broadcast of fewer than ``HOT_SHARE``
+    rows and never shuffle; all others meet by a shuffled join in which no key
+    holds more than ``total / HOT_SHARE`` rows."""
+    hot = groups.where(F.col(size) * HOT_SHARE > total)
+    cold = groups.where(F.col(size) * HOT_SHARE <= total)
+    near = rows.join(F.broadcast(hot), keys, "inner")
+    far = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, "left")
+    return near.unionByName(far)
+
+
+# Whole-number components stay below this size, so that products and squared distances of
+# vectors of a thousand components fit 64 bits.
+MAX_WHOLE = 1 << 26
+
+
+def whole_vectors(vectors: DataFrame, id_col: str, vec_col: str, scale: int, *others: str) -> DataFrame:
+    """``vec_id, v, *others``: the components as ``floor(scale * x)``, x as double.  Vectors that are null or
+    hold null or non-finite components are left out; a component of ``MAX_WHOLE`` or more is an error."""
+    x = F.col(vec_col)
+    odd = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+    size = F.transform(x, lambda c: F.floor(c.cast("double") * scale))
+    fits = F.forall(x, lambda c: F.abs(c.cast("double") * scale) < MAX_WHOLE - 1)
+    v = F.when(fits, size).otherwise(F.raise_error(F.lit(f"a component times {scale} is {MAX_WHOLE} or more")).cast("array<bigint>"))
+    return vectors.where(x.isNotNull()).where(~odd).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), *others)

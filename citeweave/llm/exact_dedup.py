@@ -12,7 +12,7 @@ Pass 2 probes the filter.  A row whose bits are not all set cannot have a copy:
 passes straight through and its SHA-256 never shuffles.  The others, true repeats and a few
 false positives, shuffle on their full SHA-256 (never the text) and are resolved
 exactly.  A digest that holds a large part of all rows is combined map-side and
-meets its group by a bounded broadcast (``operators.skew.attach``).
+meets its group by a bounded broadcast (``common.attach``).
 
 Once the corpus outgrows the filter, more rows take the exact path: results stay
 exact, only the saving shrinks.
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.operators.skew import attach
+from citeweave.llm.common import attach
 from citeweave.session import Workspace
 
 MAX_WORDS = 1 << 21  # 16 MB of filter bits

@@ -24,8 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import text_key, without_lines
-from citeweave.operators.skew import attach
+from citeweave.llm.common import attach, text_key, without_lines
 from citeweave.session import Workspace
 
 MIN_RUN = 2

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citeweave.llm import chat, exact_dedup, language_id, line_dedup, packing, pieces, quality, simhash, substring_dedup, warc
+from citeweave.llm import bit_sliced, chat, exact_dedup, language_id, line_dedup, packing, pieces, quality, simhash, substring_dedup, warc
 from citeweave.llm.common import table
 from citeweave.session import Workspace
 from pyspark.sql import functions as F
@@ -129,3 +129,18 @@ def op2_sentencepiece(spark, sf_dir):
 
     vocabulary = pieces.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
     return pieces.encoding_digest(table(spark, sf_dir, "documents"), vocabulary, Workspace(spark, "pieces"))
+
+
+@query
+def op11_bit_sliced_top_k(spark, sf_dir):
+    return bit_sliced.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+SQL["op11_bit_sliced_top_k"] = """
+WITH w AS (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+best AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score,
+                row_number() OVER (PARTITION BY q.r ORDER BY list_inner_product(q.v, c.v) DESC, c.vec_id) AS rank
+         FROM w q JOIN w c ON q.r <> c.r WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM best WHERE rank <= 5
+"""

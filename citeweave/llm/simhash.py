@@ -31,9 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import shingle_hashes, small, small_batches, text_bytes, text_key
+from citeweave.llm.common import attach, shingle_hashes, small, small_batches, text_bytes, text_key
 from citeweave.operators.components import connected_components
-from citeweave.operators.skew import attach
 from citeweave.session import Workspace
 
 SAMPLE = 1 << 16  # fingerprints that vantage points and thresholds are fitted on
