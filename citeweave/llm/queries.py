@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citeweave.llm import bit_sliced, chat, exact_dedup, language_id, line_dedup, packing, pieces, quality, simhash, substring_dedup, warc
+from citeweave.llm import bit_sliced, chat, dual_tree, exact_dedup, language_id, line_dedup, packing, pieces, quality, simhash, substring_dedup, warc
 from citeweave.llm.common import table
 from citeweave.session import Workspace
 from pyspark.sql import functions as F
@@ -144,3 +144,29 @@ best AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v
          FROM w q JOIN w c ON q.r <> c.r WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM best WHERE rank <= 5
 """
+
+
+@query
+def op12_dual_tree_codes(spark, sf_dir):
+    return dual_tree.compress(table(spark, sf_dir, "embeddings"))
+
+
+_ASSIGN = """{name} AS MATERIALIZED (SELECT r, p, x, arg_min(e, (d, e)) AS e, min(d) AS d FROM (
+    SELECT s.r, s.p, s.x, b.e, list_sum([(s.x[i] - b.x[i]) * (s.x[i] - b.x[i]) for i in range(1, len(s.x) + 1)]) AS d
+    FROM parts s JOIN {book} b ON s.p = b.p) GROUP BY r, p, x)"""
+_REFINE = """{name} AS MATERIALIZED (SELECT b.p, b.e, CASE WHEN m.x IS NULL THEN b.x ELSE m.x END AS x FROM {book} b LEFT JOIN (
+    SELECT p, e, list(v ORDER BY i) AS x FROM (SELECT p, e, i, CAST(floor(sum(v) / count(*)) AS BIGINT) AS v FROM (
+        SELECT p, e, unnest(x) AS v, unnest(range(len(x))) AS i FROM {assigned}) GROUP BY p, e, i) GROUP BY p, e) m ON b.p = m.p AND b.e = m.e)"""
+SQL["op12_dual_tree_codes"] = f"""
+WITH w AS MATERIALIZED (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS r, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v
+     FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT r, p, v[p * len(v) // 16 + 1 : (p + 1) * len(v) // 16] AS x FROM w, range(16) t(p)),
+book0 AS MATERIALIZED (SELECT p, r AS e, x FROM parts WHERE r < 64),
+{_ASSIGN.format(name="near0", book="book0")}, {_REFINE.format(name="book1", book="book0", assigned="near0")},
+{_ASSIGN.format(name="near1", book="book1")}, {_REFINE.format(name="book2", book="book1", assigned="near1")},
+{_ASSIGN.format(name="near2", book="book2")},
+coded AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near2 GROUP BY r),
+sha AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM w JOIN coded USING (r), sha
+"""
