@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citeweave.llm import bit_sliced, chat, dual_tree, exact_dedup, language_id, line_dedup, packing, pieces, quality, simhash, substring_dedup, warc
+from citeweave.llm import bit_sliced, chat, dual_tree, exact_dedup, language_id, line_dedup, packing, pieces, quality, repair, simhash, substring_dedup, warc
 from citeweave.llm.common import table
 from citeweave.session import Workspace
 from pyspark.sql import functions as F
@@ -170,3 +170,8 @@ sha AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
 FROM w JOIN coded USING (r), sha
 """
+
+
+@query
+def op13_conversation_repair(spark, sf_dir):
+    return repair.repair(table(spark, sf_dir, "conversations"))
