@@ -44,6 +44,24 @@ def sub_batches(values: list, most: int):
         yield start, len(values)
 
 
+def text_slices(texts, most: int):
+    """Index ranges of an Arrow string array whose texts sum to about ``most`` bytes (one text at least)."""
+    import pyarrow.compute as pc
+
+    yield from _ranges(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), most)
+
+
+def _ranges(sizes: list[int], most: int):
+    start, size = 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and size + n > most:
+            yield start, i
+            start, size = i, 0
+        size += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def as_column(ids: DataFrame, name: str, like: DataFrame, source: str) -> DataFrame:
     """``ids`` with column ``name`` cast to the type ``source`` has in ``like``."""
     return ids.withColumn(name, F.col(name).cast(like.schema[source].dataType))

@@ -65,7 +65,7 @@ def op9_warc(spark, sf_dir):
 
 @query
 def op4_substring_dedup(spark, sf_dir):
-    found = substring_dedup.repeated_paragraphs(table(spark, sf_dir, "documents"))
+    found = substring_dedup.repeated_substrings(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "line", "start", "length", "n_words", F.col("keep_id").alias("keep_doc_id"),
                         "keep_line", "group_size", "kept")
 

@@ -6,6 +6,7 @@ from .test_exact_and_simhash import brute_components, brute_print
 from .test_line_dedup import brute as brute_lines
 from .test_packing import check_places
 from .test_substring import brute as brute_paragraphs
+from .test_substring import brute_passages
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,9 +40,13 @@ def test_each_stage(spark, tmp_path):
             group = brute_components(list(before), [brute_print(t) for t in before.values()], 4)
             assert after == {i: t for i, t in before.items() if group[i] == i}
         else:
-            found = brute_paragraphs(before)
-            assert after == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if found.get((i, k), ((i, k),))[0] == (i, k))
-                             for i, t in before.items()}
+            found, repeated = brute_paragraphs(before), brute_passages(before)
+            for i, t in before.items():
+                if not repeated.get(i):  # lines alone go
+                    assert after[i] == "\n".join(x for k, x in enumerate(t.split("\n")) if found.get((i, k), ((i, k),))[0] == (i, k))
+                else:
+                    assert len(after[i].split()) <= len(t.split()) - 0.9 * len(repeated[i])
+            assert any(repeated.values()) and not any(brute_passages(after).values())
         before = after
 
 
