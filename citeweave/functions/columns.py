@@ -48,18 +48,23 @@ def cantor_pair(k1: Column | str, k2: Column | str, unordered: bool = False) ->
     a, b = col_(k1).cast("bigint"), col_(k2).cast("bigint")
     if unordered:
         a, b = F.greatest(a, b), F.least(a, b)
-    s = a + b
-    return F.shiftright(s * (s + 1), 1) + b
+    return _triangle(a + b) + b
+
+
+def _triangle(s: Column) -> Column:
+    """s(s+1)/2 without the overflow of s(s+1)."""
+    half, odd = F.shiftright(s, 1), s.bitwiseAND(F.lit(1).cast("bigint"))
+    return F.when(odd == 0, half * (s + 1)).otherwise(s * (half + 1))
 
 
 def cantor_unpair(z: Column | str) -> tuple[Column, Column]:
-    """Inverse of :func:`cantor_pair` (ordered form)."""
+    """Inverse of :func:`cantor_pair` (ordered form): the square root in doubles is off by
+    one at most, which two comparisons of whole numbers put right."""
     zc = col_(z).cast("bigint")
-    w = F.floor((F.sqrt(zc.cast("double") * 8 + 1) - 1) / 2).cast("bigint")
-    t = F.shiftright(w * (w + 1), 1)
-    k2 = zc - t
-    k1 = w - k2
-    return k1, k2
+    near = F.floor((F.sqrt(zc.cast("double") * 8 + 1) - 1) / 2).cast("bigint")
+    w = F.when(_triangle(near) > zc, near - 1).when(_triangle(near) + near + 1 <= zc, near + 1).otherwise(near)
+    k2 = zc - _triangle(w)
+    return w - k2, k2
 
 
 def safe_log(c: Column | str, minval: float = 1e-12) -> Column:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.functions.columns import hash_uniform
+from citeweave.functions.columns import cantor_pair, cantor_unpair, hash_uniform
 from citeweave.operators import graph as G
 from citeweave.operators.prefix import dense_index
 from citeweave.session import fits_broadcast, materialize
@@ -50,11 +50,42 @@ def bucketed_edges(g: DataFrame, with_dst_deg: bool = True) -> DataFrame:
 
 
 STEPS_PER_STORE = 10
+DRAWS_PER_STORE = 2  # of rejection walks, whose plan for one draw is large
+TAIL = 10  # nodes before a stored piece that it carries, for pairs across its start
+
+
+def laid_out(be: DataFrame) -> DataFrame:
+    """Bucketed edges for the steps of walks: to broadcast if their counted size is small, else checkpointed in the
+    partitions and order of the join, so no step moves or sorts them again."""
+    be = materialize(be, "walk-edges")
+    if fits_broadcast(be.count(), EDGE_ROW_BYTES):
+        return F.broadcast(be)
+    conf = be.sparkSession.conf
+    n, adaptive = int(conf.get("spark.sql.shuffle.partitions")), conf.get("spark.sql.adaptive.enabled")
+    laid = be.repartition(n, "src", "bucket").sortWithinPartitions("src", "bucket")
+    conf.set("spark.sql.adaptive.enabled", "false")  # a plan that may still change tells no layout
+    try:
+        return laid.checkpoint()
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def _bucket(u: str, deg: str) -> F.Column:
+    return F.least(F.floor(F.col(u) * F.col(deg)).cast("long"), (F.col(deg) - 1).cast("long"))
+
+
+def _draw(f: DataFrame, be: DataFrame, move: F.Column) -> DataFrame:
+    """``f`` with ``dst, dst_deg``: the edge of ``cur`` that the draw ``_u`` falls on, for rows where ``move`` holds."""
+    # walkers that do not move get keys of their own, which match nothing and spread evenly
+    f = f.withColumn("_key", F.when(move, F.col("cur")).otherwise(-1 - F.col("walk_id"))).withColumn(
+        "_bucket", F.when(move, _bucket("_u", "deg")).otherwise(F.lit(-1)))
+    on = (f["_key"] == be["src"]) & (f["_bucket"] == be["bucket"]) & (be["lo"] <= f["_u"]) & (f["_u"] < be["hi"])
+    return f.join(be, on, "left")
 
 
 def _step(front: DataFrame, be: DataFrame, t: int, seed: int, restart_prob: float,
           restart_at_dangling: bool) -> DataFrame:
-    """Advance every walker by one step (``walk_id, start, start_deg, cur, deg, path``;
+    """Advance every walker by one step (``walk_id, start, start_deg, cur, deg, tail, path``;
     ``cur`` is null once a walk has ended).  The path grows by the node reached."""
     live = F.col("cur").isNotNull()
     f = front.withColumn("_u", hash_uniform(F.lit(seed), F.col("walk_id"), F.lit(t), F.lit(1)))
@@ -62,89 +93,110 @@ def _step(front: DataFrame, be: DataFrame, t: int, seed: int, restart_prob: floa
     if restart_prob > 0:
         jump = live & ((F.col("deg") == 0) | (hash_uniform(F.lit(seed), F.col("walk_id"), F.lit(t), F.lit(0)) <= F.lit(restart_prob)))
     f = f.withColumn("_jump", jump)
-    bucket = F.least(F.floor(F.col("_u") * F.col("deg")).cast("long"), (F.col("deg") - 1).cast("long"))
-    move = live & ~F.col("_jump")
-    # walkers that do not move get keys of their own, which match nothing and spread evenly
-    f = f.withColumn("_key", F.when(move, F.col("cur")).otherwise(-1 - F.col("walk_id"))).withColumn("_bucket", F.when(move, bucket).otherwise(F.lit(-1)))
-    e = be.select(F.col("src").alias("_key"), F.col("bucket").alias("_bucket"), "dst", "lo", "hi", "dst_deg")
-    j = f.join(e, (f["_key"] == e["_key"]) & (f["_bucket"] == e["_bucket"]) & (e["lo"] <= f["_u"]) & (f["_u"] < e["hi"]), "left")
+    j = _draw(f, be, live & ~F.col("_jump"))
     cur, deg = F.col("dst"), F.col("dst_deg")
     if restart_at_dangling:
         cur = F.when(F.col("_jump"), F.col("start")).otherwise(cur)
         deg = F.when(F.col("_jump"), F.col("start_deg")).otherwise(deg)
-    return j.select("walk_id", "start", "start_deg", cur.alias("cur"), deg.alias("deg"),
+    return j.select("walk_id", "start", "start_deg", cur.alias("cur"), deg.alias("deg"), "tail",
                     F.when(cur.isNull(), F.col("path")).otherwise(F.concat("path", F.array(cur))).alias("path"))
 
 
-def random_walks(g: DataFrame, num_walks: int, walk_length: int, *, seed: int = 0, restart_prob: float = 0.0,
-                 restart_at_dangling: bool = False, start_nodes: DataFrame | None = None) -> DataFrame:
-    """Walk corpus over an integer-id edge table ``src, dst, w``.
+def _emptied(front: DataFrame) -> DataFrame:
+    """Walkers behind a store: the piece becomes the tail, and a new one begins."""
+    whole = F.concat("tail", "path")
+    tail = F.slice(whole, F.greatest(F.lit(1), F.size(whole) - TAIL + 1), F.lit(TAIL))
+    return front.withColumn("tail", tail).withColumn("path", F.array().cast("array<bigint>"))
 
-    ``num_walks`` walkers start at every node (or at ``start_nodes(node)``),
-    each visits up to ``walk_length`` positions.  A walker at a node without
-    out-edges stops (a walker *starting* at a sink writes itself once more), or
-    jumps back to its start with ``restart_at_dangling``; with probability
-    ``restart_prob`` a step restarts (jump to start) or ends the walk.
-    Returns ``walk_id, start, t, node``.
 
-    The bucketed edge table is stored once; it is broadcast if its counted size is
-    small, else each step shuffles the walkers to it.  The walkers carry the nodes of
-    ``STEPS_PER_STORE`` steps before they are written, so lineage stays that deep.
-    """
-    g = materialize(g.select("src", "dst", "w"), "walk-graph")
-    be = materialize(bucketed_edges(g), "walk-edges")
-    if fits_broadcast(be.count(), EDGE_ROW_BYTES):
-        be = F.broadcast(be)
+def _starts(g: DataFrame, num_walks: int, start_nodes: DataFrame | None) -> DataFrame:
+    """``walk_id, start, deg``: ``num_walks`` walkers at every node or at ``start_nodes(node)``."""
     deg = g.groupBy(F.col("src").alias("start")).agg(F.count(F.lit(1)).alias("deg"))
-    if start_nodes is None:
-        start_nodes = G.nodes_of(g)
-    starts = start_nodes.select(F.col("node").cast("long").alias("start")).distinct().join(deg, "start", "left").fillna(0, ["deg"])
-    front = starts.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(num_walks - 1).cast("long")))).select(
-        (F.col("start") * num_walks + F.col("rep")).alias("walk_id"), "start", F.col("deg").alias("start_deg"),
-        F.col("start").alias("cur"), "deg", F.array("start").alias("path"))
+    nodes = G.nodes_of(g) if start_nodes is None else start_nodes
+    starts = nodes.select(F.col("node").cast("long").alias("start")).distinct().join(deg, "start", "left").fillna(0, ["deg"])
+    return starts.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(num_walks - 1).cast("long")))).select(
+        (F.col("start") * num_walks + F.col("rep")).alias("walk_id"), "start", "deg")
+
+
+def walk_pieces(g: DataFrame, num_walks: int, walk_length: int, *, seed: int = 0, restart_prob: float = 0.0,
+                restart_at_dangling: bool = False, start_nodes: DataFrame | None = None) -> DataFrame:
+    """The corpus of ``random_walks`` as it is stored: ``walk_id, start, t, tail, path`` with up to ``STEPS_PER_STORE`` nodes in
+    ``path``, the first at position ``t``, and the last ``TAIL`` nodes before them in ``tail``.
+
+    The bucketed edge table is stored once (``laid_out``).  The walkers carry the nodes of
+    ``STEPS_PER_STORE`` steps before they are written, so lineage stays that deep."""
+    g = materialize(g.select("src", "dst", "w"), "walk-graph")
+    be = laid_out(bucketed_edges(g))
+    none = F.array().cast("array<bigint>")
+    front = _starts(g, num_walks, start_nodes).select(
+        "walk_id", "start", F.col("deg").alias("start_deg"), F.col("start").alias("cur"), "deg", none.alias("tail"), F.array("start").alias("path"))
     if not restart_at_dangling and walk_length > 1:
         # a walker that starts at a sink records itself once more (t = 1)
         front = front.withColumn("path", F.when(F.col("deg") == 0, F.array("start", "start")).otherwise(F.col("path")))
     front = materialize(front, "walkers0")
-    parts = [front.select("walk_id", "start", F.lit(0).alias("_t"), "path")]
+    parts = [front.select("walk_id", "start", F.lit(0).alias("t"), "tail", "path")]
     for first in range(1, walk_length, STEPS_PER_STORE):
-        front = front.where(F.col("cur").isNotNull()).withColumn("path", F.array().cast("array<bigint>"))
+        front = _emptied(front.where(F.col("cur").isNotNull()))
         for t in range(first, min(first + STEPS_PER_STORE, walk_length)):
             front = _step(front, be, t, seed, restart_prob, restart_at_dangling)
         front = materialize(front, f"walkers{first}")
-        parts.append(front.select("walk_id", "start", F.lit(first).alias("_t"), "path"))
+        parts.append(front.select("walk_id", "start", F.lit(first).alias("t"), "tail", "path"))
+    return _union(parts)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.select("walk_id", "start", "_t", F.posexplode("path").alias("_p", "node")).select(
+    return out
+
+
+def walk_rows(pieces: DataFrame) -> DataFrame:
+    """``walk_id, start, t, node`` of stored pieces."""
+    return pieces.select("walk_id", "start", F.col("t").alias("_t"), F.posexplode("path").alias("_p", "node")).select(
         "walk_id", "start", (F.col("_t") + F.col("_p")).alias("t"), "node")
 
 
+def random_walks(g: DataFrame, num_walks: int, walk_length: int, *, seed: int = 0, restart_prob: float = 0.0,
+                 restart_at_dangling: bool = False, start_nodes: DataFrame | None = None) -> DataFrame:
+    """Walk corpus over an integer-id edge table ``src, dst, w``.
+
+    ``num_walks`` walkers start at every node (or at ``start_nodes(node)``),
+    each visits up to ``walk_length`` positions.  A walker at a node without
+    out-edges stops (a walker *starting* at a sink writes itself once more), or
+    jumps back to its start with ``restart_at_dangling``; with probability
+    ``restart_prob`` a step restarts (jump to start) or ends the walk.
+    Returns ``walk_id, start, t, node``.
+    """
+    return walk_rows(walk_pieces(g, num_walks, walk_length, seed=seed, restart_prob=restart_prob,
+                                 restart_at_dangling=restart_at_dangling, start_nodes=start_nodes))
+
+
 def walk_arrays(walks: DataFrame) -> DataFrame:
     """One array per walk (bounded by ``walk_length``): ``walk_id, nodes``."""
     return walks.groupBy("walk_id").agg(F.sort_array(F.collect_list(F.struct("t", "node"))).alias("_s")).select(
         "walk_id", F.transform("_s", lambda x: x["node"]).alias("nodes"))
 
 
-def context_pairs(walks: DataFrame, window: int, walk_length: int) -> DataFrame:
-    """Centre/context pair counts.
+def piece_pairs(pieces: DataFrame, window: int, walk_length: int) -> DataFrame:
+    """Centre/context pair counts ``center, context, freq`` from stored pieces (W11, G13, G14, A16): each node of a
+    piece is the context of up to ``window`` (at most ``TAIL``) nodes before it, which lie in the piece or its tail, so no walk is put
+    together.  Centres are positions ``0 .. walk_length-window-1``.  Pairs come from two explodes of number
+    sequences, which stay in generated code, and are counted with map-side combine."""
+    seq = pieces.select("t", F.size("tail").alias("_n"), F.concat("tail", "path").alias("_s")).where(F.size("_s") > F.col("_n"))
+    at = seq.select("t", "_n", "_s", F.explode(F.sequence(F.col("_n"), F.size("_s") - 1)).alias("_b"))
+    at = at.where(F.col("_b") > 0)
+    pairs = at.select("t", "_n", "_s", "_b", F.explode(F.sequence(F.greatest(F.lit(0), F.col("_b") - window), F.col("_b") - 1)).alias("_a"))
+    # the position of a centre in its walk
+    pairs = pairs.where(F.col("t") + F.col("_a") - F.col("_n") < walk_length - window)
+    return pairs.select(F.col("_s")[F.col("_a")].alias("center"), F.col("_s")[F.col("_b")].alias("context")) \
+        .groupBy("center", "context").agg(F.count(F.lit(1)).cast("double").alias("freq"))
 
-    Centres are positions ``0 .. walk_length-window-1``; each centre pairs with
-    the next ``window`` positions that exist.  Pairs are generated inside each
-    walk's array by higher-order functions (no self join), then counted with a
-    map-side combined aggregate.  Returns ``center, context, freq``.
-    """
-    arr = walk_arrays(walks)
-    n_centres = walk_length - window
-    if n_centres <= 0:
-        return walks.sparkSession.createDataFrame([], "center long, context long, freq double")
-    idx = F.sequence(F.lit(0), F.lit(n_centres - 1))
-    offs = F.sequence(F.lit(1), F.lit(window))
-    pairs = F.flatten(F.transform(idx, lambda i: F.transform(
-        offs, lambda j: F.struct(F.get(F.col("nodes"), i).alias("center"), F.get(F.col("nodes"), i + j).alias("context")))))
-    p = arr.select(F.explode(pairs).alias("p")).select("p.center", "p.context").where(
-        F.col("center").isNotNull() & F.col("context").isNotNull())
-    return p.groupBy("center", "context").agg(F.count(F.lit(1)).cast("double").alias("freq"))
+
+def context_pairs(walks: DataFrame, window: int, walk_length: int) -> DataFrame:
+    """:func:`piece_pairs` of walks given as rows ``walk_id, t, node``, which are first gathered to one array a walk."""
+    whole = walk_arrays(walks).select(F.lit(0).alias("t"), F.array().cast("array<bigint>").alias("tail"), F.col("nodes").alias("path"))
+    return piece_pairs(whole, window, walk_length)
 
 
 def rolling_windows(arr_col: str, window: int) -> F.Column:
@@ -156,26 +208,82 @@ def rolling_windows(arr_col: str, window: int) -> F.Column:
 def second_order_walks(g: DataFrame, num_walks: int, walk_length: int, p: float, q: float, *, seed: int = 0) -> DataFrame:
     """node2vec walks (G12): first-order walks on the second-order network
     (G11), states mapped back to their current node.  With ``p == q == 1`` the
-    line graph is skipped (plain walks)."""
+    line graph is skipped (plain walks).  The network has a row for each path of two edges: for graphs
+    with hubs, or ids over a billion, use :func:`rejection_walks`."""
     if p == 1 and q == 1:
         return random_walks(g, num_walks, walk_length, seed=seed)
     so = G.second_order_edges(g, p, q, add_source=True)
     # state ids: Cantor pairing of (prev, cur) keeps them integers and unique
-    from citeweave.functions.columns import cantor_pair
-
     st = so.select(cantor_pair("prev", "cur").alias("src"), cantor_pair("cur", "nxt").alias("dst"), "w",
                    F.col("nxt").alias("_nxt"), F.col("cur").alias("_cur"))
     state_edges = st.select("src", "dst", "w")
     starts = G.nodes_of(g).select(cantor_pair("node", "node").alias("node"))
     w = random_walks(state_edges, num_walks, walk_length, seed=seed, start_nodes=starts)
     # map state back: the current node of (prev, cur)
-    from citeweave.functions.columns import cantor_unpair
-
     k1, k2 = cantor_unpair("node")
     s1, s2 = cantor_unpair("start")
     return w.select(F.col("walk_id"), s2.alias("start"), "t", k2.alias("node"))
 
 
+def rejection_walks(g: DataFrame, num_walks: int, walk_length: int, p: float, q: float, *, seed: int = 0) -> DataFrame:
+    """node2vec walks (G12) ``walk_id, start, t, node`` by rejection, without the second-order network.
+
+    A walker at ``cur`` that came from ``prev`` draws a neighbour as a plain walk does, and takes it with probability
+    ``bias / max(1/p, 1, 1/q)``, where the bias is 1/p for ``prev`` itself, 1 for a neighbour of ``prev`` and 1/q for any
+    other; else it stays and draws again.  What it takes has the law of the second-order network.  The state is
+    the columns ``prev, cur``, and the neighbour test an equi-join of (prev, drawn) with the edges, so nothing grows with
+    squared degrees.  Every pass gives each unfinished walker one draw, whatever its position; a draw is a hash of (walk,
+    position, attempt), so a retried task repeats it."""
+    g = materialize(g.select("src", "dst", "w"), "walk-graph")
+    be = laid_out(bucketed_edges(g))
+    adjacent = materialize(g.select(F.col("src").alias("prev"), F.col("dst").alias("dst"), F.lit(True).alias("_near")).distinct(), "walk-adjacency")
+    if fits_broadcast(adjacent.count(), 32):
+        adjacent = F.broadcast(adjacent)
+    top, none = max(1 / p, 1.0, 1 / q), F.array().cast("array<bigint>")
+    front = _starts(g, num_walks, None).select(
+        "walk_id", "start", F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("attempt"), F.lit(None).cast("long").alias("prev"),
+        F.col("start").alias("cur"), "deg", none.alias("path"))
+    front = materialize(front, "walkers0")
+    # as in a plain walk, one that starts at a sink records itself once more
+    first = F.when((F.col("deg") == 0) & F.lit(walk_length > 1), F.array("start", "start")).otherwise(F.array("start"))
+    parts = [front.select("walk_id", "start", F.lit(0).cast("long").alias("t"), first.alias("path"))]
+    turn = 0
+    while True:
+        live = (F.col("t") < walk_length) & (F.col("deg") > 0)
+        front = front.where(live)
+        if front.isEmpty():
+            break
+        for _ in range(DRAWS_PER_STORE):
+            front = _attempt(front, be, adjacent, live, seed, 1 / p, 1 / q, top)
+        turn += 1
+        front = materialize(front, f"walkers{turn}")
+        parts.append(front.where(F.size("path") > 0).select("walk_id", "start", (F.col("t") - F.size("path")).alias("t"), "path"))
+        front = front.withColumn("path", none)
+    return walk_rows(_union(parts))
+
+
+def _attempt(front: DataFrame, be: DataFrame, adjacent: DataFrame, live, seed: int, back: float, far: float, top: float) -> DataFrame:
+    """One draw of every live walker (``walk_id, start, t, attempt, prev, cur, deg, path``), and a step where it is taken."""
+    def draw(purpose: int):
+        return hash_uniform(F.lit(seed), F.col("walk_id"), F.col("t"), F.col("attempt"), F.lit(purpose))
+
+    f = front.withColumn("_u", draw(1)).withColumn("_v", draw(2)).withColumn("_live", live)
+    j = _draw(f, be, F.col("_live")).select(*front.columns, "_v", "_live", "dst", "dst_deg")
+    # the first step has no walker's past to meet: its key matches nothing and spreads
+    j = j.withColumn("_from", F.coalesce("prev", -1 - F.col("walk_id")))
+    near = adjacent.select(F.col("prev").alias("_from"), "dst", "_near")
+    j = j.join(near, ["_from", "dst"], "left")
+    bias = F.when(F.col("prev").isNull(), F.lit(top)).when(F.col("dst") == F.col("prev"), F.lit(back)).when(F.col("_near"), F.lit(1.0)).otherwise(F.lit(far))
+    taken = F.col("_live") & F.col("dst").isNotNull() & (F.col("_v") * top < bias)
+    step = F.col("_taken")
+    return j.withColumn("_taken", F.coalesce(taken, F.lit(False))).select(
+        "walk_id", "start", F.when(step, F.col("t") + 1).otherwise(F.col("t")).alias("t"),
+        F.when(step, F.lit(0).cast("long")).otherwise(F.col("attempt") + 1).alias("attempt"),
+        F.when(step, F.col("cur")).otherwise(F.col("prev")).alias("prev"), F.when(step, F.col("dst")).otherwise(F.col("cur")).alias("cur"),
+        F.when(step, F.col("dst_deg")).otherwise(F.col("deg")).alias("deg"),
+        F.when(step, F.concat("path", F.array("dst"))).otherwise(F.col("path")).alias("path"))
+
+
 def roulette(front: DataFrame, g: DataFrame, cur: str, u: str, out: str) -> DataFrame:
     """One weighted draw per row of ``front``: from node ``cur`` to a neighbour in
     the edge table ``g`` with probability proportional to the weight, using the

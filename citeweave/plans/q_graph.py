@@ -128,7 +128,7 @@ def q_link_prediction_embeddings(spark, d):
     ids = G.nodes_of(g).select(F.col("node").alias("id"))
     U, s = linalg.randomized_svd(G.normalized_adjacency(g), ids, DIM, seed=1)
     eigenmap, _ = linalg.laplacian_eigenmap(g, ids, DIM, seed=2)
-    pairs = materialize(W.context_pairs(W.random_walks(g, NUM_WALKS, WALK_LENGTH, seed=3), WINDOW, WALK_LENGTH), "link-pairs")
+    pairs = materialize(W.piece_pairs(W.walk_pieces(g, NUM_WALKS, WALK_LENGTH, seed=3), WINDOW, WALK_LENGTH), "link-pairs")
     R, r = linalg.randomized_svd(linalg.residual_matrix(pairs, g), ids, DIM, seed=3)
     methods = {"given": fx.raw_vectors(spark, d).select("id", "vec"), "svd": linalg.factor_embedding(U, s), "eigenmap": eigenmap,
                "residual2vec": linalg.factor_embedding(R, r)}
@@ -237,9 +237,9 @@ def dangling_sql(W_: int, L: int, seed: int, nodes: str = "(SELECT src AS n FROM
 
 @register("random_walks_dangling", "G9", with_views(
     "SELECT walk_id, CAST(t AS INTEGER) AS t, cur AS node FROM walks", "citations",
-    extra=[CIT_DIR, cum_view(), ("walks", dangling_sql(2, WALK_LENGTH, 6))]))
+    extra=[CIT_DIR, cum_view(), ("walks", dangling_sql(NUM_WALKS, WALK_LENGTH, 6))]))
 def q_random_walks_dangling(spark, d):
-    w = W.random_walks(cit_graph(spark, d, "to_cited"), 2, WALK_LENGTH, seed=6, restart_at_dangling=True)
+    w = W.random_walks(cit_graph(spark, d, "to_cited"), NUM_WALKS, WALK_LENGTH, seed=6, restart_at_dangling=True)
     return w.select("walk_id", F.col("t").cast("int"), "node")
 
 
@@ -279,6 +279,34 @@ def q_random_walks_biased(spark, d):
     return w.select("walk_id", F.col("t").cast("int"), "node")
 
 
+P, Q = 0.5, 2.0
+REJECTION_LENGTH = 6  # every pass over the walkers is a join of all of them: few steps, from all nodes
+_TOP = max(1 / P, 1.0, 1 / Q)
+
+
+def _draw_sql(t: str, k: str, purpose: int) -> str:
+    return uniform_sql("3", "walk_id", t, k, str(purpose))
+
+
+@register("random_walks_rejection", "G12 G11", with_views(
+    f"""SELECT walk_id, CAST(t - 1 AS INTEGER) AS t, cur AS node FROM (
+          WITH RECURSIVE walk(walk_id, t, k, prev, cur, u) AS (
+            SELECT walk_id, CAST(1 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BIGINT), n, {_draw_sql('1', '0', 1)}
+            FROM (SELECT n * {NUM_WALKS} + r AS walk_id, n FROM (SELECT src AS n FROM gi UNION SELECT dst FROM gi), range({NUM_WALKS}) t(r))
+            UNION ALL
+            SELECT walk_id, t1, k1, prev1, cur1, {_draw_sql('t1', 'k1', 1)} FROM (
+              SELECT walk_id, CASE WHEN ok THEN t + 1 ELSE t END AS t1, CASE WHEN ok THEN 0 ELSE k + 1 END AS k1,
+                     CASE WHEN ok THEN cur ELSE prev END AS prev1, CASE WHEN ok THEN dst ELSE cur END AS cur1 FROM (
+                SELECT w.*, e.dst, {_draw_sql('t', 'k', 2)} * {_TOP} <
+                         CASE WHEN w.prev IS NULL THEN {_TOP} WHEN e.dst = w.prev THEN {1 / P} WHEN a.src IS NOT NULL THEN 1.0 ELSE {1 / Q} END AS ok
+                FROM walk w JOIN ce e ON e.src = w.cur AND e.lo <= w.u AND w.u < e.hi
+                     LEFT JOIN gi a ON a.src = w.prev AND a.dst = e.dst WHERE w.t < {REJECTION_LENGTH})))
+          SELECT * FROM walk) WHERE k = 0""", "citations", extra=[CIT_UND, cum_view()]))
+def q_random_walks_rejection(spark, d):
+    w = W.rejection_walks(cit_graph(spark, d), NUM_WALKS, REJECTION_LENGTH, P, Q, seed=3)
+    return w.select("walk_id", F.col("t").cast("int"), "node")
+
+
 @register("context_pairs", "W11 G13 G14 A16 P24", with_views(
     """SELECT a.cur AS center, b.cur AS context, CAST(count(*) AS DOUBLE) AS freq
        FROM walks a JOIN walks b ON a.walk_id = b.walk_id AND b.t BETWEEN a.t + 1 AND a.t + """ + f"""{WINDOW}
@@ -286,7 +314,7 @@ def q_random_walks_biased(spark, d):
     "bipartite_edges", extra=BIP_VIEWS + [cum_view(), ("walks", walk_sql(NUM_WALKS, WALK_LENGTH, 1))]))
 def q_context_pairs(spark, d):
     _, gi = bip_graph(spark, d)
-    return W.context_pairs(W.random_walks(gi, NUM_WALKS, WALK_LENGTH, seed=1), WINDOW, WALK_LENGTH)
+    return W.piece_pairs(W.walk_pieces(gi, NUM_WALKS, WALK_LENGTH, seed=1), WINDOW, WALK_LENGTH)
 
 
 @register("rolling_windows", "W10 G13", with_views(

@@ -233,20 +233,25 @@ def q_filter_profile(spark, d):
     return kept.select(F.lit(n_raw).cast("bigint").alias("n_raw"), "n_kept", R6(F.col("n_kept") / F.lit(n_raw)).alias("share_kept"), "n_citing_papers")
 
 
+FAR_ID = 1 << 30  # ids up to here on both sides are paired and taken apart
+
+
 @register("cantor_pair", "P24", with_views(
-    """SELECT citing, cited, z, zu, CAST(w - (z - (w * (w + 1)) // 2) AS BIGINT) AS back_citing,
-              CAST(z - (w * (w + 1)) // 2 AS BIGINT) AS back_cited FROM (
-         SELECT citing, cited, z, zu, CAST(floor((sqrt(CAST(z AS DOUBLE) * 8 + 1) - 1) / 2) AS BIGINT) AS w FROM (
-           SELECT DISTINCT citing, cited,
-                  CAST((citing + cited) * (citing + cited + 1) // 2 + cited AS BIGINT) AS z,
-                  CAST((greatest(citing, cited) + least(citing, cited)) * (greatest(citing, cited) + least(citing, cited) + 1) // 2
-                       + least(citing, cited) AS BIGINT) AS zu
-           FROM citations))""", "citations"))
+    f"""SELECT DISTINCT citing, cited,
+               CAST((citing + cited) * (citing + cited + 1) // 2 + cited AS BIGINT) AS z,
+               CAST((greatest(citing, cited) + least(citing, cited)) * (greatest(citing, cited) + least(citing, cited) + 1) // 2
+                    + least(citing, cited) AS BIGINT) AS zu,
+               CAST(citing AS BIGINT) AS back_citing, CAST(cited AS BIGINT) AS back_cited,
+               CAST((CAST({2 * FAR_ID} - citing - cited AS HUGEINT) * ({2 * FAR_ID} - citing - cited + 1)) // 2 + {FAR_ID} - cited AS BIGINT) AS far_z,
+               CAST({FAR_ID} - citing AS BIGINT) AS far_citing, CAST({FAR_ID} - cited AS BIGINT) AS far_cited
+        FROM citations""", "citations"))
 def q_cantor_pair(spark, d):
+    """Pairing and its inverse, for the ids and for ids near ``FAR_ID`` on both sides."""
     c = fx.citations(spark, d).distinct()
-    z = c.withColumn("z", cantor_pair("citing", "cited")).withColumn("zu", cantor_pair("citing", "cited", unordered=True))
-    k1, k2 = cantor_unpair("z")
-    return z.select("citing", "cited", "z", "zu", k1.alias("back_citing"), k2.alias("back_cited"))
+    z = c.withColumn("z", cantor_pair("citing", "cited")).withColumn("zu", cantor_pair("citing", "cited", unordered=True)) \
+        .withColumn("far_z", cantor_pair(F.lit(FAR_ID) - F.col("citing"), F.lit(FAR_ID) - F.col("cited")))
+    (k1, k2), (f1, f2) = cantor_unpair("z"), cantor_unpair("far_z")
+    return z.select("citing", "cited", "z", "zu", k1.alias("back_citing"), k2.alias("back_cited"), "far_z", f1.alias("far_citing"), f2.alias("far_cited"))
 
 
 # ---------------------------------------------------------------- joins and sets

@@ -88,6 +88,15 @@ def test_cantor_roundtrip(spark):
     assert z.where((k1 != F.col("a")) | (k2 != F.col("b"))).count() == 0
 
 
+def test_cantor_roundtrip_of_large_ids(spark):
+    ids = [0, 1, 2, 300_000_000, (1 << 30) - 1, 1 << 30, 1_073_741_822, 1_500_000_000, (1 << 31) - 1]
+    pairs = [(a, b) for a in ids for b in ids]
+    df = spark.createDataFrame(pairs, "a long, b long").withColumn("z", cantor_pair("a", "b"))
+    k1, k2 = cantor_unpair("z")
+    for r in df.select("a", "b", "z", k1.alias("x"), k2.alias("y")).collect():
+        assert r.z == (r.a + r.b) * (r.a + r.b + 1) // 2 + r.b and (r.x, r.y) == (r.a, r.b)
+
+
 def test_prefix_sums_and_dense_index(spark):
     df = spark.range(0, 5000).select(((F.col("id") * 37) % 5000).alias("v"), F.lit(1.0).alias("one"))
     ps = prefix.prefix_sums(df, ["v"], ["one"], with_index=True, num_partitions=7)
@@ -166,6 +175,70 @@ def test_walk_steps_are_edges(spark):
     assert all(s == [3, 3] for s in starts3)
 
 
+def test_second_order_walks_have_the_law_of_the_second_order_network(spark):
+    """Chi-square of the moves from every (previous, current) state against the weights of ``second_order_edges``."""
+    pairs = [(0, 1), (0, 2), (1, 2), (2, 3), (3, 4), (4, 0), (1, 4)]
+    far = 300_000_000  # ids that a paired state would not bring back
+    e = spark.createDataFrame([(a * far, b * far) for a, b in pairs], "src long, dst long")
+    g = G.build_graph(e)
+    p, q = 0.25, 3.0
+    law = {}
+    for r in G.second_order_edges(g, p, q, add_source=False).collect():
+        law.setdefault((r.prev, r.cur), {})[r.nxt] = r.w
+    seen = {}
+    for r in walks.walk_arrays(walks.rejection_walks(g, 1200, 6, p, q, seed=5)).collect():
+        assert len(r.nodes) == 6
+        for a, b, c in zip(r.nodes, r.nodes[1:], r.nodes[2:]):
+            own = seen.setdefault((a, b), {})
+            own[c] = own.get(c, 0) + 1
+    assert set(seen) == set(law)
+    chi = free = 0
+    for state, own in seen.items():
+        n, total = sum(own.values()), sum(law[state].values())
+        chi += sum((own.get(c, 0) - n * w / total) ** 2 / (n * w / total) for c, w in law[state].items())
+        free += len(law[state]) - 1
+    assert chi < free + 4 * (2 * free) ** 0.5
+
+
+def test_second_order_walks_pass_a_hub(spark):
+    """A star of 20,000 leaves: its second-order network would have 400 million edges."""
+    n = 20_000
+    e = spark.range(1, n + 1).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
+    w = walks.rejection_walks(G.build_graph(e), 1, 3, 0.5, 2.0, seed=1)
+    r = w.groupBy("walk_id").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("node") == 0)).alias("hub"))
+    assert r.where("n <> 3 OR hub NOT IN (1, 2)").count() == 0 and r.count() == n + 1
+
+
+def test_pieces_give_the_pairs_of_whole_walks(spark):
+    e = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 5)], "src long, dst long")
+    for mode in ("undirected", "to_cited"):
+        pieces = walks.walk_pieces(G.build_graph(e, mode=mode), 3, 24, seed=4)
+        got = {(r.center, r.context): r.freq for r in walks.piece_pairs(pieces, 10, 24).collect()}
+        want = {}
+        for r in walks.walk_arrays(walks.walk_rows(pieces)).collect():
+            for a in range(min(24 - 10, len(r.nodes))):
+                for b in range(a + 1, min(a + 11, len(r.nodes))):
+                    want[r.nodes[a], r.nodes[b]] = want.get((r.nodes[a], r.nodes[b]), 0) + 1
+        assert got == want
+        assert got == {(r.center, r.context): r.freq for r in walks.context_pairs(walks.walk_rows(pieces), 10, 24).collect()}
+
+
+def test_walk_edges_are_not_sorted_again(spark, monkeypatch):
+    monkeypatch.setattr(walks, "fits_broadcast", lambda rows, width: False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    e = spark.range(400).select(F.col("id").alias("src"), ((F.col("id") * 7 + 1) % 400).alias("dst"))
+    g = G.build_graph(e)
+    be = walks.laid_out(walks.bucketed_edges(g))
+    front = spark.range(400).select(F.col("id").alias("walk_id"), F.col("id").alias("start"), F.lit(2).alias("start_deg"), F.col("id").alias("cur"),
+                                    F.lit(2).cast("long").alias("deg"), F.array().cast("array<bigint>").alias("tail"), F.array("id").alias("path"))
+    plan = walks._step(front, be, 1, 1, 0.0, False)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("Sort [") == 1, plan
+    whole = walks.walk_arrays(walks.random_walks(g, 2, 15, seed=3)).collect()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.undo()
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, walks.walk_arrays(walks.random_walks(g, 2, 15, seed=3)).collect()))
+
+
 def test_components_two_equal(spark):
     e = spark.createDataFrame([(5, 6), (6, 7), (1, 2), (2, 3), (9, 9)], "a long, b long")
     c = {r["node"]: r["component"] for r in components.connected_components(e, "a", "b").collect()}
