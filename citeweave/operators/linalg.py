@@ -25,12 +25,13 @@ from citeweave.session import materialize
 def gaussian_rows(ids: DataFrame, k: int, seed: int = 0, id_col: str = "id") -> DataFrame:
     """``id, vec`` with k standard normal entries per row, a deterministic function
     of (seed, id, column) via Box-Muller on the portable hash."""
-    cols = []
-    for c in range(k):
-        u1 = F.greatest(hash_uniform(F.lit(seed), F.col(id_col), F.lit(2 * c)), F.lit(1e-300))
-        u2 = hash_uniform(F.lit(seed), F.col(id_col), F.lit(2 * c + 1))
-        cols.append(F.sqrt(-2 * F.log(u1)) * F.cos(2 * np.pi * u2))
-    return ids.select(F.col(id_col).alias("id"), F.array(*cols).alias("vec"))
+    def normal(c):
+        u1 = F.greatest(hash_uniform(F.lit(seed), F.col(id_col), 2 * c), F.lit(1e-300))
+        return F.sqrt(-2 * F.log(u1)) * F.cos(2 * np.pi * hash_uniform(F.lit(seed), F.col(id_col), 2 * c + 1))
+
+    # one expression for all columns: k of them would outgrow a generated method
+    vec = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), normal) if k else F.array().cast("array<double>")
+    return ids.select(F.col(id_col).alias("id"), vec.alias("vec"))
 
 
 def spmm(X: DataFrame, Z: DataFrame, transpose: bool = False) -> DataFrame:
@@ -113,8 +114,9 @@ def randomized_svd(X, nodes: DataFrame, r: int, p: int = 10, q: int = 1, seed: i
     products of such matrices (V2): ``X`` is then a list of products, each a list of matrices,
     which are applied in turn and never multiplied out.
 
-    Z = X Omega; q power steps Z <- X (X^T Z), orthonormalised each time; Q = qr(Z);
-    Y = X^T Q; the small SVD comes from the triangular factor of Y.  ``nodes`` (``id``) are the
+    Block Krylov: Q_0 = qr(X Omega), and q steps Q_i = qr(X qr(X^T Q_i-1)); Q is an orthonormal basis of all blocks, which
+    holds every polynomial of X X^T in the start, not only its last power.  Y = X^T Q; the small SVD comes from the triangular
+    factor of Y.  ``nodes`` (``id``) are the
     columns, ``rows`` the rows (the same if not given).  Returns ``(U rows: id, vec[r], singular
     values[r])``, largest first; fewer than r only if the matrix is smaller."""
     products = [[X]] if isinstance(X, DataFrame) else X
@@ -123,7 +125,7 @@ def randomized_svd(X, nodes: DataFrame, r: int, p: int = 10, q: int = 1, seed: i
     rows = nodes if rows is None else materialize(rows.select("id"), "rows")
     k = min(r + p, nodes.count(), rows.count())
 
-    def times(Z: DataFrame, transpose: bool) -> DataFrame:
+    def times(Z: DataFrame, transpose: bool, width: int = k) -> DataFrame:
         """X Z or X^T Z with a row for every id (zero where the matrix has none)."""
         total = None
         for own in products:
@@ -135,14 +137,20 @@ def randomized_svd(X, nodes: DataFrame, r: int, p: int = 10, q: int = 1, seed: i
             total = total.select("id", array_to_vector("vec").alias("_v")).groupBy("id").agg(Summarizer.sum(F.col("_v")).alias("_s")) \
                 .select("id", vector_to_array("_s").alias("vec"))
         every = (nodes if transpose else rows).join(total, "id", "left")
-        return materialize(every.select("id", F.coalesce("vec", F.array_repeat(F.lit(0.0), k)).alias("vec")), "product")
+        return materialize(every.select("id", F.coalesce("vec", F.array_repeat(F.lit(0.0), width)).alias("vec")), "product")
 
-    Z = times(gaussian_rows(nodes, k, seed), False)
+    basis = [orthonormalize(times(gaussian_rows(nodes, k, seed), False), k)]
     for _ in range(q):
-        Z = times(orthonormalize(times(orthonormalize(Z, k), True), k), False)
-    Q = orthonormalize(Z, k)
-    Yt = times(Q, True)  # rows of Y^T = X^T Q
-    UY, s, _ = np.linalg.svd(r_factor(Yt, k).T)
+        basis.append(orthonormalize(times(orthonormalize(times(basis[-1], True), k), False), k))
+    # Rayleigh-Ritz on all blocks, as many as the matrix has rows for
+    blocks = max(1, min(len(basis), min(nodes.count(), rows.count()) // k)) if k else 1
+    Q = basis[-blocks]
+    for block in basis[len(basis) - blocks + 1 :]:
+        Q = Q.join(block.withColumnRenamed("vec", "_next"), "id").select("id", F.concat("vec", "_next").alias("vec"))
+    wide = blocks * k
+    Q = orthonormalize(materialize(Q, "krylov"), wide) if blocks > 1 else Q
+    Yt = times(Q, True, wide)  # rows of Y^T = X^T Q
+    UY, s, _ = np.linalg.svd(r_factor(Yt, wide).T)
     return right_multiply(Q, UY[:, :r]), s[:r]
 
 
