@@ -218,17 +218,16 @@ def held_out(id_col: str):
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[bytes, str]]:
-    """(piece, language) pairs of at most ``PER_LANG`` documents of each language, those with the lowest id hashes."""
+    """(piece, language) pairs of at most ``PER_LANG`` rows of each language, those with the lowest id hashes (of
+    one id those with the lowest hashes of the pieces), however many rows an id has."""
     known = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & (F.length(text_col) > 0) & F.col(id_col).isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    # the rank filter is applied in each task before the shuffle: a common language costs PER_LANG rows a task
-    picked = known.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang")) \
-        .withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= PER_LANG).select("id").distinct()
-    rows = known.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("lang")) \
-        .join(F.broadcast(picked), "id")
+    rows = known.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("lang"))
     start = [F.lit(1) + F.pmod(F.xxhash64("id", F.lit(k)), F.greatest(F.lit(1), F.length("t") - PIECE_CHARS)).cast("int") for k in range(PIECES)]
-    pieces = rows.select("lang", F.array(*[F.col("t").substr(s, F.lit(PIECE_CHARS)) for s in start]).alias("p")).collect()
-    return [(t.encode(), r["lang"]) for r in sorted(pieces, key=lambda r: (r["lang"], r["p"])) for t in r["p"]]
+    cut = rows.select("id", "lang", F.array(*[F.col("t").substr(s, F.lit(PIECE_CHARS)) for s in start]).alias("p"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("p"), "p")
+    # the rank filter is applied in each task before the shuffle: a common language costs PER_LANG rows of short pieces a task
+    picked = cut.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PER_LANG).select("lang", "p").collect()
+    return [(t.encode(), r["lang"]) for r in sorted(picked, key=lambda r: (r["lang"], r["p"])) for t in r["p"]]
 
 
 def has_letter(text: bytes | None) -> bool:
@@ -266,7 +265,8 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
 def in_a_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                   min_score: float = MIN_SCORE) -> DataFrame:
     """The rows of ``docs``, all columns unchanged, that are in some language: not ``und`` and with a
-    score of ``min_score`` or more.  Rows pass through their task; nothing shuffles."""
+    score of ``min_score`` or more.  Rows pass through their task; nothing shuffles.  Null text and text without a
+    letter are in no language; repeated rows share their fate; an empty table gives an empty result."""
     net = fit(training_sample(docs, id_col, text_col, lang_col))
 
     def run(batches):

@@ -47,3 +47,13 @@ def test_odd_rows(odd_docs, no_docs):
     assert {r.doc_id for r in rows if r.lang_pred == "und"} == {1, 2, 3, 10, None} and all(r.score == 0 for r in rows if r.lang_pred == "und")
     assert language_id.language_id(no_docs).collect() == []
     assert not language_id.has_letter("²½ 12 _".encode()) and language_id.has_letter("12 é".encode())
+
+
+def test_the_sample_is_bounded_when_one_id_holds_most_rows(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "PER_LANG", 20)
+    hot = [(1, f"the hot text number {i}", "en") for i in range(900)]
+    docs = spark.createDataFrame(hot + hot[:1] * 300 + [(i, f"un texte {i}", "fr") for i in range(2, 60)], "doc_id long, text string, lang string")
+    sample = language_id.training_sample(docs, "doc_id", "text", "lang")
+    by = {lang: sum(y == lang for _, y in sample) for lang in ("en", "fr")}
+    assert by == {"en": 20 * language_id.PIECES, "fr": 20 * language_id.PIECES}
+    assert sample == language_id.training_sample(docs.repartition(7), "doc_id", "text", "lang")
