@@ -11,6 +11,7 @@ length.  A quarter of the sample is held back from the fit and calibrates the sc
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import text_bytes
+from citeweave.llm.common import text_bytes, text_key
 
 SAMPLE = 800  # labelled rows of each label that the model may see
 BITS = 15  # of the hashed feature space
@@ -117,16 +118,21 @@ def _frequencies(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """``y, held, at, freq`` of at most ``SAMPLE`` labelled rows of each label (``at`` and ``freq``
-    are the bytes of what ``_frequencies`` gives).  Ids with a null label or with both
-    labels are not used."""
+    """``y, held, at, freq`` of at most ``SAMPLE`` labelled documents of each label (``at`` and ``freq``
+    are the bytes of what ``_frequencies`` gives), however many rows an id has: rows that repeat id and
+    text are one document.  Ids with a null label or with both labels are not used."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("top")).where("y = top").drop("top")
-    picked = None
-    for y in (0, 1):
-        own = known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-        picked = own if picked is None else picked.union(own)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(picked), "id")
+
+    def lowest(rows: DataFrame, *order) -> DataFrame:
+        return functools.reduce(DataFrame.union, [rows.where(F.col("y") == y).orderBy(*order).limit(SAMPLE) for y in (0, 1)])
+
+    # the lowest ids, then of their documents the lowest: both tables are bounded by SAMPLE
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"), text_key(text_col).alias("key"))
+    own = source.select("id", "key").join(F.broadcast(lowest(known, F.xxhash64("id"), "id")), "id").distinct()
+    picked = lowest(own, F.xxhash64("id"), "id", "key")
+    # combined in each task, so a document repeated many times costs one text a task
+    rows = source.join(F.broadcast(picked), ["id", "key"]).groupBy("id", "key").agg(F.first("t").alias("t"), F.first("y").alias("y"))
 
     def run(batches):
         import pyarrow as pa

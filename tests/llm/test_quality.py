@@ -83,3 +83,14 @@ def test_long_texts_are_scored_in_blocks():
     text = b"word " * 200_000
     assert b"".join(quality._blocks(text)) == text and len(list(quality._blocks(text))) > 3
     assert b"".join(quality._blocks(b"x" * 600_000)) == b"x" * 600_000
+
+
+def test_the_sample_is_bounded_when_one_id_holds_most_rows(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE", 12)
+    rows = [(1, f"hot text {i}") for i in range(500)] + [(1, "hot text 0")] * 500 + [(i, f"a text {i}") for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == 1 or i % 3 == 0)) for i in range(1, 60)], "doc_id long, quality int")
+    sample = quality.labelled(docs, labels, "doc_id", "text", "quality").collect()
+    assert sum(r.y == 0 for r in sample) == 12 and sum(r.y == 1 for r in sample) == 12
+    only = quality.labelled(docs, labels.where("doc_id = 1"), "doc_id", "text", "quality").collect()
+    assert len(only) == 12 and len({bytes(r.at) + bytes(r.freq) for r in only}) == 12
