@@ -89,21 +89,41 @@ def text_key(text_col: str):
     return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
+def whole_row(docs: DataFrame):
+    """All columns of ``docs`` as one struct, so that no name of theirs meets one of an operator's own."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+
+
+def columns_of(docs: DataFrame, row: str, **changed) -> list:
+    """The columns of ``docs`` out of the struct ``row``, those named in ``changed`` replaced."""
+    return [(changed[c] if c in changed else F.col(row).getField(c)).alias(c) for c in docs.columns]
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with a number behind it if ``docs`` has such a column (in whatever case)."""
+    taken, found, n = {c.lower() for c in docs.columns}, name, 1
+    while found.lower() in taken:
+        found, n = f"{name}_{n}", n + 1
+    return found
+
+
 def without_lines(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` with the lines named in ``marks`` (``id, key, line``: line numbers from 0,
-    ``key`` the ``text_key``) taken out of the text, and the column ``_gone`` (how many).
+    ``key`` the ``text_key``) taken out of the text, and the column ``_gone`` (how many;
+    ``_gone_1`` and so on if ``docs`` has that name).
 
     A text's lines are gathered and filtered inside its own row; a text without marks
     is unchanged.  The line numbers of a document are as many as its lines at most."""
-    gone = marks.groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_set("line").alias("_lines"))
+    gone = marks.groupBy(F.col("id").alias("i"), F.col("key").alias("k")).agg(F.collect_set("line").alias("lines"))
     # split before the join, so that the lines are a column when they are picked below
-    rows = docs.withColumn("_k", text_key(text_col)).withColumn("_split", F.split(F.col(text_col).cast("string"), "\n", -1))
-    rows = rows.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left")
-    keep = F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), F.col("_lines"))
-    text = F.when(F.col("_lines").isNull(), F.col(text_col)).otherwise(
-        F.array_join(F.transform(keep, lambda i: F.col("_split")[i]), "\n"))
-    return rows.withColumn(text_col, text).withColumn("_gone", F.coalesce(F.size("_lines"), F.lit(0)).cast("long")) \
-        .withColumn("_gone", F.when(F.col("_gone") < 0, F.lit(0)).otherwise(F.col("_gone"))).select(*docs.columns, "_gone")
+    rows = docs.select(whole_row(docs).alias("row"), F.col(id_col).alias("id"), text_key(text_col).alias("key"),
+                       F.split(F.col(text_col).cast("string"), "\n", -1).alias("split"))
+    rows = rows.join(gone, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left")
+    keep = F.array_except(F.sequence(F.lit(0), F.size("split") - 1), F.col("lines"))
+    text = F.when(F.col("lines").isNull(), F.col("row").getField(text_col)).otherwise(
+        F.array_join(F.transform(keep, lambda i: F.col("split")[i]), "\n"))
+    count = F.greatest(F.lit(0), F.coalesce(F.size("lines"), F.lit(0))).cast("long")
+    return rows.select(*columns_of(docs, "row", **{text_col: text}), count.alias(free_name(docs, "_gone")))
 
 
 # A key is hot when it holds more than 1/HOT_SHARE of the rows: fewer than HOT_SHARE

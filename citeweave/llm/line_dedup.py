@@ -82,7 +82,8 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
     """``docs``, all its columns and rows, with later copies of repeated line runs taken out of the text,
-    and ``_gone``, how many lines that were.
+    and ``_gone``, how many lines that were (``_gone_1`` and so on if ``docs`` has a column of that name; no other
+    name of its columns matters).
 
     Lines without a word belong to no run and stay.  A null text stays null.  Rows that
     repeat both id and text are one document and get the same text.  A null id comes before all

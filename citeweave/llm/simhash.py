@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import attach, shingle_hashes, small, small_batches, text_bytes, text_key
+from citeweave.llm.common import attach, columns_of, shingle_hashes, small, small_batches, text_bytes, text_key, whole_row
 from citeweave.operators.components import connected_components
 from citeweave.session import Workspace
 
@@ -218,12 +218,12 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                       max_distance: int = 4) -> DataFrame:
     """The rows of ``docs``, all columns, that stay: of every group of linked documents the
     one with the smallest id (a null id only if there is no other; ties by text hash), once if
-    it is repeated."""
+    it is repeated.  The names of other columns do not matter; an empty table gives an empty result."""
     ws = Workspace(docs.sparkSession, "simhash-kept")
     found = ws.keep(groups(docs, id_col, text_col, shingle, max_distance, ws).select("id", "key", "stays"), "found")
-    gone = ws.keep(found.where("not stays").select(F.col("id").alias("_id"), F.col("key").alias("_key")).distinct(), "gone")
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key"))
-    kept = docs.withColumn("_k", text_key(text_col)).join(small(gone, gone.count(), 32), same, "left_anti")
+    gone = ws.keep(found.where("not stays").select(F.col("id").alias("i"), F.col("key").alias("k")).distinct(), "gone")
+    rows = docs.select(whole_row(docs).alias("row"), F.col(id_col).alias("id"), text_key(text_col).alias("key"))
+    kept = rows.join(small(gone, gone.count(), 32), F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left_anti")
     if not found.where("stays").groupBy("id", "key").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col, "_k"])
-    return kept.select(*docs.columns)
+        kept = kept.dropDuplicates(["id", "key"])
+    return kept.select(*columns_of(docs, "row"))

@@ -74,3 +74,14 @@ def test_odd_rows(odd_docs, no_docs):
     assert texts[1, None] == 1 and texts[2, ""] == 1 and texts[9, "a b c\na b c\n\nd e f\na b c"] == 1
     assert {r._gone for r in rows} == {0}
     assert line_dedup.line_dedup(no_docs).collect() == []
+
+
+def test_any_column_names_and_its_own_result(spark):
+    names = "doc_id long, text string, _id int, _key int, _k string, _lines array<int>, _split int, lines int, row string, i int"
+    docs = spark.createDataFrame([(i, "a b\nc d\n%s" % i, 1, 2, "k", [3], 4, 5, "r", 6) for i in range(3)], names)
+    once = line_dedup.line_dedup(docs)
+    twice = line_dedup.line_dedup(once)
+    assert twice.columns == [*docs.columns, "_gone", "_gone_1"]
+    rows = sorted(twice.collect())
+    assert [(r.text, r._gone, r._gone_1, r._k, r._lines, r.row) for r in rows] == [
+        ("a b\nc d\n0", 0, 0, "k", [3], "r"), ("1", 2, 0, "k", [3], "r"), ("2", 2, 0, "k", [3], "r")]
