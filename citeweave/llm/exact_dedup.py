@@ -2,14 +2,16 @@
 
 Every text is read once, into a narrow table (id, SHA-256, row number).
 
-Pass 1 sets four bits of one 64-bit word of a register-blocked Bloom filter per
-hash.  Signatures (word, bits) met at least twice - counted exactly, which shuffles
-a row of three numbers for each distinct signature of a task, so about one for each
-document unless most are copies - make the *repeat filter*, at most ``MAX_WORDS`` words
-by construction, so broadcasting it is safe at any input size.
-
-Pass 2 probes the filter.  A row whose bits are not all set cannot have a copy: it
-passes straight through and its SHA-256 never shuffles.  The others, true repeats and a few
+Pass 1 adds four bits of one 64-bit word of a register-blocked counting Bloom filter per
+hash.  A word's row holds the bits met, how many hashes met the word, and a counter of four bits
+for each of its 64 bits, sixteen to a number, so that sums count all of them at once; tasks
+combine their words before the shuffle.  A counter cannot overflow in a word met by fewer than
+``COUNTED`` hashes, so there a bit met twice is known; in a fuller word every bit met counts as met
+twice.  The bits met twice are the *repeat filter*, at most ``MAX_WORDS`` words, so broadcasting
+it is safe at any input size and a word that a third of all rows meet costs a row a task.
+
+Pass 2 probes the filter.  A row one of whose bits was met once cannot have a copy: it
+passes straight through and its SHA-256 never shuffles.  The others, true repeats and some
 false positives, shuffle on their full SHA-256 (never the text) and are resolved
 exactly.  A digest that holds a large part of all rows is combined map-side and
 meets its group by a bounded broadcast (``common.attach``).
@@ -27,7 +29,8 @@ from citeweave.llm.common import attach
 from citeweave.session import Workspace
 
 MAX_WORDS = 1 << 21  # 16 MB of filter bits
-ROWS_PER_WORD = 4  # 16 bits a row while the filter may still grow
+ROWS_PER_WORD = 2  # 32 bits a row while the filter may still grow
+COUNTED = 16  # hashes from which the counters of a word may overflow
 
 
 def _signature(digests: DataFrame, words: int) -> DataFrame:
@@ -37,6 +40,31 @@ def _signature(digests: DataFrame, words: int) -> DataFrame:
         .withColumn("_bits", F.expr(bit)).drop("_h")
 
 
+def _spread(k: int) -> str:
+    """SQL: the sixteen bits of ``_bits`` from 16 * ``k`` on as sixteen counters of four bits."""
+    x = f"(shiftrightunsigned(_bits, {16 * k}) & 65535L)"
+    for shift, mask in ((24, 0x000000FF000000FF), (12, 0x000F000F000F000F), (6, 0x0303030303030303), (3, 0x1111111111111111)):
+        x = f"transform(array({x}), x -> (x | shiftleft(x, {shift})) & {mask}L)[0]"
+    return x
+
+
+def _gather(k: int) -> str:
+    """SQL: the bits whose counters in ``_c{k}`` are two or more, back in their places."""
+    x = f"((shiftrightunsigned(_c{k}, 1) | shiftrightunsigned(_c{k}, 2) | shiftrightunsigned(_c{k}, 3)) & {0x1111111111111111}L)"
+    for shift, mask in ((3, 0x0303030303030303), (6, 0x000F000F000F000F), (12, 0x000000FF000000FF), (24, 0xFFFF)):
+        x = f"transform(array({x}), x -> (x | shiftrightunsigned(x, {shift})) & {mask}L)[0]"
+    return f"shiftleft({x}, {16 * k})"
+
+
+def repeat_filter(signed: DataFrame) -> DataFrame:
+    """``_word, _filter``: of rows ``_word, _bits`` the bits that more than one row holds (in crowded words: any row)."""
+    counters = [F.try_sum(F.expr(_spread(k))).alias(f"_c{k}") for k in range(4)]  # null if a top counter overflows
+    words = signed.groupBy("_word").agg(F.count(F.lit(1)).alias("_n"), F.bit_or("_bits").alias("_met"), *counters)
+    twice = F.expr(" | ".join(_gather(k) for k in range(4)))
+    sure = (F.col("_n") < COUNTED) & twice.isNotNull()
+    return words.select("_word", F.when(sure, twice).otherwise(F.col("_met")).alias("_filter")).where("_filter <> 0")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col, keep_id, group_size, kept, text_sha256``.
 
@@ -55,8 +83,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         words *= 2
     signed = _signature(digests, words)
 
-    repeated = signed.groupBy("_word", "_bits").count().where("count > 1")
-    bloom = ws.keep(repeated.groupBy("_word").agg(F.bit_or("_bits").alias("_filter")), "filter")
+    bloom = ws.keep(repeat_filter(signed.select("_word", "_bits")), "filter")
     probed = signed.join(F.broadcast(bloom), "_word", "left") \
         .withColumn("_maybe", F.coalesce(F.col("_filter").bitwiseAND(F.col("_bits")) == F.col("_bits"), F.lit(False)))
 

@@ -126,3 +126,29 @@ def test_leaf_links_keep_components_of_a_dense_group():
     for x, y in zip(map(int, a), map(int, b)):
         got[x] |= {x, y}
     assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in groups.values() if len(g) > 1)
+
+
+def test_repeat_filter_holds_every_bit_met_twice(spark):
+    """Exactly those bits in words of fewer than ``COUNTED`` rows; all bits met in fuller words."""
+    rng = np.random.default_rng(3)
+    bits = lambda: int(np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, 4).astype(np.uint64)).view(np.int64))
+    rows = [(w, bits()) for w, n in enumerate([1, 2, 3, 7, 15, 16, 40] * 20) for _ in range(n)]
+    rows += [(1000, -1)] * 9 + [(1001, -(1 << 63))] * 15 + [(1002, 5)] * 30_000
+    got = {r._word: r._filter for r in exact_dedup.repeat_filter(spark.createDataFrame(rows, "_word long, _bits long")).collect()}
+    by = defaultdict(list)
+    for w, b in rows:
+        by[w].append(b & (1 << 64) - 1)
+    for w, own in by.items():
+        twice = sum(1 << k for k in range(64) if sum(b >> k & 1 for b in own) >= 2)
+        have = got.get(w, 0) & (1 << 64) - 1
+        met = int(np.bitwise_or.reduce(np.array(own, np.uint64)))
+        # a top counter of eight or more overflows its number: then, too, any bit met counts
+        crowded = len(own) >= exact_dedup.COUNTED or any(sum(b >> k & 1 for b in own) >= 8 for k in (15, 31, 47, 63))
+        assert have == (met if crowded else twice), w
+
+
+def test_one_of_each_group_takes_any_column_names(spark):
+    names = "doc_id long, text string, _id int, _key int, _k string, key int, id int, i int, k int, row string"
+    docs = spark.createDataFrame([(i, t, 1, 2, "k", 3, 4, 5, 6, "r") for i, t in enumerate(["a b c d", "a b c d", None, "x y z w v u"])], names)
+    kept = simhash.one_of_each_group(docs)
+    assert kept.schema == docs.schema and [r._k for r in kept.collect()] == ["k"] * 3
