@@ -12,9 +12,11 @@ marks, units are whole words.)  Each distinct unit is encoded once:
 The distinct units come out of their count already partitioned by unit, so steps 1 to 4 move
 no row.  A character that no piece covers falls back to its bytes.
 
-Encoded units meet their occurrences in two joins: the ``FREQUENT`` most frequent units
-by broadcast, so no common unit shuffles, and the rest on the unit, where none holds more
-than 1/``FREQUENT`` of the occurrences.
+Encoded units meet their occurrences in two ways: the most frequent units, ``FREQUENT`` at most and none of over
+``SHARED_CHARS`` characters, by broadcast, so no common unit shuffles, and the rest by a join on the unit.  The
+digests of whole documents (``encoding_digest``) take the broadcast units as an Arrow table: a first pass
+names the other units of each document, those alone shuffle to their encodings, and a second pass puts the
+ids of each document together, decodes them and lets out digests only.
 
 The path is the one of least cost, the cost of a piece being minus its score; of equal
 paths the one with the longer last piece.  Text may hold U+2581 itself: it is written as bytes, so
@@ -26,10 +28,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import text_key
+from citeweave.llm.common import small_batches, text_key
 from citeweave.session import Workspace
 
-FREQUENT = 1 << 18  # units that are broadcast
+FREQUENT, SHARED_CHARS = 1 << 19, 64  # units that are broadcast, characters of each, at most: 64 MB of text and ids
+SLICE_UNITS = 1 << 20  # units of whole documents that a task puts together at a time
 UNIT_CHARS, SPACES = 200, 16  # a longer unit is cut
 TOP_COST, BYTE_COST = 400_000, 500_000  # of a piece at most; of a character written as bytes
 WHOLE_WORDS = rf" {{0,{SPACES}}}[^ \n]{{1,{UNIT_CHARS}}}|\n| {{1,{SPACES}}}"
@@ -109,8 +112,8 @@ def _rows(docs: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: str) -
 
 
 def encoded_units(rows: DataFrame, vocabulary: Vocabulary, ws: Workspace) -> tuple[DataFrame, DataFrame]:
-    """Two stored tables ``unit, ids`` over all distinct units of ``rows``: the ``FREQUENT`` most
-    frequent (to broadcast) and the others."""
+    """Two parts ``unit, ids`` of a stored table of all distinct units of ``rows``: the most frequent, at most
+    ``FREQUENT`` (to broadcast), and the others."""
     spark = rows.sparkSession
     counted = rows.select(F.explode("units").alias("unit")).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
     setting = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
@@ -120,11 +123,17 @@ def encoded_units(rows: DataFrame, vocabulary: Vocabulary, ws: Workspace) -> tup
         known = ws.keep(encode_units(counted, vocabulary), "units")
     finally:
         spark.conf.set(setting, before)
-    columns = ["unit", "ids"]
-    common = ws.keep(known.orderBy(F.desc("n"), "unit").limit(FREQUENT).select(*columns), "common")
-    rare = ws.keep(known.select(*columns).join(F.broadcast(common.select("unit")), "unit", "left_anti"), "rare")
-    ws.drop("units")
-    return common, rare
+    # the lowest class of counts (eighths of a power of two, a few hundred) that still fits
+    shared = F.length("unit") <= SHARED_CHARS
+    grade = F.floor(8 * F.log2("n"))
+    least, total = 1 << 62, 0
+    for r in sorted(known.where(shared).groupBy(grade.alias("g")).agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("n")).collect(), key=lambda r: -r["g"]):
+        total += r["k"]
+        if total > FREQUENT:
+            break
+        least = r["n"]
+    common = shared & (F.col("n") >= least)
+    return known.where(common).select("unit", "ids"), known.where(~common).select("unit", "ids")
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, ws: Workspace, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,35 +170,133 @@ def decode(ids: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") -> Data
     return rows.join(texts, "_row", "left").withColumn("decoded", F.coalesce(text, F.lit(""))).select(*ids.columns, "decoded")
 
 
+class _Shared:
+    """The broadcast units in a task: where a unit stands among them, and their ids."""
+
+    def __init__(self, ipc: bytes):
+        import pyarrow as pa
+
+        table = pa.ipc.open_stream(ipc).read_all().combine_chunks()
+        self.units = pa.array([], pa.string()) if not len(table) else table.column("unit").chunk(0)
+        self.ids = pa.array([], pa.list_(pa.int32())) if not len(table) else table.column("ids").chunk(0)
+
+    def places(self, units):
+        """Of each of ``units`` the place, -1 if it is not among them."""
+        import pyarrow.compute as pc
+
+        return pc.fill_null(pc.index_in(units, value_set=self.units), -1).to_numpy(zero_copy_only=False)
+
+
+def _slices(batch):
+    """Parts of an Arrow batch whose ``units`` are about ``SLICE_UNITS`` (one document at least)."""
+    import pyarrow.compute as pc
+
+    start, held = 0, 0
+    for i, n in enumerate(pc.list_value_length(batch.column("units")).to_pylist()):
+        if i > start and held + n > SLICE_UNITS:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
+def _bounds(lists):
+    """Where each list of an Arrow array of lists (null: empty) starts among all items, and the end."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    return np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+
+
+def missing_units(rows: DataFrame, shared) -> DataFrame:
+    """``id, key, pos, unit``: the units of ``rows`` (``id, key, units``) that are not among the broadcast ``shared``."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        table = _Shared(shared.value)
+        for whole in batches:
+            for batch in _slices(whole):
+                units, bounds = batch.column("units").flatten(), _bounds(batch.column("units"))
+                at = np.flatnonzero(table.places(units) < 0)
+                row = np.searchsorted(bounds, at, "right") - 1
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").take(pa.array(row)), batch.column("key").take(pa.array(row)), pa.array((at - bounds[row]).astype(np.int32)),
+                     units.take(pa.array(at))], names=["id", "key", "pos", "unit"])
+
+    return small_batches(rows.select("id", "key", "units")).mapInArrow(run, f"id {kind}, key long, pos int, unit string")
+
+
+def digests(rows: DataFrame, shared, vocabulary: Vocabulary) -> DataFrame:
+    """``id, key, n_units, n_pieces, ids_digest, decoded_sha256`` of ``rows`` (``id, key, units, late``): ``late`` holds place
+    and ids of the units that are not among the broadcast ``shared``.  The decoded text is put together from the ids alone."""
+    kind = rows.schema["id"].dataType.simpleString()
+    spell = {i: p.encode() for p, _, i in vocabulary.rows} | {i: bytes([b]) for b, i in enumerate(vocabulary.byte_ids)}
+    spelled = [spell.get(i, b"") for i in range(max(spell) + 1)]
+
+    def run(batches):
+        import hashlib
+
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        table, numbers, pieces = _Shared(shared.value), pa.array([str(i).encode() for i in range(len(spelled))], pa.binary()), pa.array(spelled, pa.binary())
+        for whole in batches:
+            for batch in _slices(whole):
+                units, bounds = batch.column("units").flatten(), _bounds(batch.column("units"))
+                place, late = table.places(units).astype(np.int64), batch.column("late").flatten()
+                at = np.repeat(bounds[:-1], np.diff(_bounds(batch.column("late")))) + late.field("pos").to_numpy(zero_copy_only=False)
+                place[at] = len(table.units) + np.arange(len(at))
+                if (place < 0).any():
+                    raise ValueError("a unit has no encoding")
+                known = pa.concat_arrays([table.ids, late.field("ids").cast(table.ids.type)])
+                starts, values = _bounds(known), known.flatten().to_numpy(zero_copy_only=False)
+                size = np.diff(starts)[place]
+                before = np.concatenate(([0], np.cumsum(size)))
+                ids = pa.array(values[np.repeat(starts[place] - before[:-1], size) + np.arange(before[-1])])
+                ends = before[bounds]
+                lists = [pa.LargeListArray.from_arrays(pa.array(ends), x.cast(pa.large_binary()).take(ids)) for x in (numbers, pieces)]
+                joined = [pc.binary_join(x, pa.scalar(sep, pa.large_binary())).to_pylist() for x, sep in zip(lists, (b",", b""))]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id"), batch.column("key"), pa.array(np.diff(bounds)), pa.array(np.diff(ends)),
+                     pa.array([hashlib.sha256(x).hexdigest() for x in joined[0]], pa.string()),
+                     # without the space put before
+                     pa.array([hashlib.sha256(memoryview(x)[1:]).hexdigest() for x in joined[1]], pa.string())], names=names)
+
+    names = ["id", "key", "n_units", "n_pieces", "ids_digest", "decoded_sha256"]
+    return small_batches(rows.select("id", "key", "units", "late")).mapInArrow(
+        run, f"id {kind}, key long, n_units long, n_pieces long, ids_digest string, decoded_sha256 string")
+
+
 def encoding_digest(docs: DataFrame, vocabulary: Vocabulary, ws: Workspace, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document, encoded and decoded: ``id_col, n_units, n_pieces, ids_digest`` (SHA-256 of all its ids
     in order, joined by commas), ``decoded_sha256`` (of the text that the ids spell) and ``round_trip`` (whether that is
     the SHA-256 of the text).
 
-    One pass over the texts after the units are encoded: frequent units get their ids where they are met, and the
-    other units of a document alone shuffle to their encodings.  The ids of each document are stored, and decoded
-    from there.  Null and empty texts have no pieces.  Rows that repeat id and text make one row.
-    Null ids are ids like any other.  Other columns are not read; an empty table gives an empty result."""
+    The units that are not broadcast meet their encodings by a join, and each document meets the list of its own; no ids
+    of whole documents are stored or shuffled.  Null and empty texts have no pieces.  Rows that repeat id and text make
+    one row.  Null ids are ids like any other.  Other columns are not read; an empty table gives an empty result."""
+    import pyarrow as pa
+
     rows = _rows(docs, vocabulary, id_col, text_col)
     common, rare = encoded_units(rows, vocabulary, ws)
-    each = rows.select("id", "key", F.posexplode_outer("units").alias("pos", "unit"))
-    met = each.join(F.broadcast(common.select("unit", "ids")), "unit", "left")
-    own = ws.keep(met.groupBy("id", "key").agg(
-        F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("copies"), F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids"))).alias("near"),
-        F.collect_list(F.when(F.col("ids").isNull() & F.col("pos").isNotNull(), F.struct("pos", "unit"))).alias("far")), "parts")
-    late = own.select("id", "key", F.explode("far").alias("f")).select("id", "key", F.col("f.pos").alias("pos"), F.col("f.unit").alias("unit")) \
-        .join(rare, "unit").groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_list(F.struct("pos", "ids")).alias("late"))
-    parts = own.drop("far").join(late, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
-    found = F.sort_array(F.concat("near", F.coalesce("late", F.array().cast(late.schema["late"].dataType))))
-    # of a repeated row's units one of each place
-    once = parts.withColumn("p", found).withColumn("p", F.when(F.col("copies") == 1, F.col("p")).otherwise(
-        F.expr("filter(p, (x, i) -> i % copies = 0)")))
-    ids = ws.keep(once.select("id", "key", F.size("p").cast("long").alias("n_units"), F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids")), "ids")
-    ws.drop("common", "rare", "parts")
-    spelled = decode(ids, vocabulary).select(
-        "id", "key", "n_units", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.array_join("ids", ","), 256).alias("ids_digest"),
-        F.sha2("decoded", 256).alias("decoded_sha256"))
-    texts = docs.select(F.col(id_col).alias("_id"), text_key(text_col).alias("_key"), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
-                        .alias("_sha256")).distinct()
-    return spelled.join(texts, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select(
-        F.col("id").alias(id_col), "n_units", "n_pieces", "ids_digest", "decoded_sha256", (F.col("decoded_sha256") == F.col("_sha256")).alias("round_trip"))
+    sink, held = pa.BufferOutputStream(), common.toArrow()  # bounded by FREQUENT and SHARED_CHARS
+    with pa.ipc.new_stream(sink, held.schema) as writer:
+        writer.write_table(held)
+    shared = docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+    late = missing_units(rows, shared).join(rare, "unit").groupBy(F.col("id").alias("i"), F.col("key").alias("k")) \
+        .agg(F.collect_set(F.struct("pos", "ids")).alias("late"))  # of a repeated document's units one of each place
+    late = ws.keep(late, "late")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    whole = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"), text.alias("t")) \
+        .join(late, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left") \
+        .select("id", "key", units_of(F.col("t"), vocabulary).alias("units"), F.coalesce("late", F.array().cast(late.schema["late"].dataType)).alias("late"))
+    made = ws.keep(digests(whole, shared, vocabulary), "digests").dropDuplicates(["id", "key"])
+    ws.drop("units", "late")
+    texts = docs.select(F.col(id_col).alias("i"), text_key(text_col).alias("k"), F.sha2(text, 256).alias("sha256")).distinct()
+    return made.join(texts, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k"))).select(
+        F.col("id").alias(id_col), "n_units", "n_pieces", "ids_digest", "decoded_sha256", (F.col("decoded_sha256") == F.col("sha256")).alias("round_trip"))

@@ -49,7 +49,7 @@ def test_ids_match_brute_force_and_round_trip(spark, vocabulary):
 
 
 def test_query_matches_the_encoded_documents(spark, vocabulary, monkeypatch):
-    monkeypatch.setattr(pieces, "FREQUENT", 50)  # most units take the join
+    monkeypatch.setattr(pieces, "FREQUENT", 50)  # most units take the join (none but the most frequent class or two is shared)
     rows = {r.doc_id: r for r in queries.QUERIES["op2_sentencepiece"](spark, SF).collect()}
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     full = {r.id: r for r in pieces.documents(pieces.encode(docs, vocabulary, Workspace(spark, "test-pieces"))).collect()}
