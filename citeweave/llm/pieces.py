@@ -230,46 +230,56 @@ def missing_units(rows: DataFrame, shared) -> DataFrame:
     return small_batches(rows.select("id", "key", "units")).mapInArrow(run, f"id {kind}, key long, pos int, unit string")
 
 
+def _sha256(ids, ends, words, between: bytes, skip: int) -> list[str]:
+    """SHA-256 of each document's ``words[ids]`` joined, its first ``skip`` bytes left out; ``ends`` bound the documents."""
+    import hashlib
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends), words.take(ids)), pa.scalar(between, pa.large_binary()))
+    return [hashlib.sha256(memoryview(x.as_buffer())[skip:]).hexdigest() for x in joined]
+
+
 def digests(rows: DataFrame, shared, vocabulary: Vocabulary) -> DataFrame:
-    """``id, key, n_units, n_pieces, ids_digest, decoded_sha256`` of ``rows`` (``id, key, units, late``): ``late`` holds place
-    and ids of the units that are not among the broadcast ``shared``.  The decoded text is put together from the ids alone."""
+    """``id, key, n_units, n_pieces, ids_digest, decoded_sha256, round_trip`` of ``rows`` (``id, key, sha256, units, pos, size, ids``):
+    place, number of ids, and ids in a row, of the units that are not among the broadcast ``shared``.  The decoded text is
+    put together from the ids alone."""
     kind = rows.schema["id"].dataType.simpleString()
     spell = {i: p.encode() for p, _, i in vocabulary.rows} | {i: bytes([b]) for b, i in enumerate(vocabulary.byte_ids)}
     spelled = [spell.get(i, b"") for i in range(max(spell) + 1)]
 
     def run(batches):
-        import hashlib
-
         import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
 
-        table, numbers, pieces = _Shared(shared.value), pa.array([str(i).encode() for i in range(len(spelled))], pa.binary()), pa.array(spelled, pa.binary())
+        table, wide = _Shared(shared.value), pa.large_binary()
+        numbers, pieces = pa.array([str(i).encode() for i in range(len(spelled))], wide), pa.array(spelled, wide)
+        first, own = _bounds(table.ids), table.ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
         for whole in batches:
             for batch in _slices(whole):
                 units, bounds = batch.column("units").flatten(), _bounds(batch.column("units"))
-                place, late = table.places(units).astype(np.int64), batch.column("late").flatten()
-                at = np.repeat(bounds[:-1], np.diff(_bounds(batch.column("late")))) + late.field("pos").to_numpy(zero_copy_only=False)
+                place = table.places(units).astype(np.int64)
+                late = {c: batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("pos", "size", "ids")}
+                at = np.repeat(bounds[:-1], np.diff(_bounds(batch.column("pos")))) + late["pos"]
                 place[at] = len(table.units) + np.arange(len(at))
                 if (place < 0).any():
                     raise ValueError("a unit has no encoding")
-                known = pa.concat_arrays([table.ids, late.field("ids").cast(table.ids.type)])
-                starts, values = _bounds(known), known.flatten().to_numpy(zero_copy_only=False)
+                starts, values = np.concatenate((first, first[-1] + np.cumsum(late["size"]))), np.concatenate((own, late["ids"].astype(np.int32)))
                 size = np.diff(starts)[place]
                 before = np.concatenate(([0], np.cumsum(size)))
                 ids = pa.array(values[np.repeat(starts[place] - before[:-1], size) + np.arange(before[-1])])
                 ends = before[bounds]
-                lists = [pa.LargeListArray.from_arrays(pa.array(ends), x.cast(pa.large_binary()).take(ids)) for x in (numbers, pieces)]
-                joined = [pc.binary_join(x, pa.scalar(sep, pa.large_binary())).to_pylist() for x, sep in zip(lists, (b",", b""))]
+                # a space was put before the text
+                digest = [_sha256(ids, ends, numbers, b",", 0), _sha256(ids, ends, pieces, b"", 1)]
+                same = [a == b for a, b in zip(digest[1], batch.column("sha256").to_pylist())]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id"), batch.column("key"), pa.array(np.diff(bounds)), pa.array(np.diff(ends)),
-                     pa.array([hashlib.sha256(x).hexdigest() for x in joined[0]], pa.string()),
-                     # without the space put before
-                     pa.array([hashlib.sha256(memoryview(x)[1:]).hexdigest() for x in joined[1]], pa.string())], names=names)
+                     *(pa.array(x, pa.string()) for x in digest), pa.array(same, pa.bool_())], names=names)
 
-    names = ["id", "key", "n_units", "n_pieces", "ids_digest", "decoded_sha256"]
-    return small_batches(rows.select("id", "key", "units", "late")).mapInArrow(
-        run, f"id {kind}, key long, n_units long, n_pieces long, ids_digest string, decoded_sha256 string")
+    names = ["id", "key", "n_units", "n_pieces", "ids_digest", "decoded_sha256", "round_trip"]
+    return small_batches(rows.select("id", "key", "sha256", "units", "pos", "size", "ids")).mapInArrow(
+        run, f"id {kind}, key long, n_units long, n_pieces long, ids_digest string, decoded_sha256 string, round_trip boolean")
 
 
 def encoding_digest(docs: DataFrame, vocabulary: Vocabulary, ws: Workspace, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -288,15 +298,16 @@ def encoding_digest(docs: DataFrame, vocabulary: Vocabulary, ws: Workspace, id_c
     with pa.ipc.new_stream(sink, held.schema) as writer:
         writer.write_table(held)
     shared = docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
-    late = missing_units(rows, shared).join(rare, "unit").groupBy(F.col("id").alias("i"), F.col("key").alias("k")) \
-        .agg(F.collect_set(F.struct("pos", "ids")).alias("late"))  # of a repeated document's units one of each place
-    late = ws.keep(late, "late")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    whole = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"), text.alias("t")) \
+    met = missing_units(rows, shared).join(rare, "unit").groupBy(F.col("id").alias("i"), F.col("key").alias("k")) \
+        .agg(F.collect_set(F.struct("pos", "ids")).alias("u"))  # of a repeated document's units one of each place
+    # three flat arrays are a third of an array of structs
+    late = ws.keep(met.select("i", "k", F.transform("u", lambda x: x["pos"]).alias("pos"), F.transform("u", lambda x: F.size(x["ids"])).alias("size"),
+                              F.flatten(F.transform("u", lambda x: x["ids"])).alias("ids")), "late")
+    ws.drop("units")
+    flat = [F.coalesce(c, F.array().cast("array<int>")).alias(c) for c in ("pos", "size", "ids")]
+    whole = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")) \
         .join(late, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left") \
-        .select("id", "key", units_of(F.col("t"), vocabulary).alias("units"), F.coalesce("late", F.array().cast(late.schema["late"].dataType)).alias("late"))
-    made = ws.keep(digests(whole, shared, vocabulary), "digests").dropDuplicates(["id", "key"])
-    ws.drop("units", "late")
-    texts = docs.select(F.col(id_col).alias("i"), text_key(text_col).alias("k"), F.sha2(text, 256).alias("sha256")).distinct()
-    return made.join(texts, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k"))).select(
-        F.col("id").alias(id_col), "n_units", "n_pieces", "ids_digest", "decoded_sha256", (F.col("decoded_sha256") == F.col("sha256")).alias("round_trip"))
+        .select("id", "key", F.sha2("t", 256).alias("sha256"), units_of(F.col("t"), vocabulary).alias("units"), *flat)
+    made = ws.keep(digests(whole, shared, vocabulary).dropDuplicates(["id", "key"]), "digests")
+    ws.drop("late")
+    return made.withColumnRenamed("id", id_col).drop("key")
