@@ -1,9 +1,10 @@
 """Randomised truncated SVD and spectral embeddings over COO edge tables.
 
 Dense factors are row tables ``id, vec array<double>`` (one row per node, a
-short vector of ``r + p`` numbers).  Sparse x dense products are a join of the
+short vector of ``r + p`` numbers).  ``spmm`` is one sparse x dense product as a join of the
 edge table with the factor rows plus a vector sum per output row
-(``Summarizer.sum``, a JVM aggregate with map-side combine).  Tall factors are
+(``Summarizer.sum``, a JVM aggregate with map-side combine); iterations lay the matrix out once as ``Panels``
+and multiply panel by panel.  Tall factors are
 orthonormalised by tree QR: k x k triangles per partition, stacked and reduced again, and
 only a bounded number of them reaches the driver, where the small problems are solved.  Nothing of
 size n is ever collected.
@@ -11,15 +12,19 @@ size n is ever collected.
 
 from __future__ import annotations
 
+import uuid
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeweave.functions.columns import hash_uniform
-from citeweave.session import materialize
+from citeweave.session import Workspace, keep_layout, materialize
 
 
 def gaussian_rows(ids: DataFrame, k: int, seed: int = 0, id_col: str = "id") -> DataFrame:
@@ -44,6 +49,159 @@ def spmm(X: DataFrame, Z: DataFrame, transpose: bool = False) -> DataFrame:
     return s.select("id", vector_to_array("_s").alias("vec"))
 
 
+# Bytes of the dense rows of one column block, and entries of one panel (several per dense row, so that a block is
+# worth its copy).  They bound a task's memory at any size of the matrix.
+BLOCK_BYTES = 16 << 20
+PANEL_ENTRIES = 1 << 16
+SLICE = 1 << 13
+# Filter of ``truncated_svd``: largest degree, largest growth, filters at most, relative residual to reach.
+DEGREE = 12
+GROWTH = 1e8
+DISCERN = 3.0  # least log growth of the largest value over the damped ones, about
+ROUNDS = 4
+TOL = 1e-2
+
+
+class Panels:
+    """A sparse matrix laid out once for products with dense rows of ``width`` numbers.
+
+    Columns are dealt to blocks by hash, and the entries of a block to panels of about ``PANEL_ENTRIES`` by the hash
+    of their row, so a hub, be it a row or a column, is split.  The layout is kept by a reliable checkpoint that holds its
+    partitioning and order: a product moves dense rows only, one copy per panel of their block,
+    and each panel is one numpy product that gives one row per row of the panel."""
+
+    def __init__(self, f: DataFrame, width: int, transpose: bool):
+        spark = f.sparkSession
+        row, col = ("dst", "src") if transpose else ("src", "dst")
+        e = f.select(F.col(row).alias("row"), F.col(col).alias("col"), F.col("w").cast("double").alias("w"))
+        columns = e.agg(F.approx_count_distinct("col").alias("n")).first()["n"]  # sizes the blocks only
+        self.blocks = max(1, -(-columns * width * 8 // BLOCK_BYTES))
+        self.row_type = dict(e.dtypes)["row"]
+        e = e.withColumn("cb", self._block("col"))
+        counts = e.groupBy("cb").agg(F.ceil(F.count(F.lit(1)) / F.lit(PANEL_ENTRIES)).cast("int").alias("parts"))
+        self.counts = materialize(counts, "panel-counts")
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # the number that a product's other side gets
+        chunk = F.pmod(F.xxhash64("row", F.lit(7)), F.col("parts").cast("long")).cast("int")
+        laid = e.join(self.counts, "cb").select("cb", chunk.alias("chunk"), "row", "col", "w")
+        self.laid = keep_layout(laid.repartition(n, "cb", "chunk").sortWithinPartitions("cb", "chunk"))
+
+    def _block(self, of: str):
+        return F.pmod(F.xxhash64(of), F.lit(self.blocks)).cast("int")
+
+    def times(self, Z: DataFrame) -> DataFrame:
+        """``id, vec``: the product with the rows ``Z(id, vec)``, as one partial row per (row, panel) that has entries.
+        With one block these are whole rows."""
+        dense = Z.withColumn("cb", self._block("id")).join(self.counts, "cb") \
+            .select("cb", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("chunk"), "id", "vec")
+        schema = f"id {self.row_type}, vec array<double>"
+        return self.laid.groupBy("cb", "chunk").cogroup(dense.groupBy("cb", "chunk")).applyInArrow(_panel_product, schema)
+
+
+def _panel_product(entries: pa.Table, dense: pa.Table) -> pa.Table:
+    """One panel times its dense rows; an id without a dense row counts as zero."""
+    at = pd.Index(dense["id"].to_numpy()).get_indexer(entries["col"].to_numpy())
+    here = at >= 0
+    codes, ids = pd.factorize(entries["row"].to_numpy()[here])
+    order = np.argsort(codes, kind="stable")
+    codes, at, w = codes[order], at[here][order], entries["w"].to_numpy()[here][order]
+    Z = _matrix(dense["vec"])
+    out = np.zeros((len(ids), Z.shape[1]))
+    for lo in range(0, len(codes), SLICE):
+        c, some = codes[lo : lo + SLICE], slice(lo, lo + SLICE)
+        starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+        out[c[starts]] += np.add.reduceat(Z[at[some]] * w[some, None], starts)
+    return pa.table({"id": pa.array(ids, entries.schema.field("row").type), "vec": _lists(out)})
+
+
+def _matrix(vec) -> np.ndarray:
+    """The numbers of an Arrow column of equally long lists, a row each."""
+    n = len(vec)
+    flat = (pa.concat_arrays(vec.chunks) if isinstance(vec, pa.ChunkedArray) else vec).flatten().to_numpy(zero_copy_only=False) if n else np.zeros(0)
+    return flat.reshape(n, len(flat) // n if n else 0)
+
+
+def _lists(M: np.ndarray) -> pa.Array:
+    """The rows of ``M`` as an Arrow column of lists."""
+    n, k = M.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * np.int32(k)), pa.array(np.ascontiguousarray(M).ravel()))
+
+
+def _sums_of_runs(batches):
+    """Adds up ``by * vec`` over rows of one id, which follow each other; a run may go on in the next batch."""
+    last = None  # id and sum of the run at the end of what was read
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        ids = batch.column("id")
+        keys = ids.to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        sums = np.add.reduceat(_matrix(batch.column("vec")) * batch.column("by").to_numpy()[:, None], starts)
+        heads = ids.take(pa.array(starts))
+        if last is not None and heads[0] == last[0][0]:
+            sums[0] += last[1][0]
+        elif last is not None:
+            yield pa.RecordBatch.from_arrays([last[0], _lists(last[1])], ["id", "vec"])
+        if len(starts) > 1:
+            yield pa.RecordBatch.from_arrays([heads[:-1], _lists(sums[:-1])], ["id", "vec"])
+        last = heads[-1:], sums[-1:]
+    if last is not None:
+        yield pa.RecordBatch.from_arrays([last[0], _lists(last[1])], ["id", "vec"])
+
+
+def combine(terms) -> DataFrame:
+    """``id, vec``: the sum of ``scale * Z`` over the ``(Z, scale)`` of ``terms``, rows of one id added up: one shuffle, and
+    sums of the sorted rows batch by batch, so an id with very many rows needs no more memory."""
+    total = None
+    for Z, scale in terms:
+        one = Z.select("id", "vec", F.lit(float(scale)).alias("by"))
+        total = one if total is None else total.unionByName(one)
+    n = int(total.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = total.repartition(n, "id").sortWithinPartitions("id")
+    return laid.mapInArrow(_sums_of_runs, f"id {dict(total.dtypes)['id']}, vec array<double>")
+
+
+def normal_rows(ids: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """``id, vec`` with k standard normal entries per row, a function of (seed, id, column) alone, so that a
+    task that is run again draws the same: a 64-bit counter hash per entry, and Box-Muller."""
+    def mixed(x):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+    def part(batches):
+        step = (np.arange(1, 2 * k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+        for batch in batches:
+            key = batch.column("key").to_numpy().view(np.uint64)[:, None]
+            u = ((mixed(key + step) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0 ** 53
+            yield pa.RecordBatch.from_arrays([batch.column("id"), _lists(np.sqrt(-2 * np.log(u[:, :k])) * np.cos(2 * np.pi * u[:, k:]))], ["id", "vec"])
+
+    keyed = ids.select("id", F.xxhash64("id", F.lit(seed)).alias("key"))
+    return keyed.mapInArrow(part, f"id {dict(ids.dtypes)['id']}, vec array<double>")
+
+
+class Operand:
+    """A sum of products of sparse matrices, applied factor by factor and never multiplied out."""
+
+    def __init__(self, products, width: int):
+        self.own = []
+        for factors in products:
+            factors = [materialize(f.select("src", "dst", "w"), "factor") for f in factors]
+            self.own.append(([Panels(f, width, False) for f in factors], [Panels(f, width, True) for f in factors]))
+        self.products = 0
+
+    def apply(self, Z: DataFrame, transpose: bool = False) -> DataFrame:
+        """X Z or X^T Z: one row per id that has entries."""
+        terms = []
+        for plain, turned in self.own:
+            Y, whole = Z, True
+            for f in (turned if transpose else plain[::-1]):
+                Y = f.times(Y if whole else combine([(Y, 1.0)]))
+                whole = f.blocks == 1
+                self.products += 1
+            terms.append((Y, 1.0))
+        return terms[0][0] if len(terms) == 1 and whole else combine(terms)
+
+
 R_BUCKETS = 64
 
 
@@ -60,13 +218,14 @@ def r_factor(Z: DataFrame, k: int) -> np.ndarray:
         return acc
 
     def leaf(it):
-        R = reduced(np.vstack(pdf["vec"].to_numpy()).astype(np.float64) for pdf in it if len(pdf))
-        yield pd.DataFrame({"vec": list(R)})
+        R = reduced(_matrix(batch.column("vec")) for batch in it)
+        if len(R):
+            yield pa.RecordBatch.from_arrays([_lists(R)], ["vec"])
 
     def node(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"vec": list(reduced([np.vstack(pdf["vec"].to_numpy())]))})
 
-    leaves = Z.select("vec").mapInPandas(leaf, "vec array<double>")
+    leaves = Z.select("vec").mapInArrow(leaf, "vec array<double>")
     nodes = leaves.withColumn("_b", F.pmod(F.spark_partition_id(), F.lit(R_BUCKETS))).groupBy("_b").applyInPandas(node, "vec array<double>")
     R = reduced([np.array([r["vec"] for r in nodes.collect()])]) if k else np.zeros((0, 0))  # R_BUCKETS * k rows at most
     return np.vstack((R, np.zeros((k - len(R), k))))
@@ -78,80 +237,99 @@ def right_multiply(Z: DataFrame, M: np.ndarray) -> DataFrame:
 
     def part(it):
         m = Mb.value
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            A = np.vstack(pdf["vec"].to_numpy()).astype(np.float64) @ m
-            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "vec": list(A)})
+        for batch in it:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column("id"), _lists(_matrix(batch.column("vec")) @ m)], ["id", "vec"])
 
     id_type = dict(Z.dtypes)["id"]
-    return Z.mapInPandas(part, f"id {id_type}, vec array<double>")
+    return Z.select("id", "vec").mapInArrow(part, f"id {id_type}, vec array<double>")
 
 
-def orthonormalize(Z: DataFrame, k: int, seed: int = 97) -> DataFrame:
+def orthonormalize(Z: DataFrame, k: int, seed: int = 97, work: Workspace | None = None) -> DataFrame:
     """Orthonormal columns that span those of ``Z`` (rows ``id, vec[k]``, k at most the
-    number of rows).  A direction that ``Z`` lacks to rounding error is replaced by a random one, so
+    number of rows), whatever the lengths of those columns.  A direction that ``Z`` lacks to rounding error is replaced by a random one, so
     all k columns come back.  Each pass is a tree QR and a product; two passes reach rounding error."""
     Q = Z
+    work = work or Workspace(Z.sparkSession, "basis")
     for turn in range(3):
-        _, s, Vt = np.linalg.svd(r_factor(Q, k))
+        R = r_factor(Q, k)
+        length = np.linalg.norm(R, axis=0)
+        length[length == 0] = 1.0
+        _, s, Vt = np.linalg.svd(R / length)
         weak = s <= s[0] * 1e-13 if s[0] > 0 else np.ones(k, bool)
-        T = Vt.T / np.where(weak, 1.0, s)
+        T = Vt.T / np.where(weak, 1.0, s) / length[:, None]
         T[:, weak] = 0.0
         Q = right_multiply(Q, T)
         if weak.any():
-            fill = gaussian_rows(Q.select("id"), k, seed + turn).withColumnRenamed("vec", "_g")
+            fill = normal_rows(Q.select("id"), k, seed + turn).withColumnRenamed("vec", "_g")
             use = F.array(*[F.lit(1.0 if w else 0.0) for w in weak])
             Q = Q.join(fill, "id").select("id", F.zip_with("vec", F.zip_with("_g", use, lambda g, u: g * u), lambda x, y: x + y).alias("vec"))
-        Q = materialize(Q, "basis")
+        Q = work.keep(Q, f"basis-{uuid.uuid4().hex[:8]}")
         if turn and not weak.any():
             break
     return Q
 
 
-def randomized_svd(X, nodes: DataFrame, r: int, p: int = 10, q: int = 1, seed: int = 0, rows: DataFrame | None = None):
-    """Rank-r randomised SVD of a sparse matrix ``X(src, dst, w)`` (V1), or of a sum of
-    products of such matrices (V2): ``X`` is then a list of products, each a list of matrices,
-    which are applied in turn and never multiplied out.
+def randomized_svd(X, nodes: DataFrame, r: int, p: int = 10, q: int = ROUNDS, seed: int = 0, rows: DataFrame | None = None):
+    """``(U, s)`` of ``truncated_svd``: the rows ``id, vec[r]`` and the r largest singular values."""
+    svd = truncated_svd(X, nodes, r, p, q, seed, rows)
+    return svd.U, svd.s
+
+
+class SVD(NamedTuple):
+    U: DataFrame  # id, vec[r]: left singular vectors
+    s: np.ndarray  # r singular values, largest first
+    residuals: np.ndarray  # |X X^T u - s^2 u| / s_1^2 of each
+    rounds: int  # filters that were applied
+    products: int  # sparse products, each with the whole block
+
 
-    Block Krylov: Q_0 = qr(X Omega), and q steps Q_i = qr(X qr(X^T Q_i-1)); Q is an orthonormal basis of all blocks, which
-    holds every polynomial of X X^T in the start, not only its last power.  Y = X^T Q; the small SVD comes from the triangular
-    factor of Y.  ``nodes`` (``id``) are the
-    columns, ``rows`` the rows (the same if not given).  Returns ``(U rows: id, vec[r], singular
-    values[r])``, largest first; fewer than r only if the matrix is smaller."""
+def truncated_svd(X, nodes: DataFrame, r: int, p: int = 10, rounds: int = ROUNDS, seed: int = 0, rows: DataFrame | None = None,
+                  tol: float = TOL, degree: int = DEGREE) -> SVD:
+    """The r largest singular triples of a sparse matrix ``X(src, dst, w)`` (V1), or of a sum of
+    products of such matrices (V2): ``X`` is then a list of products, each a list of matrices,
+    which are applied in turn and never multiplied out.  ``nodes`` (``id``) are the columns, ``rows`` the rows (the same if
+    not given).  Fewer than r triples come back only if the matrix is smaller.
+
+    Subspace iteration with a Chebyshev filter on a block of r + p vectors.  A round orthonormalises the block, solves
+    the small problem on it (Rayleigh-Ritz) and takes the residual of every wanted triple.  While one is above
+    ``tol``, the block is filtered by the Chebyshev polynomial in X X^T that is at most 1 up to the smallest value
+    of the block (or up to where its degree can still tell values apart) and grows fastest beyond it: values that crowd below the largest ones, as in graphs of many
+    components, need its steep growth.  Its degree is at most ``degree``, and less where the growth would pass ``GROWTH``.
+    The filter holds two blocks besides the result, however high the degree.  After ``rounds`` filters the
+    best block so far is returned, with the residuals that it has."""
     products = [[X]] if isinstance(X, DataFrame) else X
-    products = [[materialize(f.select("src", "dst", "w"), "factor") for f in own] for own in products]
     nodes = materialize(nodes.select("id"), "columns")
     rows = nodes if rows is None else materialize(rows.select("id"), "rows")
     k = min(r + p, nodes.count(), rows.count())
-
-    def times(Z: DataFrame, transpose: bool, width: int = k) -> DataFrame:
-        """X Z or X^T Z with a row for every id (zero where the matrix has none)."""
-        total = None
-        for own in products:
-            Y = Z
-            for f in (own if transpose else own[::-1]):
-                Y = spmm(f, Y, transpose)
-            total = Y if total is None else total.unionByName(Y)
-        if len(products) > 1:
-            total = total.select("id", array_to_vector("vec").alias("_v")).groupBy("id").agg(Summarizer.sum(F.col("_v")).alias("_s")) \
-                .select("id", vector_to_array("_s").alias("vec"))
-        every = (nodes if transpose else rows).join(total, "id", "left")
-        return materialize(every.select("id", F.coalesce("vec", F.array_repeat(F.lit(0.0), width)).alias("vec")), "product")
-
-    basis = [orthonormalize(times(gaussian_rows(nodes, k, seed), False), k)]
-    for _ in range(q):
-        basis.append(orthonormalize(times(orthonormalize(times(basis[-1], True), k), False), k))
-    # Rayleigh-Ritz on all blocks, as many as the matrix has rows for
-    blocks = max(1, min(len(basis), min(nodes.count(), rows.count()) // k)) if k else 1
-    Q = basis[-blocks]
-    for block in basis[len(basis) - blocks + 1 :]:
-        Q = Q.join(block.withColumnRenamed("vec", "_next"), "id").select("id", F.concat("vec", "_next").alias("vec"))
-    wide = blocks * k
-    Q = orthonormalize(materialize(Q, "krylov"), wide) if blocks > 1 else Q
-    Yt = times(Q, True, wide)  # rows of Y^T = X^T Q
-    UY, s, _ = np.linalg.svd(r_factor(Yt, wide).T)
-    return right_multiply(Q, UY[:, :r]), s[:r]
+    if k == 0:
+        return SVD(rows.select("id", F.array().cast("array<double>").alias("vec")), np.zeros(0), np.zeros(0), 0, 0)
+    A = Operand(products, k)
+    work = Workspace(nodes.sparkSession, "svd")
+
+    zero = rows.select("id", F.array_repeat(F.lit(0.0), k).alias("vec"))
+    Z = work.keep(combine([(A.apply(normal_rows(nodes, k, seed)), 1.0), (zero, 1.0)]), "start")
+    for turn in range(rounds + 1):
+        Q = orthonormalize(Z, k, work=work)
+        Y = work.keep(A.apply(Q, True), "projected")
+        UY, s, _ = np.linalg.svd(r_factor(Y, k).T)
+        U = work.keep(right_multiply(Q, UY), f"vectors{turn}")
+        B = work.keep(A.apply(right_multiply(Y, UY)), f"images{turn}")  # X X^T U
+        top = max(float(s[0]) ** 2, np.finfo(float).tiny)
+        gaps = combine([(B, 1.0), (right_multiply(U, np.diag(-s ** 2)), 1.0)])
+        residuals = np.linalg.norm(r_factor(gaps, k), axis=0) / top  # R has the column lengths of its matrix
+        if turn == rounds or residuals[:r].max() <= tol:
+            break
+        # [0, 2 half] is what the filter damps; where the block is all but level, the interval ends where the degree still discerns
+        half = max(min(float(s[-1]) ** 2, top * (1 - (DISCERN / (2 * degree)) ** 2)), 1e-12 * top) / 2
+        steep = np.arccosh(max((top - half) / half, 1.0 + 1e-9))
+        last = int(np.clip(np.ceil(np.arccosh(GROWTH) / steep), 1, degree))
+        before, Z = U, work.keep(combine([(B, 1 / half), (U, -1.0)]), "filter1")
+        for t in range(2, last + 1):
+            before, Z = Z, work.keep(combine([(A.apply(A.apply(Z, True)), 2 / half), (Z, -2.0), (before, -1.0)]), f"filter{t}")
+            work.drop(f"filter{t - 2}" if t > 2 else "start")
+        work.drop(f"vectors{turn}", f"images{turn}", f"filter{last - 1}")
+    return SVD(right_multiply(U, np.eye(k)[:, :r]), s[:r], residuals[:r], turn, A.products)
 
 
 def laplacian_eigenmap(g: DataFrame, nodes: DataFrame, dim: int, seed: int = 0):
@@ -188,6 +366,21 @@ def residual_matrix(pairs: DataFrame, g: DataFrame, eps: float = 1e-12) -> DataF
                                    - F.log(F.greatest(F.col("_d") / F.lit(two_m), F.lit(eps)))).alias("w"))
 
 
+def residual_operand(pairs: DataFrame, g: DataFrame, eps: float = 1e-12) -> list[list[DataFrame]]:
+    """The whole residual2vec matrix ``R_ij = ln(max(P_ij, eps)) - ln(max(d_j / 2m, eps))`` of all nodes of ``g`` (V5) as a
+    sum of products for ``truncated_svd``: entries beside the observed pairs are ln(eps) less the same term of their
+    column, a matrix of rank one, so only ``ln(max(P_ij, eps)) - ln(eps)`` of the observed pairs is a sparse matrix."""
+    tot = pairs.groupBy("center").agg(F.sum("freq").alias("_t"))
+    above = F.log(F.greatest(F.col("freq") / F.col("_t"), F.lit(eps))) - F.log(F.lit(eps))
+    seen = pairs.join(tot, "center").select(F.col("center").alias("src"), F.col("context").alias("dst"), above.alias("w"))
+    deg = materialize(g.groupBy("src").agg(F.sum("w").alias("_d")), "degrees")
+    two_m = float(deg.agg(F.sum("_d").alias("_m")).first()["_m"] or 1.0)  # a scalar
+    floor = F.log(F.lit(eps)) - F.log(F.greatest(F.col("_d") / F.lit(two_m), F.lit(eps)))
+    zero = F.lit(0).cast(dict(g.dtypes)["src"])
+    ones = deg.select("src", zero.alias("dst"), F.lit(1.0).alias("w"))
+    return [[seen], [ones, deg.select(zero.alias("src"), F.col("src").alias("dst"), floor.alias("w"))]]
+
+
 def factor_embedding(U: DataFrame, s: np.ndarray) -> DataFrame:
     """``U diag(sqrt(s))`` rows."""
     return right_multiply(U, np.diag(np.sqrt(np.abs(s))))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from citeweave.functions.columns import cantor_pair, cantor_unpair, hash_uniform
 from citeweave.operators import graph as G
 from citeweave.operators.prefix import dense_index
-from citeweave.session import fits_broadcast, materialize
+from citeweave.session import fits_broadcast, keep_layout, materialize
 
 # bytes per bucketed edge row (src, bucket, dst, lo, hi, dst_deg) used for the broadcast size check
 EDGE_ROW_BYTES = 64
@@ -60,14 +60,8 @@ def laid_out(be: DataFrame) -> DataFrame:
     be = materialize(be, "walk-edges")
     if fits_broadcast(be.count(), EDGE_ROW_BYTES):
         return F.broadcast(be)
-    conf = be.sparkSession.conf
-    n, adaptive = int(conf.get("spark.sql.shuffle.partitions")), conf.get("spark.sql.adaptive.enabled")
-    laid = be.repartition(n, "src", "bucket").sortWithinPartitions("src", "bucket")
-    conf.set("spark.sql.adaptive.enabled", "false")  # a plan that may still change tells no layout
-    try:
-        return laid.checkpoint()
-    finally:
-        conf.set("spark.sql.adaptive.enabled", adaptive)
+    n = int(be.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keep_layout(be.repartition(n, "src", "bucket").sortWithinPartitions("src", "bucket"))
 
 
 def _bucket(u: str, deg: str) -> F.Column:

@@ -82,6 +82,19 @@ def materialize(df, name: str = "stage"):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keep_layout(laid):
+    """Reliable checkpoint of ``laid`` that keeps its partitioning and order for later joins.  Adaptive execution is off
+    while it runs: a plan that may still change tells no layout."""
+    ensure_checkpoint_dir(laid.sparkSession)
+    conf = laid.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return laid.checkpoint()
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 class Workspace:
     """Named intermediate tables of one job under the shared checkpoint folder.
 

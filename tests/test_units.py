@@ -476,3 +476,59 @@ def test_walks_restart_at_dangling_nodes(spark):
     w = walks.walk_arrays(walks.random_walks(G.build_graph(e, mode="to_cited"), 2, 8, seed=4, restart_at_dangling=True)).collect()
     paths = {r["walk_id"] // 2: r["nodes"] for r in w}
     assert paths == {0: [0, 1, 2, 0, 1, 2, 0, 1], 1: [1, 2, 1, 2, 1, 2, 1, 2], 2: [2] * 8, 5: [5] * 8}
+
+
+def test_panels_split_hubs_and_blocks(spark, monkeypatch):
+    from citeweave.operators import linalg
+
+    monkeypatch.setattr(linalg, "BLOCK_BYTES", 160)  # about ten dense rows of two numbers
+    monkeypatch.setattr(linalg, "PANEL_ENTRIES", 16)
+    rng = np.random.default_rng(3)
+    n = 60
+    A = rng.normal(size=(n, n)) * (rng.random((n, n)) < 0.05)
+    A[3], A[:, 7] = rng.normal(size=n), rng.normal(size=n)  # a hub of each kind
+    X = spark.createDataFrame([(int(i), int(j), float(A[i, j])) for i, j in zip(*np.nonzero(A))], "src long, dst long, w double")
+    Z = linalg.normal_rows(spark.range(n - 5), 2, seed=4)  # the last ids have no dense row
+    D = np.zeros((n, 2))
+    for r in Z.collect():
+        D[r["id"]] = r["vec"]
+    for transpose, want in ((False, A @ D), (True, A.T @ D)):
+        panels = linalg.Panels(X, 2, transpose)
+        got = np.zeros((n, 2))
+        for r in linalg.combine([(panels.times(Z), 2.0), (Z, -1.0)]).collect():
+            got[r["id"]] = r["vec"]
+        assert panels.blocks > 1 and np.allclose(got, 2 * want - D, atol=1e-12)
+        assert panels.laid.groupBy("cb", "chunk").count().agg(F.max("count")).first()[0] < n
+
+
+def test_svd_of_many_components_reaches_its_residual(spark):
+    from citeweave.operators import graph as G
+    from citeweave.operators import linalg
+
+    pairs = [(2 * i, 2 * i + 1) for i in range(20)] + [(100 + i, 101 + i) for i in range(20)]  # values 1 many times over, and a crowd below
+    g = G.build_graph(spark.createDataFrame(pairs, "src long, dst long"))
+    svd = linalg.truncated_svd(G.normalized_adjacency(g), G.nodes_of(g).select(F.col("node").alias("id")), 10, p=6, seed=2, tol=1e-4, rounds=6)
+    assert 1 <= svd.rounds <= 6 and svd.residuals.max() <= 1e-4 and np.allclose(svd.s, 1.0, atol=1e-6)
+    U = np.array([r["vec"] for r in svd.U.collect()])
+    assert np.allclose(U.T @ U, np.eye(10), atol=1e-10)
+
+
+def test_residual_operand_is_the_whole_matrix(spark):
+    from citeweave.operators import graph as G
+    from citeweave.operators import linalg
+
+    rng = np.random.default_rng(6)
+    n = 30
+    g = G.build_graph(spark.createDataFrame([(i, int(rng.integers(n))) for i in range(n) for _ in range(2)], "src long, dst long"))
+    E = {(r["src"], r["dst"]): r["w"] for r in g.collect()}
+    freq = {(i, int(j)): float(rng.integers(1, 9)) for i in range(n - 2) for j in rng.choice(n, 4, replace=False)}  # two nodes are no centre
+    pairs = spark.createDataFrame([(i, j, f) for (i, j), f in freq.items()], "center long, context long, freq double")
+    C, deg = np.zeros((n, n)), np.zeros(n)
+    for (i, j), f in freq.items():
+        C[i, j] = f
+    for (i, _), w in E.items():
+        deg[i] += w
+    P = C / np.maximum(C.sum(1, keepdims=True), 1e-300)
+    dense = np.log(np.maximum(P, 1e-12)) - np.log(deg / deg.sum())
+    _, s = linalg.randomized_svd(linalg.residual_operand(pairs, g), spark.range(n), 6, p=24, seed=1)
+    assert np.allclose(s, np.linalg.svd(dense)[1][:6], rtol=1e-9)
