@@ -8,19 +8,22 @@ from a range-partitioned prefix sum over the distinct pairs, so a line that a th
 all lines equal costs one row a task.
 
 Suffixes that share a rank at depth d are an interval of the suffix array whose
-longest common prefix is d or more.  A suffix alone in its interval can start no repeated
-run of that length, and leaves; so does one whose document ends sooner.  The rounds
-stop at ``min_run`` lines (the last step overlaps if it is no power of two): the intervals left
-are exactly the repeated runs of ``min_run`` lines, and every longer maximal run
-is the chain of those at neighbouring positions, so deeper rounds would take out no
-other line.  With ``min_run`` 1 every later copy of a line goes; with more, lines that
-repeat only between differing neighbours stay.  In each interval the first
-occurrence stays; the lines of the others go.  A line's own first occurrence is never
+longest common prefix is d or more.  A suffix alone in its interval leaves: its longest common prefix with any other is
+known to less than a doubling; so does one whose document ends sooner.  The rounds go on until no interval of two is
+left, so the whole suffix array is sorted, whatever the length of the longest repeated run; up to ``min_run`` lines (where
+the last step overlaps if it is no power of two), they only sort.
+
+In each interval of ``min_run`` lines or more the first occurrence stays and every other suffix is a later copy to that depth.
+Its deepest interval gives the common prefix with an earlier occurrence; overlapping prefixes of one document chain to the
+maximal repeated runs (``repeated_runs``), whose lines go.  With ``min_run`` 1 every later copy of a line goes; with more, lines that
+repeat only between differing neighbours stay.  A line's own first occurrence is never
 a later copy, so no line vanishes from the corpus.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,26 +61,44 @@ def ranked(active: DataFrame, ws: Workspace, depth: int, total: int) -> DataFram
     return attach(active, ws.keep(ranks, f"ranks{depth}"), ["a", "b"], "n", total).where("rank is not null").drop("a", "b")
 
 
+def repeated_runs(start: DataFrame, ws: Workspace, min_run: int) -> DataFrame:
+    """``doc, key, id, first, last``: the maximal runs of lines (positions of ``start``, ``line_sequences``) of which every
+    ``min_run`` lines in a row repeat an earlier occurrence."""
+    total, place = start.count(), F.struct("id", "key", "pos")
+    active = ws.keep(ranked(start.drop("line"), ws, 1, total), "suffixes1")
+    depth, found = 1, []
+    while True:
+        if depth >= min_run:
+            first = active.groupBy("rank").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("size"))
+            later = attach(active, ws.keep(first, f"first{depth}"), ["rank"], "size", total).where(place > F.col("first"))
+            found.append(ws.keep(later.select("doc", "key", "id", "pos", (F.col("pos") + (depth - 1)).alias("last")), f"later{depth}"))
+        step = min(depth, min_run - depth) if depth < min_run else depth
+        ahead = active.select("doc", "key", (F.col("pos") - step).alias("pos"), F.col("rank").alias("b"))
+        pairs = ws.keep(active.drop("n").withColumnRenamed("rank", "a").join(ahead, ["doc", "key", "pos"]), f"pairs{depth}")
+        ws.drop(f"classes{depth}", f"ranks{depth}", f"first{depth}", f"suffixes{depth}")
+        if depth >= min_run and pairs.isEmpty():
+            break
+        active = ws.keep(ranked(pairs, ws, depth + step, total), f"suffixes{depth + step}")
+        ws.drop(f"pairs{depth}")
+        depth += step
+    # the deepest common prefix of each suffix, and the chains of those that overlap or touch
+    spans = reduce(DataFrame.unionByName, found).groupBy("doc", "key", "pos").agg(F.first("id").alias("id"), F.max("last").alias("last"))
+    by_doc = Window.partitionBy("doc", "key").orderBy("pos")
+    reach = F.max("last").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce(F.col("pos") > reach + 1, F.lit(True)).cast("int")
+    chained = spans.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(by_doc))
+    return chained.groupBy("doc", "key", "run").agg(F.first("id").alias("id"), F.min("pos").alias("first"), F.max("last").alias("last")).drop("run")
+
+
 def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
     """``id, key, line``: the lines of all but the first occurrence of each repeated run of ``min_run``
     lines or more.  Order is by id (null first), then ``key``, then line."""
     ws = Workspace(docs.sparkSession, "line-dedup")
     # rows that repeat id and text are one document
     start = ws.keep(line_sequences(docs, id_col, text_col).dropDuplicates(["doc", "key", "pos"]), "lines")
-    total = start.count()
-    active = ws.keep(ranked(start.withColumn("run", F.array("line")), ws, 1, total), "suffixes1")
-    depth = 1
-    while depth < min_run:
-        step = min(depth, min_run - depth)
-        ahead = active.select("doc", "key", (F.col("pos") - step).alias("pos"), F.col("rank").alias("b"), F.col("run").alias("_run"))
-        pairs = active.drop("n").withColumnRenamed("rank", "a").join(ahead, ["doc", "key", "pos"])
-        pairs = ws.keep(pairs.withColumn("run", F.array_union("run", "_run")).drop("_run"), f"pairs{depth}")
-        depth += step
-        active = ws.keep(ranked(pairs, ws, depth, total), f"suffixes{depth}")
-    place = F.struct("id", "key", "pos")
-    first = active.groupBy("rank").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("size"))
-    copies = attach(active, ws.keep(first, "first"), ["rank"], "size", total).where(place > F.col("first"))
-    return copies.select("id", "key", F.explode("run").alias("line")).distinct()
+    runs = ws.keep(repeated_runs(start, ws, min_run), "runs")
+    gone = runs.select("doc", "key", F.explode(F.sequence("first", "last")).alias("pos"))
+    return start.join(gone, ["doc", "key", "pos"], "left_semi").select("id", "key", "line")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:

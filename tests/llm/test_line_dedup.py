@@ -85,3 +85,18 @@ def test_any_column_names_and_its_own_result(spark):
     rows = sorted(twice.collect())
     assert [(r.text, r._gone, r._gone_1, r._k, r._lines, r.row) for r in rows] == [
         ("a b\nc d\n0", 0, 0, "k", [3], "r"), ("1", 2, 0, "k", [3], "r"), ("2", 2, 0, "k", [3], "r")]
+
+
+def test_the_suffix_array_is_sorted_to_the_longest_repeated_run(spark):
+    """Maximal runs, longer than any two lines, come from the common prefixes; rounds go beyond ``min_run``."""
+    from citeweave.session import Workspace
+
+    lines = [f"l{k}" for k in range(21)]
+    docs = [(1, "\n".join(lines)), (2, "\n".join(["x"] + lines[3:16] + ["", "y"] + lines[18:20])), (3, "\n".join(lines[:2] + ["z"] * 9))]
+    ws = Workspace(spark, "test-lines")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    start = ws.keep(line_dedup.line_sequences(df, "doc_id", "text"), "lines")
+    got = sorted((r.id, r.first, r.last) for r in line_dedup.repeated_runs(start, ws, 2).select("id", "first", "last").collect())
+    assert [tuple(r) for r in got] == [(2, 1, 13), (2, 15, 16), (3, 0, 1), (3, 3, 10)]
+    depths = spark.read.parquet(f"{ws.base}/later8").count(), spark.read.parquet(f"{ws.base}/later4").count()
+    assert depths == (6 + 1, 10 + 5)  # nine equal lines repeat themselves
