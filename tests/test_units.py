@@ -223,6 +223,23 @@ def test_pieces_give_the_pairs_of_whole_walks(spark):
         assert got == {(r.center, r.context): r.freq for r in walks.context_pairs(walks.walk_rows(pieces), 10, 24).collect()}
 
 
+def test_pairs_and_whole_walks_are_shared_by_size(spark, monkeypatch):
+    """Walkers carry no copy of stored nodes, and the tasks that put walks together and count pairs grow with the corpus."""
+    e = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 5), (-2, 5)], "src long, dst long")
+    pieces = walks.walk_pieces(G.build_graph(e), 3, 24, seed=4)
+    assert pieces.columns == ["walk_id", "start", "t", "path"]
+    assert pieces.where("start <> cast(floor(walk_id / 3) as long) OR (t = 0 AND path[0] <> start)").count() == 0
+    want = sorted((r.walk_id, tuple(r.nodes)) for r in walks.walk_arrays(walks.walk_rows(pieces)).collect())
+    counts = sorted(map(tuple, walks.piece_pairs(pieces, 10, 24).collect()))
+    monkeypatch.setattr(walks, "NODES_PER_TASK", 20)
+    monkeypatch.setattr(walks, "PAIRS_PER_TASK", 50)
+    whole, pairs = walks.whole_walks(pieces), walks.piece_pairs(pieces, 10, 24)
+    assert whole.rdd.getNumPartitions() == -(-7 * 3 * 24 // 20) and pairs.rdd.getNumPartitions() == -(-7 * 3 * 24 * 10 // 50)
+    assert sorted((r.walk_id, tuple(r.nodes)) for r in whole.collect()) == want
+    assert sorted(map(tuple, pairs.collect())) == counts
+    assert walks.piece_pairs(pieces, 10, 10).count() == 0
+
+
 def test_walk_edges_are_not_sorted_again(spark, monkeypatch):
     monkeypatch.setattr(walks, "fits_broadcast", lambda rows, width: False)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
