@@ -21,6 +21,11 @@ def pacs(spark, d):
     return clean.pacs_table(fx.dirty_codes_wide(spark, d))
 
 
+def vector_pacs(spark, d):
+    """The rows of ``pacs`` that belong to papers with a vector."""
+    return clean.pacs_table(fx.dirty_codes_wide(spark, d, fx.vector_ids(spark, d)))
+
+
 def _day(c):
     return F.date_format(c, "yyyy-MM-dd")
 

@@ -10,7 +10,7 @@ from citeweave.operators import clean, evaluate, relate, stats
 from citeweave.operators import vectors as V
 from citeweave.operators.sample import sample_with_replacement_pairs, trial_split, with_hash_rank
 from citeweave.plans.fixture_sql import with_views
-from citeweave.plans.q_core import pacs
+from citeweave.plans.q_core import vector_pacs
 from citeweave.plans.registry import register
 from citeweave.plans.sqlparts import FOCUS, clean_codes_views, lst, modal_view
 from citeweave.session import materialize
@@ -189,13 +189,13 @@ ROG_VIEWS = clean_codes_views() + [
 
 
 def rog_table(spark, d):
-    return V.radius_of_gyration(fx.vectors(spark, d), pacs(spark, d), LEVELS)
+    return V.radius_of_gyration(fx.vectors(spark, d), vector_pacs(spark, d), LEVELS)
 
 
 def rog_values(spark, d):
     """ROG per (level, code) rounded to 1e-9 (so engine round-off cannot split
     ties), stored once because the statistics below read it several times."""
-    return rog_table(spark, d).select("level", F.round("rog", 9).alias("v")).checkpoint(eager=True)
+    return materialize(rog_table(spark, d).select("level", F.round("rog", 9).alias("v")), "rog-values")
 
 
 LEVELS = ["pacs_code_1", "pacs_code_2", "pacs_code_3", "pacs_code_5"]
@@ -204,7 +204,7 @@ LEVELS = ["pacs_code_1", "pacs_code_2", "pacs_code_3", "pacs_code_5"]
 @register("class_centroid", "A6 J16", with_views(
     "SELECT level, code, CAST(pos AS BIGINT) AS pos, round(c, 6) AS c FROM cent", "vectors", "dirty_codes_wide", extra=ROG_VIEWS))
 def q_class_centroid(spark, d):
-    mem = V.class_members(fx.vectors(spark, d), pacs(spark, d), LEVELS)
+    mem = V.class_members(fx.vectors(spark, d), vector_pacs(spark, d), LEVELS)
     c = V.class_centroids(mem, ["level", "code"])
     return c.select("level", "code", F.col("pos").cast("bigint").alias("pos"), R6(F.col("c")).alias("c"))
 
@@ -213,7 +213,7 @@ def q_class_centroid(spark, d):
     f"""SELECT m.doi, m.level, m.code, round(1 - {cos_sql('m.vec', 'c.centroid')}, 6) + 0.0 AS dist
         FROM mem m JOIN centa c ON m.level = c.level AND m.code = c.code""", "vectors", "dirty_codes_wide", extra=ROG_VIEWS))
 def q_centroid_distance(spark, d):
-    r = V.centroid_distances(fx.vectors(spark, d), pacs(spark, d), LEVELS)
+    r = V.centroid_distances(fx.vectors(spark, d), vector_pacs(spark, d), LEVELS)
     return r.select("doi", "level", "code", (R6(F.col("dist")) + 0.0).alias("dist"))  # no negative zero
 
 
@@ -263,11 +263,11 @@ def q_label_names(spark, d):
 # ------------------------------------------------------------------ kNN
 def knn_frame(spark, d):
     v = vec_table(spark, d)
-    modal = relate.modal_code(pacs(spark, d))
+    modal = relate.modal_code(vector_pacs(spark, d))
     ab = fx.abstracts(spark, d).select("doi")
     lab = (v.join(ab, "doi", "left_semi").join(modal, "doi")
            .select("doi", "id", "vec", F.col("pacs_code_1").alias("label"), doi_journal("doi").alias("journal")))
-    lab = V.normalize_rows(lab)
+    lab = materialize(V.normalize_rows(lab), "labelled")  # the search and the votes read it many times
     focus = F.col("journal").isin(fx.FOCUS_JOURNALS)
     runs = lab.withColumn("is_all_journals", F.explode(F.when(focus, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
     return lab, trial_split(runs, "id", TRIALS)
@@ -423,7 +423,7 @@ PAIR_NAMES = ("papers", "vectors", "dirty_codes_wide")
 def paper_pairs(spark, d):
     meta = clean.papers_until_year(fx.papers(spark, d), fx.MAX_YEAR).where(F.col("journal").isin(fx.FOCUS_JOURNALS))
     vecs = fx.vectors(spark, d).select("doi")
-    rows = (pacs(spark, d).select("doi", "pacs_code_1", "pacs_code_2").distinct()
+    rows = (vector_pacs(spark, d).select("doi", "pacs_code_1", "pacs_code_2").distinct()
             .join(meta.select("doi"), "doi", "left_semi").join(vecs, "doi", "left_semi"))
     draws = sample_with_replacement_pairs(rows, ["doi", "pacs_code_1", "pacs_code_2"], 3, seed=11)
     raw = draws.where(F.col("x_doi") != F.col("y_doi")).select(
@@ -442,6 +442,7 @@ def balanced(spark, d):
     pv = (paper_pairs(spark, d).join(vecs.withColumnRenamed("doi", "doi_x"), "doi_x", "left_semi")
           .join(vecs.withColumnRenamed("doi", "doi_y"), "doi_y", "left_semi")
           .withColumn("id_x", doi_id("doi_x")).withColumn("id_y", doi_id("doi_y")))
+    pv = materialize(pv, "pairs")  # counted and ranked
     st = F.explode(F.array(
         F.when(F.col("pacs_code_2_x") == F.col("pacs_code_2_y"), F.lit("same_2")),
         F.when(F.col("pacs_code_1_x") == F.col("pacs_code_1_y"), F.lit("same_1")),
@@ -456,7 +457,7 @@ def balanced(spark, d):
 def pair_distances(spark, d):
     b = balanced(spark, d)
     r = V.pair_cosine(b, fx.vectors(spark, d), "doi_x", "doi_y")
-    return r.select("stratum", "doi_x", "doi_y", F.round("cos_dist", 9).alias("dist"))
+    return materialize(r.select("stratum", "doi_x", "doi_y", F.round("cos_dist", 9).alias("dist")), "pair-distances")
 
 
 @register("paper_pairs", "M2 J13 P21 P27 W4 W5 J6", with_views("SELECT * FROM pairs", *PAIR_NAMES, extra=PAIR_VIEWS))
