@@ -47,8 +47,9 @@ def sample_n(df: DataFrame, key: Sequence[str], n: int, seed: int = 0) -> DataFr
 
     A histogram of hash prefixes (at most ``2^SAMPLE_BITS`` counts) tells the prefix at which
     the sample ends.  Rows below it are kept where they are; only those of that one
-    prefix, about ``rows / 2^SAMPLE_BITS``, are sorted."""
-    d = df.withColumn("_h", hash_int(F.lit(seed), *[F.col(k) for k in key])).withColumn("_b", F.shiftright("_h", HASH_BITS - SAMPLE_BITS))
+    prefix, about ``rows / 2^SAMPLE_BITS``, are sorted.  The rows are stored, so that they and
+    their hashes are computed once."""
+    d = materialize(df.withColumn("_h", hash_int(F.lit(seed), *[F.col(k) for k in key])).withColumn("_b", F.shiftright("_h", HASH_BITS - SAMPLE_BITS)), "hashed")
     left, cut = n, None
     for r in sorted(d.groupBy("_b").count().collect()):
         if r["count"] > left:
@@ -56,7 +57,7 @@ def sample_n(df: DataFrame, key: Sequence[str], n: int, seed: int = 0) -> DataFr
             break
         left -= r["count"]
     if cut is None:
-        return df
+        return d.drop("_h", "_b")
     last = d.where(F.col("_b") == cut).orderBy("_h", *key).limit(left)
     return d.where(F.col("_b") < cut).unionByName(last).drop("_h", "_b")
 
