@@ -3,7 +3,7 @@
 Row-wise measures are higher-order array expressions (JVM, codegen).  Group
 measures explode vectors to ``(group, pos, value)`` and aggregate, so no group
 is ever gathered into one task.  Exact nearest-neighbour search runs as blocked
-NumPy products inside ``applyInPandas`` over equi-joined block keys.
+NumPy products: train rows stream past blocks of queries inside ``mapInArrow``.
 """
 
 from __future__ import annotations
@@ -11,12 +11,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeweave.functions.columns import cosine_similarity, hash_int, l2_normalize
-from citeweave.session import materialize, tasks_for
+from citeweave.session import fits_broadcast, materialize, tasks_for
 
 # Broadcast limit for small per-class tables (centroids, axes), in bytes.
 SMALL_TABLE_BYTES = 64 * 1024 * 1024
@@ -110,11 +109,12 @@ def semantic_axis(vectors: DataFrame, labels: DataFrame, key: str = "doi", vec:
 # ---- exact k nearest neighbours --------------------------------------------------
 
 # Rows of the two tiles whose distances one task holds at a time, pairs whose exact distances
-# it recomputes at a time, and bytes of vectors in one block.
+# it recomputes at a time, and bytes of queries with their lists in one block.
 Q_TILE, T_TILE = 512, 2048
 PAIR_CHUNK = 200_000
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 96 << 20
 MERGE_LISTS = 32  # local top-k lists that one merge reads
+LABEL_ROW_BYTES = 64
 
 
 def _top(qi: np.ndarray, nid: np.ndarray, dist: np.ndarray, k: int):
@@ -126,63 +126,185 @@ def _top(qi: np.ndarray, nid: np.ndarray, dist: np.ndarray, k: int):
     return qi[keep], nid[keep], dist[keep]
 
 
-def _tile_search(Q: np.ndarray, qid: np.ndarray, T: np.ndarray, tid: np.ndarray, k: int, exclude_self: bool):
-    """Exact k nearest rows of ``T`` for a tile of queries: query row, neighbour id, squared distance.
+class _Tile:
+    """Exact k nearest rows of all train rows that ``meet`` the queries ``Q``: ``best`` has the query row, neighbour id and
+    squared distance of each, in the order of rows, distances and ids.
 
-    The product form of the distance picks, tile by tile, all rows within rounding error of the
+    The product form of the distance, in single precision where that is safe, picks of each tile all rows within rounding error of the
     k-th of the tile, or of those found so far if all queries have k; their distances are then summed over
-    differences, so copies get exactly 0 and ties are cut by id."""
-    best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    qq = (Q * Q).sum(1)
-    for at in range(0, len(T), T_TILE):
-        part, ids = T[at : at + T_TILE], tid[at : at + T_TILE]
-        tt = (part * part).sum(1)
-        d = qq[:, None] + tt[None, :] - 2.0 * (Q @ part.T)
-        if exclude_self:
-            d[qid[:, None] == ids[None, :]] = np.inf
-        slack = 1e-9 * (qq + tt.max())
-        if len(best[0]) == k * len(Q):  # sorted by query and distance: each k-th row is the farthest so far
-            i, j = np.nonzero(d <= (best[2][k - 1 :: k] + slack)[:, None])
+    differences, so copies get exactly 0 and ties are cut by id.  What is picked is merged once it is as much as half the lists."""
+
+    def __init__(self, Q: np.ndarray, qid: np.ndarray, k: int, exclude_self: bool):
+        self.Q, self.qid, self.k, self.exclude_self = Q, qid, k, exclude_self
+        self.qq = (Q * Q).sum(1)
+        self.best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        self.picked, self.waiting = [], 0
+        self.left = {}  # -2 Q, |q|^2, 1 by precision
+
+    def _product(self, part: np.ndarray, tt: np.ndarray):
+        """Squared distances to ``part``, and twice their largest rounding error by query."""
+        most = tt[np.isfinite(tt)].max(initial=0.0)
+        top = max(self.qq.max(), most, tt.max())
+        single = 1e-15 < top < 1e30  # neither squares nor their sums leave the range of single precision
+        kind = np.float32 if single else np.float64
+        if kind not in self.left:
+            self.left[kind] = np.hstack((-2 * self.Q, self.qq[:, None], np.ones((len(self.Q), 1)))).astype(kind)
+        right = np.hstack((part, np.ones((len(part), 1)), tt[:, None])).astype(kind)
+        error = 4 * (part.shape[1] + 8) * 2.0 ** -24 if single else 1e-9
+        return self.left[kind] @ right.T, error * (self.qq + most)
+
+    def meet(self, part: np.ndarray, ids: np.ndarray) -> None:
+        k = self.k
+        d, slack = self._product(part, (part * part).sum(1))
+        if self.exclude_self:
+            own = np.flatnonzero(np.isin(ids, self.qid))
+            at, col = np.nonzero(self.qid[:, None] == ids[own][None, :])
+            d[at, own[col]] = np.inf
+        if len(self.best[0]) == k * len(self.Q):  # sorted by query and distance: each k-th row is the farthest so far
+            most = self.best[2][k - 1 :: k] + slack
         elif k < d.shape[1]:
-            kth = np.partition(d, k - 1, axis=1)[:, k - 1]
-            i, j = np.nonzero(d <= (kth + slack)[:, None])
+            most = np.partition(d, k - 1, axis=1)[:, k - 1] + slack
         else:
-            i, j = np.nonzero(np.isfinite(d))
+            most = np.full(len(self.Q), np.inf)
+        # rounded up, so that single precision cuts none off
+        most = np.nextafter(most.astype(d.dtype), d.dtype.type(np.inf))
+        i, j = np.divmod(np.flatnonzero(d <= most[:, None]), d.shape[1])
         ok = np.isfinite(d[i, j])
         i, j = i[ok], j[ok]
         exact = np.empty(len(i))
         for c in range(0, len(i), PAIR_CHUNK):
-            diff = Q[i[c : c + PAIR_CHUNK]] - part[j[c : c + PAIR_CHUNK]]
+            diff = self.Q[i[c : c + PAIR_CHUNK]] - part[j[c : c + PAIR_CHUNK]]
             exact[c : c + PAIR_CHUNK] = np.einsum("ij,ij->i", diff, diff)
-        best = _top(np.concatenate((best[0], i)), np.concatenate((best[1], ids[j])), np.concatenate((best[2], exact)), k)
-    return best
-
+        self.picked.append((i, ids[j], exact))
+        self.waiting += len(i)
+        if len(self.best[0]) < k * len(self.Q) or 2 * self.waiting >= k * len(self.Q):
+            self.merge()
 
-def _block_search_fn(k: int, exclude_self: bool, by: Sequence[str]):
-    def search(key, q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        if len(q) and len(t):
-            T, tid = np.vstack(t["vec"].to_numpy()).astype(np.float64), t["tid"].to_numpy(dtype=np.int64)
-            ids = q["qid"].to_numpy(dtype=np.int64)
-            for at in range(0, len(q), Q_TILE):
-                Q = np.vstack(q["vec"].iloc[at : at + Q_TILE].to_numpy()).astype(np.float64)
-                qid = ids[at : at + Q_TILE]
-                i, nid, dist = _tile_search(Q, qid, T, tid, k, exclude_self)
-                found.append((qid[i], nid, dist))
-        out = pd.DataFrame({"tb": np.int64(key[-1]), "qid": np.concatenate([f[0] for f in found]),
-                            "nid": np.concatenate([f[1] for f in found]), "dist": np.concatenate([f[2] for f in found])})
-        for i, c in enumerate(by):
-            out.insert(i, c, key[i])
-        return out
+    def merge(self) -> None:
+        if self.waiting:
+            self.best = _top(*(np.concatenate(x) for x in zip(self.best, *self.picked)), self.k)
+        self.picked, self.waiting = [], 0
 
-    return search
 
-
-def _blocks(rows: int, dim: int, cells: int) -> int:
-    """Blocks of at most ``BLOCK_BYTES`` of vectors, and about ``cells`` of them where that
-    leaves a few hundred rows in each."""
-    fit = max(1, BLOCK_BYTES // (8 * max(1, dim)))
-    return max(1, -(-rows // fit), min(cells, rows // 250))
+def _tile_search(Q: np.ndarray, qid: np.ndarray, T: np.ndarray, tid: np.ndarray, k: int, exclude_self: bool):
+    """Exact k nearest rows of ``T`` for a tile of queries: query row, neighbour id, squared distance."""
+    tile = _Tile(Q, qid, k, exclude_self)
+    for at in range(0, len(T), T_TILE):
+        tile.meet(T[at : at + T_TILE], tid[at : at + T_TILE])
+    tile.merge()
+    return tile.best
+
+
+def _vectors_of(vec) -> np.ndarray:
+    """The vectors of an Arrow column of equally long lists, a row each."""
+    from citeweave.operators.linalg import _matrix
+
+    if len(vec) and len(set(np.diff(vec.offsets.to_numpy()).tolist())) > 1 or vec.null_count:
+        raise ValueError("vectors of different lengths, or none")
+    return _matrix(vec).astype(np.float64)
+
+
+class _Cell:
+    """One block of queries and the train rows that stream past it, in tiles."""
+
+    def __init__(self, key: tuple, k: int, exclude_self: bool):
+        self.key, self.k, self.exclude_self = key, k, exclude_self
+        self.queries, self.tiles, self.held, self.rows = [], None, [], 0
+
+    def add(self, batch) -> None:
+        n = np.count_nonzero(~batch.column("train").to_numpy(zero_copy_only=False))  # queries come first
+        ids, V = batch.column("id").to_numpy(), _vectors_of(batch.column("vec"))
+        if n:
+            self.queries.append((ids[:n], V[:n]))
+        if n < len(ids) and self.queries:
+            self.held.append((ids[n:], V[n:]))
+            self.rows += len(ids) - n
+            if self.rows >= T_TILE:
+                self.search()
+
+    def search(self) -> None:
+        if self.tiles is None:
+            ids, V = (np.concatenate(x) for x in zip(*self.queries))
+            self.tiles = [_Tile(V[at : at + Q_TILE], ids[at : at + Q_TILE], self.k, self.exclude_self) for at in range(0, len(ids), Q_TILE)]
+            self.queries = [(ids, None)]
+        if self.rows:
+            ids, V = (np.concatenate(x) for x in zip(*self.held))
+            self.held, self.rows = [], 0
+            for at in range(0, len(ids), T_TILE):
+                for tile in self.tiles:
+                    tile.meet(V[at : at + T_TILE], ids[at : at + T_TILE])
+
+    def found(self):
+        """Query id, neighbour id, distance and rank, some queries at a time."""
+        if not self.queries:
+            return
+        self.search()
+        parts = []
+        for tile in self.tiles:
+            tile.merge()
+            parts.append((tile.qid[tile.best[0]], *tile.best[1:]))
+        ids = self.queries[0][0]
+        if len(np.unique(ids)) < len(ids):  # a query that came more than once has one list
+            parts = [_top(*(np.concatenate(x) for x in zip(*parts)), self.k)]
+        for tile, part in zip(self.tiles, parts):
+            change = np.flatnonzero(np.r_[True, part[0][1:] != part[0][:-1]]) if len(part[0]) else np.zeros(0, np.int64)
+            first = np.repeat(change, np.diff(np.r_[change, len(part[0])]))
+            yield *part, (np.arange(len(part[0])) - first + 1).astype(np.int32)
+
+
+def _runs_of(batch, names: Sequence[str]):
+    """``key, rows`` of the runs of rows of ``batch`` that are equal in the columns ``names``."""
+    def key(at: int) -> tuple:
+        return tuple(batch.column(c)[at].as_py() for c in names)
+
+    at, n = 0, batch.num_rows
+    while at < n:
+        own, end = key(at), n
+        if key(n - 1) != own:  # the rows are sorted
+            low = at
+            while end - low > 1:
+                mid = (low + end) // 2
+                low, end = (mid, end) if key(mid) == own else (low, mid)
+        yield own, batch.slice(at, end - at)
+        at = end
+
+
+def _search_fn(k: int, exclude_self: bool, by: Sequence[str]):
+    names = [*by, "qb", "tb"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        def rows(cell, schema):
+            for qid, nid, dist, rank in cell.found():
+                key = [pa.repeat(pa.scalar(v, schema.field(c).type), len(qid)) for c, v in zip(names, cell.key)]
+                yield pa.RecordBatch.from_arrays([*key[:-2], key[-1], pa.array(qid), pa.array(nid), pa.array(dist), pa.array(rank)],
+                                                 names=[*by, "tb", "qid", "nid", "dist", "rank"])
+
+        cell = None
+        for batch in batches:
+            for key, part in _runs_of(batch, names):
+                if cell is None or key != cell.key:
+                    if cell is not None:
+                        yield from rows(cell, batch.schema)
+                    cell = _Cell(key, k, exclude_self)
+                cell.add(part)
+        if cell is not None:
+            yield from rows(cell, batch.schema)
+
+    return run
+
+
+def _blocks(nq: int, nt: int, dim: int, k: int, cells: int) -> tuple[int, int]:
+    """Blocks of queries and of train rows of a run: about ``cells`` cells of some hundred rows a side, with queries that fit a task, and
+    the fewest bytes of copies and of partial lists to merge."""
+    fit = max(1, BLOCK_BYTES // (12 * max(1, dim) + 24 * k))
+    least = max(1, -(-nq // fit))
+    choices = []
+    for q in range(least, max(least, min(cells, nq // 250)) + 1):
+        t = max(1, min(-(-cells // q), nt // 250))
+        choices.append((8 * dim * (nt * q + nq * t) + (32 * k * nq * t if t > 1 else 0), q, t))
+    return min(choices)[1:]
 
 
 def knn_search(queries: DataFrame, train: DataFrame, k: int, *, qid: str = "qid", tid: str = "tid",
@@ -193,31 +315,36 @@ def knn_search(queries: DataFrame, train: DataFrame, k: int, *, qid: str = "qid"
 
     Queries and train rows are hashed into ``q_blocks`` x ``t_blocks`` cells
     per run: every query row is copied once per train block and every train row
-    once per query block, and the two sides meet through an equi-join on
-    ``(run, qb, tb)`` (``cogroup``).  Blocks are bounded in bytes, and a task works through its
-    cell in tiles with a running top-k, so its memory depends on neither side's size.
-    The local top-k lists of a query are merged ``MERGE_LISTS`` at a time, in as many
-    levels as needed; ties are broken by distance, then by neighbour id.
+    once per query block.  A cell's rows come to one task in order, queries first: it holds those, with their lists of k at most
+    ``BLOCK_BYTES``, and the train rows stream past them in tiles, so its memory depends on neither side's size.  There is more than one train block
+    only where the query blocks of all runs are fewer than the tasks ask for; the local top-k lists of a query are then merged ``MERGE_LISTS``
+    at a time, in as many levels as needed.  Ties are broken by distance, then by neighbour id.
     Returns ``*by, qid, nid, dist, rank`` (rank 1 = nearest).
     """
     by = list(by)
     # fresh attribute ids on both sides: queries and train often share a lineage
-    q = queries.select(*[F.col(c).alias(c) for c in by], F.col(qid).cast("long").alias("qid"), F.col(vec).alias("vec"))
-    t = train.select(*[F.col(c).alias(c) for c in by], F.col(tid).cast("long").alias("tid"), F.col(vec).alias("vec"))
+    q = queries.select(*[F.col(c).alias(c) for c in by], F.col(qid).cast("long").alias("id"), F.col(vec).alias("vec"))
+    t = train.select(*[F.col(c).alias(c) for c in by], F.col(tid).cast("long").alias("id"), F.col(vec).alias("vec"))
+    spark = q.sparkSession
+    size = q.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    runs, nq = size.agg(F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(0))).first()
     if q_blocks is None or t_blocks is None:
-        nq, (nt, dim) = q.count(), t.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vec")), F.lit(1))).first()
-        side = max(1, round(q.sparkSession.sparkContext.defaultParallelism ** 0.5))
-        q_blocks = q_blocks or _blocks(nq, dim, side)
-        t_blocks = t_blocks or _blocks(nt, dim, side)
-    qb = q.withColumn("qb", F.pmod(hash_int("qid"), F.lit(q_blocks))).withColumn(
-        "tb", F.explode(F.sequence(F.lit(0), F.lit(t_blocks - 1))))
-    tb = t.withColumn("tb", F.pmod(hash_int("tid"), F.lit(t_blocks))).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    qb, tb = (x.withColumn("qb", F.col("qb").cast("long")).withColumn("tb", F.col("tb").cast("long")) for x in (qb, tb))
+        sizes = t.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim"))
+        nt, dim = sizes.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.max("dim"), F.lit(1))).first()
+        cells = -(-2 * spark.sparkContext.defaultParallelism // max(1, runs))
+        of_q, of_t = _blocks(nq, nt, dim, k, cells)
+        q_blocks, t_blocks = q_blocks or of_q, t_blocks or of_t
+    side = [*by, F.col("qb").cast("long").alias("qb"), F.col("tb").cast("long").alias("tb"), "train", "id", "vec"]
+    own = q.withColumn("qb", F.pmod(hash_int("id"), F.lit(q_blocks))).withColumn(
+        "tb", F.explode(F.sequence(F.lit(0), F.lit(t_blocks - 1)))).withColumn("train", F.lit(False)).select(*side)
+    others = t.withColumn("tb", F.pmod(hash_int("id"), F.lit(t_blocks))).withColumn(
+        "qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))).withColumn("train", F.lit(True)).select(*side)
+    laid = own.unionByName(others).repartition(2 * max(1, runs) * q_blocks * t_blocks, *by, "qb", "tb").sortWithinPartitions(*by, "qb", "tb", "train")
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in q.schema.fields if f.name in by]
-                       + ["tb long", "qid long", "nid long", "dist double"])
-    cand = qb.groupBy(*by, "qb", "tb").cogroup(tb.groupBy(*by, "qb", "tb")).applyInPandas(
-        _block_search_fn(k, exclude_self, by), schema)
+                       + ["tb long", "qid long", "nid long", "dist double", "rank int"])
+    cand = laid.mapInArrow(_search_fn(k, exclude_self, by), schema)
+    if t_blocks == 1:
+        return cand.select(*by, "qid", "nid", "dist", "rank")
     top = F.slice(F.sort_array(F.collect_list(F.struct("dist", "nid"))), 1, k).alias("_top")
     lists = t_blocks
     while lists > MERGE_LISTS:
@@ -237,6 +364,7 @@ def knn_vote(neigh: DataFrame, labels: DataFrame, ks: Sequence[int], *, by: Sequ
     by = list(by)
     kk = F.array(*[F.lit(int(x)) for x in sorted(ks)])
     lab = labels.select(F.col(nid).alias("nid"), F.col(label).alias("_lab"))
+    lab = F.broadcast(lab) if fits_broadcast(lab.count(), LABEL_ROW_BYTES) else lab  # the neighbours, which are many, stay where they are
     votes = neigh.join(lab, "nid").select(*by, "qid", "_lab",
                                           F.explode(F.filter(kk, lambda x: x >= F.col("rank"))).alias("k"))
     counts = votes.groupBy(*by, "qid", "k", "_lab").agg(F.count(F.lit(1)).alias("_n"))

@@ -698,3 +698,38 @@ def test_a_block_is_copied_to_few_panels(spark, monkeypatch):
     monkeypatch.setattr(linalg, "CELL_ENTRIES", 1 << 16)
     panels = linalg.Panels(X, 2, False)
     assert panels.blocks >= 2 and panels.panels >= 4
+
+
+def test_knn_blocks_are_those_of_a_run_and_partial_lists_are_few():
+    """Six runs of a million train rows: a block of queries takes what a task holds, and there is one train block."""
+    q, t = V._blocks(240_000, 960_000, 64, 128, 2)
+    assert t == 1 and 240_000 / q * (12 * 64 + 24 * 128) <= V.BLOCK_BYTES and q <= 10
+    assert V._blocks(100, 1_000_000, 64, 10, 40) == (1, 40)  # few queries: the train rows are dealt
+    assert V._blocks(10, 10, 4, 3, 40) == (1, 1)
+
+
+@pytest.mark.parametrize("scale", [1.0, 2.0**-40, 2.0**60])
+def test_knn_of_runs_in_cells_that_share_a_task(spark, scale):
+    """Rows of many cells follow each other in a batch; numbers that single precision cannot square are compared in double."""
+    rng = np.random.default_rng(12)
+    rows = [(run, i, [float(x * scale) for x in rng.integers(0, 9, 5)]) for run in (1, 2, 3) for i in range(40 * run)]
+    df = spark.createDataFrame(rows, "run int, id long, vec array<double>")
+    for blocks in ({}, {"q_blocks": 4, "t_blocks": 1}, {"q_blocks": 2, "t_blocks": 3}):
+        got = {(r.run, r.qid, r["rank"]): (r.nid, r.dist) for r in V.knn_search(df, df, 7, qid="id", tid="id", by=["run"], exclude_self=True, **blocks).collect()}
+        for run in (1, 2, 3):
+            X = np.array([v for k, _, v in rows if k == run])
+            for i in range(len(X)):
+                d = ((X - X[i]) ** 2).sum(1)
+                order = [j for j in np.lexsort((np.arange(len(X)), d)) if j != i][:7]
+                assert [got[run, i, n + 1] for n in range(7)] == [(j, d[j]) for j in order]
+        assert len(got) == 7 * 240
+
+
+def test_files_of_a_shuffle_go_with_the_action(spark):
+    """What an operator stores leaves no shuffle files behind."""
+    from citeweave.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
+    df = spark.range(10_000).repartition(7, "id").groupBy((F.col("id") % 10).alias("k")).count()
+    assert sorted(df.collect()) == sorted(df.collect()) and df.count() == 10  # an action that comes again makes them again
