@@ -733,3 +733,63 @@ def test_files_of_a_shuffle_go_with_the_action(spark):
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
     df = spark.range(10_000).repartition(7, "id").groupBy((F.col("id") % 10).alias("k")).count()
     assert sorted(df.collect()) == sorted(df.collect()) and df.count() == 10  # an action that comes again makes them again
+
+
+def test_packed_hashes_are_those_of_the_columns(spark):
+    from citeweave.functions.columns import hash_uniform
+    from citeweave.operators import packed
+
+    ids = np.array([0, 5, 9, 10, 99, 100, 12345, 10**15, 3, 77777] + list(range(900, 1100)), np.int64)
+    df = spark.createDataFrame([(int(i),) for i in ids], "id long")
+    want = {r.id: r.u for r in df.select("id", hash_uniform(F.lit(21), F.col("id"), F.lit(7), F.lit(1)).alias("u")).collect()}
+    assert packed.uniforms("21|", ids, "|7|1").tolist() == [want[i] for i in ids.tolist()]
+    # an edge owns [j / deg, (j + 1) / deg), as doubles
+    deg = np.repeat(np.arange(1, 60), 300)
+    u = np.concatenate((np.random.default_rng(1).random(len(deg) - 100), np.arange(100) / 100))
+    j = packed.edge_of(u, np.zeros(len(deg), np.int64), deg)
+    assert ((j / deg <= u) & (u < (j + 1) / deg)).all()
+
+
+@pytest.mark.parametrize("length", [2, 7, 24])
+def test_packed_walks_are_the_walks(spark, monkeypatch, length):
+    """Shards, buckets and tasks of a few edges, walks and pairs each; a hub lies in many shards."""
+    for name, n in (("EDGES_PER_SHARD", 16), ("WALKS_PER_BUCKET", 8), ("PAIRS_PER_TASK", 400)):
+        monkeypatch.setattr(walks, name, n)
+    rng = np.random.default_rng(6)
+    e = spark.createDataFrame([(0, k) for k in range(1, 40)] + [(int(a), int(b)) for a, b in rng.integers(40, 60, (30, 2))], "src long, dst long")
+    g = G.build_graph(e)
+    plain, own = walks.walk_pieces(g, 3, length, seed=4), walks.walk_pieces(g, 3, length, seed=4, undirected=True)
+    assert isinstance(own, walks.PackedWalks) and own.rows.select("bucket").distinct().count() > 4
+
+    def rows(df):
+        return sorted(tuple(map(str, r)) for r in df.collect())
+
+    assert rows(walks.walk_rows(own)) == rows(walks.walk_rows(plain))
+    assert rows(walks.whole_walks(own)) == rows(walks.whole_walks(plain))
+    for window in (1, 5, 10):
+        assert rows(walks.piece_pairs(own, window, length)) == rows(walks.piece_pairs(plain, window, length))
+    # weights, or ids below 0: the walks by joins
+    for odd in (g.withColumn("w", F.when(F.col("src") < 20, 2.0).otherwise(1.0)), g.withColumn("src", F.col("src") - 5).withColumn("dst", F.col("dst") - 5)):
+        assert not isinstance(walks.walk_pieces(odd, 1, 3, undirected=True), walks.PackedWalks)
+
+
+def test_counts_of_pairs_that_come_often():
+    from citeweave.operators import packed
+    import pyarrow as pa
+    import pyarrow.compute
+
+    p = packed.Pairs(10**9, 3, 2, 1, "<i8")
+    nodes = np.random.default_rng(2).choice([0, 1, 5, 10**9 - 1], (50, 6))
+    rest = nodes[:, 1:]
+    ids = np.arange(50)  # whole() takes the start from the id: numbers below 50
+    t = pa.table({"t": pa.array([1], pa.int32()), "ids": [ids.astype("<i8").tobytes()], "path": [rest.astype("<i8").tobytes()]})
+    made = p.counted()(t)
+    got, want = {}, {}
+    for task in set(made["task"].to_pylist()):
+        out = p.summed()(made.filter(pa.compute.equal(made["task"], task)))
+        got |= {(a, b): f for a, b, f in zip(*(out[c].to_pylist() for c in ("center", "context", "freq")))}
+    for i, row in zip(ids, np.hstack((ids[:, None], rest))):
+        for a in range(4):
+            for b in row[a + 1 : a + 3]:
+                want[int(row[a]), int(b)] = want.get((int(row[a]), int(b)), 0) + 1
+    assert got == want and max(got.values()) > 1
