@@ -30,7 +30,11 @@ def build_graph(edges: DataFrame, src: str = "src", dst: str = "dst", mode: str
     elif mode == "to_citing":
         g = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     elif mode == "undirected":
-        g = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        # each pair is made single once, in one order of its ends, before it is turned round
+        lo, hi = F.least("src", "dst"), F.greatest("src", "dst")
+        one, turned = F.struct(F.col("lo").alias("src"), F.col("hi").alias("dst")), F.struct(F.col("hi").alias("src"), F.col("lo").alias("dst"))
+        both = F.explode(F.when(F.col("lo") == F.col("hi"), F.array(one)).otherwise(F.array(one, turned))).alias("e")
+        return e.select(lo.alias("lo"), hi.alias("hi")).distinct().select(both).select("e.src", "e.dst").withColumn("w", F.lit(1.0))
     else:
         raise ValueError(mode)
     return g.distinct().withColumn("w", F.lit(1.0))

@@ -32,14 +32,18 @@ from citeweave.session import fits_broadcast, fixed_plans, keep_layout, material
 
 # bytes per bucketed edge row (src, bucket, dst, lo, hi, dst_deg) used for the broadcast size check
 EDGE_ROW_BYTES = 64
+NODE_ROW_BYTES = 24  # a node's number and name
 
 
 def index_graph(g: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Dense integer ids for the nodes of an edge table (G2): returns
-    ``(nodes(node, idx), edges(src, dst, w))`` with integer ``src``/``dst``."""
-    nodes = dense_index(G.nodes_of(g), ["node"], out="idx")
-    ns = nodes.select(F.col("node").alias("src"), F.col("idx").alias("_s"))
-    nd = nodes.select(F.col("node").alias("dst"), F.col("idx").alias("_d"))
+    ``(nodes(node, idx), edges(src, dst, w))`` with integer ``src``/``dst``; the nodes are stored."""
+    g = materialize(g, "named-graph")
+    nodes = materialize(dense_index(G.nodes_of(g), ["node"], out="idx"), "node-index")
+    # the edges, which are many, stay where they are
+    known = F.broadcast(nodes) if fits_broadcast(nodes.count(), NODE_ROW_BYTES) else nodes
+    ns = known.select(F.col("node").alias("src"), F.col("idx").alias("_s"))
+    nd = known.select(F.col("node").alias("dst"), F.col("idx").alias("_d"))
     e = g.join(ns, "src").join(nd, "dst").select(F.col("_s").alias("src"), F.col("_d").alias("dst"), "w")
     return nodes, e
 

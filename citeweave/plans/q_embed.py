@@ -130,7 +130,7 @@ def q_pca_2d(spark, d):
 def _node2vec(spark, d):
     nodes, gi = bip_graph(spark, d)
     nodes = materialize(nodes.select(F.col("idx").alias("id"), F.col("node").alias("name")), "node-names")
-    emb = embed.node2vec_embedding(_walk_pairs(materialize(gi, "node2vec-graph")), nodes.select("id"), DIM, seed=1)
+    emb = embed.node2vec_embedding(_walk_pairs(gi), nodes.select("id"), DIM, seed=1)
     return embed.load_vectors(spark, embed.save_vectors(emb, nodes, scratch_table_path(spark, "node2vec")))
 
 

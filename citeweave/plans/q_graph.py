@@ -19,7 +19,6 @@ from citeweave.sources import fixtures as fx
 
 # the walk corpus of the reference: walks a node, steps a walk, window, dimensions
 NUM_WALKS, WALK_LENGTH, WINDOW, DIM = 10, 80, 10, 128
-NAME_ROW_BYTES = 24  # a node's number and name, in a broadcast of all
 MAX_TURNS = 20  # passes of the negative-edge draw before it gives up with an error
 
 
@@ -199,7 +198,8 @@ def walk_sql(W_: int, L: int, seed: int, restart: float | None = None, nodes: st
 
 
 def bip_graph(spark, d):
-    return W.index_graph(G.build_graph(fx.bipartite_edges(spark, d)))
+    nodes, gi = W.index_graph(G.build_graph(fx.bipartite_edges(spark, d)))
+    return nodes, materialize(gi, "indexed-graph")  # read several times
 
 
 def cit_graph(spark, d, mode="undirected"):
@@ -213,8 +213,8 @@ def cit_graph(spark, d, mode="undirected"):
 def q_random_walks(spark, d):
     nodes, gi = bip_graph(spark, d)
     w = W.random_walks(gi, NUM_WALKS, WALK_LENGTH, seed=1, undirected=True).withColumnRenamed("node", "node_i")
-    names = materialize(nodes.select(F.col("idx").alias("node_i"), "node"), "node-names")
-    if fits_broadcast(names.count(), NAME_ROW_BYTES):  # the positions, which are many, stay where they are
+    names = nodes.select(F.col("idx").alias("node_i"), "node")
+    if fits_broadcast(names.count(), W.NODE_ROW_BYTES):  # the positions, which are many, stay where they are
         names = F.broadcast(names)
     return w.join(names, "node_i").select("walk_id", F.col("t").cast("int"), "node")
 

@@ -793,3 +793,14 @@ def test_counts_of_pairs_that_come_often():
             for b in row[a + 1 : a + 3]:
                 want[int(row[a]), int(b)] = want.get((int(row[a]), int(b)), 0) + 1
     assert got == want and max(got.values()) > 1
+
+
+def test_undirected_graphs_hold_each_direction_once_and_index_graph_reads_them_once(spark):
+    rows = [("b", "a"), ("a", "b"), ("a", "a"), ("c", "a"), ("c", "a"), (None, "a"), ("d", None)]
+    g = G.build_graph(spark.createDataFrame(rows, "src string, dst string"))
+    assert sorted(map(tuple, g.collect())) == [("a", "a", 1.0), ("a", "b", 1.0), ("a", "c", 1.0), ("b", "a", 1.0), ("c", "a", 1.0)]
+    nodes, e = walks.index_graph(g)
+    assert sorted(map(tuple, nodes.collect())) == [("a", 0), ("b", 1), ("c", 2)]
+    assert sorted((r.src, r.dst) for r in e.collect()) == [(0, 0), (0, 1), (0, 2), (1, 0), (2, 0)]
+    # the fixture's joins are not part of what the edges read
+    assert "LocalTableScan" not in e._jdf.queryExecution().optimizedPlan().toString() and "LogicalRDD" not in e._jdf.queryExecution().optimizedPlan().toString()
