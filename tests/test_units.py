@@ -804,3 +804,33 @@ def test_undirected_graphs_hold_each_direction_once_and_index_graph_reads_them_o
     assert sorted((r.src, r.dst) for r in e.collect()) == [(0, 0), (0, 1), (0, 2), (1, 0), (2, 0)]
     # the fixture's joins are not part of what the edges read
     assert "LocalTableScan" not in e._jdf.queryExecution().optimizedPlan().toString() and "LogicalRDD" not in e._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_packed_panels_give_the_same_products(spark):
+    import pyarrow as pa
+    from citeweave.operators import linalg
+
+    rng = np.random.default_rng(31)
+    t = pa.table({"cb": pa.array([0] * 300, pa.int32()), "chunk": pa.array([2] * 300, pa.int32()), "row": rng.integers(-9, 40, 300), "col": rng.integers(-5, 60, 300), "w": rng.normal(size=300)})
+    for known in (np.arange(-5, 60), np.arange(-5, 60, 3), np.array([7]), np.array([1000])):
+        known = rng.permutation(known)
+        dense = pa.table({"id": known, "vec": linalg._lists(rng.normal(size=(len(known), 3)))})
+        one, two = linalg._panel_product(t, dense), linalg._packed_product("bigint")(linalg._packed_panel(t), dense)
+        got, want = ({i: v for i, v in zip(x["id"].to_pylist(), x["vec"].to_pylist())} for x in (two, one))
+        assert got.keys() == want.keys() and all(np.allclose(got[i], want[i]) for i in got)
+    # ids that are no numbers keep their rows
+    X = spark.createDataFrame([("a", "x", 2.0), ("b", "x", 3.0), ("b", "y", -1.0)], "src string, dst string, w double")
+    Z = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.0, 5.0])], "id string, vec array<double>")
+    with linalg.fixed_plans(spark):
+        assert {r.id: r.vec for r in linalg.combine([(linalg.Panels(X, 2, False).times(Z), 1.0)]).collect()} == {"a": [2.0, 0.0], "b": [3.0, -5.0]}
+
+
+def test_tables_that_nothing_reads_any_more_go(spark):
+    import os
+    from citeweave.session import discard, materialize
+
+    df = materialize(spark.range(5), "gone")
+    path = df.stored_at.removeprefix("file:")
+    assert os.path.isdir(path)
+    discard(df)
+    assert not os.path.exists(path)
